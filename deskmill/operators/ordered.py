@@ -20,15 +20,18 @@ def time_segment(ts: str | Column, seconds: int = 86400) -> Column:
 
 def running(df: DataFrame, keys: list[str], order: list[str], segment: Column, *,
             prev: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
-            last: dict[str, Column] | None = None, reverse: bool = False) -> DataFrame:
+            last: dict[str, Column] | None = None, earlier: dict[str, Column] | None = None,
+            reverse: bool = False) -> DataFrame:
     """Add running columns in ``order`` within ``keys``; ``segment`` must grow with ``order``.
 
     prev: the value on the row before (null on the first row)
     sums: the total up to and including the row
     last: the newest non-null value up to and including the row
+    earlier: the newest non-null value on the rows before
     reverse: walk from the last row to the first instead
     """
-    prev, sums, last = prev or {}, sums or {}, last or {}
+    prev, sums, last, earlier = prev or {}, sums or {}, last or {}, earlier or {}
+    kept = {**last, **earlier}
     part = [*keys, "_seg"]
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     pick = F.min_by if reverse else F.max_by
@@ -37,34 +40,36 @@ def running(df: DataFrame, keys: list[str], order: list[str], segment: Column, *
     src = df.withColumn("_seg", segment)
     for n, c in prev.items():
         src = src.withColumn(f"_v_{n}", F.struct(c.alias("v")))
-    for n, c in {**sums, **last}.items():
+    for n, c in {**sums, **kept}.items():
         src = src.withColumn(f"_v_{n}", c)
 
     here = Window.partitionBy(*part).orderBy(*ordering)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = here.rowsBetween(Window.unboundedPreceding, -1)
     local = src.select(
         "*",
         *[F.lag(f"_v_{n}").over(here).alias(f"_l_{n}") for n in prev],
         *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in sums],
-        *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in last])
+        *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in last],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(above).alias(f"_l_{n}") for n in earlier])
 
     summary = src.groupBy(*part).agg(
         *[pick(f"_v_{n}", at).alias(f"_s_{n}") for n in prev],
         *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums],
-        *[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_s_{n}") for n in last])
+        *[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_s_{n}") for n in kept])
     over = Window.partitionBy(*keys).orderBy(F.col("_seg").desc() if reverse else F.col("_seg").asc())
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *part,
         *[F.lag(f"_s_{n}").over(over).alias(f"_c_{n}") for n in prev],
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
-        *[F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last])
+        *[F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in kept])
 
     joined = local.join(carry, part)
     out = [F.col(c) for c in df.columns]
     out += [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))["v"].alias(n) for n in prev]
     out += [(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_c_{n}")).alias(n) for n in sums]
-    out += [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in last]
+    out += [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in kept]
     return joined.select(*out)
 
 

@@ -72,6 +72,8 @@ def main(argv):
     sf = argv[0]
     folder = f"/root/testdata/sf{sf}"
     names = argv[1:]
+    from pyspark.sql import SparkSession
+    SparkSession.builder.config("spark.ui.showConsoleProgress", "false")
     spark = build_session("compare", master="local[8]", partitions=8, memory="6g")
     con = connect(folder)
     sqls, failed = e.oracle_sql(), []
