@@ -21,22 +21,29 @@ def words(col: Column, pattern: str = X.WORD) -> Column:
     return F.regexp_extract_all(col, F.lit(f"({pattern})"), F.lit(1))
 
 
-def ending_pattern(endings: list[str], low: int, exact: bool) -> str:
-    """Longest listed ending behind at least (or exactly) ``low`` letters."""
-    first = "{%d}" % low if exact else "{%d,}?" % low
-    return "^(.%s)(?:%s)$" % (first, "|".join(sorted(set(endings), key=len, reverse=True)))
+def _listed(endings: list[str]) -> str:
+    return "(?:" + "|".join(sorted(set(endings), key=len, reverse=True)) + ")"
 
 
-def cut_ending(word: Column, endings: list[str]) -> Column:
-    long, short = ending_pattern(endings, 4, False), ending_pattern(endings, 3, True)
-    return F.when(word.rlike(long), F.regexp_replace(word, long, "$1")).otherwise(F.regexp_replace(word, short, "$1"))
+def stem_pattern(ru: list[str], en: list[str] | None) -> tuple[str, int]:
+    """Pattern over lower-case words, and the number of its groups: what stays when the longest listed ending is cut.
+
+    Four letters stay at least, else exactly three. English endings are for words without Cyrillic letters.
+    """
+    cut = [f"^(.{{4,}}?){_listed(ru)}$", f"^(.{{3}}){_listed(ru)}$"]
+    if en:
+        cut[1:1] = [f"^([^а-яё]{{4,}}?){_listed(en)}$"]
+        cut.append(f"^([^а-яё]{{3}}){_listed(en)}$")
+    return "|".join(cut), len(cut)
+
+
+def cut_ending(low: Column, ru: list[str] = X.RU_ENDINGS, en: list[str] | None = None) -> Column:
+    pattern, groups = stem_pattern(ru, en)
+    return F.regexp_replace(low, pattern, "".join(f"${i + 1}" for i in range(groups)))
 
 
 def stem(word: Column, ru: list[str] = X.RU_ENDINGS, en: list[str] | None = None) -> Column:
-    """Lower-case stem; words without Cyrillic letters are cut only when English endings are given."""
-    low = F.lower(fold(word))
-    other = cut_ending(low, en) if en else low
-    return F.when(low.rlike("[а-яё]"), cut_ending(low, ru)).otherwise(other)
+    return cut_ending(F.lower(fold(word)), ru, en)
 
 
 def is_identifier(word: Column) -> Column:

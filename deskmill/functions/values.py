@@ -19,7 +19,7 @@ PAYLOAD_FIELDS = {
 
 def lenient_number(col: Column) -> Column:
     """Number out of text such as ``1 234,50``; anything else is null."""
-    bare = F.translate(F.translate(col, "  ", ""), ",", ".")
+    bare = F.translate(F.translate(col, " \u00a0", ""), ",", ".")
     number = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
     return F.when(bare.rlike(number), bare.try_cast("double"))
 

@@ -21,6 +21,10 @@ SESSION_CONF = {
 }
 
 
+# tables whose rows are long texts, and their key
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def build_session(app: str = "deskmill", master: str | None = None, partitions: int | None = None,
                   memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -63,6 +67,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out a table that comes in fewer splits than there are cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The parquet tables of one folder, read lazily by name: ``t.orders``."""
 
@@ -73,4 +83,5 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table

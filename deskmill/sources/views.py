@@ -76,3 +76,49 @@ def files(documents: DataFrame) -> DataFrame:
 FILES_SQL = """files AS (
   SELECT *, source||'/'||doc_id||CASE WHEN doc_id%17=0 THEN '.png' WHEN doc_id%13=0 THEN ' - copy.txt' ELSE '.txt' END AS path
   FROM documents)"""
+
+
+def modules(documents: DataFrame) -> DataFrame:
+    """Documents turned into module texts: comments, procedure headers, ends, blank lines."""
+    i1 = "(i + 1)"
+    line = f"""CASE {i1} % 6 WHEN 1 THEN concat('// ', x)
+      WHEN 2 THEN CASE WHEN {i1} % 4 = 2 THEN concat('Procedure P', doc_id, 'x', {i1}, '(a) Export') ELSE concat('Function F', doc_id, 'x', {i1}, '(a)') END
+      WHEN 4 THEN CASE WHEN {i1} % 9 = 4 THEN '' ELSE 'EndProcedure' END WHEN 5 THEN '' ELSE x END"""
+    return documents.select(
+        F.col("source").alias("repo"), "doc_id",
+        F.expr("concat(CASE doc_id % 4 WHEN 0 THEN 'Documents/D' WHEN 1 THEN 'CommonModules/M' WHEN 2 THEN 'Catalogs/C' ELSE 'Reports/R' END, doc_id % 50, "
+               "CASE doc_id % 4 WHEN 1 THEN '/Ext/Module' ELSE '/Ext/ObjectModule' END, doc_id, '.bsl')").alias("path"),
+        F.expr(f"array_join(transform(split(text, '\n'), (x, i) -> {line}), '\n')").alias("text"))
+
+
+MODULES_SQL = """modules AS (SELECT source AS repo, doc_id,
+  (CASE doc_id % 4 WHEN 0 THEN 'Documents/D' WHEN 1 THEN 'CommonModules/M' WHEN 2 THEN 'Catalogs/C' ELSE 'Reports/R' END)||(doc_id % 50)
+   ||(CASE doc_id % 4 WHEN 1 THEN '/Ext/Module' ELSE '/Ext/ObjectModule' END)||doc_id||'.bsl' AS path,
+  array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE i % 6 WHEN 1 THEN '// '||x
+      WHEN 2 THEN CASE WHEN i % 4 = 2 THEN 'Procedure P'||doc_id||'x'||i||'(a) Export' ELSE 'Function F'||doc_id||'x'||i||'(a)' END
+      WHEN 4 THEN CASE WHEN i % 9 = 4 THEN '' ELSE 'EndProcedure' END WHEN 5 THEN '' ELSE x END), chr(10)) AS text FROM documents)"""
+
+BLOCKS_SQL = MODULES_SQL + r""",
+ml AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS ls FROM modules),
+ln AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM ml),
+fl AS (SELECT *, regexp_matches(line, '(?i)^[ \t]*(Procedure|Function)[ \t]+[A-Za-z_]\w*[ \t]*\(') AS st,
+  regexp_matches(line, '(?i)^[ \t]*(EndProcedure|EndFunction)\b') AS en, regexp_matches(line, '^\s*(//|&)') AS note,
+  regexp_matches(line, '^\s*$') AS blank, NOT regexp_matches(line, '^\s*(//|#|$)') AS means FROM ln),
+st AS (SELECT doc_id, i AS s, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM fl WHERE st),
+bl AS (SELECT st.doc_id, s, coalesce(min(f.i) FILTER (f.en), max(f.i) FILTER (NOT f.blank)) AS e FROM st
+  JOIN fl f ON f.doc_id=st.doc_id AND f.i>=s AND (nx IS NULL OR f.i<nx) GROUP BY 1, 2),
+b2 AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS pe FROM bl),
+b3 AS (SELECT b2.doc_id, s, e, pe, greatest(pe, coalesce(max(f.i) FILTER (NOT f.note), 0)) + 1 AS a FROM b2
+  LEFT JOIN fl f ON f.doc_id=b2.doc_id AND f.i < s AND f.i > pe GROUP BY 1, 2, 3, 4),
+gaps AS (SELECT doc_id, pe+1 AS lo, a-1 AS hi FROM b3
+  UNION ALL SELECT b.doc_id, max(b.e)+1, max(len(ml.ls)) FROM b3 b JOIN ml USING (doc_id) GROUP BY 1),
+gt AS (SELECT g.doc_id, min(f.i) FILTER (NOT blank) AS lo, max(f.i) FILTER (NOT blank) AS hi FROM gaps g
+  JOIN fl f ON f.doc_id=g.doc_id AND f.i BETWEEN g.lo AND g.hi GROUP BY g.doc_id, g.lo HAVING bool_or(means)),
+al AS (SELECT doc_id, 1 AS lo, max(i) AS hi FROM fl WHERE doc_id NOT IN (SELECT doc_id FROM st) GROUP BY 1 HAVING bool_or(NOT blank)),
+spans AS (SELECT doc_id, s, a AS lo, e AS hi FROM b3 UNION ALL SELECT doc_id, NULL, lo, hi FROM gt UNION ALL SELECT doc_id, NULL, lo, hi FROM al),
+blocks AS (SELECT sp.doc_id, CASE WHEN s IS NULL THEN 'module' WHEN regexp_matches(h.line, '^\s*Function') THEN 'func' ELSE 'proc' END AS kind,
+  CASE WHEN s IS NULL THEN '' ELSE regexp_extract(h.line, '(?:Procedure|Function)[ \t]+(\w+)', 1) END AS name,
+  coalesce(contains(h.line, 'Export'), false) AS is_export, CAST(lo AS INTEGER) AS line_start, CAST(hi AS INTEGER) AS line_end,
+  array_to_string(list_slice(ml.ls, lo, hi), chr(10)) AS body,
+  CASE WHEN s IS NULL THEN '' ELSE trim(regexp_replace(array_to_string(list_transform(list_slice(ml.ls, lo, s-1), lambda x: regexp_replace(x, '^\s*/+', '')), ' '), '\s+', ' ', 'g')) END AS doc
+  FROM spans sp JOIN ml USING (doc_id) LEFT JOIN fl h ON h.doc_id=sp.doc_id AND h.i=sp.s)"""
