@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from deskmill.functions import fixed as X
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once. Without it, a value that a lambda
+    refers to is put into the lambda and computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(col: Column) -> Column:
     """Any white space off both ends."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
@@ -22,7 +28,7 @@ def words(col: Column, pattern: str = X.WORD) -> Column:
 
 
 def _listed(endings: list[str]) -> str:
-    return "(?:" + "|".join(sorted(set(endings), key=len, reverse=True)) + ")"
+    return "(?:" + "|".join(sorted(dict.fromkeys(endings), key=len, reverse=True)) + ")"
 
 
 def stem_pattern(ru: list[str], en: list[str] | None) -> tuple[str, int]:

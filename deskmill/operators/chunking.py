@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.functions.text import chunk_text, strip
+from deskmill.functions.text import bind, chunk_text, strip
 
 # How a procedure starts and ends, and what its header ends with.
 NAME = r"[A-Za-zА-Яа-яЁё_][0-9A-Za-zА-Яа-яЁё_]*"
@@ -63,21 +63,21 @@ def segment_blocks(files: DataFrame, keep: list[str], text: str, start: str = ST
     a text without start lines is one ``module`` block.
     """
     lines = F.split(F.regexp_replace(F.col(text), r"\n\z", ""), "\n")
-    rows = files.select(*keep, F.col(text).alias("_text"), lines.alias("_lines"))
-    rows = rows.withColumn("_spans", _spans(F.col("_lines"), start, end, above))
-    # an end mark behind the last line lets every gap be written as "what precedes a span"
-    n = F.size("_lines")
-    fence = F.struct(n.alias("first"), n.alias("head"), (n - 1).alias("last"))
-    all_spans = F.concat("_spans", F.array(fence))
-    pieces = F.flatten(F.transform(all_spans, lambda s, i: F.array(
-        F.struct(F.lit(False).alias("is_block"), F.when(i > 0, F.get("_spans", i - 1)["last"] + 1).otherwise(0).alias("a"),
-                 F.lit(0).alias("h"), (s["first"] - 1).alias("b")),
-        F.struct(F.lit(True).alias("is_block"), s["first"].alias("a"), (s["head"] - s["first"]).alias("h"), s["last"].alias("b")))))
-    pieces = F.filter(pieces, lambda p: p["a"] <= p["b"])
-    # each piece takes its own lines along, so that exploding does not repeat the whole text
-    pieces = F.transform(pieces, lambda p: p.withField("body", F.slice("_lines", p["a"] + 1, p["b"] - p["a"] + 1)))
-    alone = (F.size("_spans") == 0).alias("_alone")
-    each = rows.select(*keep, alone, F.explode(pieces).alias("_p")).withColumn("_body", F.col("_p.body"))
+    def pieces_of(lines, spans):
+        # a mark behind the last line lets every gap be written as what precedes a span
+        n = F.size(lines)
+        fence = F.struct(n.alias("first"), n.alias("head"), (n - 1).alias("last"))
+        pairs = F.flatten(F.transform(F.concat(spans, F.array(fence)), lambda s, i: F.array(
+            F.struct(F.lit(False).alias("is_block"), F.when(i > 0, F.get(spans, i - 1)["last"] + 1).otherwise(0).alias("a"),
+                     F.lit(0).alias("h"), (s["first"] - 1).alias("b")),
+            F.struct(F.lit(True).alias("is_block"), s["first"].alias("a"), (s["head"] - s["first"]).alias("h"), s["last"].alias("b")))))
+        # each piece takes its own lines along, so that exploding does not repeat the whole text
+        return F.transform(F.filter(pairs, lambda p: p["a"] <= p["b"]), lambda p: F.struct(
+            p["is_block"].alias("is_block"), p["a"].alias("a"), p["h"].alias("h"), p["b"].alias("b"), (F.size(spans) == 0).alias("alone"),
+            F.slice(lines, p["a"] + 1, p["b"] - p["a"] + 1).alias("body")))
+
+    pieces = bind(lines, lambda ls: bind(_spans(ls, start, end, above), lambda spans: pieces_of(ls, spans)))
+    each = files.select(*keep, F.explode(pieces).alias("_p")).withColumn("_body", F.col("_p.body")).withColumn("_alone", F.col("_p.alone"))
     whole = F.col("_p.is_block") | F.col("_alone")
     # gaps lose blank lines on both ends
     full = F.filter(F.transform("_body", lambda line, i: F.when(strip(line) != "", i)), lambda i: i.isNotNull())

@@ -69,7 +69,8 @@ def build_index(documents: DataFrame, chunks: DataFrame, aliases: DataFrame, en:
     docs = materialise(documents, "documents")
     cut = materialise(chunks.withColumn("n_words", F.size(words(F.col("text")))), "chunks")
     other = aliases.join(docs.select("doc_id", F.col("path").alias("canonical")), "canonical").select("doc_id", F.col("alias").alias("title"))
-    postings, lengths = build_postings(cut, docs.select("doc_id", "title").unionByName(other), en)
+    titles = materialise(docs.select("doc_id", "title").unionByName(other), "titles")
+    postings, lengths = build_postings(cut, titles, en)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     return TextIndex(docs, cut, materialise(postings, "postings"), materialise(stats, "stats"))
 
