@@ -162,37 +162,43 @@ def match_quality(text: Column, variants: Column, lowered: bool = False) -> Colu
     return quality(text) if lowered else bind(F.struct(text.alias("text"), F.lower(text).alias("low")), quality)
 
 
-def rerank(found: DataFrame, blocks: DataFrame, questions: DataFrame, terms: DataFrame, depth: int) -> DataFrame:
-    """Order candidates by BM25, terms covered, where they were found and whether they begin a word.
+def variant_quality(blocks: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(variant, file_id, line_start, name, doc, path, body): match quality per column in the wanted blocks.
 
-    A block comes with its text only for the candidates, at most 850 per question.
+    Each wanted block's text is read once, with the list of the variants it holds.
     """
-    per = terms.groupBy("question_id").agg(F.collect_list(F.struct("base", "exact", "variants")).alias("terms"))
-    asked = per.join(questions.select("question_id", F.transform(words(F.lower(fold(F.col("text"))), X.CODE_WORD), lambda w: w).alias("said")), "question_id")
-    rows = found.join(asked, "question_id").join(blocks.select(*KEY, *COLUMNS, "kind", "proc_name", "object_name", "is_export"), KEY)
+    held = hits.join(wanted.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.collect_list("variant").alias("vs"))
     fields = F.struct(*[F.struct(fold(F.col(c)).alias("text"), F.lower(fold(F.col(c))).alias("low")).alias(c) for c in COLUMNS])
+    each = bind(fields, lambda r: F.transform("vs", lambda v: F.struct(
+        v.alias("variant"), *[match_quality(r[c], F.array(v), lowered=True).alias(c) for c in COLUMNS])))
+    return blocks.select(*KEY, *COLUMNS).join(held, KEY).select(*KEY, F.explode(each).alias("q")).select(*KEY, "q.*")
+
+
+def rerank(found: DataFrame, hits: DataFrame, blocks: DataFrame, questions: DataFrame, terms: DataFrame, depth: int) -> DataFrame:
+    """Order candidates by BM25, terms covered, where they were found and whether they begin a word.
 
-    def per_term(r):
-        def one(t):
-            q = F.struct(*[match_quality(r[c], t["variants"], lowered=True).alias(c) for c in COLUMNS])
-            return bind(q, lambda f: F.struct(F.greatest(*[f[c] * w for c, w in FIELD_WEIGHTS.items()]).alias("best"), (f["name"] == 1.0).alias("in_name")))
-        return F.transform("terms", one)
-
-    rows = rows.withColumn("_q", bind(fields, per_term)).drop(*COLUMNS)
-    n = F.size("terms")
-    sums = bind(F.col("_q"), lambda q: F.struct(
-        F.aggregate(q, F.lit(0.0), lambda a, x: a + x["best"]).alias("coverage"), F.size(F.filter(q, lambda x: x["best"] > 0)).alias("matched"),
-        F.size(F.filter(q, lambda x: x["in_name"])).alias("in_name")))
-    rows = rows.withColumn("_s", sums)
-    coverage, matched, in_name = F.col("_s.coverage"), F.col("_s.matched"), F.col("_s.in_name")
-    score = F.col("bm25") * F.pow(0.25 + coverage / n, F.lit(2)) * (0.5 + matched / n) * F.pow(1 + in_name / n, F.lit(2))
-    idents = F.transform(F.filter("terms", lambda t: t["exact"]), lambda t: t["base"])
-    wants = F.exists("terms", lambda t: t["base"].isin(X.STRUCTURE_STEMS))
+    Texts are looked at for the candidates only, at most 850 per question.
+    """
+    asked = terms.select("question_id", "term_no", F.explode("variants").alias("variant"))
+    per_term = (asked.join(variant_quality(blocks, hits, found), "variant").join(found.select("question_id", *KEY), ["question_id", *KEY])
+                .groupBy("question_id", *KEY, "term_no").agg(
+                    F.max(F.greatest(*[F.col(c) * w for c, w in FIELD_WEIGHTS.items()])).alias("best"), F.max("name").alias("in_name")))
+    sums = per_term.groupBy("question_id", *KEY).agg(
+        F.sum("best").alias("coverage"), F.count_if(F.col("best") > 0).alias("matched"), F.count_if(F.col("in_name") == 1.0).alias("named"))
+    whole = terms.groupBy("question_id").agg(
+        F.count("*").alias("n"), F.collect_list(F.when(F.col("exact"), F.col("base"))).alias("idents"),
+        F.bool_or(F.col("base").isin(X.STRUCTURE_STEMS)).alias("wants"))
+    said = questions.select("question_id", words(F.lower(fold(F.col("text"))), X.CODE_WORD).alias("said"))
+    rows = (found.join(sums, ["question_id", *KEY]).join(whole.join(said, "question_id"), "question_id")
+            .join(blocks.select(*KEY, "kind", "proc_name", "object_name", "is_export"), KEY))
+    n = F.col("n")
+    score = (F.col("bm25") * F.pow(0.25 + F.col("coverage") / n, F.lit(2)) * (0.5 + F.col("matched") / n)
+             * F.pow(1 + F.col("named") / n, F.lit(2)))
     proc, obj = F.lower("proc_name"), F.lower("object_name")
-    score = score * F.when((proc != "") & F.array_contains(idents, proc), 4.0).otherwise(1.0)
-    score = score * F.when((obj != "") & F.array_contains(F.col("said"), obj), 2.5).otherwise(1.0)
-    score = score * F.when(F.col("kind") == "object", F.when(wants, 2.5).otherwise(0.6)).when(F.col("is_export"), 1.3).otherwise(1.0)
-    scored = rows.select("question_id", *KEY, "list_no", "list_rank", matched.alias("matched"), F.round(score, 5).alias("score"))
+    score = score * F.when((proc != "") & F.array_contains("idents", proc), 4.0).otherwise(1.0)
+    score = score * F.when((obj != "") & F.array_contains("said", obj), 2.5).otherwise(1.0)
+    score = score * F.when(F.col("kind") == "object", F.when(F.col("wants"), 2.5).otherwise(0.6)).when(F.col("is_export"), 1.3).otherwise(1.0)
+    scored = rows.select("question_id", *KEY, "list_no", "list_rank", "matched", F.round(score, 5).alias("score"))
     return newest(scored, ["question_id"], depth, F.col("score").desc(), *[F.col(k) for k in KEY], rank="place")
 
 
@@ -201,8 +207,8 @@ def lexical_search(blocks: DataFrame, questions: DataFrame, depth: int = 50, syn
     terms = parse_query(questions, synonyms=synonyms)
     variants = terms.select(F.explode("variants").alias("variant")).distinct()
     hits = materialise(variant_hits(blocks, variants), "hits")
-    found = candidate_union(candidate_lists(terms, hits, block_stats(blocks)))
-    return rerank(found, blocks, questions, terms, depth)
+    found = materialise(candidate_union(candidate_lists(terms, hits, block_stats(blocks))), "candidates")
+    return rerank(found, hits, blocks, questions, terms, depth)
 
 
 def snippet_lines(hits: DataFrame, terms: DataFrame, max_lines: int = SNIPPET_LINES, width: int = SNIPPET_WIDTH) -> DataFrame:

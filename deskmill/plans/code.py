@@ -18,9 +18,9 @@ OBJECT_SQL = """(CASE b.doc_id%4 WHEN 0 THEN 'Документ' WHEN 1 THEN 'О
   (CASE b.doc_id%4 WHEN 0 THEN 'D' WHEN 1 THEN 'M' WHEN 2 THEN 'C' ELSE 'R' END)||(b.doc_id%50) AS object_name,
   CASE WHEN b.doc_id%4=1 THEN 'ОбщийМодуль' ELSE 'Модуль' END AS module_kind"""
 CODE_SQL = BLOCKS_SQL + f""",
-code AS (SELECT b.doc_id AS file_id, b.line_start, b.line_end, b.kind, b.name, b.is_export, b.doc, b.body, m.repo, m.path AS file_path, {OBJECT_SQL}
+code AS MATERIALIZED (SELECT b.doc_id AS file_id, b.line_start, b.line_end, b.kind, b.name, b.is_export, b.doc, b.body, m.repo, m.path AS file_path, {OBJECT_SQL}
   FROM blocks b JOIN modules m USING (doc_id)),
-fts AS (SELECT *, repo||'/'||file_path||' '||object_type||'.'||object_name||' '||module_kind AS path FROM code)"""
+fts AS MATERIALIZED (SELECT *, repo||'/'||file_path||' '||object_type||'.'||object_name||' '||module_kind AS path FROM code)"""
 
 
 def code_blocks(t):
@@ -46,7 +46,7 @@ def terms_sql(source: str) -> str:
     return rf"""cw AS (SELECT question_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT question_id, regexp_extract_all(text, '{X.CODE_WORD}') AS ws FROM {source})),
 cb AS (SELECT question_id, i, lower(w) AS base, regexp_matches(w, '_|\d|^.+\p{{Lu}}') AS exact FROM cw),
 cu AS (SELECT *, row_number() OVER (PARTITION BY question_id, base ORDER BY i) AS rn FROM cb WHERE base NOT IN ({STOPS}) AND length(base) >= 3),
-cterms AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY i) - 1 AS INTEGER) AS term_no, base, exact FROM cu WHERE rn = 1),
+cterms AS MATERIALIZED (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY i) - 1 AS INTEGER) AS term_no, base, exact FROM cu WHERE rn = 1),
 said AS (SELECT question_id, list(base) AS said FROM cb GROUP BY 1)"""
 
 
@@ -61,21 +61,21 @@ def idf(df: str) -> str:
 
 def lists_sql(source: str = "(SELECT item_id AS question_id, text FROM benchmark)") -> str:
     return CODE_SQL + ", " + terms_sql(source) + f""",
-low AS (SELECT file_id, line_start, lower(path) AS p, lower(name) AS m, lower(doc) AS d, lower(body) AS b FROM fts),
+low AS MATERIALIZED (SELECT file_id, line_start, lower(path) AS p, lower(name) AS m, lower(doc) AS d, lower(body) AS b FROM fts),
 sizes AS (SELECT file_id, line_start, greatest(length(p)-2,0)+greatest(length(m)-2,0)+greatest(length(d)-2,0)+greatest(length(b)-2,0) AS len FROM low),
 cstats AS (SELECT count(*) AS n, avg(len) AS avg_len FROM sizes),
 vs AS (SELECT DISTINCT base AS v, len(list_filter(range(1, length(base)), lambda k: left(base, k) = right(base, k))) > 0 AS border FROM cterms),
-occ AS (SELECT v, file_id, line_start, {tf('p')} AS tp, {tf('m')} AS tm, {tf('d')} AS td, {tf('b')} AS tb FROM vs JOIN low ON contains(p, v) OR contains(m, v) OR contains(d, v) OR contains(b, v)),
+occ AS MATERIALIZED (SELECT v, file_id, line_start, {tf('p')} AS tp, {tf('m')} AS tm, {tf('d')} AS td, {tf('b')} AS tb FROM vs JOIN low ON contains(p, v) OR contains(m, v) OR contains(d, v) OR contains(b, v)),
 fq AS (SELECT v, file_id, line_start, 0 AS head, 3.0*tp+10.0*tm+4.0*td+tb AS f FROM occ UNION ALL SELECT v, file_id, line_start, 1, 10.0*tm+4.0*td FROM occ WHERE tm+td > 0),
 dfq AS (SELECT v, head, count(*) AS df FROM fq GROUP BY 1, 2),
-vsc AS (SELECT v, head, file_id, line_start, {idf('df')} * f*2.2/(f+1.2*(0.25+0.75*len/avg_len)) AS score FROM fq JOIN dfq USING (v, head) JOIN sizes USING (file_id, line_start), cstats),
+vsc AS MATERIALIZED (SELECT v, head, file_id, line_start, {idf('df')} * f*2.2/(f+1.2*(0.25+0.75*len/avg_len)) AS score FROM fq JOIN dfq USING (v, head) JOIN sizes USING (file_id, line_start), cstats),
 nt AS (SELECT question_id, count(*) AS n_terms FROM cterms GROUP BY 1),
 qs AS (SELECT question_id, head, file_id, line_start, round(sum(score), 6) AS score, count(*) AS held FROM cterms JOIN vsc ON vsc.v = base GROUP BY 1, 2, 3, 4),
 lists AS (SELECT question_id, head AS list_no, CAST(row_number() OVER (PARTITION BY question_id, head ORDER BY score DESC, file_id, line_start) AS INTEGER) AS list_rank, file_id, line_start, score FROM qs
   UNION ALL SELECT question_id, head+2, CAST(row_number() OVER (PARTITION BY question_id, head ORDER BY score DESC, file_id, line_start) AS INTEGER), file_id, line_start, score
   FROM qs JOIN nt USING (question_id) WHERE n_terms > 1 AND held = n_terms),
-kept_lists AS (SELECT * FROM lists WHERE list_rank <= CASE list_no WHEN 0 THEN 400 WHEN 1 THEN 200 WHEN 2 THEN 100 ELSE 150 END),
-united AS (SELECT question_id, file_id, line_start, list_no, list_rank, score AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY question_id, file_id, line_start ORDER BY list_no) AS rn FROM kept_lists) WHERE rn = 1)"""
+kept_lists AS MATERIALIZED (SELECT * FROM lists WHERE list_rank <= CASE list_no WHEN 0 THEN 400 WHEN 1 THEN 200 WHEN 2 THEN 100 ELSE 150 END),
+united AS MATERIALIZED (SELECT question_id, file_id, line_start, list_no, list_rank, score AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY question_id, file_id, line_start ORDER BY list_no) AS rn FROM kept_lists) WHERE rn = 1)"""
 
 
 def quality_sql(text: str, v: str) -> str:
@@ -85,14 +85,18 @@ def quality_sql(text: str, v: str) -> str:
 
 def rerank_sql(depth: int, source: str = "(SELECT item_id AS question_id, text FROM benchmark)") -> str:
     return lists_sql(source) + f""",
-ql AS (SELECT u.question_id, u.file_id, u.line_start, u.bm25, t.base, t.exact, f.name, f.object_name, f.kind, f.is_export, {quality_sql('f.name', 't.base')} AS qn,
-  greatest(0.7*{quality_sql('f.doc', 't.base')}, 0.6*{quality_sql('f.path', 't.base')}, 0.35*{quality_sql('f.body', 't.base')}) AS qo
-  FROM united u JOIN fts f USING (file_id, line_start) JOIN cterms t USING (question_id)),
-qa AS (SELECT question_id, file_id, line_start, any_value(bm25) AS bm25, any_value(object_name) AS object_name, any_value(is_export) AS is_export, count(*) AS n,
-  sum(greatest(qn, qo)) AS coverage, count(*) FILTER (greatest(qn, qo) > 0) AS matched, count(*) FILTER (qn = 1.0) AS in_name, bool_or(exact AND base = lower(name)) AS ident FROM ql GROUP BY 1, 2, 3),
-rs AS (SELECT question_id, file_id, line_start, matched, round(bm25 * (0.25+coverage/n)**2 * (0.5+matched/n) * (1+in_name/n)**2 * CASE WHEN ident THEN 4 ELSE 1 END
-  * CASE WHEN list_contains(said, lower(object_name)) THEN 2.5 ELSE 1 END * CASE WHEN is_export THEN 1.3 ELSE 1 END, 5) AS score FROM qa JOIN said USING (question_id)),
-reranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, file_id, line_start) AS INTEGER) AS place FROM rs) WHERE place <= {depth})"""
+nb AS (SELECT DISTINCT file_id, line_start FROM united),
+vq AS MATERIALIZED (SELECT o.v, f.file_id, f.line_start, {quality_sql('f.name', 'o.v')} AS qn,
+  greatest(0.7*{quality_sql('f.doc', 'o.v')}, 0.6*{quality_sql('f.path', 'o.v')}, 0.35*{quality_sql('f.body', 'o.v')}) AS qo
+  FROM occ o JOIN nb USING (file_id, line_start) JOIN fts f USING (file_id, line_start)),
+qa AS (SELECT u.question_id, u.file_id, u.line_start, any_value(u.bm25) AS bm25, sum(greatest(qn, qo)) AS coverage, count(*) FILTER (greatest(qn, qo) > 0) AS matched,
+  count(*) FILTER (qn = 1.0) AS in_name FROM united u JOIN cterms t USING (question_id) JOIN vq ON vq.v = t.base AND vq.file_id = u.file_id AND vq.line_start = u.line_start GROUP BY 1, 2, 3),
+idn AS (SELECT question_id, list(base) AS ids FROM cterms WHERE exact GROUP BY 1),
+rs AS (SELECT qa.question_id, qa.file_id, qa.line_start, matched, round(bm25 * (0.25+coverage/n_terms)**2 * (0.5+matched/n_terms) * (1+in_name/n_terms)**2
+  * CASE WHEN coalesce(list_contains(ids, lower(f.name)), false) THEN 4 ELSE 1 END
+  * CASE WHEN list_contains(said, lower(f.object_name)) THEN 2.5 ELSE 1 END * CASE WHEN f.is_export THEN 1.3 ELSE 1 END, 5) AS score
+  FROM qa JOIN fts f USING (file_id, line_start) JOIN said USING (question_id) JOIN nt USING (question_id) LEFT JOIN idn ON idn.question_id = qa.question_id),
+reranked AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, file_id, line_start) AS INTEGER) AS place FROM rs) WHERE place <= {depth})"""
 
 
 @query("parse_query", "WITH " + terms_sql("(SELECT item_id AS question_id, text FROM benchmark)") + " SELECT question_id, term_no, base, exact, base AS variants FROM cterms")
@@ -228,7 +232,7 @@ def letters_sql(name: str, source: str, key: str, text: str) -> str:
     return f"""{name}_c AS (SELECT {key}, unicode(unnest(string_split(lower({text}), ''))) % 64 AS place FROM {source}),
 {name}_n AS (SELECT {key}, place, count(*)::DOUBLE AS x FROM {name}_c GROUP BY ALL),
 {name}_g AS (SELECT {key}, list({{'p': place, 'x': x}}) AS ps, sqrt(sum(x*x)) AS norm FROM {name}_n GROUP BY {key}),
-{name} AS (SELECT {key}, list_transform(range(0, 64), lambda i: CAST(coalesce(list_filter(ps, lambda q: q.p = i)[1].x, 0) / norm AS FLOAT)) AS embedding FROM {name}_g)"""
+{name} AS MATERIALIZED (SELECT {key}, list_transform(range(0, 64), lambda i: CAST(coalesce(list_filter(ps, lambda q: q.p = i)[1].x, 0) / norm AS FLOAT)) AS embedding FROM {name}_g)"""
 
 
 @query("embed_missing", "WITH " + letters_sql("vec", "(SELECT doc_id, text FROM documents)", "doc_id", "text") + """

@@ -27,14 +27,14 @@ STOPS = "list_transform([" + ",".join(f"'{w}'" for w in X.KB_STOP_WORDS) + f"],
 TERMS_SQL = f"""stops AS (SELECT {STOPS} AS st),
 q0 AS (SELECT item_id AS question_id, {stems_sql('text')} AS ss, st FROM benchmark, stops),
 q1 AS (SELECT question_id, list_filter(ss, lambda x, i: list_position(ss, x) = i AND length(x) >= 2 AND NOT list_contains(st, x)) AS ss FROM q0),
-terms AS (SELECT question_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS term_no, unnest(ss) AS stem FROM q1)"""
+terms AS MATERIALIZED (SELECT question_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS term_no, unnest(ss) AS stem FROM q1)"""
 POST_SQL = KB_SQL + ", " + CHUNKS_SQL.format(src="documents_kb") + f""",
 tt AS (SELECT doc_id, title FROM documents_kb UNION ALL SELECT d.doc_id, a.alias FROM
   (SELECT DISTINCT canonical, {TITLE.format(p='path')} AS alias, {TITLE.format(p='canonical')} AS own FROM kept WHERE path<>canonical) a
   JOIN documents_kb d ON d.path=a.canonical WHERE a.alias<>a.own),
 th AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({stems_sql('title')}) AS term FROM tt) GROUP BY 1, 2),
 body AS (SELECT doc_id, chunk_no, unnest({stems_sql('text')}) AS term FROM chunks),
-post AS (SELECT doc_id, chunk_no, term, sum(a) AS tf_title, sum(b) AS tf_body FROM (SELECT doc_id, chunk_no, term, 0 AS a, 1 AS b FROM body
+post AS MATERIALIZED (SELECT doc_id, chunk_no, term, sum(a) AS tf_title, sum(b) AS tf_body FROM (SELECT doc_id, chunk_no, term, 0 AS a, 1 AS b FROM body
   UNION ALL SELECT c.doc_id, c.chunk_no, term, tf, 0 FROM th JOIN chunks c USING (doc_id)) GROUP BY 1, 2, 3),
 lens AS (SELECT c.doc_id, c.chunk_no, coalesce(sum(p.tf_title + p.tf_body), 0) AS len FROM chunks c LEFT JOIN post p USING (doc_id, chunk_no) GROUP BY 1, 2),
 stats AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens)"""
@@ -45,12 +45,12 @@ shorts AS (SELECT stem, max_by(term, length(term)) AS short FROM ds JOIN voc ON
 ph AS (SELECT stem, 'prefix' AS phrase, term FROM ds JOIN voc ON starts_with(term, stem) UNION ALL SELECT stem, 'short', short FROM shorts),
 tf AS (SELECT stem, phrase, doc_id, chunk_no, 4.0*sum(tf_title)+sum(tf_body) AS f FROM post JOIN ph USING (term) GROUP BY 1, 2, 3, 4),
 dfs AS (SELECT stem, phrase, count(*) AS df FROM tf GROUP BY 1, 2),
-sc AS (SELECT stem, doc_id, chunk_no, sum(CASE WHEN ln((n-df+0.5)/(df+0.5)) <= 0 THEN 1e-6 ELSE ln((n-df+0.5)/(df+0.5)) END
+sc AS MATERIALIZED (SELECT stem, doc_id, chunk_no, sum(CASE WHEN ln((n-df+0.5)/(df+0.5)) <= 0 THEN 1e-6 ELSE ln((n-df+0.5)/(df+0.5)) END
   * f*2.2/(f+1.2*(0.25+0.75*len/avg_len))) AS score FROM tf JOIN dfs USING (stem, phrase) JOIN lens USING (doc_id, chunk_no), stats GROUP BY 1, 2, 3)"""
 RANK_SQL = SCORE_SQL + """,
 per AS (SELECT question_id, doc_id, chunk_no, round(sum(score), 6) AS score, count(*) AS matched FROM terms JOIN sc USING (stem) GROUP BY 1, 2, 3),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk_no) AS bm25_rank FROM per) WHERE bm25_rank <= 80),
-ranked AS (SELECT c.*, sha1(ch.text) AS fingerprint, row_number() OVER (PARTITION BY question_id ORDER BY matched DESC, score DESC, c.doc_id, c.chunk_no) AS place
+ranked AS MATERIALIZED (SELECT c.*, sha1(ch.text) AS fingerprint, row_number() OVER (PARTITION BY question_id ORDER BY matched DESC, score DESC, c.doc_id, c.chunk_no) AS place
   FROM cand c JOIN chunks ch USING (doc_id, chunk_no))"""
 # the walk over candidates keeps a list of place:doc:fingerprint texts
 HITS_SQL = "WITH RECURSIVE " + RANK_SQL + """,
