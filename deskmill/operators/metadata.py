@@ -63,7 +63,8 @@ def object_structure(files: DataFrame, keep: list[str], xml: str, nested: Column
     # the first layout names the element after the object's kind; it is given one name
     root = r"(?s)(<(?:\w+:)?MetaDataObject[^>]*>\s*<)(?:\w+:)?(\w+)(.*)</(?:\w+:)?\2(\s*>\s*</(?:\w+:)?MetaDataObject>)"
     one = F.regexp_replace(F.col(xml), root, "$1Object$3</Object$4")
-    flat = files.filter(~nested).select(*keep, F.from_xml(one, FLAT_SCHEMA, OPTIONS)["Object"].alias("o"))
+    # exploding a one-element array keeps the parser from running once per field
+    flat = files.filter(~nested).select(*keep, F.explode(F.array(F.from_xml(one, FLAT_SCHEMA, OPTIONS)["Object"])).alias("o"))
     child = F.col("o.ChildObjects")
     tab = "cast(array() as array<struct<name:string,synonym:string,columns:array<struct<`group`:string,name:string,type:string,synonym:string>>>>)"
     names = "cast(array() as array<string>)"
@@ -75,7 +76,7 @@ def object_structure(files: DataFrame, keep: list[str], xml: str, nested: Column
             _text(s["Properties"]["Name"]).alias("name"), _text(F.get(s["Properties"]["Synonym"]["item"], F.lit(0))["content"]).alias("synonym"),
             _attributes(s["ChildObjects"]["Attribute"], "Реквизиты", _flat).alias("columns"))), F.expr(tab)).alias("tabular"),
         *[F.coalesce(F.transform(child[tag], F.trim), F.expr(names)).alias(out) for tag, out in (("Form", "forms"), ("Command", "commands"), ("Template", "templates"))])
-    other = files.filter(nested).select(*keep, F.from_xml(F.col(xml), NESTED_SCHEMA, OPTIONS).alias("o"))
+    other = files.filter(nested).select(*keep, F.explode(F.array(F.from_xml(F.col(xml), NESTED_SCHEMA, OPTIONS))).alias("o"))
     second = other.select(
         *keep, _text(F.col("o.name")).alias("name"), _text(F.get("o.synonym", F.lit(0))["value"]).alias("synonym"), _text(F.col("o.comment")).alias("comment"),
         F.concat(*[_attributes(F.col(f"o.{tag}"), shown, _nested) for _, tag, shown in GROUPS]).alias("attributes"),
@@ -127,12 +128,13 @@ def table_of_values(results: DataFrame, keep: list[str], xml: str, names: list[s
     A result whose code is not SUCCESS gives one row with ``error`` set.
     """
     # an empty cell is given a mark, since the parser would take it for a missing one
-    filled = F.regexp_replace(F.col(xml), r"<Value\s*/>|<Value>\s*</Value>", "<Value>\u0001</Value>")
-    parsed = results.select(*keep, F.from_xml(filled, "Code string, column array<struct<Name:string>>, row array<struct<Value:array<string>>>", OPTIONS).alias("x"))
+    filled = F.regexp_replace(F.col(xml), r"<Value\s*/>|<Value>\s*</Value>", "<Value>\ue000</Value>")
+    parsed = results.select(*keep, F.explode(F.array(F.from_xml(
+        filled, "Code string, column array<struct<Name:string>>, row array<struct<Value:array<string>>>", OPTIONS))).alias("x"))
     bad = F.col("x.Code").isNotNull() & (F.col("x.Code") != "SUCCESS")
     rows = parsed.select(*keep, F.transform("x.column", lambda c: F.trim(c["Name"])).alias("_names"),
                          F.when(bad, F.concat(F.lit("ResultCode="), "x.Code")).alias("error"), F.explode_outer(F.when(~F.coalesce(bad, F.lit(False)), F.col("x.row"))).alias("_row"))
-    cells = [F.coalesce(F.nullif(F.trim(F.try_element_at("_row.Value", F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int"))), F.lit("\u0001")), F.lit("")).alias(n) for n in names]
+    cells = [F.coalesce(F.nullif(F.trim(F.try_element_at("_row.Value", F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int"))), F.lit("\ue000")), F.lit("")).alias(n) for n in names]
     return rows.select(*keep, "error", *cells)
 
 

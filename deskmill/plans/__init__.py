@@ -4,7 +4,7 @@ from importlib import import_module
 
 from deskmill.plans.registry import CHECK_SQL, QUERIES
 
-for _area in ("journal", "sessions", "access", "text", "corpus", "search", "code", "privacy", "metadata", "evaluation"):
+for _area in ("journal", "sessions", "access", "text", "corpus", "search", "code", "privacy", "metadata", "evaluation", "streams"):
     import_module(f"deskmill.plans.{_area}")
 
 __all__ = ["CHECK_SQL", "QUERIES"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -15,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # text work costs much per byte, so small shuffles may stay spread over the cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # lets "row_number() <= n" cut every map task to n rows per group before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
@@ -43,6 +47,8 @@ def build_session(app: str = "deskmill", master: str | None = None, partitions:
 
 def apply_conf(spark: SparkSession) -> None:
     """Bring a session that somebody else built to the settings the operators rely on."""
+    # Python workers get this package's functions with the task, they need not have it installed
+    cloudpickle.register_pickle_by_value(sys.modules["deskmill"])
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
 
