@@ -33,7 +33,7 @@ def build_session(app: str = "deskmill", master: str | None = None, partitions:
                   memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if memory:
         builder = builder.config("spark.driver.memory", memory)
     if partitions:
