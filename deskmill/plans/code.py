@@ -83,12 +83,26 @@ def quality_sql(text: str, v: str) -> str:
   OR (upper(left({v},1)) <> left({v},1) AND regexp_matches({text}, upper(left({v},1))||'(?i:'||substr({v},2)||')')) THEN 1.0 ELSE 0.4 END ELSE 0.0 END)"""
 
 
+def marked_sql(text: str) -> str:
+    """Lower text with a mark wherever a word may begin."""
+    return rf"chr(2)||lower(regexp_replace({text}, '[^\pL]', '\0'||chr(2), 'g'))"
+
+
+def quick_quality_sql(text: str, marked: str, v: str) -> str:
+    """As quality_sql; variants of letters alone are first looked for behind the marks, which needs no pattern."""
+    return rf"""(CASE WHEN NOT contains(lower({text}), {v}) THEN 0.0 WHEN contains({marked}, chr(2)||{v}) THEN 1.0
+  WHEN upper(left({v},1)) <> left({v},1) AND contains({text}, upper(left({v},1))) AND regexp_matches({text}, upper(left({v},1))||'(?i:'||substr({v},2)||')') THEN 1.0
+  WHEN regexp_matches({v}, '^\pL+$') THEN 0.4 WHEN regexp_matches({text}, '(?i)(^|[^\pL])'||{v}) THEN 1.0 ELSE 0.4 END)"""
+
+
 def rerank_sql(depth: int, source: str = "(SELECT item_id AS question_id, text FROM benchmark)") -> str:
     return lists_sql(source) + f""",
 nb AS (SELECT DISTINCT file_id, line_start FROM united),
-vq AS MATERIALIZED (SELECT o.v, f.file_id, f.line_start, {quality_sql('f.name', 'o.v')} AS qn,
-  greatest(0.7*{quality_sql('f.doc', 'o.v')}, 0.6*{quality_sql('f.path', 'o.v')}, 0.35*{quality_sql('f.body', 'o.v')}) AS qo
-  FROM occ o JOIN nb USING (file_id, line_start) JOIN fts f USING (file_id, line_start)),
+mk AS MATERIALIZED (SELECT f.file_id, f.line_start, {marked_sql('name')} AS mn, {marked_sql('doc')} AS md, {marked_sql('path')} AS mp, {marked_sql('body')} AS mb
+  FROM fts f JOIN nb USING (file_id, line_start)),
+vq AS MATERIALIZED (SELECT o.v, f.file_id, f.line_start, {quick_quality_sql('f.name', 'mn', 'o.v')} AS qn,
+  greatest(0.7*{quick_quality_sql('f.doc', 'md', 'o.v')}, 0.6*{quick_quality_sql('f.path', 'mp', 'o.v')}, 0.35*{quick_quality_sql('f.body', 'mb', 'o.v')}) AS qo
+  FROM occ o JOIN mk USING (file_id, line_start) JOIN fts f USING (file_id, line_start)),
 qa AS (SELECT u.question_id, u.file_id, u.line_start, any_value(u.bm25) AS bm25, sum(greatest(qn, qo)) AS coverage, count(*) FILTER (greatest(qn, qo) > 0) AS matched,
   count(*) FILTER (qn = 1.0) AS in_name FROM united u JOIN cterms t USING (question_id) JOIN vq ON vq.v = t.base AND vq.file_id = u.file_id AND vq.line_start = u.line_start GROUP BY 1, 2, 3),
 idn AS (SELECT question_id, list(base) AS ids FROM cterms WHERE exact GROUP BY 1),
