@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from deskmill.plans import QUERIES  # noqa: E402
 from deskmill.session import build_session  # noqa: E402
 
-HEADLINE = ["kb_chunks", "segment_blocks", "kb_search", "rerank", "rrf_fuse", "knn", "retrieval_metrics", "daily_series", "period_summary",
+HEADLINE = ["kb_chunks", "segment_blocks", "kb_search", "rerank", "knn", "retrieval_metrics", "daily_series", "period_summary",
             "idle_sessions", "burst_batches", "export_by_month", "mask_patterns", "detokenize", "idle_sessions_stream"]
 
 
