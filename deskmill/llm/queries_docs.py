@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from deskmill.llm import bpe, packing, secret_scan, simhash, toxicity
+from deskmill.llm import bpe, line_dedup, packing, secret_scan, sharding, simhash, toxicity
 from deskmill.llm.registry import query
 
 # Fingerprints themselves need bit votes over XXH64 that DuckDB lacks, so op1 is compared with brute force in tests/llm.
@@ -45,3 +45,51 @@ def op9(t):
 @query("op3_toxicity")
 def op3(t):
     return toxicity.score_toxicity(t.documents, t.labels).select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+@query("op4_sharding")
+def op4(t):
+    sharded = sharding.shard_rows(t.documents, shards=8)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    return sharded.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+                          F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# Places are (document, unit); a unit is a line with the blank lines after it. Windows of at least 50 words are compared as text.
+OP6_SQL = r"""
+WITH parts AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+), numbered AS (
+  SELECT *, sum(CASE WHEN n > 1 AND regexp_matches(line, '\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS u FROM parts
+), units AS (
+  SELECT doc_id, u, string_agg(line, chr(10) ORDER BY n) AS unit FROM numbered GROUP BY doc_id, u
+), counted AS (
+  SELECT *, rtrim(unit, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line,
+         len(regexp_extract_all(unit, '\S+')) AS words FROM units
+), sums AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY u) AS after,
+         sum(words) OVER (PARTITION BY doc_id ORDER BY u) - words AS before FROM counted
+), whole AS (
+  SELECT doc_id, list(line ORDER BY u) AS lines FROM sums GROUP BY doc_id
+), ends AS (
+  SELECT a.doc_id, 1 AS way, a.u AS s, min(b.u) AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.after - a.before >= 50 AND b.u >= a.u
+  WHERE a.words > 0 GROUP BY a.doc_id, a.u
+  UNION ALL
+  SELECT a.doc_id, 2, max(b.u), a.u FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.after - b.before >= 50 AND b.u <= a.u
+  WHERE a.words > 0 GROUP BY a.doc_id, a.u
+), runs AS (
+  SELECT doc_id, way, s, e, array_to_string(list_slice(lines, (s + 1)::BIGINT, (e + 1)::BIGINT), chr(10)) AS content FROM ends JOIN whole USING (doc_id)
+), later AS (
+  SELECT *, row_number() OVER (PARTITION BY way, content ORDER BY doc_id, s) AS copy FROM runs
+), gone AS (
+  SELECT DISTINCT c.doc_id, c.u FROM sums c JOIN later l ON l.doc_id = c.doc_id AND l.copy > 1 AND c.u BETWEEN l.s AND l.e
+)
+SELECT s.doc_id, coalesce(string_agg(s.unit, chr(10) ORDER BY s.u) FILTER (WHERE g.u IS NULL), '') AS text,
+       count(*)::BIGINT AS n_lines, count(g.u)::BIGINT AS n_deleted
+FROM sums s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.u = s.u GROUP BY s.doc_id
+"""
+
+
+@query("op6_line_dedup", OP6_SQL)
+def op6(t):
+    return line_dedup.drop_repeated_lines(t.documents).select("doc_id", "text", "n_lines", "n_deleted")

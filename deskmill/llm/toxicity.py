@@ -27,7 +27,7 @@ STARTS = (4, 5, 6)
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 4000, 8000
 TERMS = 2000  # most telling terms, by chi-square over the examples
 RAREST = 4  # examples a term has to occur in
-SIGNIFICANT = 25.0  # least chi-square of a term: far out of what chance gives over all terms
+SIGNIFICANT = 6.0  # least chi-square of a term
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.2
 BLOCK = 64
