@@ -225,16 +225,9 @@ def _counted(texts: list[str | None], terms: dict[str, int]) -> tuple[list[list[
     return ids, counts
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES,
-                   clean_examples: int = CLEAN_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted, evidence (nearest examples with cosine and label).
-
-    Learns only from labelled rows that are not held out, from at most the given numbers of them; rows with a null id
-    or label teach nothing, of several labels of an id the highest counts. Null and empty texts get a score like
-    any other text without known terms. Without labels the score is one constant. Repeated rows are scored each; an empty
-    table gives an empty result; columns other than id and text are never looked at.
-    """
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> tuple[Model, DataFrame]:
+    """The model, and (id, terms, counts) of every row of ``docs``, which gives the document frequencies."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = materialise(choose_examples(labels, id_col, label_col, toxic_examples, clean_examples), "examples")
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
@@ -259,33 +252,73 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                                               pa.array(counts, pa.list_(pa.int32()))], ["id", "terms", "counts"])
 
     kind = docs.schema[id_col].dataType
-    lists = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    lists = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("terms", "counts")]
     found = materialise(texts.mapInArrow(extract, T.StructType([T.StructField("id", kind), *lists])), "terms")
     frequency = {r[0]: r[1] for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     rows = found.join(F.broadcast(sample), "id").select("id", "terms", "counts", "y").collect()
     examples = sorted((r["id"], tuple(r["terms"]), tuple(r["counts"]), r["y"]) for r in rows)
-    model = Model(terms, frequency, found.count(), examples, rate)
+    return Model(terms, frequency, found.count(), examples, rate), found
+
+
+class _Scores:
+    """Scores of one task; texts with equal terms are scored once."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def __call__(self, ids, counts) -> tuple[float, list[dict]]:
+        key = (tuple(ids), tuple(counts))
+        if key not in self.known:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self.known[key] = self.model.score(*key)
+        return self.known[key]
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES,
+                   clean_examples: int = CLEAN_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, score, predicted, evidence (nearest examples with cosine and label).
+
+    Learns only from labelled rows that are not held out, from at most the given numbers of them; rows with a null id
+    or label teach nothing, of several labels of an id the highest counts. Null and empty texts get a score like
+    any other text without known terms. Without labels the score is one constant. Repeated rows are scored each; an empty
+    table gives an empty result; columns other than id and text are never looked at.
+    """
+    model, found = fit(docs, labels, id_col, text_col, label_col, toxic_examples, clean_examples)
+    kind = docs.schema[id_col].dataType
     evidence = T.ArrayType(T.StructType([T.StructField("example", kind), T.StructField("cosine", T.DoubleType()),
                                          T.StructField("toxic", T.DoubleType())]))
-    arrow_id = pa.int64() if kind == T.LongType() else None
 
     def score(batches):
-        known = {}
-        shape = pa.list_(pa.struct([("example", arrow_id or pa.string()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
+        scores = _Scores(model)
         for batch in batches:
-            values, proofs = [], []
-            for ids, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (tuple(ids), tuple(counts))
-                if key not in known:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[key] = model.score(*key)
-                values.append(known[key][0])
-                proofs.append(known[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array(proofs, shape)],
-                                             ["id", "score", "evidence"])
+            shape = pa.list_(pa.struct([("example", batch.column(0).type), ("cosine", pa.float64()), ("toxic", pa.float64())]))
+            made = [scores(i, c) for i, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.float64()),
+                                              pa.array([m[1] for m in made], shape)], ["id", "score", "evidence"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
     return found.mapInArrow(score, schema).select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               threshold: float = THRESHOLD, **fitting) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; columns stay, and rows stay where they lie.
+
+    Scores are those of ``score_toxicity``, with the same rules for nulls, repeats and empty tables.
+    """
+    model, _ = fit(docs, labels, id_col, text_col, **fitting)
+    terms = model.terms
+    frame = docs.withColumn("_text", F.col(text_col).cast("string"))
+
+    def keep(batches):
+        scores = _Scores(model)
+        for batch in batches:
+            ids, counts = _counted(batch.column("_text").to_pylist(), terms)
+            good = pa.array([scores(i, c)[0] < threshold for i, c in zip(ids, counts)], pa.bool_())
+            yield batch.select(docs.columns).filter(good)
+
+    return frame.mapInArrow(keep, docs.schema)
