@@ -109,11 +109,11 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     # buckets of one entry drop out while rows are still narrow
     crowds = met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(
         "t", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    members = met.join(crowds, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("id", "g", "key"), F.col("blocks")).cast("int"))
+    members = met.hint("merge").join(crowds, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("id", "g", "key"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("t", "key", "id", "g", F.col("own").alias("part"), F.least("own", "other").alias("i"),
                              F.greatest("own", "other").alias("j"))
-    tiles = members.join(hashed, ["id", "g"]).select("t", "key", "i", "j", "part", "id", "g", "n", "v", "keys")
+    tiles = members.hint("merge").join(hashed, ["id", "g"]).select("t", "key", "i", "j", "part", "id", "g", "n", "v", "keys")
     tiles = tiles.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "part", "id")
 
     def link_rows(batches):

@@ -104,7 +104,8 @@ def links(unique: DataFrame, distance: int = 2, segments: int = 2, crowded: int
     other = table.withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance
     same = (calm["seg"] == other["seg"]) & (calm["key"] == other["key"])
-    pairs = calm.join(other, same & (F.col("fp") < F.col("b")) & near).select(F.col("fp").alias("a"), "b")
+    # exploded rows are many more than their input's size tells, so neither side may be taken for a broadcast
+    pairs = calm.hint("merge").join(other, same & (F.col("fp") < F.col("b")) & near).select(F.col("fp").alias("a"), "b")
     if none_hot:
         return pairs
     whole = unique.select(F.col("fp").alias("b"))
@@ -118,7 +119,7 @@ def links(unique: DataFrame, distance: int = 2, segments: int = 2, crowded: int
                 "fp", F.col("fp").bitwiseAND(F.lit(_whole(first, width, True)).cast("long")).bitwiseOR(F.col("key"))
                 .alias("centre"), F.explode(_longs(masks)).alias("mask"))
             found = ball.select("fp", F.col("centre").bitwiseXOR(F.col("mask")).alias("b"))
-            pairs = pairs.unionAll(found.where("fp < b").join(whole, "b").select(F.col("fp").alias("a"), "b"))
+            pairs = pairs.unionAll(found.where("fp < b").hint("merge").join(whole, "b").select(F.col("fp").alias("a"), "b"))
     return pairs
 
 
