@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED = 200_000  # pre-tokens a task remembers; the memory of a worker stays bounded, results don't depend on it
+CACHED = 150_000  # pre-tokens a task remembers; the memory of a worker stays bounded, results don't depend on it
 LONGEST = 64  # longer pre-tokens are not remembered
 
 
