@@ -142,9 +142,18 @@ TOKEN = r"\[[A-Za-zА-Яа-яЁё]{2,8}-[0-9A-F]{6,64}\]"
 
 # Texts of the cleaned answer.
 HIDDEN_PATH = "[путь скрыт]"
-UNIX_ROOTS = ["home", "tmp", "var", "usr", "etc", "Users", "opt", "root", "mnt"]
-SYSTEM_TAGS = r"system-reminder|thinking|antml:[\w-]+"
-TOOL_NAME = r"`?mcp__\w+`?"
+WINDOWS_PATH = r"(?:[A-Za-z]:\\|\\\\)[^\s\"'<>|]*"
+UNIX_PATH = r"(?U)(?<![\w/])/(?:home|tmp|var|usr|etc|Users|opt|root|mnt)/[^\s\"'<>|]*"
+SYSTEM_TAG = r"(?i)</?(system-reminder|thinking|antml:[\w-]+)[^>]*>"
+TOOL_NAME = r"(?U)`?mcp__\w+`?"
+CODE_FENCE = r"(?m)^```[\w-]*\s*$"
+HEADING = r"(?m)^\s{0,3}#{1,6}\s+"
+BOLD = r"(?s)\*\*(.+?)\*\*|__(.+?)__"
+
+# What a limit message looks like and how it tells the time.
+LIMIT_HIT = r"(?i)(usage limit|limit reached|limit will reset|out of (extra )?usage|лимит)"
+LIMIT_STAMP = r"\|(\d{10})\b"
+LIMIT_CLOCK = r"(?i)resets?\s+(?:at\s+)?(\d{1,2})(?::(\d{2}))?\s*(am|pm)?"
 
 # Token categories.
 CATEGORIES = {

@@ -77,11 +77,13 @@ def slug(url: Column) -> Column:
 def unique_slugs(rows: DataFrame, code: str, order: str, segment: Column) -> DataFrame:
     """First bearer keeps the code, later ones get _2, _3 …; a number that is itself somebody's code is passed over."""
     numbered = running(rows.withColumn("_one", F.lit(1)), [code], [order], segment, sums={"_rank": F.col("_one")})
-    taken = (rows.select(F.regexp_extract(code, r"^(.*)_(\d{1,9})$", 1).alias("_root"),
-                         F.regexp_extract(code, r"^(.*)_(\d{1,9})$", 2).try_cast("int").alias("_n"))
+    # a longer number than 18 digits is never reached by counting rows
+    numbered_code = r"^(.*)_([1-9]\d{0,17})$"
+    taken = (rows.select(F.regexp_extract(code, numbered_code, 1).alias("_root"),
+                         F.regexp_extract(code, numbered_code, 2).try_cast("long").alias("_n"))
              .filter("_n >= 2").distinct().groupBy("_root").agg(F.sort_array(F.collect_list("_n")).alias("_taken")))
     joined = numbered.join(taken, F.col(code) == F.col("_root"), "left")
-    number = F.aggregate(F.coalesce("_taken", F.expr("cast(array() as array<int>)")), F.col("_rank").cast("int"),
+    number = F.aggregate(F.coalesce("_taken", F.expr("cast(array() as array<bigint>)")), F.col("_rank").cast("long"),
                          lambda acc, n: F.when(n <= acc, acc + 1).otherwise(acc))
     return (joined.withColumn("unique_code", F.when(F.col("_rank") == 1, F.col(code))
                               .otherwise(F.concat(F.col(code), F.lit("_"), number.cast("string"))))

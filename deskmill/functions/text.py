@@ -97,18 +97,8 @@ def title_from_name(name: Column, copy_words: tuple[str, ...] = ("копия",))
 
 def clean_answer(text: Column) -> Column:
     """Answer text without system tags, paths, tool names and markup."""
-    roots = "|".join(X.UNIX_ROOTS)
-    hidden = X.HIDDEN_PATH
-    steps = [
-        (rf"(?i)</?({X.SYSTEM_TAGS})[^>]*>", ""),
-        (r"(?:[A-Za-z]:\\|\\\\)[^\s\"'<>|]*", hidden),
-        (rf"(?U)(?<![\w/])/(?:{roots})/[^\s\"'<>|]*", hidden),
-        ("(?U)" + X.TOOL_NAME, ""),
-        (r"(?m)^```[\w-]*\s*$", ""),
-        (r"(?m)^\s{0,3}#{1,6}\s+", ""),
-        (r"(?s)\*\*(.+?)\*\*|__(.+?)__", "$1$2"),
-        (r"\n{3,}", "\n\n"),
-    ]
+    steps = [(X.SYSTEM_TAG, ""), (X.WINDOWS_PATH, X.HIDDEN_PATH), (X.UNIX_PATH, X.HIDDEN_PATH), (X.TOOL_NAME, ""), (X.CODE_FENCE, ""),
+             (X.HEADING, ""), (X.BOLD, "$1$2"), (r"\n{3,}", "\n\n")]
     for pattern, put in steps:
         text = F.regexp_replace(text, pattern, put)
     return strip(text)
@@ -172,18 +162,19 @@ def redact(text: Column, secrets: list[str]) -> Column:
 
 def limit_reset(text: Column, now: Column) -> Column:
     """struct(hit, reset): is it a limit message, and when the limit ends if it says so."""
-    hit = F.coalesce(text.rlike(r"(?i)(usage limit|limit reached|limit will reset|out of (extra )?usage|лимит)"), F.lit(False))
-    stamp = F.regexp_extract(text, r"\|(\d{10})\b", 1)
-    clock = r"(?i)resets?\s+(?:at\s+)?(\d{1,2})(?::(\d{2}))?\s*(am|pm)?"
-    hour = F.regexp_extract(text, clock, 1).try_cast("int")
-    minute = F.coalesce(F.regexp_extract(text, clock, 2).try_cast("int"), F.lit(0))
-    half = F.lower(F.regexp_extract(text, clock, 3))
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    day = F.date_trunc("day", now).cast("timestamp_ntz")
-    at = day + F.make_dt_interval(F.lit(0), hour, minute, F.lit(0))
-    at = F.when(at > now, at).otherwise(at + F.expr("interval 1 day"))
-    reset = (F.when(stamp != "", F.timestamp_seconds(stamp.try_cast("long")).cast("timestamp_ntz"))
-             .when((hour < 24) & (minute < 60), at))
+    hit = F.coalesce(text.rlike(X.LIMIT_HIT), F.lit(False))
+    said = [F.regexp_extract(text, X.LIMIT_CLOCK, i) for i in (1, 2, 3)]
+    twelve = F.lower(said[2]) != ""
+    # a twelve-hour clock counts 12 as 0, and the afternoon starts at 12
+    hour = said[0].try_cast("int")
+    later = F.lower(said[2]) == "pm"
+    hour = F.when(twelve & (hour == 12), 0).otherwise(hour) + F.when(later & (hour <= 12), 12).otherwise(0)
+    minute = F.coalesce(said[1].try_cast("int"), F.lit(0))
+    today = F.date_trunc("day", now).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute, F.lit(0))
+    coming = today + F.when(today <= now, F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))
+    stamp = F.nullif(F.regexp_extract(text, X.LIMIT_STAMP, 1), F.lit(""))
+    by_stamp = F.timestamp_seconds(stamp.try_cast("long")).cast("timestamp_ntz")
+    reset = F.coalesce(by_stamp, F.when(hour.between(0, 23) & (minute < 60), coming))
     return F.struct(hit.alias("hit"), F.when(hit, reset).alias("reset"))
 
 

@@ -77,15 +77,14 @@ def capped_partitions(df: DataFrame, period: str, order: list[str], cap: int) ->
     """
     first = newest(df, [period], cap + 1, *[F.col(c) for c in order], rank="row_no")
     more = first.filter(F.col("row_no") == cap + 1).select(period, F.lit(True).alias("truncated"))
-    return (first.filter(F.col("row_no") <= cap).join(F.broadcast(more), period, "left")
+    return (first.filter(F.col("row_no") <= cap).join(more, period, "left")
             .withColumn("truncated", F.coalesce("truncated", F.lit(False))))
 
 
 def export_by_month(df: DataFrame, ts: str, start: dt.date, end: dt.date, order: list[str], cap: int, path: str) -> DataFrame:
     """Write the period partitioned by month, and report rows and truncation per month.
 
-    The whole period is one range scan; the number of months is checked above, so the
-    broadcast of the truncated ones is at most 60 rows.
+    The whole period is one range scan.
     """
     capped = capped_partitions(in_period(df, ts, start, end), "month", order, cap)
     capped.write.mode("overwrite").partitionBy("month").parquet(path)

@@ -193,11 +193,21 @@ def failure_streaks(journal: DataFrame, keys: list[str], ends_at: int = 2) -> Da
             .withColumn("ends_session", F.col("fails") >= ends_at).drop("errors", "at_ok"))
 
 
-def recent_success(journal: DataFrame, ticks: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Per tick: was there an answered question in the window before it? Ticks lie on whole windows."""
-    good = (journal.filter(F.col("status") == "ok").groupBy(F.window("created_at", window).alias("w"))
-            .agg(F.count("*").alias("n_ok")).select(F.col("w.end").cast("timestamp_ntz").alias("tick"), "n_ok"))
-    return ticks.join(good, "tick", "left").select("tick", (F.coalesce("n_ok", F.lit(0)) > 0).alias("ok"))
+def recent_success(journal: DataFrame, ticks: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Per tick, whenever it lies: was a question answered in the ``seconds`` up to it?
+
+    Of every bucket of that length only the first and the last answer matter: the tick's own bucket holds one in time if
+    its first is not later than the tick, the bucket before if its last is not too old.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
+    good = journal.filter(F.col("status") == "ok").groupBy(bucket("created_at").alias("b")).agg(
+        F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    own = good.select("b", "first")
+    before = good.select((F.col("b") + 1).alias("b"), "last")
+    since = F.col("tick") - F.make_dt_interval(secs=F.lit(seconds))
+    return (ticks.withColumn("b", bucket("tick")).join(own, "b", "left").join(before, "b", "left")
+            .select("tick", F.coalesce((F.col("first") <= F.col("tick")) | (F.col("last") >= since), F.col("first") <= F.col("tick"),
+                                       F.col("last") >= since, F.lit(False)).alias("ok")))
 
 
 def display_name(rows: DataFrame, people: DataFrame, key: str, stored: str, placeholder: str) -> DataFrame:

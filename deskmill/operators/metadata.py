@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,23 +140,23 @@ def table_of_values(results: DataFrame, keep: list[str], xml: str, names: list[s
     return rows.select(*keep, "error", *cells)
 
 
-def subsystem_tree(edges: DataFrame, most_levels: int = 50) -> DataFrame:
-    """(node, name, path, depth) for edges (node, parent, name), any depth: one join per level, each level written out."""
-    level = materialise(edges.filter("parent IS NULL").select("node", "name", F.col("name").alias("path"), F.lit(0).alias("depth")), "level")
-    levels = [level]
-    for depth in range(1, most_levels + 1):
-        above = levels[-1].select(F.col("node").alias("parent"), F.col("path").alias("_path"))
-        below = edges.join(above, "parent").select("node", "name", F.concat_ws(".", "_path", "name").alias("path"), F.lit(depth).alias("depth"))
+def subsystem_tree(edges: DataFrame) -> DataFrame:
+    """(node, name, path, depth) for edges (node, parent, name), any depth: one join per level, each level written out.
+
+    A node that would lie below itself is not followed further, so a cycle ends the walk instead of keeping it up.
+    """
+    top = edges.filter("parent IS NULL").select("node", "name", F.col("name").alias("path"), F.lit(0).alias("depth"), F.array("node").alias("_line"))
+    levels = [materialise(top, "level")]
+    while True:
+        above = levels[-1].select(F.col("node").alias("parent"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), "_line")
+        below = edges.join(above, "parent").filter(~F.array_contains("_line", F.col("node"))).select(
+            "node", "name", F.concat_ws(".", "_path", "name").alias("path"), (F.col("_depth") + 1).alias("depth"),
+            F.array_append("_line", F.col("node")).alias("_line"))
         level = materialise(below, "level")
         if level.isEmpty():
             break
         levels.append(level)
-    else:
-        raise ValueError(f"deeper than {most_levels} levels; is there a cycle?")
-    tree = levels[0]
-    for other in levels[1:]:
-        tree = tree.unionByName(other)
-    return tree
+    return reduce(DataFrame.unionByName, levels).drop("_line")
 
 
 def find_by_full_name(tree: DataFrame, path: str) -> DataFrame:

@@ -66,13 +66,17 @@ def digest(category: Column, value: Column, salt: str) -> Column:
     return F.upper(F.sha2(F.concat(F.lit(salt), category, F.lit("|"), value), 256))
 
 
-def token_dictionary(values: DataFrame, salt: str, digits: int = TOKEN_DIGITS) -> DataFrame:
+def token_dictionary(values: DataFrame, salt: str, digits: int = TOKEN_DIGITS, known: DataFrame | None = None) -> DataFrame:
     """(token, category, value) for rows (category, value). Tokens that would be shared take more digits.
 
-    How many digits a value needs is found by comparing neighbours in digest order among the values
-    with equal first digits, which are few.
+    With ``known`` (token, category, value) its tokens stay as they are, and fresh values take as many digits as tell
+    them from all known and fresh ones. How many that is, is found by comparing neighbours in digest order among
+    the values with equal first digits, which are few.
     """
     rows = values.filter(F.col("value").isNotNull() & (F.col("value") != "")).select("category", "value").distinct()
+    old = None if known is None else known.select("category", "value", F.col("token").alias("_old"))
+    rows = rows.withColumn("_old", F.lit(None).cast("string")) if old is None else (
+        rows.join(old, ["category", "value"], "left_anti").withColumn("_old", F.lit(None).cast("string")).unionByName(old))
     rows = rows.withColumn("d", digest(F.col("category"), F.col("value"), salt))
     w = Window.partitionBy("category", F.substring("d", 1, digits)).orderBy("d")
     near = rows.withColumn("up", F.lag("d").over(w)).withColumn("down", F.lead("d").over(w))
@@ -82,12 +86,13 @@ def token_dictionary(values: DataFrame, salt: str, digits: int = TOKEN_DIGITS) -
         return F.when(F.col(other).isNotNull(), F.size(F.filter(same, lambda x: x))).otherwise(0)
 
     need = F.greatest(F.lit(digits), shared("up") + 1, shared("down") + 1)
-    return near.withColumn("need", need).select(
-        F.concat(F.lit("["), "category", F.lit("-"), F.substring(F.col("d"), F.lit(1), F.col("need")), F.lit("]")).alias("token"), "category", "value")
+    made = F.concat(F.lit("["), "category", F.lit("-"), F.substring(F.col("d"), F.lit(1), need), F.lit("]"))
+    return near.select(F.coalesce("_old", made).alias("token"), "category", "value")
 
 
-def append_dictionary(known: DataFrame, fresh: DataFrame) -> DataFrame:
-    return known.unionByName(fresh.join(known.select("category", "value"), ["category", "value"], "left_anti"))
+def append_dictionary(known: DataFrame, values: DataFrame, salt: str, digits: int = TOKEN_DIGITS) -> DataFrame:
+    """The dictionary with the values it lacks; no token of it changes, and no token is given twice."""
+    return token_dictionary(values, salt, digits, known)
 
 
 def mask_columns(df: DataFrame, categories: dict[str, str], dictionary: DataFrame) -> DataFrame:
@@ -104,17 +109,27 @@ def column_values(df: DataFrame, categories: dict[str, str]) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).select("c.*").distinct()
 
 
-def find_patterns(texts: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """(key, order_no, category, value) of all matches. Each pattern looks at what earlier ones left."""
-    def rows_of(no, category, hits):
-        return F.transform(F.array_distinct(hits), lambda v: F.struct(
-            F.lit(no).alias("order_no"), F.lit(category).alias("category"), v.alias("value")))
+OPEN, BREAK, CLOSE = "\u0001", "\u0002", "\u0003"
+
+
+def marked_matches(text: Column, patterns: dict[str, str]) -> Column:
+    """The text with every match as OPEN category BREAK value CLOSE; later patterns leave earlier matches alone."""
+    for category, pattern in patterns.items():
+        # a marked match is put back as it is, followed by an empty mark that is then taken away
+        empty = f"{OPEN}{category}{BREAK}{CLOSE}"
+        text = F.regexp_replace(text, f"({OPEN}[^{CLOSE}]*{CLOSE})|({pattern})", f"$1{OPEN}{category}{BREAK}$2{CLOSE}")
+        text = F.replace(text, F.lit(empty), F.lit(""))
+    return text
 
-    rest, found = F.col(text), []
-    for no, (category, pattern) in enumerate((patterns or PATTERNS).items()):
-        found.append(rows_of(no, category, F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))))
-        rest = F.regexp_replace(rest, pattern, "\u0001")
-    return texts.select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.*")
+
+def find_patterns(texts: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(key, order_no, category, value) of all matches, each value once per text. Each pattern looks at what earlier ones left."""
+    patterns = patterns or PATTERNS
+    hits = F.regexp_extract_all(marked_matches(F.col(text), patterns), F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1))
+    order = F.create_map(*[F.lit(x) for no, c in enumerate(patterns) for x in (c, no)])
+    parts = texts.select(key, F.explode(F.array_distinct(hits)).alias("m")).select(
+        key, F.split_part("m", F.lit(BREAK), F.lit(1)).alias("category"), F.split_part("m", F.lit(BREAK), F.lit(2)).alias("value"))
+    return parts.select(key, order[F.col("category")].alias("order_no"), "category", "value")
 
 
 def replace_pairs(text: Column, pairs: Column) -> Column:
@@ -122,14 +137,20 @@ def replace_pairs(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["old"], p["new"]))
 
 
-def mask_patterns(texts: DataFrame, key: str, text: str, dictionary: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """Texts with every match replaced by its token, by category order, longest values first."""
-    found = find_patterns(texts, key, text) if found is None else found
+def mask_patterns(texts: DataFrame, key: str, text: str, dictionary: DataFrame, found: DataFrame | None = None,
+                  patterns: dict[str, str] | None = None) -> DataFrame:
+    """Texts with every match replaced by its token, match by match: equal digits that are no match stay."""
+    patterns = patterns or PATTERNS
+    found = find_patterns(texts, key, text, patterns) if found is None else found
     tokens = found.join(dictionary, ["category", "value"]).select(
-        key, F.struct("order_no", (-F.length("value")).alias("n"), F.col("value").alias("old"), F.col("token").alias("new")).alias("p"))
-    per = tokens.groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("_pairs"))
+        key, F.struct(F.concat("category", F.lit(BREAK), "value").alias("old"), F.col("token").alias("new")).alias("p"))
+    per = tokens.groupBy(key).agg(F.map_from_entries(F.collect_set("p")).alias("_tokens"))
+    # pieces between marks are text, pieces with a BREAK are matches
+    pieces = F.split(marked_matches(F.col(text), patterns), f"[{OPEN}{CLOSE}]")
+    put = F.transform(pieces, lambda s: F.when(F.contains(s, F.lit(BREAK)), F.coalesce(
+        F.col("_tokens")[s], F.split_part(s, F.lit(BREAK), F.lit(2)))).otherwise(s))
     return (texts.join(per, key, "left")
-            .withColumn(text, F.when(F.col("_pairs").isNotNull(), replace_pairs(F.col(text), F.col("_pairs"))).otherwise(F.col(text))).drop("_pairs"))
+            .withColumn(text, F.when(F.col("_tokens").isNotNull(), F.array_join(put, "")).otherwise(F.col(text))).drop("_tokens"))
 
 
 def has_tokens(text: Column) -> Column:

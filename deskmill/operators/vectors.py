@@ -13,8 +13,9 @@ from deskmill.operators.ordered import newest
 # Sizes of the embedded passage.
 OBJECT_CHARS, MODULE_CHARS, DOC_CHARS, CODE_CHARS, SHORT_DOC = 1200, 600, 700, 400, 80
 BATCH = 32
-# question vectors held by each task at a time; more questions are answered in more passes
-QUERY_BYTES = 64 * 1024 * 1024
+# rows of the blocks that meet in the search for neighbours
+QUESTION_BLOCK, VECTOR_BLOCK = 512, 4096
+DISTANCE_DIGITS = 6
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
@@ -90,30 +91,25 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
     return whole.select(group, F.transform("v", lambda x: x["m"] / F.greatest(norm, F.lit(1e-9))).alias("centroid"))
 
 
-def _nearest(questions: pd.DataFrame, key: list[str], k: int, schema: str):
-    q_ids = questions["question_id"].to_numpy()
-    q = np.stack([np.asarray(v, dtype=np.float64) for v in questions["embedding"]])
-    q_sq = (q * q).sum(axis=1)
+def _block_best(k: int, key: list[str]):
+    """The k nearest vectors of one block for the questions of one block; rows as near as the k-th one stay in.
 
-    def run(batches):
-        best = None
-        for part in batches:
-            if not len(part):
-                continue
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
-            dist = np.sqrt(np.maximum(q_sq[:, None] + (m * m).sum(axis=1)[None, :] - 2.0 * (q @ m.T), 0.0))
-            near = np.argpartition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, :k] if dist.shape[1] > k else np.tile(np.arange(dist.shape[1]), (len(q), 1))
-            # rows as near as the k-th one stay in, so that ties are decided by key later
-            edge = np.take_along_axis(dist, near, axis=1).max(axis=1)
-            rows, cols = np.nonzero(dist <= edge[:, None] + 1e-9)
-            out = part[key].iloc[cols].reset_index(drop=True)
-            out.insert(0, "question_id", q_ids[rows])
-            out["distance"] = dist[rows, cols]
-            best = out if best is None else pd.concat([best, out], ignore_index=True)
-            best["_r"] = best["distance"].round(6)
-            best = (best.sort_values(["question_id", "_r", *key]).groupby("question_id", sort=False).head(k).drop(columns="_r"))
-        if best is not None:
-            yield best
+    Distances are rounded here once, so that equal means the same in every block and in the final order.
+    """
+    def run(questions: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        names = ["question_id", *key, "distance"]
+        if questions.empty or vectors.empty:
+            return pd.DataFrame({n: [] for n in names})
+        q = np.stack(questions["embedding"].to_list()).astype(np.float64)
+        m = np.stack(vectors["embedding"].to_list()).astype(np.float64)
+        square = (q * q).sum(axis=1)[:, None] + (m * m).sum(axis=1)[None, :] - 2.0 * (q @ m.T)
+        dist = np.round(np.sqrt(np.maximum(square, 0.0)), DISTANCE_DIGITS)
+        last = min(k, dist.shape[1]) - 1
+        rows, cols = np.nonzero(dist <= np.partition(dist, last, axis=1)[:, last:last + 1])
+        out = vectors[key].iloc[cols].reset_index(drop=True)
+        out.insert(0, "question_id", questions["question_id"].to_numpy()[rows])
+        out["distance"] = dist[rows, cols]
+        return out[names]
 
     return run
 
@@ -121,22 +117,15 @@ def _nearest(questions: pd.DataFrame, key: list[str], k: int, schema: str):
 def knn(vectors: DataFrame, questions: DataFrame, key: list[str], k: int) -> DataFrame:
     """(question_id, key…, distance, place): the k nearest vectors of every question, exactly.
 
-    Question vectors go to the tasks in passes of at most QUERY_BYTES; each task keeps k rows per
-    question, and only those are shuffled.
+    Both tables are dealt into blocks of bounded size and every block of questions meets every block of vectors once, as
+    a matrix product; only the k best rows of each meeting are shuffled on. Ties go by key.
     """
-    n, dim = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    passes = max(1, -(-int(n) * int(dim or 1) * 8 // QUERY_BYTES))
-    fields = vectors.select(*key).schema
-    q_type = questions.select("question_id").schema[0].dataType.simpleString()
-    schema = f"question_id {q_type}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", distance double"
-    out = None
-    for p in range(passes):
-        some = questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == p) if passes > 1 else questions
-        block = some.select("question_id", "embedding").toPandas()
-        if block.empty:
-            continue
-        part = vectors.select(*key, "embedding").mapInPandas(_nearest(block, key, k, schema), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
-    return newest(out.withColumn("distance", F.round("distance", 6)), ["question_id"], k, F.col("distance"), *[F.col(c) for c in key], rank="place")
+    blocks = [max(1, -(-frame.count() // size)) for frame, size in ((questions, QUESTION_BLOCK), (vectors, VECTOR_BLOCK))]
+    number = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = questions.select("question_id", "embedding", number(["question_id"], blocks[0]).alias("_q"), every(blocks[1]).alias("_v"))
+    right = vectors.select(*key, "embedding", number(key, blocks[1]).alias("_v"), every(blocks[0]).alias("_q"))
+    fields = [*questions.select("question_id").schema, *vectors.select(*key).schema]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", distance double"
+    met = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(_block_best(k, key), schema)
+    return newest(met, ["question_id"], k, F.col("distance"), *[F.col(c) for c in key], rank="place")

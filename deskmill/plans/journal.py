@@ -168,12 +168,12 @@ def _(t):
 
 
 @query("recent_success", WITH + """
-, k AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 01:00:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 1 HOUR)) AS tick),
-g AS (SELECT DISTINCT date_trunc('hour', created_at) + INTERVAL 1 HOUR AS tick FROM journal WHERE status='ok')
-SELECT k.tick, g.tick IS NOT NULL AS ok FROM k LEFT JOIN g USING (tick)""")
+, k AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:10:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 30 MINUTE)) AS tick),
+g AS (SELECT created_at FROM journal WHERE status='ok')
+SELECT k.tick, EXISTS (SELECT 1 FROM g WHERE g.created_at <= k.tick AND g.created_at >= k.tick - INTERVAL 1 HOUR) AS ok FROM k""")
 def _(t):
     ticks = t.spark.range(1).select(F.explode(F.expr(
-        "sequence(timestamp_ntz'2024-01-01 01:00:00', timestamp_ntz'2024-02-01 00:00:00', interval 1 hour)")).alias("tick"))
+        "sequence(timestamp_ntz'2024-01-01 00:10:00', timestamp_ntz'2024-02-01 00:00:00', interval 30 minutes)")).alias("tick"))
     return J.recent_success(journal(t.events), ticks)
 
 

@@ -237,11 +237,13 @@ def _(t):
 
 
 @query("first_comment", r"""
+WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(trim(s), '^/+', ''))) AS ls FROM documents),
+b AS (SELECT doc_id, regexp_extract(array_to_string(ls, chr(10)), '(?s)^\n*(.*?)(?:\n\n|\n*\z)', 1) AS block FROM l)
 SELECT doc_id, regexp_replace(lower(substr(p,1,1))||substr(p,2), '\.+$', '') AS phrase FROM (
-  SELECT doc_id, trim(string_split(trim(array_to_string(list_slice(list_filter(string_split(text, chr(10)), lambda x: true), 1, 2), ' ')), '. ')[1]) AS p FROM documents)""")
+  SELECT doc_id, trim(string_split(replace(block, chr(10), ' '), '. ')[1]) AS p FROM b)""")
 def _(t):
-    top = F.transform(F.slice(F.split("text", "\n"), 1, 2), lambda s: F.concat(F.lit("// "), s))
-    body = F.concat(F.array_join(top, "\n"), F.lit("\n// Parameters:\n//  a\nProcedure X()"))
+    lines = F.transform(F.split("text", "\n"), lambda s: F.concat(F.lit("// "), s))
+    body = F.concat(F.array_join(lines, "\n"), F.lit("\n// Parameters:\n//  a\nProcedure X()"))
     return t.documents.select("doc_id", T.first_comment(body).alias("phrase"))
 
 

@@ -20,15 +20,11 @@ SESSION_CONF = {
     # text work costs much per byte, so small shuffles may stay spread over the cores
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # lets "row_number() <= n" cut every map task to n rows per group before the shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
+    # lets "row_number() <= n" cut every map task to n rows per group before the shuffle, whatever n is
+    "spark.sql.optimizer.windowGroupLimitThreshold": str((1 << 31) - 1),
 }
 
 
-# tables whose rows are long texts, and their key
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def build_session(app: str = "deskmill", master: str | None = None, partitions: int | None = None,
                   memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -56,12 +52,15 @@ def apply_conf(spark: SparkSession) -> None:
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder for checkpoints and written tables.
 
-    It lies under ``spark.checkpoint.dir``, the folder all executors share. Only
-    where that is unset (tests on one machine) a temporary folder takes its place.
+    It lies under ``spark.checkpoint.dir``, the folder all executors share. Where that is unset, a temporary folder
+    takes its place, but only in local mode, where driver and executors are one process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="deskmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -73,12 +72,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out a table that comes in fewer splits than there are cores; larger inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 class Tables:
     """The parquet tables of one folder, read lazily by name: ``t.orders``."""
 
@@ -89,5 +82,4 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

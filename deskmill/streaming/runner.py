@@ -10,11 +10,11 @@ from deskmill.session import ROCKSDB, workspace
 
 
 @contextmanager
-def state_settings(spark: SparkSession):
-    """Key-value state store, and no more state partitions than the cores can serve well."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-              "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                                      max(8, 2 * spark.sparkContext.defaultParallelism)))}
+def state_settings(spark: SparkSession, partitions: int | None = None):
+    """Key-value state store; ``partitions`` sets the number of state partitions, which a checkpoint keeps for good."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -34,18 +34,18 @@ def read_stream(spark: SparkSession, path: str, schema, ts: str = "ts", delay: s
     return stream.withColumn(ts, stream[ts].cast("timestamp")).withWatermark(ts, delay)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Process everything that is there into a table, and read the table."""
     spark = stream.sparkSession
     out, state = workspace(spark, name), workspace(spark, f"{name}-state")
-    with state_settings(spark):
+    with state_settings(spark, partitions):
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_versions(stream: DataFrame, name: str) -> DataFrame:
+def run_versions(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Keep the whole (small) result of an aggregation current: each micro-batch writes a version, the last one is read."""
     spark = stream.sparkSession
     out, state = workspace(spark, name), workspace(spark, f"{name}-state")
@@ -55,7 +55,7 @@ def run_versions(stream: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/version={batch}")
         done.append(batch)
 
-    with state_settings(spark):
+    with state_settings(spark, partitions):
         q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
              .outputMode("complete").trigger(availableNow=True).start())
         q.awaitTermination()
