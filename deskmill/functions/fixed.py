@@ -133,6 +133,12 @@ TRANSLIT = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъы
 # Path parts of a published address that come after its name.
 SERVICE_PARTS = ["hs", "odata", "ws", "ru_ru", "en_us", "ru", "en", "e1cib", "e1csys"]
 
+# Plural type names that people write.
+PLURAL_TYPES = {
+    "документы": "Документ", "справочники": "Справочник", "отчеты": "Отчет", "обработки": "Обработка", "перечисления": "Перечисление",
+    "регистрысведений": "РегистрСведений", "регистрынакопления": "РегистрНакопления", "общиемодули": "ОбщийМодуль", "константы": "Константа",
+}
+
 # Word, link and token patterns.
 WORD = r"[0-9A-Za-zА-Яа-яЁё]+"
 CODE_WORD = r"[0-9A-Za-zА-Яа-яЁё_]+"

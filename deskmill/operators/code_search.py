@@ -145,21 +145,38 @@ def candidate_union(lists: DataFrame) -> DataFrame:
     return first.select("question_id", *KEY, "f.list_no", "f.list_rank", F.col("f.score").alias("bm25"))
 
 
-def match_quality(text: Column, variants: Column, lowered: bool = False) -> Column:
+WORD_START = "\u0002"
+
+
+def word_starts(low: Column) -> Column:
+    """The text with a mark wherever a word may begin: at its start and after everything that is no letter."""
+    return F.regexp_replace(low, r"(?<!\p{L})", WORD_START)
+
+
+def readable(text: Column) -> Column:
+    """struct(text, low, marked): what ``match_quality`` looks at, made once per text."""
+    low = F.lower(text)
+    return F.struct(text.alias("text"), low.alias("low"), word_starts(low).alias("marked"))
+
+
+def match_quality(text: Column, variants: Column, prepared: bool = False) -> Column:
     """1.0 when a variant begins a word (text start, after a non-letter, or at a capital), 0.4 inside a word, else 0.
 
-    ``text`` is a text, or with ``lowered`` a struct(text, low).
+    ``text`` is a text, or with ``prepared`` the struct of ``readable``. Variants are taken literally. Most word starts
+    are found by looking for the marked variant in the marked text; only what is left is searched for a capital.
     """
-    def begins(v, t):
+    def at_capital(v, t):
         head, rest = F.left(v, F.lit(1)), F.substring(v, F.lit(2), F.length(v))
-        capital = F.when(F.upper(head) != head, F.concat(F.lit("|"), F.upper(head), F.lit("(?iu:"), rest, F.lit(")"))).otherwise("")
-        return F.rlike(t, F.concat(F.lit(r"(?iu:(^|[^\p{L}])"), v, F.lit(")"), capital))
+        quoted = F.when(rest != "", F.concat(F.lit(r"(?iu:\Q"), F.replace(rest, F.lit(r"\E"), F.lit("")), F.lit(r"\E)"))).otherwise("")
+        return (F.upper(head) != head) & F.rlike(t, F.concat(F.upper(head), quoted))
 
     def quality(r):
         found = F.filter(variants, lambda v: F.contains(r["low"], v))
-        return bind(found, lambda vs: F.when(F.size(vs) == 0, 0.0).when(F.exists(vs, lambda v: begins(v, r["text"])), 1.0).otherwise(0.4))
+        begins = lambda v: F.contains(r["marked"], word_starts(v))
+        return bind(found, lambda vs: F.when(F.size(vs) == 0, 0.0).when(F.exists(vs, begins), 1.0)
+                    .when(F.exists(vs, lambda v: at_capital(v, r["text"])), 1.0).otherwise(0.4))
 
-    return quality(text) if lowered else bind(F.struct(text.alias("text"), F.lower(text).alias("low")), quality)
+    return quality(text) if prepared else bind(readable(text), quality)
 
 
 def variant_quality(blocks: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,9 +185,9 @@ def variant_quality(blocks: DataFrame, hits: DataFrame, wanted: DataFrame) -> Da
     Each wanted block's text is read once, with the list of the variants it holds.
     """
     held = hits.join(wanted.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.collect_list("variant").alias("vs"))
-    fields = F.struct(*[F.struct(fold(F.col(c)).alias("text"), F.lower(fold(F.col(c))).alias("low")).alias(c) for c in COLUMNS])
+    fields = F.struct(*[readable(fold(F.col(c))).alias(c) for c in COLUMNS])
     each = bind(fields, lambda r: F.transform("vs", lambda v: F.struct(
-        v.alias("variant"), *[match_quality(r[c], F.array(v), lowered=True).alias(c) for c in COLUMNS])))
+        v.alias("variant"), *[match_quality(r[c], F.array(v), prepared=True).alias(c) for c in COLUMNS])))
     return blocks.select(*KEY, *COLUMNS).join(held, KEY).select(*KEY, F.explode(each).alias("q")).select(*KEY, "q.*")
 
 
@@ -243,53 +260,71 @@ def _tail_keys(parent: Column, rest: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(parent))), lambda k: F.concat_ws("|", F.right(parent, k), rest))
 
 
+def object_request(request: Column, kinds=None) -> Column:
+    """struct(type, name) of ``Type.Name`` in any spelling of the type, with or without quotes; type is null where none is named."""
+    kinds = X.OBJECT_KINDS if kinds is None else kinds
+    spelt = {**X.PLURAL_TYPES, **{w.lower(): shown for *others, shown in kinds for w in (*others, shown)}}
+    types = F.create_map(*[F.lit(x) for pair in spelt.items() for x in pair])
+    bare = F.regexp_replace(strip(request), "^[«»\"'`]+|[«»\"'`]+$", "")
+    found = F.when(F.contains(bare, F.lit(".")), F.try_element_at(types, F.lower(fold(F.substring_index(bare, ".", 1)))))
+    return F.struct(found.alias("type"), F.when(found.isNotNull(), F.split_part(bare, F.lit("."), F.lit(2))).otherwise(bare).alias("name"))
+
+
 def resolve_module(files: DataFrame, requests: DataFrame, tail_limit: int = 20, name_limit: int = 40) -> DataFrame:
-    """(request, level, repo, path): exact repo and path, else exact path, else path end, else object name.
+    """(request, level, repo, path, line_from, line_to): exact repo and path, else exact path, else path end, else object name.
 
-    All levels are equality joins. Object names are cut to the first modules of each name before
+    Lines are those of a link's tail, null without one. Path ends and names are compared without case. All levels are equality joins. Object names are cut to the first modules of each name before
     the join, so a name that very many modules share does not multiply with its requests.
     """
+    tail = r":(\d+)(?:-(\d+))?[`'\"\s]*$"
     asked = requests.select("request").distinct().withColumn("wanted", F.regexp_replace(F.regexp_replace(F.regexp_replace(
         F.translate("request", "\\", "/"), r"^[`'\"\s]+|[`'\"\s]+$", ""), r":(\d+)(-\d+)?$", ""), r"^/+|/+$", ""))
     place = files.select("repo", "path")
     by_repo = asked.join(place.withColumn("wanted", F.concat_ws("/", "repo", "path")), "wanted").select("request", F.lit(1).alias("level"), "repo", "path")
     exact = asked.join(place.withColumn("wanted", F.col("path")), "wanted").select("request", F.lit(2).alias("level"), "repo", "path")
-    ends = asked.filter(F.contains("wanted", F.lit("/"))).withColumn("_head", F.substring_index("wanted", "/", 1))
+    ends = asked.filter(F.contains("wanted", F.lit("/"))).withColumn("wanted", F.lower("wanted")).withColumn("_head", F.substring_index("wanted", "/", 1))
     ends = ends.withColumn("_key", F.element_at(_tail_keys(F.col("_head"), F.expr("substring(wanted, length(_head) + 1)")), -1))
-    parts = F.split("path", "/")
+    parts = F.split(F.lower("path"), "/")
     tails = place.select("repo", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(
         F.get(parts, i - 1).alias("parent"), F.concat(F.lit("/"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/")).alias("rest")))).alias("t"))
     tails = tails.select("repo", "path", F.explode(_tail_keys(F.col("t.parent"), F.col("t.rest"))).alias("_key"))
-    by_tail = tails.join(ends, "_key").filter(F.endswith("path", F.col("wanted"))).select("request", "repo", "path").distinct()
+    by_tail = tails.join(ends, "_key").filter(F.endswith(F.lower("path"), F.col("wanted"))).select("request", "repo", "path").distinct()
     by_tail = newest(by_tail, ["request"], tail_limit, F.col("path"), F.col("repo")).select("request", F.lit(3).alias("level"), "repo", "path")
-    typed = F.contains("wanted", F.lit("."))
-    named = asked.withColumn("_name", F.lower(F.when(typed, F.split_part("wanted", F.lit("."), F.lit(2))).otherwise(F.col("wanted"))))
-    named = named.withColumn("_type", F.when(typed, F.split_part("wanted", F.lit("."), F.lit(1))).otherwise(""))
+    named = asked.withColumn("_o", object_request(F.col("wanted"))).select(
+        "request", F.lower("_o.name").alias("_name"), F.coalesce("_o.type", F.lit("")).alias("_type"))
     known = files.withColumn("_name", F.lower("object_name")).withColumn("_type", F.explode(F.array(F.col("object_type"), F.lit(""))))
     first = newest(known.select("_name", "_type", "repo", "path").distinct(), ["_name", "_type"], name_limit, F.col("path"), F.col("repo"))
     by_name = named.join(first, ["_name", "_type"]).select("request", F.lit(4).alias("level"), "repo", "path")
     found = by_repo.unionByName(exact).unionByName(by_tail).unionByName(by_name)
     best = found.groupBy("request").agg(F.min("level").alias("level"))
-    return found.join(best, ["request", "level"])
+    line = lambda i: F.regexp_extract("request", tail, i).try_cast("int")
+    return found.join(best, ["request", "level"]).withColumns({"line_from": line(1), "line_to": F.coalesce(line(2), line(1))})
 
 
 def find_object(objects: DataFrame, requests: DataFrame, limit: int = 5) -> DataFrame:
-    """(request, level, object_id, object_name, rank): exact name, else names that hold all words, shortest name first.
+    """(request, level, object_id, object_name, rank): exact name, else objects whose name and synonym hold the stems of all
+    words, shortest name first. A type in the request has to be the object's; ``objects`` has object_id, object_type,
+    object_name and synonym.
 
-    Objects are cut to ``limit`` per name before anything is joined.
+    Objects are cut to ``limit`` per name and type before anything is joined.
     """
-    asked = requests.select("request").distinct().withColumn("_low", F.lower(fold(F.col("request"))))
-    known = newest(objects.withColumn("_low", F.lower(fold(F.col("object_name")))), ["_low"], limit, F.col("object_id"))
-    exact = known.join(asked, "_low").select("request", F.lit(1).alias("level"), "object_id", "object_name")
-    wanted = F.filter(words(F.col("_low"), X.CODE_WORD), lambda w: F.length(w) >= 3)
-    parts = asked.select("request", wanted.alias("_words")).filter(F.size("_words") > 0)
-    # a gram of the longest word proposes names, all words decide
+    asked = requests.select("request").distinct().withColumn("_o", object_request(F.col("request"))).select(
+        "request", F.lower(fold(F.col("_o.name"))).alias("_low"), F.coalesce("_o.type", F.lit("")).alias("_type"))
+    texts = objects.select("object_id", "object_name", F.lower(fold(F.col("object_name"))).alias("_low"),
+                           F.lower(fold(F.concat_ws(" ", "object_name", "synonym"))).alias("_text"),
+                           F.explode(F.array("object_type", F.lit(""))).alias("_type"))
+    known = newest(texts, ["_low", "_type"], limit, F.col("object_id"))
+    exact = known.join(asked, ["_low", "_type"]).select("request", F.lit(1).alias("level"), "object_id", "object_name")
+    wanted = F.transform(F.filter(words(F.col("_low"), X.CODE_WORD), lambda w: F.length(w) >= 3), lambda w: stem(w))
+    parts = asked.select("request", "_type", wanted.alias("_words")).filter(F.size("_words") > 0)
+    # a gram of the longest word proposes texts, all words decide
     longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    parts = parts.select("request", "_words", F.substring(longest, 1, 3).alias("gram"))
-    names = known.select("_low").distinct().filter(F.length("_low") >= 3)
-    held = (names.select("_low", F.explode(grams(F.col("_low"))).alias("gram")).join(parts, "gram")
-            .filter(F.forall("_words", lambda w: F.contains(F.col("_low"), w))).select("request", "_low"))
-    partial = held.join(known, "_low").select("request", F.lit(2).alias("level"), "object_id", "object_name")
+    parts = parts.select("request", "_type", "_words", F.substring(longest, 1, 3).alias("gram"))
+    held = (texts.select("_text", "_type").distinct().filter(F.length("_text") >= 3)
+            .select("_text", "_type", F.explode(grams(F.col("_text"))).alias("gram")).join(parts, ["gram", "_type"])
+            .filter(F.forall("_words", lambda w: F.contains(F.col("_text"), w))).select("request", "_text", "_type"))
+    per_text = newest(texts, ["_text", "_type"], limit, F.col("object_id"))
+    partial = held.join(per_text, ["_text", "_type"]).select("request", F.lit(2).alias("level"), "object_id", "object_name")
     found = exact.unionByName(partial)
     best = found.groupBy("request").agg(F.min("level").alias("level"))
     return newest(found.join(best, ["request", "level"]), ["request"], limit, F.length("object_name"), F.col("object_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from deskmill.functions import fixed as X
 from deskmill.functions.paths import path_meta
+from deskmill.functions.text import stem_pattern
 from deskmill.operators import code_search as C
 from deskmill.operators import fusion as U
 from deskmill.operators import vectors as V
@@ -342,37 +343,58 @@ def _(t):
     return per_file.agg(F.count("*").alias("files"), F.sum("n").alias("chunks"), F.sum("p").alias("procedures"), F.sum("o").alias("objects")).withColumn("vectors", vectors.scalar())
 
 
-REQUEST = """CASE doc_id % 5 WHEN 0 THEN repo||'/'||path||':3-9' WHEN 1 THEN path WHEN 2 THEN 't/ObjectModule'||doc_id||'.bsl'
-  WHEN 3 THEN 'Отчет.R'||(doc_id%50) ELSE 'm'||(doc_id%50) END"""
+REQUEST = """CASE doc_id % 9 WHEN 0 THEN repo||'/'||path||':3-9' WHEN 1 THEN path WHEN 2 THEN 't/ObjectModule'||doc_id||'.bsl'
+  WHEN 3 THEN 'Отчет.R'||(doc_id%50) WHEN 4 THEN 'm'||(doc_id%50) WHEN 5 THEN 'reports.r'||(doc_id%50) WHEN 6 THEN '«Отчеты.R'||(doc_id%50)||'.Form»'
+  WHEN 7 THEN lower('T/OBJECTMODULE')||doc_id||'.bsl:7' ELSE 'CommonModule.M'||(doc_id%50) END"""
+
+# how types may be written, as rows (word, type)
+TYPE_SQL = "(VALUES " + ", ".join(f"('{w}', '{t}')" for w, t in {**X.PLURAL_TYPES, **{
+    w.lower(): shown for *others, shown in X.OBJECT_KINDS for w in (*others, shown)}}.items()) + ") AS ty(word, type)"
+
+
+def object_request_sql(source: str, column: str) -> str:
+    """Rows of ``source`` with bare (the name asked for) and type."""
+    clean = f"regexp_replace(trim({column}), '^[«»\"''`]+|[«»\"''`]+$', '', 'g')"
+    return (f"SELECT s.*, ty.type, CASE WHEN ty.type IS NULL THEN clean ELSE split_part(clean, '.', 2) END AS bare FROM (SELECT *, {clean} AS clean FROM {source}) s "
+            f"LEFT JOIN {TYPE_SQL} ON contains(clean, '.') AND ty.word = lower(split_part(clean, '.', 1))")
 
 
 @query("resolve_module", "WITH " + BLOCKS_SQL.split(",\nml AS")[0] + f""",
 fo AS (SELECT b.*, {OBJECT_SQL} FROM modules b), rq AS (SELECT DISTINCT {REQUEST} AS request FROM modules),
-w AS (SELECT request, regexp_replace(request, ':[0-9]+(-[0-9]+)?$', '') AS wanted FROM rq),
+w0 AS (SELECT request, regexp_replace(request, ':[0-9]+(-[0-9]+)?$', '') AS wanted FROM rq), w AS ({object_request_sql("w0", "wanted")}),
 al AS (SELECT request, 1 AS level, repo, path FROM w JOIN fo ON wanted = repo||'/'||path UNION ALL SELECT request, 2, repo, path FROM w JOIN fo ON wanted = path
- UNION ALL SELECT request, 3, repo, path FROM w JOIN fo ON contains(wanted, '/') AND ends_with(path, wanted)
- UNION ALL SELECT request, 4, repo, path FROM w JOIN fo ON (contains(wanted, '.') AND object_type = split_part(wanted, '.', 1) AND lower(object_name) = lower(split_part(wanted, '.', 2)))
-   OR (NOT contains(wanted, '.') AND lower(object_name) = lower(wanted))),
+ UNION ALL SELECT request, 3, repo, path FROM w JOIN fo ON contains(wanted, '/') AND ends_with(lower(path), lower(wanted))
+ UNION ALL SELECT request, 4, repo, path FROM w JOIN fo ON (w.type IS NULL OR object_type = w.type) AND lower(object_name) = lower(bare)),
 bs AS (SELECT request, min(level) AS level FROM al GROUP BY 1),
-nr AS (SELECT al.*, row_number() OVER (PARTITION BY request ORDER BY path, repo) AS rn FROM al JOIN bs USING (request, level))
-SELECT request, level, repo, path FROM nr WHERE rn <= CASE level WHEN 3 THEN 20 WHEN 4 THEN 40 ELSE 1000000 END""")
+nr AS (SELECT al.*, row_number() OVER (PARTITION BY request ORDER BY path, repo) AS rn FROM al JOIN bs USING (request, level)),
+ln AS (SELECT *, TRY_CAST(regexp_extract(request, ':([0-9]+)(-[0-9]+)?$', 1) AS INTEGER) AS line_from,
+  TRY_CAST(regexp_extract(request, '-([0-9]+)$', 1) AS INTEGER) AS upto FROM nr)
+SELECT request, level, repo, path, line_from, CASE WHEN line_from IS NOT NULL THEN coalesce(upto, line_from) END AS line_to
+FROM ln WHERE rn <= CASE level WHEN 3 THEN 20 WHEN 4 THEN 40 ELSE 1000000 END""")
 def _(t):
     files = modules(t.documents).withColumn("m", path_meta(F.col("path"))).select("repo", "path", "doc_id", "m.object_type", "m.object_name")
     return C.resolve_module(files, files.select(F.expr(REQUEST).alias("request")))
 
 
-OBJECT_REQUEST = "CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name,' ',2)||' '||left(split_part(p_name,' ',1),3) ELSE upper(p_name)||'x' END"
+OBJECT_REQUEST = """CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name,' ',2)||' '||left(split_part(p_name,' ',1),3) WHEN 2 THEN upper(p_name)||'x'
+  WHEN 3 THEN 'Documents.'||p_name WHEN 4 THEN '«документ.'||p_name||'»' WHEN 5 THEN 'расходную накладную '||(p_partkey % 30) ELSE 'Справочники.'||split_part(p_name,' ',2) END"""
+OBJECT_PARTS = "CASE WHEN p_partkey % 2 = 0 THEN 'Документ' ELSE 'Справочник' END", "CASE WHEN p_size % 5 = 0 THEN 'Расходная накладная '||(p_partkey % 30) ELSE '' END"
+RU_PATTERN, RU_GROUPS = stem_pattern(X.RU_ENDINGS, None)
+RU_STEM = f"regexp_replace(w, '{RU_PATTERN}', '" + "".join(f"\\{i + 1}" for i in range(RU_GROUPS)) + "')"
 
 
 @query("find_object", f"""
-WITH rq AS (SELECT DISTINCT {OBJECT_REQUEST} AS request FROM part),
-al AS (SELECT request, 1 AS level, p_partkey AS object_id, p_name AS object_name FROM rq JOIN part ON lower(request) = lower(p_name)
- UNION ALL SELECT request, 2, p_partkey, p_name FROM rq JOIN part ON len(list_filter(string_split(lower(request),' '), lambda w: length(w) >= 3 AND NOT contains(lower(p_name), w))) = 0),
+WITH ob AS (SELECT *, {OBJECT_PARTS[0]} AS object_type, lower(p_name||' '||{OBJECT_PARTS[1]}) AS whole FROM part),
+r0 AS (SELECT DISTINCT {OBJECT_REQUEST} AS request FROM part), rq AS ({object_request_sql("r0", "request")}),
+sw AS (SELECT *, list_transform(list_filter(regexp_extract_all(lower(bare), '{X.CODE_WORD}'), lambda w: length(w) >= 3), lambda w: {RU_STEM}) AS stems FROM rq),
+al AS (SELECT request, 1 AS level, p_partkey AS object_id, p_name AS object_name FROM sw JOIN ob ON lower(bare) = lower(p_name) AND (type IS NULL OR type = object_type)
+ UNION ALL SELECT request, 2, p_partkey, p_name FROM sw JOIN ob ON len(stems) > 0 AND len(list_filter(stems, lambda w: NOT contains(whole, w))) = 0 AND (type IS NULL OR type = object_type)),
 bs AS (SELECT request, min(level) AS level FROM al GROUP BY 1),
 nr AS (SELECT al.*, CAST(row_number() OVER (PARTITION BY request ORDER BY length(object_name), object_id) AS INTEGER) AS rank FROM al JOIN bs USING (request, level))
 SELECT request, level, object_id, object_name, rank FROM nr WHERE rank <= 5""")
 def _(t):
-    objects = t.part.select(F.col("p_partkey").alias("object_id"), F.col("p_name").alias("object_name"))
+    objects = t.part.select(F.col("p_partkey").alias("object_id"), F.col("p_name").alias("object_name"),
+                            F.expr(OBJECT_PARTS[0]).alias("object_type"), F.expr(OBJECT_PARTS[1]).alias("synonym"))
     return C.find_object(objects, t.part.select(F.expr(OBJECT_REQUEST).alias("request")))
 
 
