@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.session import materialise
+
 
 def time_segment(ts: str | Column, seconds: int = 86400) -> Column:
     """Number of the time bucket a row lies in; the usual segment."""
@@ -35,8 +37,6 @@ def running(df: DataFrame, keys: list[str], order: list[str], segment: Column, *
     kept = {**last, **earlier}
     part = [*keys, "_seg"]
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    pick = F.min_by if reverse else F.max_by
-    at = F.struct(*order)
 
     src = df.withColumn("_seg", segment)
     for n, c in prev.items():
@@ -48,16 +48,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], segment: Column, *
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = here.rowsBetween(Window.unboundedPreceding, -1)
     local = src.select(
-        "*",
+        *df.columns, "_seg", F.lead(F.lit(True)).over(here).isNull().alias("_end"), *[f"_v_{n}" for n in prev],
         *[F.lag(f"_v_{n}").over(here).alias(f"_l_{n}") for n in prev],
         *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in sums],
-        *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in last],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_u_{n}") for n in kept],
         *[F.last(f"_v_{n}", ignorenulls=True).over(above).alias(f"_l_{n}") for n in earlier])
-
-    summary = src.groupBy(*part).agg(
-        *[pick(f"_v_{n}", at).alias(f"_s_{n}") for n in prev],
-        *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums],
-        *[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_s_{n}") for n in kept])
+    # sorted once and written; the last row of a segment holds what goes on to the next, so nothing is read from the source again
+    local = materialise(local, "segments")
+    summary = local.filter("_end").select(
+        *part, *[F.col(f"_v_{n}").alias(f"_s_{n}") for n in prev], *[F.col(f"_l_{n}").alias(f"_s_{n}") for n in sums],
+        *[F.col(f"_u_{n}").alias(f"_s_{n}") for n in kept])
     over = Window.partitionBy(*keys).orderBy(F.col("_seg").desc() if reverse else F.col("_seg").asc())
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
@@ -66,7 +66,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], segment: Column, *
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in kept])
 
-    joined = local.join(carry, part)
+    joined = local.join(carry, part).withColumns({f"_l_{n}": F.col(f"_u_{n}") for n in last})
     out = [F.col(c) for c in df.columns]
     out += [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))["v"].alias(n) for n in prev]
     out += [(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_c_{n}")).alias(n) for n in sums]
