@@ -2,7 +2,7 @@
 
 The tree is fitted on a bounded sample and is itself bounded, so every task has it. Every vector is put into its leaf.
 For a query a priority queue opens the most promising node first; the leaves come out in that order, and the first ``visits``
-of them are searched exactly. How many that has to be is measured: for a bounded set of queries the true neighbours among all
+of them are searched exactly; after the first few, only what beats a query's scores so far goes on. How many that has to be is measured: for a bounded set of queries the true neighbours among all
 rows are found by brute force, and visits widen until the leaves visited hold the wanted share of them.
 Leaves and the queries that visit them are cut into blocks and met as matrix products, so no leaf has to fit a task.
 """
@@ -25,6 +25,7 @@ BRANCHES = 6
 LEAF = 400  # sampled vectors in a leaf at most
 CALIBRATION = 256  # queries that the number of visits is measured on
 RECALL = 0.97
+FIRST_VISITS = 6  # leaves after which a query's first ``top`` scores bound what later leaves may add
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
 
@@ -94,15 +95,17 @@ class Tree:
         return found
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, top: int):
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, top: int, floor: np.ndarray | None = None):
     """(query number, row number, score) of the ``top`` largest inner products per query, ties to smaller ids.
 
+    Scores below a query's ``floor`` are not of interest.
     The matrix product proposes; scores are sums in one fixed order, so that equal vectors score equally.
     """
     rough = queries @ rows.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     keep = min(top, rows.shape[0])
     limit = np.partition(rough, rows.shape[0] - keep, axis=1)[:, rows.shape[0] - keep]
+    limit = limit if floor is None else np.maximum(limit, floor)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(limit), limit, 0)))
     q, r = np.nonzero((rough >= (limit - slack)[:, None]) & np.isfinite(rough))
     score = np.empty(len(q))
@@ -175,17 +178,14 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
             leaves = [tree.visit(v, visits) for v in matrix(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
 
-    asked = placed.where("asks").select("id", "v").mapInArrow(ask, T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("leaves", T.ArrayType(T.LongType()))]))
+    asked = materialise(placed.where("asks").select("id", "v").mapInArrow(ask, T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("leaves", T.ArrayType(T.LongType()))])), "visits")
     # one row per leaf of the tree, which is bounded
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts"))
-    tiles = max(1, -(-placed.where("asks").count() // QUERY_BLOCK))
+    sizes = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts")))
+    tiles = max(1, -(-asked.count() // QUERY_BLOCK))
     part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    sizes = F.broadcast(sizes)
-    left = asked.withColumn("leaf", F.explode("leaves")).join(sizes, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("vb"), part("id", F.lit(tiles)).alias("qb"), "id", "v")
-    right = placed.join(sizes, "leaf").select(
-        "leaf", part("id", F.col("parts")).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("qb"), "id", "v")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    right = placed.join(sizes, "leaf").select("leaf", part("id", F.col("parts")).alias("vb"), every(F.lit(tiles)).alias("qb"), "id", "v")
 
     def meet(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -193,9 +193,18 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         own, ids = queries.column("id").to_numpy(), vectors.column("id").to_numpy()
         q, r, score = best(matrix(queries.column("v").combine_chunks(), width), own,
-                           matrix(vectors.column("v").combine_chunks(), width), ids, top)
+                           matrix(vectors.column("v").combine_chunks(), width), ids, top, queries.column("floor").to_numpy())
         return pa.table([pa.array(own[q]), pa.array(ids[r]), pa.array(score)], names)
 
-    keys = ["leaf", "vb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return _ranked(found, top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def search(queries: DataFrame) -> DataFrame:
+        keys = ["leaf", "vb", "qb"]
+        left = queries.withColumn("leaf", F.explode("leaves")).join(sizes, "leaf").select(
+            "leaf", every(F.col("parts")).alias("vb"), part("id", F.lit(tiles)).alias("qb"), "id", "v", "floor")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+    nothing = F.lit(float("-inf"))
+    first = materialise(search(asked.withColumns({"leaves": F.slice("leaves", 1, FIRST_VISITS), "floor": nothing})), "first-visits")
+    floors = _ranked(first, top).where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    rest = asked.withColumn("leaves", F.slice("leaves", FIRST_VISITS + 1, F.greatest(F.size("leaves"), F.lit(1))))
+    more = search(rest.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", nothing)))
+    return _ranked(first.unionAll(more), top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
