@@ -25,8 +25,9 @@ from deskmill.session import materialise
 WORDS = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6)
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 4000, 8000
-TERMS = 2000  # most telling terms, by chi-square over the examples
+TERMS = 600  # most telling terms, by chi-square over the examples
 RAREST = 4  # examples a term has to occur in
+LIFT = 3.0  # least ratio of a term's shares among toxic and clean examples; weak signs are many and common
 SIGNIFICANT = 6.0  # least chi-square of a term
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.2
@@ -48,58 +49,45 @@ def held_out(id_col):
 # --- the index
 
 class BlockMaxIndex:
-    """Postings by term, entries in blocks, with the largest weight of every term in every block."""
+    """Postings by term over blocks of entries, with the largest weight of every term in every block."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
         # entries with the same heaviest term lie together, which keeps the bounds of blocks tight
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), i))
-        self.order, self.block, self.size = np.array(order, np.int64), block, len(order)
-        self.blocks = -(-len(order) // block)
-        rows = [(t, at, w) for at, i in enumerate(order) for t, w in vectors[i].items()]
-        rows.sort()
-        self.entry = np.array([r[1] for r in rows], np.int64)
-        self.weight = np.array([r[2] for r in rows], np.float64)
-        term = np.array([r[0] for r in rows], np.int64)
-        self.first = np.searchsorted(term, np.arange(terms + 1))
-        cell = term * max(self.blocks, 1) + self.entry // block if len(rows) else np.zeros(0, np.int64)
-        starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_block = self.entry[starts] // block
-        self.cell_max = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-        self.cell_from = starts
-        self.cell_to = np.append(starts[1:], len(rows))
-        self.cell_first = np.searchsorted(term[starts] if len(starts) else term, np.arange(terms + 1))
+        self.order, self.block, self.blocks = np.array(order, np.int64), block, -(-len(order) // block)
+        self.weights = np.zeros((terms, self.blocks, block))
+        for at, i in enumerate(order):
+            for t, w in vectors[i].items():
+                self.weights[t, at // block, at % block] = w
+        self.most = self.weights.max(2) if self.blocks and terms else np.zeros((terms, self.blocks))
 
     def nearest(self, query: dict[int, float], count: int, votes: np.ndarray) -> list[tuple[float, int]]:
         """(cosine, entry) by falling cosine, ties by entry, until ``count`` votes are reached; whole entries.
 
-        All entries with a cosine above zero are in question; ``votes`` says how many examples an entry stands for.
+        Blocks come by falling bound, a few more each time, until none left can hold an entry as near as the last one
+        needed. Only entries with a cosine above zero are in question; ``votes`` says how many examples an entry stands for.
         """
-        bound = np.zeros(self.blocks)
-        cells: dict[int, list[tuple[int, int, float]]] = {}
-        for term, weight in sorted(query.items()):
-            for c in range(self.cell_first[term], self.cell_first[term + 1]):
-                b = int(self.cell_block[c])
-                bound[b] += weight * self.cell_max[c]
-                cells.setdefault(b, []).append((int(self.cell_from[c]), int(self.cell_to[c]), weight))
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for start, end, weight in cells[b]:
-                score[self.entry[start:end] - b * self.block] += weight * self.weight[start:end]
-            for at in np.flatnonzero(score > max(0.0, least - 1e-12)).tolist():
-                found.append((-float(score[at]), int(self.order[b * self.block + at])))
-            found.sort()
-            seen = 0
-            for rank, (negative, entry) in enumerate(found):
-                seen += int(votes[entry])
-                if seen >= count:
-                    least = -negative
-                    del found[rank + 1:]
-                    break
-        return [(-s, e) for s, e in found]
+        terms = sorted(query)
+        q = np.array([query[t] for t in terms])
+        bound = q @ self.most[terms] + 1e-11
+        order = np.argsort(-bound, kind="stable")
+        scores, entries = np.zeros(0), np.zeros(0, np.int64)
+        least, at, step = 1e-11, 0, 4
+        while at < len(order) and bound[order[at]] > least:
+            chosen = order[at:at + step]
+            chosen = chosen[bound[chosen] > least]
+            score = np.round(np.tensordot(q, self.weights[np.ix_(terms, chosen)], 1), 12)
+            row, col = np.nonzero(score >= max(least - 1e-11, 1e-12))
+            scores = np.concatenate([scores, score[row, col]])
+            entries = np.concatenate([entries, self.order[chosen[row] * self.block + col]])
+            ranking = np.lexsort((entries, -scores))
+            scores, entries = scores[ranking], entries[ranking]
+            enough = np.flatnonzero(np.cumsum(votes[entries]) >= count)
+            if len(enough):
+                scores, entries = scores[:enough[0] + 1], entries[:enough[0] + 1]
+                least = scores[-1]
+            at, step = at + step, step * 2
+        return list(zip(scores.tolist(), entries.tolist()))
 
 
 def monotone_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     c, d = pos - F.col("a"), neg - F.col("b")
     lean = F.col("a") * d - F.col("b") * c
     chi = F.lit(float(pos + neg)) * lean * lean / ((F.col("a") + F.col("b")) * (c + d + 0.5) * F.lit(max(pos, 1)) * F.lit(max(neg, 1)))
-    telling = both.where((lean > 0) & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "term").limit(TERMS)
+    strong = F.col("a") * F.lit(max(neg, 1)) >= LIFT * F.col("b") * F.lit(max(pos, 1))
+    telling = both.where((lean > 0) & strong & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "term").limit(TERMS)
     terms = sorted(r["term"] for r in telling.collect()) if pos and neg else []
     lookup = {t: i for i, t in enumerate(terms)}
 
@@ -311,7 +300,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Scores are those of ``score_toxicity``, with the same rules for nulls, repeats and empty tables.
     """
     model, _ = fit(docs, labels, id_col, text_col, **fitting)
-    terms = model.terms
+    terms, names = model.terms, docs.columns
     frame = docs.withColumn("_text", F.col(text_col).cast("string"))
 
     def keep(batches):
@@ -319,6 +308,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             ids, counts = _counted(batch.column("_text").to_pylist(), terms)
             good = pa.array([scores(i, c)[0] < threshold for i, c in zip(ids, counts)], pa.bool_())
-            yield batch.select(docs.columns).filter(good)
+            yield batch.select(names).filter(good)
 
     return frame.mapInArrow(keep, docs.schema)
