@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from deskmill.session import materialise
 
 
-def time_segment(ts: str | Column, seconds: int = 86400) -> Column:
+def time_segment(ts: str | Column, seconds: int = 3600) -> Column:
     """Number of the time bucket a row lies in; the usual segment."""
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_seconds(col.cast("timestamp")) / seconds)

@@ -84,9 +84,9 @@ def pending_files(messages: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 def limit_blackout(journal: DataFrame, reset: Column) -> DataFrame:
-    """Questions asked while the newest limit hit before them has not been reset. The limit is one for all users."""
+    """Questions asked while the newest limit hit before them has not been reset. The limit is one for all users, so a minute is one segment."""
     rows = journal.withColumn("_all", F.lit(1))
-    known = running(rows, ["_all"], ["created_at", "id"], time_segment("created_at", 3600),
+    known = running(rows, ["_all"], ["created_at", "id"], time_segment("created_at", 60),
                     last={"limit_until": F.when(F.col("status") == "limit", reset)})
     return known.filter((F.col("status") != "limit") & (F.col("created_at") < F.col("limit_until"))).drop("_all")
 
