@@ -14,6 +14,10 @@ from deskmill.streaming.refresh import Versions, refresh
 from deskmill.streaming.runner import read_stream, run_available, run_versions
 
 
+# what the watermark has passed when the stream has read everything
+PASSED = "epoch_ms(ts) + 1 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)"
+
+
 def events(t, delay: str = "10 minutes"):
     # as a glob the path may be one file or a folder of files
     return read_stream(t.spark, f"{t.folder}/{{events}}.parquet", t.events.schema, delay=delay)
@@ -50,7 +54,7 @@ def _(t):
     return out.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
-@query("idle_sessions_stream", "WITH " + SESSIONS_SQL + " SELECT user_id, message_id, session_no, is_new FROM numbered")
+@query("idle_sessions_stream", "WITH " + SESSIONS_SQL + " SELECT user_id, message_id, session_no, is_new FROM numbered WHERE " + PASSED)
 def _(t):
     return run_available(S.idle_sessions(messages(events(t)).filter("kind = 'text'"), IDLE), "sessions")
 
@@ -70,12 +74,12 @@ s AS (SELECT *, first_value(CASE WHEN kind='text' THEN ts END IGNORE NULLS) OVER
   first_value(CASE WHEN kind='text' THEN message_id END IGNORE NULLS) OVER w AS text_id FROM messages
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, message_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT user_id, message_id AS file_id, text_id, CASE WHEN tts - ts <= INTERVAL 360 MINUTE THEN 'attached' ELSE 'discarded' END AS state
-FROM s WHERE kind='file' AND text_id IS NOT NULL""")
+FROM s WHERE kind='file' AND text_id IS NOT NULL AND """ + PASSED.replace("(ts)", "(tts)", 1))
 def _(t):
     return run_available(S.late_files(messages(events(t)), 360), "late")
 
 
-@query("alert_stream", ALERT_SQL)
+@query("alert_stream", ALERT_SQL + " AND " + PASSED.replace("FROM events", "FROM ticks"))
 def _(t):
     table = materialise(ticks(t), "ticks")
     stream = read_stream(t.spark, table.inputFiles()[0].rsplit("/", 1)[0], table.schema)
@@ -102,7 +106,7 @@ st AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS message_id, NULL::VARCHA
   CASE WHEN base_ref IS NOT NULL THEN CASE WHEN works THEN 'connected' ELSE 'failed' END WHEN link IS NULL THEN NULL
     WHEN tries>=3 OR us-since > 86400000000 THEN 'given_up' WHEN works THEN 'retry_connected' ELSE 'retry_failed' END
   FROM st JOIN m ON m.user_id=st.user_id AND m.rn=st.rn+1)
-SELECT user_id, message_id, action FROM st WHERE action IS NOT NULL""")
+SELECT user_id, message_id, action FROM st WHERE action IS NOT NULL AND message_id IN (SELECT message_id FROM messages WHERE """ + PASSED + ")")
 def _(t):
     asked = messages(events(t)).withColumn("works", F.col("message_id") % 5 == 0)
     return run_available(S.retries(asked, 3, 24 * 60), "retries")

@@ -15,30 +15,79 @@ def _micros(ts) -> int:
     return pd.Timestamp(ts).value // 1000
 
 
-class IdleSessions(StatefulProcessor):
+class HeldRows(StatefulProcessor):
+    """Rows wait in the state until the watermark has passed them and are then taken in event order, so that rows which
+    come late over several micro-batches give what one ordered batch gives. Rows behind the watermark are dropped by Spark.
+
+    A subclass says what it keeps of a row (``ROW``, starting with ``at long, id long``, and ``keep``), what it puts out
+    (``COLUMNS``), its state (``STATE``, ``EMPTY``), and how a row changes the state (``step``).
+    """
+
+    ROW, COLUMNS, STATE, EMPTY = "", [], "", ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.ROW)
+        self.state = handle.getValueState("state", self.STATE)
+
+    def keep(self, row) -> tuple:
+        raise NotImplementedError
+
+    def step(self, key, state, row) -> tuple[tuple, list[tuple]]:
+        raise NotImplementedError
+
+    def _wait(self, rows) -> None:
+        """One timer, for the earliest row that waits."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if rows:
+            self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [self.keep(r) for part in rows for r in part.itertuples()]
+        self.held.appendList(new)
+        self._wait([tuple(x) for x in self.held.get()])
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((tuple(x) for x in self.held.get()), key=lambda r: r[:2])
+        due, later = [r for r in rows if r[0] // 1000 + 1 <= until], [r for r in rows if r[0] // 1000 + 1 > until]
+        state, out = tuple(self.state.get()) if self.state.exists() else self.EMPTY, []
+        for row in due:
+            state, made = self.step(key[0], state, row)
+            out += made
+        self.state.clear() if state == self.EMPTY else self.state.update(state)
+        self.held.put(later) if later else self.held.clear()
+        self._wait(later)
+        yield pd.DataFrame(out, columns=self.COLUMNS)
+
+
+def _text(value):
+    return value if isinstance(value, str) else None
+
+
+class IdleSessions(HeldRows):
     """Session number of every text message; state: last time, base, number."""
 
+    ROW = "at long, id long, base_ref string"
+    COLUMNS = ["user_id", "message_id", "session_no", "is_new"]
+    STATE, EMPTY = "last long, base string, number long", (None, None, 0)
+
     def __init__(self, idle_seconds: int):
         self.idle = idle_seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "last long, base string, number long")
+    def keep(self, row):
+        return _micros(row.ts), int(row.message_id), _text(row.base_ref)
 
-    def handleInputRows(self, key, rows, timerValues):
-        last, base, number = self.state.get() if self.state.exists() else (None, None, 0)
-        out = []
-        for r in _ordered(rows, ["ts", "message_id"]).itertuples():
-            at = _micros(r.ts)
-            given = r.base_ref if isinstance(r.base_ref, str) else None
-            fresh = last is not None and at - last <= self.idle
-            base = base if fresh else None
-            new = not fresh or (given is not None and given != base)
-            if new:
-                number, base = number + 1, given
-            last = at
-            out.append((key[0], r.message_id, number, new))
-        self.state.update((last, base, number))
-        yield pd.DataFrame(out, columns=["user_id", "message_id", "session_no", "is_new"])
+    def step(self, key, state, row):
+        (last, base, number), (at, message, given) = state, row
+        fresh = last is not None and at - last <= self.idle
+        base = base if fresh else None
+        new = not fresh or (given is not None and given != base)
+        if new:
+            number, base = number + 1, given
+        return (at, base, number), [(key, message, number, new)]
 
 
 class Bursts(StatefulProcessor):
@@ -79,83 +128,78 @@ class Bursts(StatefulProcessor):
         yield pd.DataFrame([self._close(key, items)] if items else [], columns=self.COLUMNS)
 
 
-class LateFiles(StatefulProcessor):
+class LateFiles(HeldRows):
     """Files wait for the next text of their user; older ones than allowed are discarded at that moment."""
 
+    ROW = "at long, id long, kind string"
+    COLUMNS = ["user_id", "file_id", "text_id", "state"]
+    STATE, EMPTY = "files array<struct<id:long,at:long>>", ([],)
+
     def __init__(self, minutes: int):
         self.age = minutes * 60_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", "file_id long, at long")
+    def keep(self, row):
+        return _micros(row.ts), int(row.message_id), row.kind
 
-    def handleInputRows(self, key, rows, timerValues):
-        waiting = [tuple(x) for x in self.waiting.get()]
-        out = []
-        for r in _ordered(rows, ["ts", "message_id"]).itertuples():
-            at = _micros(r.ts)
-            if r.kind == "file":
-                waiting.append((int(r.message_id), at))
-            elif r.kind == "text":
-                out += [(key[0], f, r.message_id, "attached" if at - since <= self.age else "discarded") for f, since in waiting]
-                waiting = []
-        self.waiting.put(waiting) if waiting else self.waiting.clear()
-        yield pd.DataFrame(out, columns=["user_id", "file_id", "text_id", "state"])
+    def step(self, key, state, row):
+        at, message, kind = row
+        waiting = [tuple(x) for x in state[0]]
+        if kind == "file":
+            return ([*waiting, (message, at)],), []
+        if kind != "text":
+            return (waiting,), []
+        return ([],), [(key, f, message, "attached" if at - since <= self.age else "discarded") for f, since in waiting]
 
 
-class Alerts(StatefulProcessor):
+class Alerts(HeldRows):
     """Alert and recovery messages of a monitor; state: was it bad, its problems, time of the last sent message."""
 
+    ROW = "at long, id long, bad boolean, problems string, sent boolean"
+    COLUMNS = ["monitor", "ts", "message", "problems"]
+    STATE, EMPTY = "bad boolean, problems string, alerted long", (False, "", 0)
+
     def __init__(self, repeat_seconds: int):
         self.repeat = repeat_seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alert", "bad boolean, problems string, alerted long")
+    def keep(self, row):
+        return _micros(row.ts), 0, bool(row.bad), _text(row.problems), bool(row.sent)
 
-    def handleInputRows(self, key, rows, timerValues):
-        was_bad, problems, alerted = self.state.get() if self.state.exists() else (False, "", 0)
+    def step(self, key, state, row):
+        (was_bad, before, alerted), (at, _, bad, problems, sent) = state, row
+        alert = bad and (not was_bad or at - alerted >= self.repeat or before != problems)
         out = []
-        for r in _ordered(rows, ["ts"]).itertuples():
-            at = _micros(r.ts)
-            alert = r.bad and (not was_bad or at - alerted >= self.repeat or problems != r.problems)
-            if alert or (was_bad and not r.bad):
-                out.append((key[0], r.ts, "alert" if alert else "recovered", r.problems))
-                alerted = at if r.sent else alerted
-            was_bad, problems = bool(r.bad), r.problems
-        self.state.update((was_bad, problems, alerted))
-        yield pd.DataFrame(out, columns=["monitor", "ts", "message", "problems"])
+        if alert or (was_bad and not bad):
+            out = [(key, pd.Timestamp(at * 1000), "alert" if alert else "recovered", problems)]
+            alerted = at if sent else alerted
+        return (bad, problems, alerted), out
 
 
-class RetryBudget(StatefulProcessor):
+class RetryBudget(HeldRows):
     """A link that failed is tried again on the user's next messages, a few times and not for long."""
 
+    ROW = "at long, id long, base_ref string, works boolean"
+    COLUMNS = ["user_id", "message_id", "action"]
+    STATE, EMPTY = "link string, tries int, since long", (None, 0, 0)
+
     def __init__(self, tries: int = 3, minutes: int = 60):
         self.tries, self.age = tries, minutes * 60_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pending", "link string, tries int, since long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        link, tries, since = self.state.get() if self.state.exists() else (None, 0, 0)
-        out = []
-        for r in _ordered(rows, ["ts", "message_id"]).itertuples():
-            at = _micros(r.ts)
-            given = r.base_ref if isinstance(r.base_ref, str) else None
-            if given is not None:
-                action = "connected" if r.works else "failed"
-                if not r.works:
-                    link, tries, since = (link, tries + 1, since) if link == given else (given, 0, at)
-                elif link == given:
-                    link, tries, since = None, 0, 0
-            elif link is not None and (tries >= self.tries or at - since > self.age):
-                action, link, tries, since = "given_up", None, 0, 0
-            elif link is not None:
-                action = "retry_connected" if r.works else "retry_failed"
-                link, tries, since = (None, 0, 0) if r.works else (link, tries + 1, since)
-            else:
-                continue
-            out.append((key[0], r.message_id, action))
-        if link is None:
-            self.state.clear()
+    def keep(self, row):
+        return _micros(row.ts), int(row.message_id), _text(row.base_ref), bool(row.works)
+
+    def step(self, key, state, row):
+        (link, tries, since), (at, message, given, works) = state, row
+        if given is not None:
+            action = "connected" if works else "failed"
+            if not works:
+                link, tries, since = (link, tries + 1, since) if link == given else (given, 0, at)
+            elif link == given:
+                link, tries, since = self.EMPTY
+        elif link is None:
+            return state, []
+        elif tries >= self.tries or at - since > self.age:
+            action, (link, tries, since) = "given_up", self.EMPTY
         else:
-            self.state.update((link, tries, since))
-        yield pd.DataFrame(out, columns=["user_id", "message_id", "action"])
+            action = "retry_connected" if works else "retry_failed"
+            link, tries, since = self.EMPTY if works else (link, tries + 1, since)
+        return (link, tries, since), [(key, message, action)]

@@ -18,7 +18,7 @@ def first_deliveries(stream: DataFrame, key: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([key])
 
 
-def _keyed(stream: DataFrame, key: str, processor, schema: str, time_mode: str = "None") -> DataFrame:
+def _keyed(stream: DataFrame, key: str, processor, schema: str, time_mode: str = "EventTime") -> DataFrame:
     return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 
@@ -27,7 +27,7 @@ def idle_sessions(stream: DataFrame, idle_seconds: int) -> DataFrame:
 
 
 def bursts(stream: DataFrame, seconds: float) -> DataFrame:
-    return _keyed(stream, "user_id", P.Bursts(seconds), "user_id long, first_ts timestamp, last_ts timestamp, n int, question string, files string", "EventTime")
+    return _keyed(stream, "user_id", P.Bursts(seconds), "user_id long, first_ts timestamp, last_ts timestamp, n int, question string, files string")
 
 
 def late_files(stream: DataFrame, minutes: int) -> DataFrame:

@@ -9,13 +9,27 @@ from deskmill.streaming import streams
 from deskmill.streaming.runner import read_stream, run_available
 
 
-def test_sessions_over_micro_batches(spark):
+def micro_batches(spark):
+    """The events in four files that overlap in time, and a late mark that lets the watermark pass all of them."""
     events = Tables(spark, "/root/testdata/sf0.001").events
     path = workspace(spark, "events")
-    for low in range(0, 1000, 250):
-        events.filter(F.col("event_id").between(low, low + 249)).coalesce(1).write.mode("append").parquet(path)
-    stream = messages(read_stream(spark, path, events.schema, delay="40 days", files_per_batch=1)).filter("kind = 'text'")
-    got = run_available(streams.idle_sessions(stream, 480 * 60), "sessions").select("message_id", "session_no").collect()
+    for part in (2, 0, 3, 1):
+        events.filter(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(path)
+    mark = events.limit(1).withColumns({"event_id": F.lit(10**6), "user_id": F.lit(-1).cast("long"), "ts": F.lit("2024-06-01").cast("timestamp_ntz")})
+    mark.select(events.columns).coalesce(1).write.mode("append").parquet(path)
+    return events, read_stream(spark, path, events.schema, delay="40 days", files_per_batch=1)
+
+
+def test_sessions_out_of_order(spark):
+    events, stream = micro_batches(spark)
+    got = run_available(streams.idle_sessions(messages(stream).filter("kind = 'text'"), 480 * 60), "sessions").select("message_id", "session_no")
     texts = messages(events).filter("kind = 'text'")
-    want = sessions.number_sessions(texts, "user_id", "ts", "message_id", "base_ref", 480 * 60).select("message_id", "session_no").collect()
-    assert sorted(got) == sorted(want)
+    want = sessions.number_sessions(texts, "user_id", "ts", "message_id", "base_ref", 480 * 60).select("message_id", "session_no")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_late_files_out_of_order(spark):
+    events, stream = micro_batches(spark)
+    got = run_available(streams.late_files(messages(stream), 360), "late").select("user_id", "file_id", "text_id", "state")
+    want = sessions.pending_files(messages(events), 360).filter("state <> 'waiting'").select("user_id", "file_id", "text_id", "state")
+    assert sorted(got.collect()) == sorted(want.collect())
