@@ -11,8 +11,9 @@ from deskmill.operators.chunking import kb_chunks
 from deskmill.operators.ordered import newest
 
 # File types whose text can be taken.
-SUPPORTED = [".txt", ".md", ".docx", ".pdf", ".xlsx"]
+SUPPORTED = [".txt", ".md", ".docx", ".pdf", ".xlsx", ".xlsm"]
 COPY_WORDS = ("копия",)
+SOME_TEXT = r"(?U)\S"
 
 
 def classify_files(files: DataFrame, rules: list[tuple[str, str]], supported: list[str] = SUPPORTED) -> DataFrame:
@@ -48,12 +49,16 @@ def alias_titles(copies: DataFrame, copy_words: tuple[str, ...] = COPY_WORDS) ->
 
 
 def knowledge_base(files: DataFrame, rules: list[tuple[str, str]], copy_words: tuple[str, ...] = COPY_WORDS, product_rules=None) -> dict[str, DataFrame]:
-    """Documents, aliases, chunks and the outcome of every file of a folder."""
+    """Documents, aliases, chunks and the outcome of every file of a folder.
+
+    ``files`` may say in a column ``error`` that a file could not be read; such files and blank ones are no documents.
+    """
+    files = files if "error" in files.columns else files.withColumn("error", F.lit(None).cast("string"))
     seen = with_digest(classify_files(files, rules))
-    usable = seen.filter(F.col("reason").isNull() & F.col("supported"))
+    usable = seen.filter(F.col("reason").isNull() & F.col("supported") & F.col("error").isNull())
     copies = canonical_copies(usable.select("doc_id", "path", "digest"), copy_words)
     kept = copies.filter("path = canonical").select("doc_id", "path", "digest")
-    docs = usable.join(kept.select("path"), "path", "left_semi")
+    docs = usable.join(kept.select("path"), "path", "left_semi").filter(F.col("text").rlike(SOME_TEXT))
     docs = docs.withColumn("title", title_from_name(base_name(F.col("path")), copy_words))
     docs = docs.withColumn("product", classify_product(F.col("title"), F.col("text"), product_rules))
     chunks = kb_chunks(docs, ["doc_id"])
@@ -61,17 +66,18 @@ def knowledge_base(files: DataFrame, rules: list[tuple[str, str]], copy_words: t
 
 
 def file_outcomes(kb: dict[str, DataFrame]) -> DataFrame:
-    """What became of each file: excluded, unsupported, duplicate, empty or indexed."""
+    """What became of each file: excluded, unsupported, failed, duplicate, empty or indexed, and its number of chunks."""
     outcome = (F.when(F.col("reason").isNotNull(), "excluded").when(~F.col("supported"), "unsupported")
-               .when(F.col("path") != F.col("canonical"), "duplicate")
-               .when(~F.col("text").rlike(r"(?U)\S"), "empty").otherwise("indexed"))
-    return (kb["seen"].join(kb["copies"].select("path", "canonical"), "path", "left")
-            .select("path", "canonical", "reason", outcome.alias("outcome")))
+               .when(F.col("error").isNotNull(), "failed").when(F.col("path") != F.col("canonical"), "duplicate")
+               .when(~F.coalesce(F.col("text"), F.lit("")).rlike(SOME_TEXT), "empty").otherwise("indexed"))
+    sizes = kb["chunks"].groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return (kb["seen"].join(kb["copies"].select("path", "canonical"), "path", "left").join(sizes, "doc_id", "left")
+            .select("path", "canonical", F.coalesce("reason", "error").alias("reason"), outcome.alias("outcome"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")))
 
 
 def build_report(outcomes: DataFrame, examples: int = 20) -> DataFrame:
-    """Files per outcome with the first few paths."""
-    counts = outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+    """Files and chunks per outcome with the first few paths."""
+    counts = outcomes.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("n_chunks").alias("chunks"))
     first = newest(outcomes, ["outcome"], examples, F.col("path")).groupBy("outcome").agg(
         F.array_join(F.sort_array(F.collect_list("path")), " | ").alias("examples"))
     return counts.join(first, "outcome")
@@ -108,6 +114,13 @@ def stale_sources(files: DataFrame, configured: DataFrame) -> DataFrame:
     return files.join(configured.select("repo").distinct(), "repo", "left_anti")
 
 
+def list_documents(documents: DataFrame, chunks: DataFrame, product: str | None = None) -> DataFrame:
+    """(path, title, product, n_chunks) by product and title, of one product or of all."""
+    wanted = documents if product is None else documents.filter(F.col("product") == product)
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return wanted.join(sizes, "doc_id").select("path", "title", "product", "n_chunks").orderBy("product", "title", "path")
+
+
 def index_health(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("documents")).select("documents", (F.col("documents") > 0).alias("ok"))
 

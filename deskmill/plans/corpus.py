@@ -34,7 +34,7 @@ named AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, """ + REASON + r"""
 usable AS (SELECT * FROM named WHERE reason IS NULL AND supported),
 kept AS (SELECT *, first_value(path) OVER (PARTITION BY digest ORDER BY (contains(lower(name),'копия') OR contains(lower(name),'copy')), length(name), name, path) AS canonical FROM usable),
 docs AS (SELECT *, regexp_replace(regexp_replace(name, '\.[^.]+$', ''), ' - copy$', '') AS bare FROM kept WHERE path = canonical),
-documents_kb AS (SELECT *, bare AS title0, CASE WHEN regexp_replace(bare, '^[\s!+.\d]+', '') = '' THEN bare ELSE regexp_replace(bare, '^[\s!+.\d]+', '') END AS title FROM docs)"""
+documents_kb AS (SELECT *, bare AS title0, CASE WHEN regexp_replace(bare, '^[\s!+.\d]+', '') = '' THEN bare ELSE regexp_replace(bare, '^[\s!+.\d]+', '') END AS title FROM docs WHERE regexp_matches(text, '\S'))"""
 
 
 def knowledge(t):
@@ -77,21 +77,20 @@ def _(t):
     return K.read_slice(C.kb_chunks(t.documents, ["doc_id"]), longest, start=2, count=50)
 
 
-@query("list_documents", "WITH " + KB_SQL + ", " + CHUNKS_SQL.format(src="documents_kb") + """,
-n AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY 1)
-SELECT d.path, d.title, n.n_chunks FROM documents_kb d JOIN n USING (doc_id) WHERE lang = 'en' ORDER BY 2, 1""")
-def _(t):
-    kb = knowledge(t)
-    n = kb["chunks"].groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    return kb["documents"].filter("lang = 'en'").join(n, "doc_id").select("path", "title", "n_chunks").orderBy("title", "path")
-
-
 COUNT = "(length(h)-length(replace(h,'{k}','')))//length('{k}')"
 SCORE = {name: "(" + " + ".join(COUNT.format(k=k) for k in keys) + ")" for name, keys in PRODUCTS}
 PRODUCT_SQL = ("SELECT *, CASE WHEN greatest({a},{b}) = 0 THEN 'Общее' WHEN {a} >= {b} THEN 'first' ELSE 'second' END AS product FROM ("
                "SELECT *, replace(lower(title||' '||substr(text,1,3000)), 'ё', 'е') AS h FROM documents_kb)").format(a=SCORE["first"], b=SCORE["second"])
 
 
+@query("list_documents", "WITH " + KB_SQL + ", " + CHUNKS_SQL.format(src="documents_kb") + ", p AS (" + PRODUCT_SQL + """),
+n AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY 1)
+SELECT p.path, p.title, p.product, n.n_chunks FROM p JOIN n USING (doc_id) WHERE p.product = 'first' ORDER BY 3, 2, 1""")
+def _(t):
+    kb = knowledge(t)
+    return K.list_documents(kb["documents"], kb["chunks"], "first")
+
+
 @query("classify_product", "WITH " + KB_SQL + ", p AS (" + PRODUCT_SQL + ") SELECT doc_id, product FROM p")
 def _(t):
     return knowledge(t)["documents"].select("doc_id", "product")
@@ -102,11 +101,12 @@ def _(t):
     return knowledge(t)["documents"].groupBy("product").agg(F.count("*").alias("n"))
 
 
-@query("build_report", "WITH " + KB_SQL + r""",
-o AS (SELECT n.path, CASE WHEN n.reason IS NOT NULL THEN 'excluded' WHEN NOT n.supported THEN 'unsupported' WHEN n.path<>k.canonical THEN 'duplicate'
+@query("build_report", "WITH " + KB_SQL + ", " + CHUNKS_SQL.format(src="documents_kb") + r""",
+o AS (SELECT n.doc_id, n.path, CASE WHEN n.reason IS NOT NULL THEN 'excluded' WHEN NOT n.supported THEN 'unsupported' WHEN n.path<>k.canonical THEN 'duplicate'
   WHEN trim(n.text)='' THEN 'empty' ELSE 'indexed' END AS outcome FROM named n LEFT JOIN kept k USING (path)),
-r AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY path) AS rn FROM o)
-SELECT outcome, count(*) AS n, string_agg(path, ' | ' ORDER BY path) FILTER (rn <= 20) AS examples FROM r GROUP BY 1""")
+c AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY path) AS rn FROM o LEFT JOIN c USING (doc_id))
+SELECT outcome, count(*) AS n, CAST(coalesce(sum(n_chunks), 0) AS BIGINT) AS chunks, string_agg(path, ' | ' ORDER BY path) FILTER (rn <= 20) AS examples FROM r GROUP BY 1""")
 def _(t):
     return K.build_report(K.file_outcomes(knowledge(t)))
 
@@ -147,9 +147,9 @@ def _(t):
     return K.stale_sources(before, now).select("repo", "path")
 
 
-@query("index_health", "SELECT count(*) AS documents, count(*) > 0 AS ok FROM documents")
+@query("index_health", "WITH " + KB_SQL + " SELECT count(*) AS documents, count(*) > 0 AS ok FROM documents_kb")
 def _(t):
-    return K.index_health(t.documents)
+    return K.index_health(knowledge(t)["documents"])
 
 
 @query("segment_blocks", "WITH " + BLOCKS_SQL + " SELECT doc_id, kind, line_start, line_end, body FROM blocks")

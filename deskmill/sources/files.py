@@ -44,23 +44,31 @@ def _docx(data: bytes) -> str:
 
 def _pdf(data: bytes) -> str:
     from pypdf import PdfReader
-    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
+
+    def text(page) -> str:
+        try:
+            return page.extract_text() or ""
+        except Exception:  # noqa: BLE001  a bad page leaves the others
+            return ""
+
+    return "\n".join(text(page) for page in PdfReader(io.BytesIO(data)).pages)
 
 
 def _xlsx(data: bytes) -> str:
     from openpyxl import load_workbook
     book = load_workbook(io.BytesIO(data), read_only=True, data_only=True)
-    return "\n".join(" | ".join(str(c) for c in row if c is not None) for sheet in book for row in sheet.iter_rows(values_only=True))
+    lines = []
+    for sheet in book:
+        lines.append(f"# Лист: {sheet.title}")
+        lines += [" | ".join(str(c) for c in row if c is not None) for row in sheet.iter_rows(values_only=True)]
+    return "\n".join(lines)
 
 
 def _plain(data: bytes) -> str:
-    try:
-        return data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return data.decode("cp1251", errors="replace")
+    return data.decode("utf-8", errors="replace")
 
 
-READERS = {".txt": _plain, ".md": _plain, ".docx": _docx, ".pdf": _pdf, ".xlsx": _xlsx}
+READERS = {".txt": _plain, ".md": _plain, ".docx": _docx, ".pdf": _pdf, ".xlsx": _xlsx, ".xlsm": _xlsx}
 
 
 def extract_text(files: DataFrame) -> DataFrame:
