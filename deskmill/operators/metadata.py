@@ -20,18 +20,36 @@ AccountingFlag accountingFlags Признаки учета
 ExtDimensionAccountingFlag extDimensionAccountingFlags Признаки учета субконто
 AddressingAttribute addressingAttributes Реквизиты адресации
 Column columns Графы
+Operation operations Операции
+URLTemplate urlTemplates Шаблоны URL
+Subsystem subsystems Подсистемы
 """.strip().split("\n")]
 
-_PROPS = "Properties struct<Name:string, Type:struct<Type:array<string>>, Synonym:struct<item:array<struct<content:string>>>, Comment:string>"
-_ITEM = "array<struct<" + _PROPS.replace(" struct", ":struct", 1) + ">>"
+# Shown names of further properties, by tag in either layout.
+EXTRAS = [line.split(maxsplit=2) for line in """
+MethodName methodName Метод
+Handler handler Обработчик
+Event event Событие
+Type type Тип
+RegisterRecords registerRecords Движения по регистрам
+Source source Источники
+""".strip().split("\n")]
+
+# a text in place of sub-elements is read into _VALUE
+_PROPS = ("Properties struct<Name:string, Type:struct<Type:array<string>>, Synonym:struct<item:array<struct<content:string>>>, Comment:string, "
+          "MethodName:string, Handler:string, Event:string, RegisterRecords:struct<Item:array<struct<_VALUE:string>>, Type:array<string>>, Source:struct<Item:array<struct<_VALUE:string>>, Type:array<string>>>")
+_ITEM = "array<struct<" + _PROPS.replace(" struct", ":struct", 1) + ", _VALUE:string>>"
+_NAMED = "array<struct<Properties:struct<Name:string>, _VALUE:string>>"
 FLAT_SCHEMA = (f"Object struct<{_PROPS.replace(' struct', ':struct', 1)}, ChildObjects:struct<"
                + ", ".join(f"{tag}:{_ITEM}" for tag, _, _ in GROUPS)
                + f", TabularSection:array<struct<{_PROPS.replace(' struct', ':struct', 1)}, ChildObjects:struct<Attribute:{_ITEM}>>>"
-               + ", Form:array<string>, Command:array<string>, Template:array<string>>>")
-_PART = "array<struct<name:string, type:struct<types:array<string>>, synonym:array<struct<value:string>>>>"
+               + f", Form:{_NAMED}, Command:{_NAMED}, Template:{_NAMED}>>")
+_PART = "array<struct<name:string, type:struct<types:array<string>>, synonym:array<struct<value:string>>, _VALUE:string>>"
+_REFS = "array<struct<types:array<string>, _VALUE:string>>"
 NESTED_SCHEMA = ("name string, synonym array<struct<value:string>>, comment string, " + ", ".join(f"{tag} {_PART}" for _, tag, _ in GROUPS)
                  + ", tabularSections array<struct<name:string, synonym:array<struct<value:string>>, attributes:" + _PART + ">>"
-                 + ", forms array<struct<name:string>>, commands array<struct<name:string>>, templates array<struct<name:string>>")
+                 + ", forms array<struct<name:string, _VALUE:string>>, commands array<struct<name:string, _VALUE:string>>, templates array<struct<name:string, _VALUE:string>>"
+                 + f", methodName string, handler string, event string, type struct<types:array<string>>, registerRecords {_REFS}, source {_REFS}")
 OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 
 
@@ -48,17 +66,28 @@ def _attributes(items: Column, group: str, get) -> Column:
     return F.coalesce(F.transform(items, lambda x: F.struct(F.lit(group).alias("group"), *[c.alias(n) for n, c in zip(("name", "type", "synonym"), get(x))])), none)
 
 
+def _name_or_text(name: Column, text: Column) -> Column:
+    return F.coalesce(F.nullif(_text(name), F.lit("")), _text(text))
+
+
+def _extras(values: list[Column]) -> Column:
+    """The further properties that are there, as (label, value)."""
+    pairs = F.array(*[F.struct(F.lit(label).alias("label"), F.coalesce(v, F.lit("")).alias("value")) for (_, _, label), v in zip(EXTRAS, values)])
+    return F.filter(pairs, lambda p: p["value"] != "")
+
+
 def _flat(x):
     p = x["Properties"]
-    return _text(p["Name"]), _types(p["Type"]["Type"]), _text(F.get(p["Synonym"]["item"], F.lit(0))["content"])
+    return _name_or_text(p["Name"], x["_VALUE"]), _types(p["Type"]["Type"]), _text(F.get(p["Synonym"]["item"], F.lit(0))["content"])
 
 
 def _nested(x):
-    return _text(x["name"]), _types(x["type"]["types"]), _text(F.get(x["synonym"], F.lit(0))["value"])
+    return _name_or_text(x["name"], x["_VALUE"]), _types(x["type"]["types"]), _text(F.get(x["synonym"], F.lit(0))["value"])
 
 
 def object_structure(files: DataFrame, keep: list[str], xml: str, nested: Column) -> DataFrame:
-    """One record per description in either layout: name, synonym, comment, attributes, tabular parts, forms, commands, templates.
+    """One record per description in either layout: name, synonym, comment, attributes, tabular parts, forms, commands,
+    templates and further properties (registers, sources, method, handler, event, own type).
 
     ``nested`` tells the second layout. A description without a name gives no record.
     """
@@ -77,7 +106,11 @@ def object_structure(files: DataFrame, keep: list[str], xml: str, nested: Column
         F.coalesce(F.transform(child["TabularSection"], lambda s: F.struct(
             _text(s["Properties"]["Name"]).alias("name"), _text(F.get(s["Properties"]["Synonym"]["item"], F.lit(0))["content"]).alias("synonym"),
             _attributes(s["ChildObjects"]["Attribute"], "Реквизиты", _flat).alias("columns"))), F.expr(tab)).alias("tabular"),
-        *[F.coalesce(F.transform(child[tag], F.trim), F.expr(names)).alias(out) for tag, out in (("Form", "forms"), ("Command", "commands"), ("Template", "templates"))])
+        *[F.coalesce(F.transform(child[tag], lambda x: _name_or_text(x["Properties"]["Name"], x["_VALUE"])), F.expr(names)).alias(out)
+          for tag, out in (("Form", "forms"), ("Command", "commands"), ("Template", "templates"))],
+        _extras([_text(F.col(f"o.Properties.{n}")) for n in ("MethodName", "Handler", "Event")] + [_types(F.col("o.Properties.Type.Type"))]
+                + [_types(F.concat(F.coalesce(F.transform(F.col(f"o.Properties.{n}.Item"), lambda x: x["_VALUE"]), F.expr(names)),
+                                   F.coalesce(F.col(f"o.Properties.{n}.Type"), F.expr(names)))) for n in ("RegisterRecords", "Source")]).alias("extra"))
     other = files.filter(nested).select(*keep, F.explode(F.array(F.from_xml(F.col(xml), NESTED_SCHEMA, OPTIONS))).alias("o"))
     second = other.select(
         *keep, _text(F.col("o.name")).alias("name"), _text(F.get("o.synonym", F.lit(0))["value"]).alias("synonym"), _text(F.col("o.comment")).alias("comment"),
@@ -85,7 +118,9 @@ def object_structure(files: DataFrame, keep: list[str], xml: str, nested: Column
         F.coalesce(F.transform("o.tabularSections", lambda s: F.struct(
             _text(s["name"]).alias("name"), _text(F.get(s["synonym"], F.lit(0))["value"]).alias("synonym"),
             _attributes(s["attributes"], "Реквизиты", _nested).alias("columns"))), F.expr(tab)).alias("tabular"),
-        *[F.coalesce(F.transform(F.col(f"o.{tag}"), lambda x: F.trim(x["name"])), F.expr(names)).alias(tag) for tag in ("forms", "commands", "templates")])
+        *[F.coalesce(F.transform(F.col(f"o.{tag}"), lambda x: _name_or_text(x["name"], x["_VALUE"])), F.expr(names)).alias(tag) for tag in ("forms", "commands", "templates")],
+        _extras([_text(F.col(f"o.{n}")) for n in ("methodName", "handler", "event")] + [_types(F.col("o.type.types"))]
+                + [_types(F.flatten(F.transform(F.col(f"o.{n}"), lambda x: F.coalesce(x["types"], F.array(x["_VALUE"]))))) for n in ("registerRecords", "source")]).alias("extra"))
     return first.unionByName(second).filter("name <> ''")
 
 
@@ -108,7 +143,8 @@ def render_object(full_name: Column) -> Column:
         return F.array_join(F.transform(F.filter(items, lambda a: a["name"] != ""), _shown), "; ")
 
     head = F.concat(full_name, F.when(F.col("synonym") != "", F.concat(F.lit(" — «"), "synonym", F.lit("»"))).otherwise(""))
-    lines = [F.array(head), F.when(F.col("comment") != "", F.array(F.concat(F.lit("Комментарий: "), "comment")))]
+    lines = [F.array(head), F.when(F.col("comment") != "", F.array(F.concat(F.lit("Комментарий: "), "comment"))),
+             F.transform("extra", lambda e: F.concat(e["label"], F.lit(": "), e["value"]))]
     for shown in dict.fromkeys(g[2] for g in GROUPS):
         items = _of_group(shown)
         lines.append(F.when(F.size(items) > 0, F.array(F.concat(F.lit(f"{shown}: "), listed(items)))))
@@ -124,18 +160,27 @@ def _of_group(shown: str) -> Column:
     return F.filter("attributes", lambda a: a["group"] == shown)
 
 
+# Where an answer says how it went.
+RESULT_CODE = r"(?s)<(?:\w+:)?Property\b[^>]*\bname=[\"']ResultCode[\"'][^>]*>\s*<(?:\w+:)?Value[^>]*>([^<]*)<"
+FAULT = r"(?s)<(?:\w+:)?faultstring[^>]*>([^<]*)<"
+
+
 def table_of_values(results: DataFrame, keep: list[str], xml: str, names: list[str]) -> DataFrame:
-    """Rows of a result with named columns and positional cells; empty cells keep their place.
+    """Rows of a result with named columns and positional cells, at any depth of the answer; empty cells keep their place.
 
-    A result whose code is not SUCCESS gives one row with ``error`` set.
+    A fault, or a result code that is not SUCCESS, gives one row with ``error`` set.
     """
-    # an empty cell is given a mark, since the parser would take it for a missing one
-    filled = F.regexp_replace(F.col(xml), r"<Value\s*/>|<Value>\s*</Value>", "<Value>\ue000</Value>")
-    parsed = results.select(*keep, F.explode(F.array(F.from_xml(
-        filled, "Code string, column array<struct<Name:string>>, row array<struct<Value:array<string>>>", OPTIONS))).alias("x"))
-    bad = F.col("x.Code").isNotNull() & (F.col("x.Code") != "SUCCESS")
-    rows = parsed.select(*keep, F.transform("x.column", lambda c: F.trim(c["Name"])).alias("_names"),
-                         F.when(bad, F.concat(F.lit("ResultCode="), "x.Code")).alias("error"), F.explode_outer(F.when(~F.coalesce(bad, F.lit(False)), F.col("x.row"))).alias("_row"))
+    code, fault = F.trim(F.regexp_extract(xml, RESULT_CODE, 1)), F.trim(F.regexp_extract(xml, FAULT, 1))
+    error = (F.when(F.col(xml).rlike(FAULT), F.concat(F.lit("SOAP fault: "), F.substring(fault, 1, 300)))
+             .when(~code.isin("", "SUCCESS"), F.concat(F.lit("ResultCode="), code)))
+    # columns and rows are taken out of their surroundings; an empty cell gets a mark, since the parser would take it for a missing one
+    parts = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)(<(?:\w+:)?(column|row)\b.*?</(?:\w+:)?\2\s*>)"), F.lit(1))
+    bare = F.regexp_replace(F.concat(F.lit("<R>"), F.array_join(parts, ""), F.lit("</R>")), r"(</?)\w+:", "$1")
+    filled = F.regexp_replace(bare, r"<Value\s*/>|<Value>\s*</Value>", "<Value>\ue000</Value>")
+    parsed = results.select(*keep, error.alias("error"), F.explode(F.array(F.from_xml(
+        filled, "column array<struct<Name:string>>, row array<struct<Value:array<string>>>", OPTIONS))).alias("x"))
+    rows = parsed.select(*keep, F.transform("x.column", lambda c: F.trim(c["Name"])).alias("_names"), "error",
+                         F.explode_outer(F.when(F.col("error").isNull(), F.col("x.row"))).alias("_row"))
     cells = [F.coalesce(F.nullif(F.trim(F.try_element_at("_row.Value", F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int"))), F.lit("\ue000")), F.lit("")).alias(n) for n in names]
     return rows.select(*keep, "error", *cells)
 

@@ -19,10 +19,11 @@ def descriptions(t):
     f, n = F.array_join(F.transform("ls", lambda x: x["f"]), ""), F.array_join(F.transform("ls", lambda x: x["n"]), "")
     k = F.col("l_orderkey").cast("string")
     one = F.concat(F.lit('<MetaDataObject xmlns="http://x/md" xmlns:v8="http://x/v8"><Document uuid="u"><Properties><Name>Order'), k,
-                   F.lit("</Name><Comment>c "), k, F.lit("</Comment></Properties><ChildObjects>"), f, F.lit("<TabularSection><Properties><Name>Lines</Name></Properties><ChildObjects>"), f,
-                   F.lit("</ChildObjects></TabularSection><Form>Main</Form></ChildObjects></Document></MetaDataObject>"))
+                   F.lit("</Name><Comment>c "), k, F.lit("</Comment><RegisterRecords><xr:Item xmlns:xr='http://x/r'>AccumulationRegister.Sales</xr:Item><xr:Item xmlns:xr='http://x/r'>AccumulationRegister.Stock"), k,
+                   F.lit("</xr:Item></RegisterRecords></Properties><ChildObjects>"), f, F.lit("<TabularSection><Properties><Name>Lines</Name></Properties><ChildObjects>"), f,
+                   F.lit("</ChildObjects></TabularSection><Form>Main</Form><Command><Properties><Name>Run</Name></Properties></Command><Subsystem>Trade</Subsystem></ChildObjects></Document></MetaDataObject>"))
     two = F.concat(F.lit('<mdclass:Document xmlns:mdclass="http://x/m"><name>Order'), k, F.lit("</name><synonym><key>ru</key><value>No "), k, F.lit("</value></synonym>"), n,
-                   F.lit("<forms><name>Main</name></forms></mdclass:Document>"))
+                   F.lit("<forms><name>Main</name></forms><operations><name>Post</name></operations><registerRecords>AccumulationRegister.Sales</registerRecords><event>OnWrite</event></mdclass:Document>"))
     return per.select("l_orderkey", (F.col("l_orderkey") % 2 == 1).alias("nested"), F.when(F.col("l_orderkey") % 2 == 1, two).otherwise(one).alias("xml"))
 
 
@@ -33,36 +34,46 @@ def objects(t):
 TYPE = "CASE WHEN l_linenumber%2=0 THEN 'Число' ELSE 'СправочникСсылка.Parts' END"
 
 
-@query("object_structure", """SELECT l_orderkey, 'Order'||l_orderkey AS name, CASE WHEN l_orderkey%2=1 THEN 'No '||l_orderkey ELSE '' END AS synonym,
- CASE WHEN l_orderkey%2=0 THEN 'c '||l_orderkey ELSE '' END AS comment, CAST(count(*) AS INTEGER) AS attributes, CASE WHEN l_orderkey%2=0 THEN 1 ELSE 0 END AS parts, 'Main' AS forms FROM lineitem GROUP BY 1""")
+REGISTERS = "CASE WHEN l_orderkey%2=0 THEN 'Движения по регистрам: РегистрНакопления.Sales, РегистрНакопления.Stock'||l_orderkey ELSE 'Событие: OnWrite | Движения по регистрам: РегистрНакопления.Sales' END"
+
+
+@query("object_structure", f"""SELECT l_orderkey, 'Order'||l_orderkey AS name, CASE WHEN l_orderkey%2=1 THEN 'No '||l_orderkey ELSE '' END AS synonym,
+ CASE WHEN l_orderkey%2=0 THEN 'c '||l_orderkey ELSE '' END AS comment, CAST(count(*) + 1 AS INTEGER) AS attributes, CASE WHEN l_orderkey%2=0 THEN 1 ELSE 0 END AS parts, 'Main' AS forms,
+ CASE WHEN l_orderkey%2=0 THEN 'Run' ELSE '' END AS commands, {REGISTERS} AS extra FROM lineitem GROUP BY 1""")
 def _(t):
-    return objects(t).select("l_orderkey", "name", "synonym", "comment", F.size("attributes").alias("attributes"), F.size("tabular").alias("parts"), F.array_join("forms", ",").alias("forms"))
+    return objects(t).select("l_orderkey", "name", "synonym", "comment", F.size("attributes").alias("attributes"), F.size("tabular").alias("parts"), F.array_join("forms", ",").alias("forms"),
+                             F.array_join("commands", ",").alias("commands"), F.array_join(F.transform("extra", lambda e: F.concat(e["label"], F.lit(": "), e["value"])), " | ").alias("extra"))
 
 
 @query("attributes_table", f"""SELECT l_orderkey, '' AS section, 'Реквизиты' AS "group", 'L'||l_linenumber AS name, {TYPE} AS type FROM lineitem
-UNION ALL SELECT l_orderkey, 'Lines', 'Реквизиты', 'L'||l_linenumber, {TYPE} FROM lineitem WHERE l_orderkey%2=0""")
+UNION ALL SELECT l_orderkey, 'Lines', 'Реквизиты', 'L'||l_linenumber, {TYPE} FROM lineitem WHERE l_orderkey%2=0
+UNION ALL SELECT DISTINCT l_orderkey, '', CASE WHEN l_orderkey%2=0 THEN 'Подсистемы' ELSE 'Операции' END, CASE WHEN l_orderkey%2=0 THEN 'Trade' ELSE 'Post' END, '' FROM lineitem""")
 def _(t):
     return M.attributes_table(objects(t), ["l_orderkey"])
 
 
 @query("render_object", f"""
 WITH a AS (SELECT l_orderkey, string_agg('L'||l_linenumber||' ('||{TYPE}||')'||CASE WHEN l_orderkey%2=1 THEN ' — «Line '||l_linenumber||'»' ELSE '' END, '; ' ORDER BY l_linenumber) AS s FROM lineitem GROUP BY 1)
-SELECT l_orderkey, 'Документ.Order'||l_orderkey||CASE WHEN l_orderkey%2=1 THEN ' — «No '||l_orderkey||'»' ELSE chr(10)||'Комментарий: c '||l_orderkey END||chr(10)||'Реквизиты: '||s
-  ||CASE WHEN l_orderkey%2=0 THEN chr(10)||'Табличная часть Lines: '||s ELSE '' END||chr(10)||'Формы: Main' AS text FROM a""")
+SELECT l_orderkey, 'Документ.Order'||l_orderkey||CASE WHEN l_orderkey%2=1 THEN ' — «No '||l_orderkey||'»' ELSE chr(10)||'Комментарий: c '||l_orderkey END||chr(10)||replace({REGISTERS}, ' | ', chr(10))
+  ||chr(10)||'Реквизиты: '||s||chr(10)||CASE WHEN l_orderkey%2=0 THEN 'Подсистемы: Trade'||chr(10)||'Табличная часть Lines: '||s ELSE 'Операции: Post' END||chr(10)||'Формы: Main'
+  ||CASE WHEN l_orderkey%2=0 THEN chr(10)||'Команды: Run' ELSE '' END AS text FROM a""")
 def _(t):
     return objects(t).select("l_orderkey", M.render_object(F.concat(F.lit("Документ."), "name")).alias("text"))
 
 
 @query("table_of_values", """
-SELECT c_custkey//50 AS part_no, NULL AS error, c_custkey::VARCHAR AS "Id", CASE WHEN c_custkey%4=0 THEN '' ELSE c_name END AS "Name", c_mktsegment AS "Post" FROM customer WHERE (c_custkey//50)%5<>3
-UNION ALL SELECT DISTINCT c_custkey//50, 'ResultCode=DENIED', '', '', '' FROM customer WHERE (c_custkey//50)%5=3""")
+SELECT c_custkey//50 AS part_no, NULL AS error, c_custkey::VARCHAR AS "Id", CASE WHEN c_custkey%4=0 THEN '' ELSE c_name END AS "Name", c_mktsegment AS "Post" FROM customer WHERE (c_custkey//50)%5 NOT IN (3, 4)
+UNION ALL SELECT DISTINCT c_custkey//50, CASE (c_custkey//50)%5 WHEN 3 THEN 'ResultCode=DENIED' ELSE 'SOAP fault: no access' END, '', '', '' FROM customer WHERE (c_custkey//50)%5 IN (3, 4)""")
 def _(t):
     row = F.concat(F.lit("<row><Value>"), F.col("c_custkey").cast("string"), F.lit("</Value>"), F.when(F.col("c_custkey") % 4 == 0, "<Value/>").otherwise(
         F.concat(F.lit("<Value>"), "c_name", F.lit("</Value>"))), F.lit("<Value>"), "c_mktsegment", F.lit("</Value></row>"))
     per = t.customer.groupBy(F.floor(F.col("c_custkey") / 50).alias("part_no")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
     head = "".join(f"<column><Name>{n}</Name></column>" for n in ("Id", "Name", "Post"))
-    xml = F.concat(F.lit("<s:Result xmlns:s='http://x'><Code>"), F.when(F.col("part_no") % 5 == 3, "DENIED").otherwise("SUCCESS"), F.lit("</Code>" + head), "rows", F.lit("</s:Result>"))
-    return M.table_of_values(per.select("part_no", xml.alias("xml")), ["part_no"], "xml", ["Id", "Name", "Post"])
+    code = F.when(F.col("part_no") % 5 == 3, "DENIED").otherwise("SUCCESS")
+    good = F.concat(F.lit('<s:Envelope xmlns:s="http://x"><s:Body><Answer><Property name="ResultCode"><Value>'), code, F.lit('</Value></Property><Property name="Data"><Value>' + head), "rows",
+                    F.lit("</Value></Property></Answer></s:Body></s:Envelope>"))
+    fault = F.lit('<s:Envelope xmlns:s="http://x"><s:Body><s:Fault><faultstring xml:lang="ru"> no access </faultstring></s:Fault></s:Body></s:Envelope>')
+    return M.table_of_values(per.select("part_no", F.when(F.col("part_no") % 5 == 4, fault).otherwise(good).alias("xml")), ["part_no"], "xml", ["Id", "Name", "Post"])
 
 
 TREE_SQL = """WITH RECURSIVE edges AS (SELECT 'r'||r_regionkey AS node, NULL AS parent, r_name AS name FROM region
