@@ -50,8 +50,9 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """(_d, _h, i, l1, l2, words): every line by a 96-bit number."""
     units = docs.select("_d", "_h", F.posexplode(F.split(text_col, UNIT_BREAK)).alias("i", "unit"))
     line = F.rtrim("unit", F.lit(BLANK))
-    return units.select("_d", "_h", "i", F.xxhash64(line).alias("l1"), F.hash(line).alias("l2"),
-                        F.regexp_count("unit", F.lit(r"\S+")).cast("long").alias("words")).where("words > 0")
+    words = F.size(F.split(F.ltrim(line, F.lit(BLANK)), r"\s+")).cast("long")
+    return units.where(F.rtrim("unit", F.lit(BLANK)) != "").select(
+        "_d", "_h", "i", F.xxhash64(line).alias("l1"), F.hash(line).alias("l2"), words.alias("words"))
 
 
 def _segments(lines: DataFrame, min_words: int) -> DataFrame:
@@ -59,6 +60,8 @@ def _segments(lines: DataFrame, min_words: int) -> DataFrame:
     run of so many words from a line on and up to it (null if the stretch has none), rem the lines up to its end."""
     place = F.xxhash64("_d", "_h", "i")
     seen = lines.groupBy("l1", "l2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("l1", "l2")
+    # as a table of its own, so that the rows of a line which very many documents share can be split over tasks in the join
+    seen = materialise(seen, "repeated")
     kept = lines.join(seen, ["l1", "l2"], "left_semi").repartition("_d", "_h").dropDuplicates(["_d", "_h", "i"])
     own = Window.partitionBy("_d", "_h").orderBy("i")
     kept = kept.withColumn("seg", F.col("i") - F.row_number().over(own))
