@@ -197,6 +197,41 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, SMALL).count() == pieces.count()
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept, next to a plain version of it."""
+    import corpus_pipeline
+    from deskmill.llm import secret_scan, toxicity
+    from test_llm_documents import groups_of, plain_line_dedup, plain_secrets
+
+    docs, kept = spark.read.parquet(f"{SMALL}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, SMALL).write.parquet(path)
+        kept.append((name, {r.doc_id: r.text for r in docs.collect()}, spark.read.parquet(path)))
+        docs = spark.read.parquet(path)
+    (_, before, after), (_, lines_in, lines_out), (_, near_in, near_out), (_, secrets_in, secrets_out), (_, packed_in, packed) = kept
+    scored = toxicity.score_toxicity(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in scored if not r.predicted} < set(before)
+    assert {r.doc_id: r.text for r in lines_out.collect()} == {i: t for i, (t, _) in plain_line_dedup(sorted(lines_in.items()), 50).items()}
+    assert all(r.n_chars == len(r.text) for r in lines_out.collect())
+    low = {i: [w.decode() for w in t.encode().lower().split()] for i, t in near_in.items()}
+    runs = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in low.items()}
+    alike = lambda a, b: low[a] == low[b] or len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]) > 0
+    ids = sorted(low)
+    roots = groups_of(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if alike(a, b)])
+    assert {r.doc_id for r in near_out.collect()} == {i for i in ids if roots[i] == i}
+    scanner = secret_scan.Scanner()
+    for r in secrets_out.collect():
+        spans = scanner.spans(secrets_in[r.doc_id])
+        assert [x for x in spans if x[0] in secret_scan.BASE] == plain_secrets(secrets_in[r.doc_id])
+        assert r.text == secret_scan.redacted(secrets_in[r.doc_id], spans) and r.n_chars == len(r.text)
+    assert {r.doc_id for r in packed.collect()} == set(packed_in)
+    bins = defaultdict(list)
+    for r in packed.collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 2048 and [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] for b in bins.values())
+
+
 def test_pipeline_odd_rows(spark, tmp_path):
     import corpus_pipeline
     shape = "doc_id long, text string, lang string, source string, n_chars long"
