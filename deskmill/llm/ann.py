@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.llm.sampling import bounded_sample
 from deskmill.llm.vector_rows import common_length, matrix, usable
 from deskmill.session import materialise
 
@@ -139,7 +140,7 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
     if width is None:
         return spark.createDataFrame([], shape)
     frame = frame.where(F.size("v") == width)
-    drawn = frame.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    drawn = bounded_sample(frame, "id", sample).select("id", "v").toArrow().sort_by("id")
     tree = Tree(matrix(drawn.column("v").combine_chunks(), width), leaf=leaf)
     kind = rows.schema[vector_col].dataType
 
@@ -153,7 +154,7 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
         T.StructField("leaf", T.LongType())])), "leaves")
 
     # how many leaves: the true neighbours of some queries, and where their leaves come in the order of visits
-    tried = placed.where("asks").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION).select("id", "v").toArrow()
+    tried = bounded_sample(placed.where("asks"), "id", CALIBRATION, seed=1).select("id", "v").toArrow()
     if not tried.num_rows:
         return spark.createDataFrame([], shape)
     tried_ids = tried.column("id").to_numpy()

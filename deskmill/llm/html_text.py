@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.llm.sampling import bounded_sample
+
 SAMPLE = 500  # labelled pages that the weights are learned from
 
 # Names of HTML elements
@@ -171,7 +173,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
     """Log-odds by feature from at most ``sample`` pages that mark their article, picked by hash."""
     marked = pages.where(F.lower(html_col).rlike("<(article|main)[\\s>]"))
-    drawn = marked.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(html_col)
+    drawn = bounded_sample(marked, id_col, sample).select(html_col)
 
     def count(batches):
         for batch in batches:
