@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.operators.journal import clamp
@@ -149,9 +149,13 @@ def grep_lines(docs: DataFrame, key: str, text: str, needle: str, limit: int = G
     return lines.orderBy(key, "line").limit(clamp(limit, 1, GREP_CAP)).withColumn("total", total.scalar())
 
 
-def read_lines(docs: DataFrame, text: str, first: int, last: int, budget: int) -> DataFrame:
-    """Numbered lines first…last of each text, cut at whole lines to the budget; ``next_start`` where reading goes on."""
-    lines = F.slice(F.split(text, "\n"), first, last - first + 1)
+def read_lines(docs: DataFrame, text: str, first: int | Column, last: int | Column, budget: int) -> DataFrame:
+    """Numbered lines first…last of each text, cut at whole lines to the budget; ``next_start`` where reading goes on.
+
+    The lines may be columns, such as those of a link or of a procedure.
+    """
+    first, last = (x if isinstance(x, Column) else F.lit(x) for x in (first, last))
+    lines = F.slice(F.split(text, "\n"), first, F.greatest(last - first + 1, F.lit(0)))
     numbered = F.transform(lines, lambda line, i: F.concat((i + first).cast("string"), F.lit(": "), line))
     whole = F.array_join(numbered, "\n")
     cut = F.regexp_replace(F.substring(F.col("_whole"), 1, budget), r"\n[^\n]*\z", "")
@@ -162,6 +166,27 @@ def read_lines(docs: DataFrame, text: str, first: int, last: int, budget: int) -
             .drop("_whole"))
 
 
+def read_procedures(docs: DataFrame, blocks: DataFrame, requests: DataFrame, text: str, budget: int) -> DataFrame:
+    """(doc_id, procedure, line_start, line_end, shown, next_start) for requests (doc_id, procedure), names in any case.
+
+    Of several procedures of that name the first one is read; a module without it gives its contents in ``shown`` and no lines:
+    the names that hold the request, else all names.
+    """
+    asked = requests.select("doc_id", "procedure", F.lower(F.trim("procedure")).alias("_low")).distinct()
+    procs = blocks.filter(F.col("kind").isin("proc", "func")).select("doc_id", F.lower("name").alias("_low"), "name", "line_start", "line_end")
+    firsts = procs.groupBy("doc_id", "_low").agg(F.min(F.struct("line_start", "line_end")).alias("f"))
+    placed = asked.join(firsts, ["doc_id", "_low"], "left")
+    read = read_lines(placed.filter("f IS NOT NULL").join(docs.select("doc_id", text), "doc_id"), text, F.col("f.line_start"), F.col("f.line_end"), budget)
+    lacking = placed.filter("f IS NULL").select("doc_id", "procedure", "_low").join(procs.withColumnRenamed("_low", "_own"), "doc_id")
+    near = F.contains("_own", F.col("_low"))
+    lists = lacking.groupBy("doc_id", "procedure").agg(
+        F.sort_array(F.collect_list(F.when(near, F.struct("line_start", "name")))).alias("near"), F.sort_array(F.collect_list(F.struct("line_start", "name"))).alias("all"))
+    shown = F.array_join(F.when(F.size("near") > 0, F.col("near.name")).otherwise(F.col("all.name")), "\n")
+    none = F.lit(None).cast("int")
+    return read.select("doc_id", "procedure", "f.line_start", "f.line_end", "shown", "next_start").unionByName(
+        lists.select("doc_id", "procedure", none.alias("line_start"), none.alias("line_end"), shown.alias("shown"), none.alias("next_start")))
+
+
 def preview(docs: DataFrame, text: str, chars: int = 20000) -> DataFrame:
     return docs.withColumn("shown", F.substring(text, 1, chars)).withColumn("truncated", F.length(text) > chars)
 

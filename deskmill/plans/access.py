@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from deskmill.functions.text import safe_file_name
 from deskmill.functions.values import coerce_param, json_value, typed_cell
 from deskmill.operators import access as A
+from deskmill.operators.chunking import segment_blocks
 from deskmill.plans.registry import query
 from deskmill.session import workspace
+from deskmill.sources.views import BLOCKS_SQL, modules
 
 START, END = dt.date(1996, 1, 15), dt.date(1998, 3, 10)
 RANGE_SQL = "o_orderdate >= TIMESTAMP '1996-01-15' AND o_orderdate < TIMESTAMP '1998-03-11'"
@@ -149,6 +151,27 @@ def _(t):
     return A.read_lines(t.documents.select("doc_id", "text"), "text", 3, 40, 600).drop("text")
 
 
+PROCEDURE_REQUEST = "CASE WHEN doc_id % 3 = 0 THEN 'NoSuchName' ELSE upper(name) END"
+
+
+@query("read_procedure", "WITH " + BLOCKS_SQL + f""",
+pr AS (SELECT doc_id, name, line_start, line_end FROM blocks WHERE kind <> 'module'),
+rq AS (SELECT DISTINCT doc_id, {PROCEDURE_REQUEST} AS procedure FROM pr),
+ft AS (SELECT doc_id, lower(name) AS low, min((line_start, line_end)) AS f FROM pr GROUP BY 1, 2),
+pl AS (SELECT rq.*, ft.f[1] AS a, ft.f[2] AS b FROM rq LEFT JOIN ft ON ft.doc_id = rq.doc_id AND ft.low = lower(procedure)),
+n AS (SELECT doc_id, procedure, a, b, array_to_string(list_transform(list_slice(string_split(text, chr(10)), a, b), lambda x, i: (i + a - 1)||': '||x), chr(10)) AS w
+  FROM pl JOIN modules USING (doc_id) WHERE a IS NOT NULL),
+s AS (SELECT *, CASE WHEN length(w) > 300 THEN regexp_replace(substr(w,1,300), '\n[^\n]*$', '') ELSE w END AS shown FROM n)
+SELECT doc_id, procedure, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end, shown,
+  CASE WHEN length(w) > 300 THEN CAST(length(shown)-length(replace(shown, chr(10), '')) + a + 1 AS INTEGER) END AS next_start FROM s
+UNION ALL SELECT pl.doc_id, procedure, NULL, NULL, string_agg(name, chr(10) ORDER BY line_start), NULL FROM pl JOIN pr USING (doc_id) WHERE a IS NULL GROUP BY 1, 2""")
+def _(t):
+    docs = modules(t.documents)
+    blocks = segment_blocks(docs, ["doc_id"], "text").select("doc_id", "kind", "name", "line_start", "line_end")
+    asked = blocks.filter("kind <> 'module'").select("doc_id", F.expr(PROCEDURE_REQUEST).alias("procedure"))
+    return A.read_procedures(docs, blocks, asked, "text", 300)
+
+
 @query("line_numbers", """
 SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS line_text FROM documents""")
 def _(t):
