@@ -130,6 +130,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = ["way", "m", "ra", "rb"]
     place = F.struct("_d", "_h", "i")
     firsts = found.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts = materialise(firsts, "firsts")  # for the same reason as above
     later = found.join(firsts, key).where(place > F.col("first")).select("_d", "_h", "i", (F.col("i") + F.col("m") - 1).alias("e"))
     order = Window.partitionBy("_d", "_h").orderBy("i", "e")
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
