@@ -328,7 +328,12 @@ def _(t):
     return fused(t, 8)[0].select("question_id", "rank", "file_id", "line_start", "score")
 
 
-@query("degrade_without_vectors")
+SEMANTIC_SQL = """
+  UNION ALL SELECT question_id//10, question_id%10, true, place, file_id, line_start FROM sl WHERE place <= 50"""
+
+
+@query("degrade_without_vectors", FUSE_SQL.replace(SEMANTIC_SQL, "").replace(
+    "SELECT question_id, rank, file_id, line_start, score FROM fr", "SELECT question_id, rank, file_id, line_start, score, 'semantic search is not available: there are no vectors' AS note FROM fr") + "8")
 def _(t):
     hits, note = fused(t, 8, semantic=False)
     return hits.select("question_id", "rank", "file_id", "line_start", "score", F.lit(note).alias("note"))
