@@ -341,9 +341,12 @@ def object_modules(owners: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def near_names(names: DataFrame, requests: DataFrame, group: str, limit: int = 200) -> DataFrame:
-    """Names of the asked group that hold the request, else all of the group."""
-    joined = requests.join(names, group)
-    near = F.contains(F.lower("name"), F.lower("request"))
-    some = joined.groupBy("request_id").agg(F.bool_or(near).alias("_some"))
-    kept = joined.join(some, "request_id").filter(~F.col("_some") | near)
-    return newest(kept, ["request_id"], limit, F.col("name_order")).select("request_id", "rank", "name")
+    """Names of the asked group that hold the request, else the first names of the group.
+
+    Only names that hold it leave the join; what a request without any gets is cut per group before it is joined.
+    """
+    order, shown = F.col("name_order"), ["request_id", "rank", "name"]
+    near = requests.join(names, group).filter(F.contains(F.lower("name"), F.lower("request")))
+    found = materialise(newest(near, ["request_id"], limit, order).select(*shown), "near")
+    others = requests.join(found.select("request_id").distinct(), "request_id", "left_anti")
+    return found.unionByName(others.join(newest(names, [group], limit, order), group).select(*shown))
