@@ -36,7 +36,11 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 NOISE = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner comment comments reply replies "
                   "respond disqus sidebar side menu nav navbar navigation navigator breadcrumb breadcrumbs footer masthead topbar cookie "
                   "cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
-                  "related recommended widget toolbar pagination pager skip search feedback disclaimer copyright".split())
+                  "related recommended widget toolbar pagination pager skip search feedback disclaimer copyright "
+                  "complementary contentinfo gdpr commentlist commentform adsbygoogle adbox adslot adunit adbanner advertising "
+                  "topnav subnav mainmenu menubar sitefooter pagefooter cookiebar".split())
+# Whole class and id names of a page's head, where they stand outside the article
+PAGE_HEADS = frozenset("header site-header page-header top-header main-header global-header siteheader pageheader".split())
 
 TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -64,6 +68,8 @@ def _noisy(name: str, attributes: str, in_article: bool) -> bool:
     if HIDDEN.search(attributes):
         return True
     for _, a, b, c in NAMES.findall(attributes):
+        if not in_article and PAGE_HEADS.intersection((a or b or c).lower().split()):
+            return True
         if NOISE.intersection(p.lower() for p in PARTS.findall(a or b or c)):
             return True
     return False

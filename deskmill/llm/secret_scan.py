@@ -8,7 +8,6 @@ rule, which reads back from the end over the match only.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from dataclasses import dataclass, field
 

@@ -145,6 +145,7 @@ def test_html_query(spark):
 
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site name</h1><p>Welcome to our site, it has many words</p></header>
+<div class="top header"><p>The second head of this site is made of words too</p></div>
 <div class="cookie-notice"><p>We use cookies on this site, please accept them all.</p></div><div id="content"><h1>Title &amp; more</h1>
 <p>First paragraph of the story, long   enough to win.</p><div class="advert"><p>Buy cheap things now, they are very good</p></div>
 <p>Second paragraph<br>with a <a href="x">link &lt;in&gt;</a> side.</p><form><p>Subscribe here please</p><input></form></div>
