@@ -40,7 +40,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
 
     row = F.struct(F.col(id_col).alias("_a"), F.col(text_col).alias("_b"), F.struct(*kept).alias("row"))
     full = docs.select(bucket.alias("bucket"), row.alias("r")).groupBy("bucket").agg(F.collect_list("r").alias("rows"))
-    # the fixed order before the shuffle makes it the same whatever order the rows arrived in
+    # the fixed orders of buckets in a task and of rows in a bucket make the seeded shuffle the same when a lost task runs again
+    full = full.sortWithinPartitions("bucket")
     ordered = F.array_sort("rows", lambda x, y: F.when(F.coalesce(x["_a"] < y["_a"], x["_a"].isNull() & y["_a"].isNotNull()), -1)
                            .when(F.coalesce(x["_a"] > y["_a"], x["_a"].isNotNull() & y["_a"].isNull()), 1)
                            .when(F.coalesce(x["_b"] < y["_b"], x["_b"].isNull() & y["_b"].isNotNull()), -1)
