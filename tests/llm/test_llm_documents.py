@@ -113,6 +113,18 @@ def test_near_texts(spark):
     assert sum(got[i] == want[i] for i in got) >= 0.98 * len(got)
 
 
+def test_near_texts_with_repeated_passages(spark):
+    """A passage said many times in a line adds few shingles to the set that is compared."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = []
+    for g in range(20):
+        base = [word() for _ in range(500)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:230] + base[200:230] * (3 + g) + base[230:]))]
+    got = {r.id: r.component for r in near_texts.near_groups(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_keep_one_odd_rows(spark):
     kept = near_texts.keep_one(frame(spark, ODD))
     assert kept.columns == [c.split()[0] for c in SHAPE.split(", ")]
