@@ -125,6 +125,21 @@ def test_near_texts_with_repeated_passages(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_near_texts_of_unequal_length(spark):
+    """Truncated and appended copies with similarities of 0.80 to 0.85."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = []
+    for g in range(400):
+        runs = (5, 8, 20, 36, 100, 400)[g % 6]
+        more = int(runs / (0.80, 0.82, 0.85)[g % 3] + 1e-9)
+        base = [word() for _ in range(more + 4)]
+        short = base[:runs + 4] if g % 2 else base[more - runs:]
+        rows += [(2 * g, " ".join(short)), (2 * g + 1, " ".join(base))]
+    got = {r.id: r.component for r in near_texts.near_groups(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * g + 1] == 2 * g for g in range(400)) >= 399
+
+
 def test_keep_one_odd_rows(spark):
     kept = near_texts.keep_one(frame(spark, ODD))
     assert kept.columns == [c.split()[0] for c in SHAPE.split(", ")]
