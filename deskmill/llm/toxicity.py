@@ -25,7 +25,6 @@ from deskmill.session import materialise
 WORDS = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6)
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 4000, 8000
-TERMS = 600  # most telling terms, by chi-square over the examples
 RAREST = 4  # examples a term has to occur in
 LIFT = 3.0  # least ratio of a term's shares among toxic and clean examples; weak signs are many and common
 SIGNIFICANT = 6.0  # least chi-square of a term
@@ -49,34 +48,47 @@ def held_out(id_col):
 # --- the index
 
 class BlockMaxIndex:
-    """Postings by term over blocks of entries, with the largest weight of every term in every block."""
+    """Sparse postings by term and block of entries, with the largest weight of every term in every block."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
         # entries with the same heaviest term lie together, which keeps the bounds of blocks tight
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), i))
         self.order, self.block, self.blocks = np.array(order, np.int64), block, -(-len(order) // block)
-        self.weights = np.zeros((terms, self.blocks, block))
+        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in range(terms)]
         for at, i in enumerate(order):
             for t, w in vectors[i].items():
-                self.weights[t, at // block, at % block] = w
-        self.most = self.weights.max(2) if self.blocks and terms else np.zeros((terms, self.blocks))
+                lists[t][0].append(at)
+                lists[t][1].append(w)
+        self.places = [np.array(p, np.int64) for p, _ in lists]
+        self.weights = [np.array(w) for _, w in lists]
+        # for each term the blocks it occurs in and its largest weight there
+        self.most = []
+        for places, weights in zip(self.places, self.weights):
+            blocks, starts = np.unique(places // block, return_index=True)
+            self.most.append((blocks, np.maximum.reduceat(weights, starts) if len(starts) else weights))
 
     def nearest(self, query: dict[int, float], count: int, votes: np.ndarray) -> list[tuple[float, int]]:
         """(cosine, entry) by falling cosine, ties by entry, until ``count`` votes are reached; whole entries.
 
-        Blocks come by falling bound, a few more each time, until none left can hold an entry as near as the last one
-        needed. Only entries with a cosine above zero are in question; ``votes`` says how many examples an entry stands for.
+        The postings of the query's terms are summed, then entries are ranked in blocks by falling bound, more each time, until
+        no block left can hold an entry as near as the last one needed. Only entries with a cosine above zero are in
+        question; ``votes`` says how many examples an entry stands for.
         """
         terms = sorted(query)
-        q = np.array([query[t] for t in terms])
-        bound = q @ self.most[terms] + 1e-11
+        cosines, bound = np.zeros(self.blocks * self.block), np.zeros(self.blocks)
+        for t in terms:
+            cosines[self.places[t]] += query[t] * self.weights[t]
+            blocks, most = self.most[t]
+            bound[blocks] += query[t] * most
+        bound += 1e-11
+        cosines = np.round(cosines, 12).reshape(self.blocks, self.block)
         order = np.argsort(-bound, kind="stable")
         scores, entries = np.zeros(0), np.zeros(0, np.int64)
         least, at, step = 1e-11, 0, 4
         while at < len(order) and bound[order[at]] > least:
             chosen = order[at:at + step]
             chosen = chosen[bound[chosen] > least]
-            score = np.round(np.tensordot(q, self.weights[np.ix_(terms, chosen)], 1), 12)
+            score = cosines[chosen]
             row, col = np.nonzero(score >= max(least - 1e-11, 1e-12))
             scores = np.concatenate([scores, score[row, col]])
             entries = np.concatenate([entries, self.order[chosen[row] * self.block + col]])
@@ -230,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lean = F.col("a") * d - F.col("b") * c
     chi = F.lit(float(pos + neg)) * lean * lean / ((F.col("a") + F.col("b")) * (c + d + 0.5) * F.lit(max(pos, 1)) * F.lit(max(neg, 1)))
     strong = F.col("a") * F.lit(max(neg, 1)) >= LIFT * F.col("b") * F.lit(max(pos, 1))
-    telling = both.where((lean > 0) & strong & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "term").limit(TERMS)
+    # every term that passes, as many as the bounded sample's words give
+    telling = both.where((lean > 0) & strong & (chi >= SIGNIFICANT)).select("term")
     terms = sorted(r["term"] for r in telling.collect()) if pos and neg else []
     lookup = {t: i for i, t in enumerate(terms)}
 

@@ -216,6 +216,17 @@ def test_block_max_is_exact():
         assert all(abs(s - sum(w * vectors[e].get(t, 0.0) for t, w in query.items())) < 1e-12 for s, e in got)
 
 
+def test_toxicity_keeps_all_telling_terms(spark):
+    """900 words, each in six toxic examples of its own: all of them are terms, also the rarest."""
+    name = lambda n: "".join(chr(97 + int(d)) for d in f"{n:03}")
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic, clean = ids[:1800], ids[1800:3600]
+    docs = [(i, " ".join(name((n + 150 * k) % 900) for k in range(3))) for n, i in enumerate(toxic)] + [(i, "zzz") for i in clean]
+    labels = frame(spark, [(i, int(n < 1800)) for n, i in enumerate(toxic + clean)], "doc_id long, toxic int")
+    model, _ = toxicity.fit(frame(spark, docs, "doc_id long, text string"), labels)
+    assert {name(n) for n in range(900)} == set(model.names)
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     scored = QUERIES["op3_toxicity"](spark, folder)
