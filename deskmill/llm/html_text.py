@@ -3,7 +3,8 @@
 A page is read once as a row of tags and words. Words score by the element they stand in, tags by their name, as log-odds of
 lying inside the article; the odds come from pages that mark their article themselves (labelled pages), counted over a bounded
 sample. One linear scan finds the row with the largest sum. Inside it, blocks of menus, adverts, forms, comments and the
-like are left out, and what remains is decoded and joined. Pages are worked on where they lie.
+like are left out, and what remains is decoded and joined. A block that its class, id or a form makes one of these is kept after all
+where it proves to be a wrapper, that is, where it holds the page's article or most of its words. Pages are worked on where they lie.
 """
 
 from __future__ import annotations
@@ -39,6 +40,16 @@ NOISE = frozenset("ad ads adv advert adverts advertisement sponsor sponsored pro
                   "related recommended widget toolbar pagination pager skip search feedback disclaimer copyright "
                   "complementary contentinfo gdpr commentlist commentform adsbygoogle adbox adslot adunit adbanner advertising "
                   "topnav subnav mainmenu menubar sitefooter pagefooter cookiebar".split())
+# Words that may stand beside these in a name; a name with any other word, like has-sidebar or related-work, says something else
+NEUTRAL = frozenset("site main page top bottom left right list block wrap wrapper container area section bar box button buttons link links post "
+                    "posts article articles story stories content inner outer form primary secondary global header item items icon icons "
+                    "entry entries recent slot unit panel group row col column title text body google js the tools this media "
+                    "thread to count js desktop mobile sticky fixed floating inline".split())
+WEAK = frozenset("alert notice notices side".split())  # these say something only alone or beside another of NOISE
+# Words of blocks that are no wrappers however long they are
+STANDING = frozenset("comment comments reply replies respond disqus commentlist commentform cookie cookies consent gdpr cookiebar".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+HEAD_PARTS = frozenset("base basefont bgsound link meta title script noscript style template noframes head html".split())
 # Whole class and id names of a page's head, where they stand outside the article
 PAGE_HEADS = frozenset("header site-header page-header top-header main-header global-header siteheader pageheader".split())
 
@@ -60,34 +71,80 @@ class Piece:
     inside: bool
 
 
-def _noisy(name: str, attributes: str, in_article: bool) -> bool:
+SOFT, HARD = 1, 2
+
+
+def _veto(name: str, attributes: str, in_article: bool) -> int:
+    """Whether a block is not the article: 0, SOFT if it may still prove to be a wrapper, or HARD."""
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return SOFT if name == "form" else HARD
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return 0
     if HIDDEN.search(attributes):
-        return True
+        return HARD
+    if name in HEADINGS:
+        return 0
+    found = 0
     for _, a, b, c in NAMES.findall(attributes):
-        if not in_article and PAGE_HEADS.intersection((a or b or c).lower().split()):
-            return True
-        if NOISE.intersection(p.lower() for p in PARTS.findall(a or b or c)):
-            return True
-    return False
+        for word in (a or b or c).split():
+            parts = {p.lower() for p in PARTS.findall(word)}
+            noise = parts & NOISE
+            if noise and parts <= NOISE | NEUTRAL and (noise - WEAK or len(parts) == 1):
+                found = max(found, HARD if noise & STANDING else SOFT)
+            elif not in_article and word.lower() in PAGE_HEADS:
+                found = max(found, SOFT)
+    return found
+
+
+@dataclass
+class Block:
+    """A block that may have to go, and what it holds outside of blocks inside it; the first is the page itself."""
+    up: int
+    hard: bool
+    inside: bool
+    words: int = 0  # outside of links
+    articles: int = 0
+    mains: int = 0
+
+
+def _gone(blocks: list[Block]) -> list[bool]:
+    """For every block whether it goes. A soft one stays that holds <main>, the page's articles or most of its words."""
+    own = [(b.words, b.articles) for b in blocks]
+    goes = [False] * len(blocks)
+    above: list[tuple[int, int]] = [(0, 0)]  # words and articles of the blocks around
+    for b in blocks[1:]:
+        above.append((above[b.up][0] + own[b.up][0], above[b.up][1] + own[b.up][1]))
+    for i in range(len(blocks) - 1, 0, -1):
+        b, (words, articles) = blocks[i], above[i]
+        holds = not b.inside and (b.mains or (b.articles and not articles and 2 * b.words >= words))
+        goes[i] = b.hard or not (holds or b.words > 2 * words)
+        if not goes[i]:
+            up = blocks[b.up]
+            up.words, up.articles, up.mains = up.words + b.words, up.articles + b.articles, up.mains + b.mains
+    for i in range(1, len(blocks)):
+        goes[i] |= goes[blocks[i].up]
+    return goes
 
 
 def read_page(page: str | None) -> list[Piece]:
     """Tags and texts in page order; a linear pass that stands unclosed and crossed elements."""
     page, out, at = page or "", [], 0
-    stack: list[tuple[str, bool, bool]] = []  # element, noise, inside an article
+    stack: list[tuple[str, int, bool]] = []  # element, number of its block, inside an article
+    blocks, of = [Block(0, False, False)], []
 
     def text(end: int):
         if end > at:
             part = html.unescape(page[at:end])
-            name, noise, inside = stack[-1] if stack else ("", False, False)
+            if stack and stack[-1][0] == "head" and part.strip():
+                stack.pop()
+            name, block, inside = stack[-1] if stack else ("", 0, False)
             up = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "")
             linked = "/a" if any(s[0] == "a" for s in stack[-4:]) else ""
             feature = "w:" + up + linked
-            out.append(Piece(feature, len(part.split()), part, noise, False, inside))
+            out.append(Piece(feature, len(part.split()), part, False, False, inside))
+            of.append(block)
+            if not linked:
+                blocks[block].words += out[-1].words
 
     match = TOKEN.search(page)
     while match:
@@ -99,11 +156,14 @@ def read_page(page: str | None) -> list[Piece]:
         elif match[2]:
             name = match[2].lower()
             if match[1]:
-                closed = next((s for s in reversed(stack) if s[0] == name), ("", False, False))
+                closed = next((s for s in reversed(stack) if s[0] == name), ("", 0, False))
                 if closed[0]:
                     while stack.pop()[0] != name:
                         pass
             else:
+                if name == "body" or (stack and stack[-1][0] == "head" and name not in HEAD_PARTS):
+                    # the head ends where the body begins, whether it was closed or not
+                    del stack[next((n for n, s in enumerate(stack) if s[0] == "head"), len(stack)):]
                 if name in CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                     own = ("p",) if name in CLOSES_P else (name,)
                     for depth in range(len(stack) - 1, -1, -1):
@@ -112,19 +172,30 @@ def read_page(page: str | None) -> list[Piece]:
                             break
                         if stack[depth][0] not in INLINE and stack[depth][0] != "p":
                             break
-                _, noise, inside = stack[-1] if stack else ("", False, False)
-                noise = noise or _noisy(name, match[3], inside)
+                _, block, inside = stack[-1] if stack else ("", 0, False)
+                veto = 0 if blocks[block].hard else _veto(name, match[3], inside)
+                if veto:
+                    blocks.append(Block(block, veto == HARD, inside))
+                    block = len(blocks) - 1
+                blocks[block].articles += name in ARTICLE
+                blocks[block].mains += name == "main"
                 if name not in VOID and not match[3].endswith("/"):
-                    stack.append((name, noise, inside or name in ARTICLE))
-            _, noise, inside = closed if match[1] and closed[0] else stack[-1] if stack else ("", False, False)
-            out.append(Piece(f"<{match[1]}{name}", 0, None, noise, name not in INLINE, inside and name not in ARTICLE))
+                    stack.append((name, block, inside or name in ARTICLE))
+            _, block, inside = closed if match[1] and closed[0] else stack[-1] if stack else ("", 0, False)
+            out.append(Piece(f"<{match[1]}{name}", 0, None, False, name not in INLINE, inside and name not in ARTICLE))
+            of.append(block)
             if name == "br":
-                out.append(Piece("w:", 0, " ", noise, False, inside))
+                out.append(Piece("w:", 0, " ", False, False, inside))
+                of.append(block)
             if name in RAW and not match[1] and not match[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
                 at = end.start() if end else len(page)
         match = TOKEN.search(page, at)
     text(len(page))
+    if len(blocks) > 1:
+        goes = _gone(blocks)
+        for p, block in zip(out, of):
+            p.noise = goes[block]
     return out
 
 

@@ -163,6 +163,28 @@ def test_main_text_of_other_pages():
         assert html_text.main_text(page, {}) == text
 
 
+def test_wrappers_are_not_noise():
+    story = "<h1>A title of five words</h1><p>The story has a few words in its first paragraph.</p>"
+    want = "A title of five words\n\nThe story has a few words in its first paragraph."
+    side = '<div class="sidebar"><p>Read these other things on the side</p></div><nav><a href="x">One menu</a></nav>'
+    for before, after in (('<div class="has-sidebar">', "</div>"), ('<div class="content-with-sidebar">', "</div>"),
+                          ('<div class="two-column left-side">', "</div>"), ("<form action=x>", "</form>"), ('<div class="sidebar">', "</div>")):
+        for body in (story, f"<article>{story}</article>", f"<main>{story}</main>"):
+            assert html_text.main_text(f"<html><body>{before}{body}{side}{after}</body></html>", {}) == want
+    assert html_text.main_text(f"<html><head><title>t</title><meta x=y><body>{story}</body></html>", {}) == want
+    assert html_text.main_text(f"<head><title>t</title>{story}", {}) == want
+
+
+def test_names_that_only_hold_a_noise_word():
+    parts = [f'<h2 id="{x}">About {x}</h2><p>Here are some words.</p>' for x in ("related-work", "search-algorithms", "social-effects", "side-effects",
+                                                                               "comments")]
+    page = "<article>" + "".join(parts) + '<div class="alert-box"><p>Mind this.</p></div><div class="ad"><p>Buy it.</p></div></article>'
+    text = html_text.main_text(page, {})
+    assert text.count("Here are some words.") == text.count("About ") == 5 and "Mind this." in text and "Buy it." not in text
+    talk = '<article><p>Short story.</p><section class="comments"><p>' + "a long talk " * 50 + "</p></section></article>"
+    assert html_text.main_text(talk, {}) == "Short story."
+
+
 def test_best_region_is_the_largest_sum():
     rng = np.random.default_rng(5)
     for _ in range(200):
