@@ -232,9 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = materialise(choose_examples(labels, id_col, label_col, toxic_examples, clean_examples), "examples")
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     rate = usable.agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
-    # the sample is bounded by its two parameters, so it may go to every task
-    taught = texts.join(F.broadcast(sample), "id").select("text", "y")
-    both = taught.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(
+    # the sample is bounded by its two parameters, so it may go to every task; of rows that repeat an id one teaches
+    taught = materialise(texts.join(F.broadcast(sample), "id").groupBy("id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("one")).select("id", "one.text", "one.y"), "taught")
+    both = taught.select("text", "y").mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where(F.col("a") + F.col("b") >= RAREST)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -255,9 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType
     lists = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("terms", "counts")]
-    found = materialise(texts.mapInArrow(extract, T.StructType([T.StructField("id", kind), *lists])), "terms")
+    shape = T.StructType([T.StructField("id", kind), *lists])
+    found = materialise(texts.mapInArrow(extract, shape), "terms")
     frequency = {r[0]: r[1] for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    rows = found.join(F.broadcast(sample), "id").select("id", "terms", "counts", "y").collect()
+    rows = taught.select("id", "text").mapInArrow(extract, shape).join(F.broadcast(sample), "id").select("id", "terms", "counts", "y").collect()
     examples = sorted((r["id"], tuple(r["terms"]), tuple(r["counts"]), r["y"]) for r in rows)
     return Model(terms, frequency, found.count(), examples, rate), found
 

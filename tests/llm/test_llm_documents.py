@@ -227,6 +227,15 @@ def test_toxicity_keeps_all_telling_terms(spark):
     assert {name(n) for n in range(900)} == set(model.names)
 
 
+def test_toxicity_repeated_ids(spark):
+    """An id on many rows is one example."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:100]
+    docs = [(i, "vile words" if n % 2 else "good day") for n, i in enumerate(ids)] + [(ids[1], f"vile words {k}") for k in range(2000)]
+    labels = frame(spark, [(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    model, found = toxicity.fit(frame(spark, docs, "doc_id long, text string"), labels)
+    assert model.votes.sum() + model.none[1] == len(ids) and found.count() == len(docs)
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     scored = QUERIES["op3_toxicity"](spark, folder)
