@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from deskmill.llm import bpe, line_dedup, packing, secret_scan, sharding, simhash, toxicity
+from deskmill.llm import bpe, divergence, line_dedup, packing, periodic_runs, secret_scan, sharding, simhash, toxicity
 from deskmill.llm.registry import query
 
 # Fingerprints themselves need bit votes over XXH64 that DuckDB lacks, so op1 is compared with brute force in tests/llm.
@@ -93,3 +93,61 @@ FROM sums s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.u = s.u GROUP BY s.doc
 @query("op6_line_dedup", OP6_SQL)
 def op6(t):
     return line_dedup.drop_repeated_lines(t.documents).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), used AS (
+  SELECT d, lang, source, unnest(words) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*)::BIGINT AS lang_n FROM used GROUP BY lang, term HAVING count(DISTINCT d) >= 10
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), counts AS (
+  SELECT lang, source, term, count(*)::BIGINT AS n FROM used JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::BIGINT AS total,
+         (SELECT count(*) FROM kept k WHERE k.lang = g.lang)::BIGINT AS v FROM groups g
+), langs AS (
+  SELECT lang, sum(total)::BIGINT AS total FROM sizes GROUP BY lang
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (s.total + 2 * s.v) AS p,
+         1 + (1000000000 * (k.lang_n + 2)) // (l.total + 2 * s.v) AS q
+  FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM items
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(t):
+    return divergence.source_divergence(t.documents)
+
+
+@query("op12_periodic_runs")
+def op12(t):
+    # a tenth of the documents is made periodic, as its id says, so that runs of every size occur
+    docs = t.documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_seed"))
+    found = periodic_runs.collapse_runs(docs, min_words=12, seed_col="_seed")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                              (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    rows = found.select("doc_id", "runs", best.alias("best"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, period = -F.col("best.start"), -F.col("best.period")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), F.col("best.length").alias("length"),
+                       period.alias("period"), F.floor(1000 * F.col("best.length") / period).cast("long").alias("exponent_milli"),
+                       F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), "collapsed_sha256")
