@@ -14,28 +14,28 @@ shuffle; a task holds the trees of about ``TREE_WORDS`` words, or of one longer
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TREE_WORDS = 100_000
+TREE_WORDS = 5_000
 
 
-def suffix_tree(symbols: list[int], width: int) -> tuple[dict[int, int], list[int], list[int], list[int]]:
-    """Ukkonen's suffix tree of a sequence whose last symbol occurs once: edges, starts, ends, leaves.
+def suffix_tree(symbols: list[int], width: int) -> tuple[dict[int, int], list[int], list[int]]:
+    """Ukkonen's suffix tree of n symbols below ``width``, the last of which occurs once: edges, starts, ends.
 
-    ``edges`` maps node * width + first symbol to a child; an edge's label is symbols[start:end], the end of a leaf's is
-    len(symbols). ``leaves`` holds the leaf of each suffix. Node 0 is the root.
+    Node k < n is the leaf of suffix k, node n the root, the others are inner nodes. ``edges`` maps (node - n) * width + first
+    symbol to a child. An edge's label is symbols[starts[child]:end]; the end of an inner node's is ends[node - n], a leaf's is n.
     """
     n = len(symbols)
     edges: dict[int, int] = {}
-    starts, ends, links, leaves = [0], [0], [0], []
-    node = length = pending = 0
+    find = edges.get
+    starts, ends, links = [0] * n, [0], [0]  # leaves only, and inner nodes
+    starts.append(0)
+    leaf = node = length = pending = 0  # node counts from the root
     edge = 0  # where the label starts that the active point lies on
     for i, symbol in enumerate(symbols):
         pending += 1
@@ -44,33 +44,33 @@ def suffix_tree(symbols: list[int], width: int) -> tuple[dict[int, int], list[in
             if not length:
                 edge = i
             key = node * width + symbols[edge]
-            child = edges.get(key)
+            child = find(key)
             if child is None:
-                edges[key] = len(starts)
+                edges[key] = leaf
                 at = node
             else:
                 start = starts[child]
-                span = (ends[child] if ends[child] < i + 1 else i + 1) - start
-                if length >= span:
-                    node, edge, length = child, edge + span, length - span
+                if child >= n and length >= (span := ends[child - n] - start):
+                    node, edge, length = child - n, edge + span, length - span
                     continue
-                if symbols[start + length] == symbol:
+                follows = symbols[start + length]
+                if follows == symbol:
                     length += 1
                     if unlinked:
                         links[unlinked] = node
                     break
-                at = len(starts)
+                at = len(ends)
                 starts.append(start)
-                ends.append(start + length)
+                start += length
+                ends.append(start)
                 links.append(0)
-                edges[key] = at
-                edges[at * width + symbols[start + length]] = child
-                starts[child] = start + length
-                edges[at * width + symbol] = at + 1
-            leaves.append(len(starts))
-            starts.append(i)
-            ends.append(n)
-            links.append(0)
+                edges[key] = n + at
+                base = at * width
+                edges[base + follows] = child
+                starts[child] = start
+                edges[base + symbol] = leaf
+            starts[leaf] = i
+            leaf += 1
             if unlinked:
                 links[unlinked] = at
             unlinked = at
@@ -80,7 +80,7 @@ def suffix_tree(symbols: list[int], width: int) -> tuple[dict[int, int], list[in
             elif length:
                 length -= 1
                 edge = i - pending + 1
-    return edges, starts, ends, leaves
+    return edges, starts, ends
 
 
 class Extensions:
@@ -90,54 +90,51 @@ class Extensions:
     """
 
     def __init__(self, symbols: np.ndarray, ends: int):
-        width = int(symbols.max()) + 1
-        edges, starts, stops, leaves = suffix_tree(symbols.tolist(), width)
+        n, width = len(symbols), int(symbols.max()) + 1
+        edges, starts, stops = suffix_tree(symbols.tolist(), width)
         keys = np.fromiter(edges.keys(), np.int64, len(edges))
         child = np.fromiter(edges.values(), np.int64, len(edges))
-        self.nodes = len(starts)
-        self.leaves = np.array(leaves, np.int64)
-        self.parent = np.zeros(self.nodes, np.int64)
-        self.parent[child] = keys // width
+        self.suffixes, self.nodes = n, len(starts)
+        self.parent = np.full(self.nodes, n)
+        self.parent[child] = n + keys // width
         first = np.zeros(self.nodes, np.int64)
         first[child] = keys % width
-        self.depth = np.array(stops, np.int64) - np.array(starts, np.int64)
+        self.depth = np.concatenate([np.full(n, n), np.array(stops, np.int64)]) - np.array(starts, np.int64)
         up = self.parent.copy()
-        while up.any():  # string depths: labels summed towards the root by doubling
+        while (up != n).any():  # string depths: labels summed towards the root by doubling
             self.depth += self.depth[up]
             up = up[up]
-        self._forward = self._tour(first)
+        self._steps = self._tour(first)
         self._backward = np.where(first < ends, first, width + ends - first)
-        self.rank = self._ranks(self._forward)
+        self.rank = self._ranks(self._steps)
         self._minima()
 
     def _tour(self, order: np.ndarray) -> np.ndarray:
-        """Place of every node's first visit in the Euler tour that takes children by ``order``, by list ranking."""
-        n = self.nodes
-        nodes = np.arange(1, n)
-        by = nodes[np.lexsort((order[1:], self.parent[1:]))]
+        """Steps of the Euler tour that takes children by ``order``, by list ranking: into every node, then out of it."""
+        n, root = self.nodes, self.suffixes
+        nodes = np.delete(np.arange(n), root)
+        by = nodes[np.lexsort((order[nodes], self.parent[nodes]))]
         last = np.ones(len(by), bool)
         last[:-1] = self.parent[by[1:]] != self.parent[by[:-1]]
         opening = np.ones(len(by), bool)
         opening[1:] = last[:-1]
-        # steps 0..n-1 go down to a node, n..2n-1 leave it; step n leaves the root and is the end
-        after = np.arange(2 * n)
-        after[:n] += n
-        after[self.parent[by[opening]]] = by[opening]
-        after[n + by[~last]] = by[1:][~last[:-1]]
-        after[n + by[last]] = n + self.parent[by[last]]
+        # steps 0..n-1 go down to a node, n..2n-1 leave it; leaving the root is the end
+        jump = np.arange(2 * n)
+        jump[:n] += n
+        jump[self.parent[by[opening]]] = by[opening]
+        jump[n + by[~last]] = by[1:][~last[:-1]]
+        jump[n + by[last]] = n + self.parent[by[last]]
+        end = n + root
         left = np.ones(2 * n, np.int64)
-        left[n] = 0
-        jump = after
-        jump[n] = n
-        while (jump != n).any():
+        left[end] = 0
+        while (jump != end).any():
             left += left[jump]
             jump = jump[jump]
-        self._steps = left[0] - left
-        return self._steps[:n]
+        return left[root] - left
 
-    def _ranks(self, place: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(self.leaves), np.int64)
-        rank[np.argsort(place[self.leaves])] = np.arange(len(self.leaves))
+    def _ranks(self, steps: np.ndarray) -> np.ndarray:
+        rank = np.empty(self.suffixes, np.int64)
+        rank[np.argsort(steps[:self.suffixes])] = np.arange(self.suffixes)
         return rank
 
     def backward_rank(self) -> np.ndarray:
@@ -149,7 +146,7 @@ class Extensions:
         tour = np.empty(2 * n, np.int64)
         tour[self._steps[:n]] = self.depth
         tour[self._steps[n:]] = self.depth[self.parent]
-        places = np.sort(self._forward[self.leaves])
+        places = np.sort(self._steps[:self.suffixes])
         level = np.minimum.reduceat(tour, places)[:-1].astype(np.int32) if len(places) > 1 else np.zeros(0, np.int32)
         self.table = [level]
         step = 1
@@ -188,11 +185,10 @@ def runs_of(symbols: np.ndarray, ends: int, min_words: int) -> np.ndarray:
     found = []
     for rank in (right.rank, right.backward_rank()):
         stop = _lyndon_ends(rank.tolist())[starts]
-        found.append(np.stack([starts, stop], 1)[symbols[stop] >= ends])
-    pairs = np.unique(np.concatenate(found), axis=0)
-    i, j = pairs[:, 0], pairs[:, 1]
-    if not len(pairs):
+        found.append((starts * n + stop)[symbols[stop] >= ends])
+    if not sum(map(len, found)):
         return np.zeros((0, 3), np.int64)
+    i, j = np.divmod(np.unique(np.concatenate(found)), n)
     after = right.common(i, j)
     del right
     # the reversed sequence keeps the closing symbol at its end
@@ -200,7 +196,8 @@ def runs_of(symbols: np.ndarray, ends: int, min_words: int) -> np.ndarray:
     before = left.common(n - 1 - i, n - 1 - j)
     s, e, p = i - before, j + after, j - i
     good = e - s >= np.maximum(min_words, 2 * p)
-    return np.unique(np.stack([s[good], e[good], p[good]], 1), axis=0)
+    first = np.unique(s[good] * n + e[good], return_index=True)[1]  # a stretch has one smallest period
+    return np.stack([s[good], e[good], p[good]], 1)[first]
 
 
 def _repeating(ids: np.ndarray, group: np.ndarray, grams: int) -> np.ndarray:
@@ -260,20 +257,19 @@ def find_runs(ids: np.ndarray, lengths: np.ndarray, min_words: int) -> np.ndarra
     return runs[np.lexsort((runs[:, 3], runs[:, 1], runs[:, 0]))]
 
 
-def planted(words: list[bytes], seed: int | None) -> list[bytes]:
-    """The words of a document, made periodic from some place on if the seed says so.
+def planted(length: int, seed: int | None) -> np.ndarray | None:
+    """Which words of a document of natural words make up one with known runs; None for the words as they are.
 
-    With ``g = seed // 10``, a seed that ends in 0 lets every word from ``a = g % n`` on repeat the words from a on with
-    period ``1 + (n - a) // (3 + g % 8)``. It gives texts of natural words with known runs.
+    With ``g = seed // 10``, a seed that ends in 0 lets every word from ``a = g % length`` on repeat the words from a on with
+    period ``1 + (length - a) // (3 + g % 8)``.
     """
-    n = len(words)
-    if seed is None or seed % 10 or not n:
-        return words
+    if seed is None or seed % 10 or not length:
+        return None
     g = seed // 10
-    a = g % n
-    period = 1 + (n - a) // (3 + g % 8)
-    cycle = words[a:a + period]
-    return words[:a] + (cycle * (-(-(n - a) // period)))[:n - a]
+    a = g % length
+    words = np.arange(length)
+    words[a:] = a + (words[a:] - a) % (1 + (length - a) // (3 + g % 8))
+    return words
 
 
 RUN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "period")])
@@ -291,33 +287,38 @@ def collapse_runs(docs: DataFrame, min_words: int = 12, text_col: str = "text",
     names = [c for c in docs.columns if c not in added]
     kept = F.struct(*[docs[f"`{c}`"] for c in names]) if names else F.struct(F.lit(0).alias("_"))
     seed = docs[f"`{seed_col}`"].cast("long") if seed_col else F.lit(None).cast("long")
-    frame = docs.select(kept.alias("row"), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).cast("binary").alias("text"),
+    frame = docs.select(kept.alias("row"), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).alias("text"),
                         seed.alias("seed"))
     schema = T.StructType([frame.schema["row"], T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed", T.StringType())])
     run_type = pa.struct([(f.name, pa.int64()) for f in RUN])
 
     def work(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = [planted(t.split(), s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            number = defaultdict(count().__next__)
-            lengths = np.array([len(w) for w in words], np.int64)
-            ids = np.fromiter((number[x] for w in words for x in w), np.int64, int(lengths.sum()))
-            runs = find_runs(ids, lengths, min_words)
+            split = pc.ascii_split_whitespace(batch.column(1))  # spaces and the characters 9 to 13
+            words = split.flatten()
+            real = pc.not_equal(words, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
             first = np.cumsum(lengths) - lengths
+            order = np.flatnonzero(real)
+            for d, seed in enumerate(batch.column(2).to_pylist()):
+                places = planted(int(lengths[d]), seed)
+                if places is not None:
+                    own = order[first[d]:first[d] + lengths[d]]
+                    own[:] = own[places]
+            ids = words.dictionary_encode().indices.to_numpy().astype(np.int64)[order]
+            runs = find_runs(ids, lengths, min_words)
             gone = np.zeros(len(ids) + 1, np.int64)
             begin = first[runs[:, 0]] + runs[:, 1]
             np.add.at(gone, begin + runs[:, 3], 1)
             np.add.at(gone, begin + runs[:, 2], -1)
             stays = np.cumsum(gone[:-1]) == 0
-            for d in np.unique(runs[:, 0]).tolist():
-                words[d] = [w for w, s in zip(words[d], stays[first[d]:first[d] + lengths[d]].tolist()) if s]
-            offsets = np.searchsorted(runs[:, 0], np.arange(len(words) + 1)).astype(np.int32)
+            left = np.concatenate([[0], np.cumsum(stays)])[np.append(first, len(ids))].astype(np.int32)
+            collapsed = pc.binary_join(pa.ListArray.from_arrays(pa.array(left), words.take(pa.array(order[stays]))), " ")
+            offsets = np.searchsorted(runs[:, 0], np.arange(len(sizes) + 1)).astype(np.int32)
             values = pa.StructArray.from_arrays([pa.array(runs[:, k]) for k in (1, 2, 3)], fields=list(run_type))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values),
-                 pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string())], schema.names)
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), collapsed], schema.names)
 
     made = frame.mapInArrow(work, schema)
     return made.select(*[F.col("row").getField(c).alias(c) for c in names], *added)

@@ -131,7 +131,7 @@ def run_texts():
     return texts
 
 
-@pytest.mark.parametrize("held", [100_000, 50])
+@pytest.mark.parametrize("held", [5_000, 50])
 def test_runs_are_plain(spark, monkeypatch, held):
     monkeypatch.setattr(periodic_runs, "TREE_WORDS", held)
     texts = run_texts()
