@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from deskmill.llm import bpe, divergence, line_dedup, packing, periodic_runs, secret_scan, sharding, simhash, toxicity
+from deskmill.llm import bpe, divergence, line_dedup, packing, periodic_runs, secret_scan, sharding, simhash, token_counts, toxicity
 from deskmill.llm.registry import query
 
 # Fingerprints themselves need bit votes over XXH64 that DuckDB lacks, so op1 is compared with brute force in tests/llm.
@@ -151,3 +151,10 @@ def op12(t):
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), F.col("best.length").alias("length"),
                        period.alias("period"), F.floor(1000 * F.col("best.length") / period).cast("long").alias("exponent_milli"),
                        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+@query("op13_token_counts")
+def op13(t):
+    counted = token_counts.count_tokens(t.documents.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))

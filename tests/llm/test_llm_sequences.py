@@ -7,9 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from deskmill.llm import divergence, periodic_runs
+from deskmill.llm import divergence, periodic_runs, token_counts
 from deskmill.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -183,3 +185,71 @@ def test_op12_on_whole_table(spark):
 
 def test_runs_of_nothing(spark):
     assert periodic_runs.collapse_runs(spark.createDataFrame([], "text string")).count() == 0
+
+
+# --- token counts
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def own_counter():
+    with open(PATH, encoding="utf-8") as file:
+        return token_counts.Counter(file.read(), *token_counts.character_classes())
+
+
+def odd_texts():
+    rnd = random.Random(11)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u3000", "'", "''", "'s", "'t", "'re", "'ve", "'ll", "'m", "'d", "'r", "'v", "'l", "'S", "a", "r", "e", "l",
+             "1", "٣", "é", "ж", "漢字", "\U0001f600", "!", ".", "<|endoftext|>", "<|endof", "the", "word", "\x00", "\x85", "\ufffd", "\u0301"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25))) for _ in range(6000)]
+    texts += ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 60))) for _ in range(2000)]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(1, 128), rnd.randrange(1, 0x3000)])) for _ in range(40)) for _ in range(2000)]
+    texts += ["".join(rnd.choice(["in", "ter", "nation", "al", "iz", "ing", "un", "ed", "s"]) for _ in range(rnd.randrange(1, 9))) for _ in range(2000)]
+    return texts + ["", "a" * 5000, " " * 3000, "'r", "'", " '", "x'r", "'s" * 400, "=" * 700, "ab" * 900 + "\n" * 400 + "c"]
+
+
+def test_token_counts_are_the_librarys(library, own_counter):
+    texts = odd_texts()
+    want = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    found = own_counter.count(texts)
+    assert [t for t, a, b in zip(texts, want, found.tolist()) if a != b] == []
+
+
+def test_token_counts_of_every_character(library, own_counter):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}'s" for c in points[k:k + 64]) for k in range(0, len(points), 64)]
+    assert own_counter.count(texts).tolist() == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_chunks_and_restarts_change_nothing(own_counter, monkeypatch):
+    texts = odd_texts()[:3000]
+    want = own_counter.count(texts).tolist()
+    whole = "".join(texts)
+    classes = np.append(own_counter.kinds[np.frombuffer(whole.encode("utf-32-le"), "<u4")], token_counts.END)
+    assert all((token_counts.pretoken_starts(classes, k) == token_counts.pretoken_starts(classes, len(classes))).all() for k in (1, 2, 7, 256))
+    monkeypatch.setattr(token_counts, "MOST_STATES", 50)
+    monkeypatch.setattr(token_counts, "SLICE", 300)
+    assert own_counter.count(texts).tolist() == want
+
+
+def test_token_counts_keep_columns(spark):
+    docs = spark.createDataFrame([("a b c", None, 9, "x"), (None, "<|endoftext|>", 9, "x"), ("", "y z", 9, "x")],
+                                 "row string, text string, n_tokens int, _in string")
+    assert sorted(map(tuple, token_counts.count_tokens(docs, PATH).collect()), key=str) == [
+        ("", "y z", "x", 2), ("a b c", None, "x", 0), (None, "<|endoftext|>", "x", 1)]
+    assert token_counts.count_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_op13_on_whole_table(spark, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = QUERIES["op13_token_counts"](spark, FOLDER).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
