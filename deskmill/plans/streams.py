@@ -11,16 +11,13 @@ from deskmill.session import materialise, workspace
 from deskmill.sources.views import JOURNAL_SQL, MESSAGES_SQL, journal, messages
 from deskmill.streaming import streams as S
 from deskmill.streaming.refresh import Versions, refresh
-from deskmill.streaming.runner import read_stream, run_available, run_versions
+from deskmill.streaming.runner import heartbeat, read_stream, run_available, run_versions
 
 
-# what the watermark has passed when the stream has read everything
-PASSED = "epoch_ms(ts) + 1 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)"
-
-
-def events(t, delay: str = "10 minutes"):
+def events(t, delay: str = "10 minutes", closed: bool = False):
     # as a glob the path may be one file or a folder of files
-    return read_stream(t.spark, f"{t.folder}/{{events}}.parquet", t.events.schema, delay=delay)
+    beat = heartbeat(t.events, "user_id", -1) if closed else None
+    return read_stream(t.spark, f"{t.folder}/{{events}}.parquet", t.events.schema, delay=delay, heartbeat=beat)
 
 
 @query("route_events", """
@@ -44,19 +41,18 @@ def _(t):
 
 
 @query("burst_stream", "WITH " + BURST_SQL + """
-, b2 AS (SELECT user_id, burst_no, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS INTEGER) AS n, max(burst_no) OVER (PARTITION BY user_id) AS last_no,
+, b2 AS (SELECT user_id, burst_no, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS INTEGER) AS n, 
   coalesce(string_agg(body, chr(10) ORDER BY ts, message_id) FILTER (kind<>'file'), '') AS question,
   coalesce(string_agg(CAST(message_id AS VARCHAR), ',' ORDER BY ts, message_id) FILTER (kind='file'), '') AS files FROM n GROUP BY 1, 2)
-SELECT user_id, first_ts, last_ts, n, question, files FROM b2
-WHERE burst_no < last_no OR epoch_ms(last_ts) + 10800000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
+SELECT user_id, first_ts, last_ts, n, question, files FROM b2""")
 def _(t):
-    out = run_available(S.bursts(messages(events(t)), 3 * 3600), "bursts")
+    out = run_available(S.bursts(messages(events(t, closed=True)), 3 * 3600), "bursts")
     return out.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
-@query("idle_sessions_stream", "WITH " + SESSIONS_SQL + " SELECT user_id, message_id, session_no, is_new FROM numbered WHERE " + PASSED)
+@query("idle_sessions_stream", "WITH " + SESSIONS_SQL + " SELECT user_id, message_id, session_no, is_new FROM numbered")
 def _(t):
-    return run_available(S.idle_sessions(messages(events(t)).filter("kind = 'text'"), IDLE), "sessions")
+    return run_available(S.idle_sessions(messages(events(t, closed=True)).filter("kind = 'text'"), IDLE), "sessions")
 
 
 @query("followup_stream", "WITH " + MESSAGES_SQL + """,
@@ -65,24 +61,23 @@ s AS (SELECT *, last_value(CASE WHEN kind='text' THEN ts END IGNORE NULLS) OVER
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, message_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, message_id AS file_id, text_id FROM s WHERE kind='file' AND ts - tts <= INTERVAL 3 HOUR""")
 def _(t):
-    texts, files = messages(events(t)).filter("kind = 'text'"), messages(events(t)).filter("kind = 'file'")
-    return S.latest_texts(run_available(S.followup_pairs(texts, files, 3 * 3600), "followups"))
+    return run_available(S.followups(messages(events(t, closed=True)), 3 * 3600), "followups")
 
 
 @query("late_files", "WITH " + MESSAGES_SQL + """,
 s AS (SELECT *, first_value(CASE WHEN kind='text' THEN ts END IGNORE NULLS) OVER w AS tts,
   first_value(CASE WHEN kind='text' THEN message_id END IGNORE NULLS) OVER w AS text_id FROM messages
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, message_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT user_id, message_id AS file_id, text_id, CASE WHEN tts - ts <= INTERVAL 360 MINUTE THEN 'attached' ELSE 'discarded' END AS state
-FROM s WHERE kind='file' AND text_id IS NOT NULL AND """ + PASSED.replace("(ts)", "(tts)", 1))
+SELECT user_id, message_id AS file_id, CASE WHEN tts - ts <= INTERVAL 360 MINUTE THEN text_id END AS text_id,
+  CASE WHEN tts - ts <= INTERVAL 360 MINUTE THEN 'attached' ELSE 'discarded' END AS state FROM s WHERE kind='file'""")
 def _(t):
-    return run_available(S.late_files(messages(events(t)), 360), "late")
+    return run_available(S.late_files(messages(events(t, closed=True)), 360), "late")
 
 
-@query("alert_stream", ALERT_SQL + " AND " + PASSED.replace("FROM events", "FROM ticks"))
+@query("alert_stream", ALERT_SQL)
 def _(t):
     table = materialise(ticks(t), "ticks")
-    stream = read_stream(t.spark, table.inputFiles()[0].rsplit("/", 1)[0], table.schema)
+    stream = read_stream(t.spark, table.inputFiles()[0].rsplit("/", 1)[0], table.schema, heartbeat=heartbeat(table, "monitor", "heartbeat"))
     return run_available(S.alerts(stream, 6 * 3600), "alerts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -95,20 +90,25 @@ def _(t):
 
 @query("retry_budget", "WITH RECURSIVE " + MESSAGES_SQL + """,
 m AS (SELECT *, message_id%5=0 AS works, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, message_id) AS rn FROM messages),
-st AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS message_id, NULL::VARCHAR AS link, 0 AS tries, 0::BIGINT AS since, NULL::VARCHAR AS action FROM (SELECT DISTINCT user_id FROM messages)
- UNION ALL SELECT m.user_id, m.rn, m.message_id,
-  CASE WHEN base_ref IS NOT NULL AND NOT works THEN base_ref WHEN base_ref IS NOT NULL THEN CASE WHEN link=base_ref THEN NULL ELSE link END
-    WHEN link IS NOT NULL AND (tries>=3 OR us-since > 86400000000 OR works) THEN NULL ELSE link END,
-  CASE WHEN base_ref IS NOT NULL AND NOT works THEN CASE WHEN link=base_ref THEN tries+1 ELSE 0 END WHEN base_ref IS NOT NULL THEN CASE WHEN link=base_ref THEN 0 ELSE tries END
-    WHEN link IS NOT NULL AND (tries>=3 OR us-since > 86400000000 OR works) THEN 0 WHEN link IS NOT NULL THEN tries+1 ELSE 0 END,
-  CASE WHEN base_ref IS NOT NULL AND NOT works THEN CASE WHEN link=base_ref THEN since ELSE us END WHEN base_ref IS NOT NULL THEN CASE WHEN link=base_ref THEN 0 ELSE since END
-    WHEN link IS NOT NULL AND (tries>=3 OR us-since > 86400000000 OR works) THEN 0 ELSE since END,
-  CASE WHEN base_ref IS NOT NULL THEN CASE WHEN works THEN 'connected' ELSE 'failed' END WHEN link IS NULL THEN NULL
-    WHEN tries>=3 OR us-since > 86400000000 THEN 'given_up' WHEN works THEN 'retry_connected' ELSE 'retry_failed' END
-  FROM st JOIN m ON m.user_id=st.user_id AND m.rn=st.rn+1)
-SELECT user_id, message_id, action FROM st WHERE action IS NOT NULL AND message_id IN (SELECT message_id FROM messages WHERE """ + PASSED + ")")
+st AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS message_id, NULL::VARCHAR AS link, 0 AS tries, 0::BIGINT AS since, NULL::VARCHAR AS action, false AS old
+   FROM (SELECT DISTINCT user_id FROM messages)
+ UNION ALL SELECT user_id, rn, message_id,
+  CASE WHEN base_ref IS NOT NULL AND NOT works THEN base_ref WHEN base_ref IS NOT NULL THEN CASE WHEN l=base_ref THEN NULL ELSE l END
+    WHEN l IS NOT NULL AND (t>=3 OR works) THEN NULL ELSE l END,
+  CASE WHEN base_ref IS NOT NULL AND NOT works THEN CASE WHEN l=base_ref THEN t+1 ELSE 0 END WHEN base_ref IS NOT NULL THEN CASE WHEN l=base_ref THEN 0 ELSE t END
+    WHEN l IS NOT NULL AND (t>=3 OR works) THEN 0 WHEN l IS NOT NULL THEN t+1 ELSE 0 END,
+  CASE WHEN base_ref IS NOT NULL AND NOT works THEN CASE WHEN l=base_ref THEN s ELSE us END WHEN base_ref IS NOT NULL THEN CASE WHEN l=base_ref THEN 0 ELSE s END
+    WHEN l IS NOT NULL AND (t>=3 OR works) THEN 0 ELSE s END,
+  CASE WHEN base_ref IS NOT NULL THEN CASE WHEN works THEN 'connected' ELSE 'failed' END WHEN l IS NULL THEN NULL
+    WHEN t>=3 THEN 'given_up' WHEN works THEN 'retry_connected' ELSE 'retry_failed' END, old
+  FROM (SELECT m.*, st.link IS NOT NULL AND us-since > 86400000000 AS old, CASE WHEN us-since <= 86400000000 THEN st.link END AS l,
+          CASE WHEN us-since <= 86400000000 THEN st.tries ELSE 0 END AS t, CASE WHEN us-since <= 86400000000 THEN st.since ELSE 0 END AS s
+        FROM st JOIN m ON m.user_id=st.user_id AND m.rn=st.rn+1))
+SELECT user_id, message_id, action FROM st WHERE action IS NOT NULL
+UNION ALL SELECT user_id, NULL, 'given_up' FROM st WHERE old
+UNION ALL SELECT user_id, NULL, 'given_up' FROM (SELECT user_id, arg_max(link IS NOT NULL, rn) AS pending FROM st GROUP BY 1) WHERE pending""")
 def _(t):
-    asked = messages(events(t)).withColumn("works", F.col("message_id") % 5 == 0)
+    asked = messages(events(t, closed=True)).withColumn("works", F.col("message_id") % 5 == 0)
     return run_available(S.retries(asked, 3, 24 * 60), "retries")
 
 

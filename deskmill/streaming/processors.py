@@ -1,4 +1,4 @@
-"""Keyed state machines of the message streams. Rows of a key are taken in event order within a micro-batch."""
+"""Keyed state machines of the message streams. Rows wait for the watermark and are taken in event order."""
 
 from __future__ import annotations
 
@@ -6,21 +6,23 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def _ordered(rows, by: list[str]) -> pd.DataFrame:
-    parts = list(rows)
-    return pd.concat(parts, ignore_index=True).sort_values(by) if parts else pd.DataFrame()
-
-
 def _micros(ts) -> int:
     return pd.Timestamp(ts).value // 1000
 
 
+def _due(at: int) -> int:
+    """The watermark in milliseconds that has passed a time in microseconds."""
+    return at // 1000 + 1
+
+
 class HeldRows(StatefulProcessor):
     """Rows wait in the state until the watermark has passed them and are then taken in event order, so that rows which
     come late over several micro-batches give what one ordered batch gives. Rows behind the watermark are dropped by Spark.
 
     A subclass says what it keeps of a row (``ROW``, starting with ``at long, id long``, and ``keep``), what it puts out
-    (``COLUMNS``), its state (``STATE``, ``EMPTY``), and how a row changes the state (``step``).
+    (``COLUMNS``), its state (``STATE``, ``EMPTY``), and how a row changes the state (``step``). A state that has to end by
+    itself says when (``ends``, in microseconds) and what it then puts out (``expire``); what ended before a row is put
+    out before the row is taken, so no state outlives its time, whether its key is heard of again or not.
     """
 
     ROW, COLUMNS, STATE, EMPTY = "", [], "", ()
@@ -29,6 +31,7 @@ class HeldRows(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", self.ROW)
         self.state = handle.getValueState("state", self.STATE)
+        self.timer = handle.getValueState("timer", "at long")
 
     def keep(self, row) -> tuple:
         raise NotImplementedError
@@ -36,30 +39,56 @@ class HeldRows(StatefulProcessor):
     def step(self, key, state, row) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
-    def _wait(self, rows) -> None:
-        """One timer, for the earliest row that waits."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if rows:
-            self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+    def ends(self, state) -> int | None:
+        return None
+
+    def expire(self, key, state) -> tuple[tuple, list[tuple]]:
+        return self.EMPTY, []
+
+    def _wake(self, at: int | None) -> None:
+        """The one timer of the key, for the earliest row that waits or the end of its state."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before == at:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues):
         new = [self.keep(r) for part in rows for r in part.itertuples()]
         self.held.appendList(new)
-        self._wait([tuple(x) for x in self.held.get()])
+        first = min(_due(r[0]) for r in new)
+        if not self.timer.exists() or first < self.timer.get()[0]:
+            self._wake(first)
         yield pd.DataFrame([], columns=self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         until = timerValues.getCurrentWatermarkInMs()
         rows = sorted((tuple(x) for x in self.held.get()), key=lambda r: r[:2])
-        due, later = [r for r in rows if r[0] // 1000 + 1 <= until], [r for r in rows if r[0] // 1000 + 1 > until]
+        due, later = [r for r in rows if _due(r[0]) <= until], [r for r in rows if _due(r[0]) > until]
         state, out = tuple(self.state.get()) if self.state.exists() else self.EMPTY, []
+
+        def close(by: int) -> None:
+            nonlocal state, out
+            while (end := self.ends(state)) is not None and end < by:
+                state, made = self.expire(key[0], state)
+                out += made
+
         for row in due:
+            close(row[0])
             state, made = self.step(key[0], state, row)
             out += made
+        close(until * 1000)
         self.state.clear() if state == self.EMPTY else self.state.update(state)
-        self.held.put(later) if later else self.held.clear()
-        self._wait(later)
+        if due:
+            self.held.put(later) if later else self.held.clear()
+        self.timer.clear()  # it has gone off
+        times = [r[0] for r in later[:1]] + [self.ends(state)]
+        self._wake(min((_due(x) for x in times if x is not None), default=None))
         yield pd.DataFrame(out, columns=self.COLUMNS)
 
 
@@ -90,46 +119,38 @@ class IdleSessions(HeldRows):
         return (at, base, number), [(key, message, number, new)]
 
 
-class Bursts(StatefulProcessor):
-    """Messages with short pauses put together; a command stands alone; a timer closes the open burst."""
+class Bursts(HeldRows):
+    """Messages with short pauses put together; a command stands alone; the end of the pause closes the open burst."""
 
+    ROW = "at long, id long, kind string, body string"
     COLUMNS = ["user_id", "first_ts", "last_ts", "n", "question", "files"]
+    STATE, EMPTY = "items array<struct<at:long,id:long,kind:string,body:string>>", ([],)
 
     def __init__(self, seconds: float):
         self.window = int(seconds * 1_000_000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "at long, kind string, message_id long, body string")
+    def keep(self, row):
+        return _micros(row.ts), int(row.message_id), row.kind, _text(row.body)
 
-    def _close(self, key, items):
-        texts = [b for _, kind, _, b in items if kind != "file"]
-        files = [str(m) for _, kind, m, _ in items if kind == "file"]
-        return (key[0], pd.Timestamp(items[0][0] * 1000), pd.Timestamp(items[-1][0] * 1000), len(items), "\n".join(texts), ",".join(files))
+    def ends(self, state):
+        return tuple(state[0][-1])[0] + self.window - 1 if state[0] else None
 
-    def handleInputRows(self, key, rows, timerValues):
-        items = [tuple(x) for x in self.open.get()]
-        out = []
-        for r in _ordered(rows, ["ts", "message_id"]).itertuples():
-            at = _micros(r.ts)
-            if items and (at - items[-1][0] >= self.window or r.kind == "command" or items[-1][1] == "command"):
-                out.append(self._close(key, items))
-                items = []
-            items.append((at, r.kind, int(r.message_id), r.body))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.open.put(items)
-        self.handle.registerTimer((items[-1][0] + self.window) // 1000)
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+    def expire(self, key, state):
+        items = [tuple(x) for x in state[0]]
+        texts = [body for _, _, kind, body in items if kind != "file" and body is not None]
+        files = [str(message) for _, message, kind, _ in items if kind == "file"]
+        return self.EMPTY, [(key, pd.Timestamp(items[0][0] * 1000), pd.Timestamp(items[-1][0] * 1000), len(items),
+                             "\n".join(texts), ",".join(files))]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        items = [tuple(x) for x in self.open.get()]
-        self.open.clear()
-        yield pd.DataFrame([self._close(key, items)] if items else [], columns=self.COLUMNS)
+    def step(self, key, state, row):
+        items, out = list(state[0]), []
+        if items and "command" in (row[2], tuple(items[-1])[2]):
+            (items,), out = self.expire(key, state)
+        return ([*items, row],), out
 
 
 class LateFiles(HeldRows):
-    """Files wait for the next text of their user; older ones than allowed are discarded at that moment."""
+    """Files wait for the next text of their user; one that has waited too long is discarded, with or without a text."""
 
     ROW = "at long, id long, kind string"
     COLUMNS = ["user_id", "file_id", "text_id", "state"]
@@ -141,6 +162,13 @@ class LateFiles(HeldRows):
     def keep(self, row):
         return _micros(row.ts), int(row.message_id), row.kind
 
+    def ends(self, state):
+        return tuple(state[0][0])[1] + self.age if state[0] else None
+
+    def expire(self, key, state):
+        first, *others = [tuple(x) for x in state[0]]
+        return (others,), [(key, first[0], None, "discarded")]
+
     def step(self, key, state, row):
         at, message, kind = row
         waiting = [tuple(x) for x in state[0]]
@@ -148,7 +176,30 @@ class LateFiles(HeldRows):
             return ([*waiting, (message, at)],), []
         if kind != "text":
             return (waiting,), []
-        return ([],), [(key, f, message, "attached" if at - since <= self.age else "discarded") for f, since in waiting]
+        return self.EMPTY, [(key, f, message, "attached") for f, _ in waiting]
+
+
+class Followups(HeldRows):
+    """Files that follow their user's latest text within the given time; the state is that one text."""
+
+    ROW = "at long, id long, kind string"
+    COLUMNS = ["user_id", "file_id", "text_id"]
+    STATE, EMPTY = "at long, id long", (None, None)
+
+    def __init__(self, seconds: int):
+        self.age = seconds * 1_000_000
+
+    def keep(self, row):
+        return _micros(row.ts), int(row.message_id), row.kind
+
+    def ends(self, state):
+        return None if state[0] is None else state[0] + self.age
+
+    def step(self, key, state, row):
+        at, message, kind = row
+        if kind == "text":
+            return (at, message), []
+        return state, [(key, message, state[1])] if kind == "file" and state[0] is not None else []
 
 
 class Alerts(HeldRows):
@@ -175,7 +226,10 @@ class Alerts(HeldRows):
 
 
 class RetryBudget(HeldRows):
-    """A link that failed is tried again on the user's next messages, a few times and not for long."""
+    """A link that failed is tried again on the user's next messages, a few times and not for long.
+
+    A link whose time is over is forgotten then; one whose tries are used up is given up on the next message.
+    """
 
     ROW = "at long, id long, base_ref string, works boolean"
     COLUMNS = ["user_id", "message_id", "action"]
@@ -187,6 +241,12 @@ class RetryBudget(HeldRows):
     def keep(self, row):
         return _micros(row.ts), int(row.message_id), _text(row.base_ref), bool(row.works)
 
+    def ends(self, state):
+        return None if state[0] is None else state[2] + self.age
+
+    def expire(self, key, state):
+        return self.EMPTY, [(key, None, "given_up")]
+
     def step(self, key, state, row):
         (link, tries, since), (at, message, given, works) = state, row
         if given is not None:
@@ -197,7 +257,7 @@ class RetryBudget(HeldRows):
                 link, tries, since = self.EMPTY
         elif link is None:
             return state, []
-        elif tries >= self.tries or at - since > self.age:
+        elif tries >= self.tries:
             action, (link, tries, since) = "given_up", self.EMPTY
         else:
             action = "retry_connected" if works else "retry_failed"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deskmill.session import ROCKSDB, workspace
 
@@ -25,15 +26,30 @@ def state_settings(spark: SparkSession, partitions: int | None = None):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def read_stream(spark: SparkSession, path: str, schema, ts: str = "ts", delay: str = "10 minutes", files_per_batch: int | None = None) -> DataFrame:
-    """File stream with an event-time column of the zoned type and a watermark on it."""
+def read_stream(spark: SparkSession, path: str, schema, ts: str = "ts", delay: str = "10 minutes", files_per_batch: int | None = None,
+                heartbeat: DataFrame | None = None) -> DataFrame:
+    """File stream with an event-time column of the zoned type and a watermark on it.
+
+    ``heartbeat`` has rows of a key that nothing else uses. They arrive beside the stream and take the watermark on, so that a
+    run over a finished folder closes all that a silent source would leave open; they stay behind the watermark themselves.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.parquet(path)
+    if heartbeat is not None:
+        beats = workspace(spark, "heartbeat")
+        heartbeat.select(*stream.columns).write.parquet(beats)
+        stream = stream.unionByName(spark.readStream.schema(schema).parquet(beats))
     return stream.withColumn(ts, stream[ts].cast("timestamp")).withWatermark(ts, delay)
 
 
+def heartbeat(table: DataFrame, key: str, value, ts: str = "ts", after: str = "30 days") -> DataFrame:
+    """One row like the table's newest, of the key ``value``, long after it; none for an empty table."""
+    newest = table.agg(F.max_by(F.struct(*table.columns), ts).alias("r")).filter("r is not null").select("r.*")
+    return newest.withColumn(key, F.lit(value).cast(table.schema[key].dataType)).withColumn(ts, F.expr(f"{ts} + interval {after}"))
+
+
 def run_available(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Process everything that is there into a table, and read the table."""
     spark = stream.sparkSession

@@ -42,15 +42,9 @@ def retries(stream: DataFrame, tries: int, minutes: int) -> DataFrame:
     return _keyed(stream, "user_id", P.RetryBudget(tries, minutes), "user_id long, message_id long, action string")
 
 
-def followup_pairs(texts: DataFrame, files: DataFrame, seconds: int) -> DataFrame:
-    """Every text within the given time before a file of the same user; both sides forget what can no longer match."""
-    t = texts.select(F.col("user_id").alias("t_user"), F.col("ts").alias("t_ts"), F.col("message_id").alias("text_id"))
-    f = files.select("user_id", "ts", F.col("message_id").alias("file_id"))
-    return f.join(t, F.expr(f"user_id = t_user AND ts >= t_ts AND ts <= t_ts + interval {seconds} seconds")).select("user_id", "ts", "file_id", "t_ts", "text_id")
-
-
-def latest_texts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("user_id", "file_id").agg(F.max_by("text_id", F.struct("t_ts", "text_id")).alias("text_id"))
+def followups(stream: DataFrame, seconds: int) -> DataFrame:
+    """Each file with its user's latest text, if that is young enough: one row per file, one text per user in the state."""
+    return _keyed(stream, "user_id", P.Followups(seconds), "user_id long, file_id long, text_id long")
 
 
 def daily_figures(stream: DataFrame) -> DataFrame:
