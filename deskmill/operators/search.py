@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,34 +33,54 @@ def query_stems(text: Column, stop_words: list[str] = X.KB_STOP_WORDS, en: list[
 @dataclass
 class TextIndex:
     """Written tables: documents without text, chunks(doc_id, chunk_no, text, n_words),
-    postings(doc_id, chunk_no, len, term, tf_title, tf_body) and stats(n, avg_len)."""
+    postings(doc_id, chunk_no, len, term, tf_title, tf_body), stats(n, avg_len), stems(word, term) of all words of the chunks,
+    and terms(start, page, term): the vocabulary in sorted pages."""
 
     documents: DataFrame
     chunks: DataFrame
     postings: DataFrame
     stats: DataFrame
+    stems: DataFrame
+    terms: DataFrame
 
     def vocabulary(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf_title") + F.col("tf_body")).alias("cf"))
 
 
-def build_postings(chunks: DataFrame, titles: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> tuple[DataFrame, DataFrame]:
-    """(postings, chunk lengths). ``titles`` has any number of rows (doc_id, title); each chunk carries its document's titles.
+def low_words(text: Column) -> Column:
+    return words(F.lower(fold(text)))
 
-    A posting holds the length of its chunk, so that scoring needs no join with lengths.
+
+def build_postings(chunks: DataFrame, titles: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, chunk lengths, stems). ``titles`` has any number of rows (doc_id, title); each chunk carries its document's titles.
+
+    A posting holds the length of its chunk, so that scoring needs no join with lengths. Words are counted per chunk before they
+    are cut, and each different word is cut once.
     """
     title_terms = (titles.select("doc_id", F.explode(stems(F.col("title"), en)).alias("term"))
                    .groupBy("doc_id", "term").agg(F.count("*").alias("tf_title")))
     title_len = title_terms.groupBy("doc_id").agg(F.sum("tf_title").alias("title_len"))
     length = (F.col("n_words") + F.coalesce("title_len", F.lit(0))).alias("len")
-    body = (chunks.join(title_len, "doc_id", "left")
-            .select("doc_id", "chunk_no", length, F.explode(stems(F.col("text"), en)).alias("term"),
-                    F.lit(0).cast("long").alias("tf_title"), F.lit(1).alias("tf_body")))
-    lengths = chunks.join(title_len, "doc_id", "left").select("doc_id", "chunk_no", length)
-    head = title_terms.join(lengths, "doc_id").select("doc_id", "chunk_no", "len", "term", "tf_title", F.lit(0).alias("tf_body"))
+    sized = chunks.join(title_len, "doc_id", "left")
+    counted = materialise(sized.select("doc_id", "chunk_no", length, F.explode(low_words(F.col("text"))).alias("word"))
+                          .groupBy("doc_id", "chunk_no", "len", "word").agg(F.count("*").alias("tf_body")), "words")
+    cut = materialise(counted.select("word").distinct().select("word", cut_ending(F.col("word"), en=en).alias("term")), "stems")
+    body = counted.join(cut, "word").select("doc_id", "chunk_no", "len", "term", F.lit(0).cast("long").alias("tf_title"), "tf_body")
+    lengths = sized.select("doc_id", "chunk_no", length)
+    head = title_terms.join(lengths, "doc_id").select("doc_id", "chunk_no", "len", "term", "tf_title", F.lit(0).cast("long").alias("tf_body"))
     postings = body.unionByName(head).groupBy("doc_id", "chunk_no", "len", "term").agg(
         F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
-    return postings, lengths
+    return postings, lengths, cut
+
+
+PAGE = 256
+
+
+def vocabulary_pages(vocabulary: DataFrame) -> DataFrame:
+    """(start, page, term): terms in order, in pages of ``PAGE`` terms with the same first two letters."""
+    start = F.left("term", F.lit(2))
+    place = F.row_number().over(Window.partitionBy("start").orderBy("term")) - 1
+    return vocabulary.select(start.alias("start"), "term").withColumn("page", F.floor(place / PAGE).cast("int")).select("start", "page", "term")
 
 
 def build_index(documents: DataFrame, chunks: DataFrame, aliases: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> TextIndex:
@@ -70,9 +92,11 @@ def build_index(documents: DataFrame, chunks: DataFrame, aliases: DataFrame, en:
     cut = materialise(chunks.withColumn("n_words", F.size(words(F.col("text")))), "chunks")
     other = aliases.join(docs.select("doc_id", F.col("path").alias("canonical")), "canonical").select("doc_id", F.col("alias").alias("title"))
     titles = materialise(docs.select("doc_id", "title").unionByName(other), "titles")
-    postings, lengths = build_postings(cut, titles, en)
+    postings, lengths, word_stems = build_postings(cut, titles, en)
+    postings = materialise(postings, "postings")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    return TextIndex(docs, cut, materialise(postings, "postings"), materialise(stats, "stats"))
+    pages = vocabulary_pages(postings.select("term").distinct())
+    return TextIndex(docs, cut, postings, materialise(stats, "stats"), word_stems, materialise(pages, "terms"))
 
 
 def question_terms(questions: DataFrame, stop_words: list[str] = X.KB_STOP_WORDS, en: list[str] | None = X.EN_ENDINGS) -> DataFrame:
@@ -89,16 +113,25 @@ def shorter_stems(stems_: DataFrame, vocabulary: DataFrame) -> DataFrame:
             .agg(F.max_by("term", F.length("term")).alias("short")))
 
 
-def prefix_terms(stems_: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(stem, term): every known term that starts with the stem, by equality on the starts of the known terms."""
-    sized = vocabulary.select("term").filter(F.length("term") >= 2)
-    starts = sized.select("term", F.explode(F.transform(F.sequence(F.lit(2), F.length("term")),
-                                                        lambda k: F.substring(F.col("term"), F.lit(1), k))).alias("stem"))
-    return starts.join(stems_, "stem").select("stem", "term")
+def prefix_pages(stems_: DataFrame, terms: DataFrame) -> DataFrame:
+    """(stem, start, page): the pages of the vocabulary in which terms that start with the stem can lie.
+
+    A stem's terms lie together, from the stem itself on; the first and last term of a page tell whether it meets them.
+    """
+    fences = terms.groupBy("start", "page").agg(F.min("term").alias("first"), F.max("term").alias("last"))
+    asked = stems_.filter(F.length("stem") >= 2).withColumn("start", F.left("stem", F.lit(2)))
+    meets = (F.col("last") >= F.col("stem")) & (F.left("first", F.length("stem")) <= F.col("stem"))
+    return asked.join(fences, "start").filter(meets).select("stem", "start", "page")
+
+
+def prefix_terms(stems_: DataFrame, terms: DataFrame) -> DataFrame:
+    """(stem, term): every known term that starts with the stem, found in the sorted pages that hold such terms."""
+    pages = prefix_pages(stems_, terms)
+    return terms.join(pages, ["start", "page"]).filter(F.startswith("term", "stem")).select("stem", "term")
 
 
 def phrase_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(stem, phrase, term): a stem searches terms that start with it, and its shorter stem exactly."""
+    """(stem, phrase, term): a stem searches terms that start with it, and its shorter stem exactly. ``vocabulary`` in pages."""
     distinct = terms.select("stem").distinct()
     prefix = prefix_terms(distinct, vocabulary).select("stem", F.lit("prefix").alias("phrase"), "term")
     short = shorter_stems(distinct, vocabulary).select("stem", F.lit("short").alias("phrase"), F.col("short").alias("term"))
@@ -113,23 +146,104 @@ def bm25(freq: Column, df: Column, length: Column, n: Column, avg_len: Column) -
 
 def stem_scores(index: TextIndex, phrases: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
     """(stem, doc_id, chunk_no, score): BM25 of each stem in each chunk that holds it, for all questions at once."""
-    tf = (index.postings.join(phrases, "term").groupBy("stem", "phrase", "doc_id", "chunk_no", "len")
-          .agg((F.sum("tf_title") * title_weight + F.sum("tf_body") * body_weight).alias("freq")))
-    df = tf.groupBy("stem", "phrase").agg(F.count("*").alias("df"))
+    weight = F.col("tf_title") * title_weight + F.col("tf_body") * body_weight
+    kinds = ["prefix", "short"]
+    tf = materialise(index.postings.join(phrases, "term").groupBy("stem", "doc_id", "chunk_no", "len").agg(
+        *[F.sum(F.when(F.col("phrase") == k, weight)).alias(k) for k in kinds]), "frequencies")
+    df = tf.groupBy("stem").agg(*[F.count(k).alias(f"df_{k}") for k in kinds])
     n, avg_len = index.stats.select("n").scalar(), index.stats.select("avg_len").scalar()
-    scored = tf.join(df, ["stem", "phrase"]).withColumn("score", bm25(F.col("freq"), F.col("df"), F.col("len"), n, avg_len))
-    return scored.groupBy("stem", "doc_id", "chunk_no").agg(F.sum("score").alias("score"))
+    each = [F.coalesce(bm25(F.col(k), F.col(f"df_{k}"), F.col("len"), n, avg_len), F.lit(0.0)) for k in kinds]
+    return tf.join(df, "stem").select("stem", "doc_id", "chunk_no", (each[0] + each[1]).alias("score"))
+
+
+BLOCK = 100_000  # postings of a block, about
+PROBE = 16  # one block in so many is scored first, for the thresholds
+SLACK = 1e-5  # scores are compared after rounding to six digits
+
+
+def score_blocks(scores: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Postings dealt to blocks of about ``size``; all postings of a chunk lie in one block. Written, as it is read several times."""
+    rows = materialise(scores, "scores")
+    number = max(1, -(-rows.count() // size))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(number)).cast("int"))
+
+
+def open_blocks(terms: DataFrame, blocks: DataFrame, least: DataFrame | None) -> DataFrame:
+    """(question_id, stem, least, block): the blocks whose bound, the best scores of the question's stems in the block, reaches
+    the question's threshold ``least``. Without thresholds every block that holds one of the stems is open."""
+    tops = blocks.groupBy("stem", "block").agg(F.max("score").alias("top"))
+    rows = terms.select("question_id", "stem").join(tops, "stem")
+    rows = rows.join(least, "question_id", "left") if least is not None else rows.withColumn("least", F.lit(None).cast("double"))
+    bound = F.sum("top").over(Window.partitionBy("question_id", "block"))
+    return (rows.withColumn("bound", bound).filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
+            .select("question_id", "stem", "least", "block"))
+
+
+def best_in_blocks(asked: DataFrame, blocks: DataFrame, depth: int) -> DataFrame:
+    """(question_id, doc_id, chunk_no, score, matched): the ``depth`` best chunks of each open block, and ties of the last.
+
+    A task holds one block and the questions that are open there; scores are summed over the block's postings, stem by stem.
+    """
+    def work(key, questions, postings):
+        stems, code = np.unique(postings["stem"].to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[order], np.arange(len(stems) + 1))
+        chunk = postings.groupby(["doc_id", "chunk_no"], sort=False).ngroup().to_numpy()
+        number = int(chunk.max()) + 1 if len(chunk) else 0
+        place = np.zeros(number, np.int64)
+        place[chunk] = np.arange(len(chunk))
+        chunk, score = chunk[order], postings["score"].to_numpy()[order]
+        known = questions[questions["stem"].isin(stems)].sort_values("question_id", kind="stable")
+        wanted, least = np.searchsorted(stems, known["stem"].to_numpy()), known["least"].to_numpy(float)
+        ids, starts = np.unique(known["question_id"].to_numpy(), return_index=True)
+        rows, owners, totals, counts = [], [], [], []
+        for at, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(known)])):
+            picked = np.concatenate([np.arange(first[w], first[w + 1]) for w in wanted[lo:hi]])
+            sums = np.bincount(chunk[picked], score[picked], number).round(6)
+            held = np.bincount(chunk[picked], minlength=number)
+            bar = least[lo] - SLACK if least[lo] == least[lo] else -1.0
+            found = np.flatnonzero((held > 0) & (sums >= bar))
+            if len(found) > depth:
+                found = found[sums[found] >= np.partition(sums[found], -depth)[-depth]]
+            rows.append(place[found])
+            owners.append(np.full(len(found), at))
+            totals.append(sums[found])
+            counts.append(held[found])
+        if not rows:
+            return pd.DataFrame(columns=names)
+        best = postings.iloc[np.concatenate(rows)]
+        return pd.DataFrame({"question_id": ids[np.concatenate(owners)], "doc_id": best["doc_id"].to_numpy(), "chunk_no": best["chunk_no"].to_numpy(),
+                             "score": np.concatenate(totals), "matched": np.concatenate(counts)})
+
+    kinds = {**dict(asked.dtypes), **dict(blocks.dtypes)}
+    names = ["question_id", "doc_id", "chunk_no", "score", "matched"]
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names[:3]) + ", score double, matched bigint"
+    rows = blocks.select("block", "stem", "doc_id", "chunk_no", "score")
+    named = asked.select("question_id", "stem", "least", F.col("block").alias("in_block"))
+    return named.groupBy("in_block").cogroup(rows.groupBy("block")).applyInPandas(work, schema)
+
+
+def thresholds(found: DataFrame, depth: int) -> DataFrame:
+    """(question_id, least): the score of each question's chunk number ``depth`` among those found."""
+    return (newest(found, ["question_id"], depth, F.col("score").desc(), F.col("doc_id"), F.col("chunk_no"))
+            .filter(F.col("rank") == depth).select("question_id", F.col("score").alias("least")))
 
 
 def candidates(terms: DataFrame, scores: DataFrame, limit: int = HITS_DEFAULT, chunks_of: DataFrame | None = None) -> DataFrame:
-    """The best max(10·limit, 50) chunks per question by BM25, with the number of question terms each holds."""
-    hits = terms.join(scores, "stem")
+    """The best max(10·limit, 50) chunks per question by BM25, with the number of question terms each holds.
+
+    Postings go once to blocks, whatever the number of questions. A few blocks are scored first; what they give as a question's
+    last place is a threshold, and the question goes on only to blocks whose bound reaches it. Blocks give their best chunks only.
+    """
+    depth = max(limit * 10, 50)
     if chunks_of is not None:
-        hits = hits.join(chunks_of.select("doc_id").distinct(), "doc_id", "left_semi")
-    per = hits.groupBy("question_id", "doc_id", "chunk_no").agg(F.sum("score").alias("score"), F.count("*").alias("matched"))
-    # equal scores in different summing order differ in the last digits, so ties are broken on rounded scores
-    per = per.withColumn("score", F.round("score", 6))
-    return newest(per, ["question_id"], max(limit * 10, 50), F.col("score").desc(), F.col("doc_id"), F.col("chunk_no"), rank="bm25_rank")
+        scores = scores.join(chunks_of.select("doc_id").distinct(), "doc_id", "left_semi")
+    blocks = score_blocks(scores)
+    probed = F.col("block") % PROBE == 0
+    first, others = blocks.filter(probed), blocks.filter(~probed)
+    probe = materialise(best_in_blocks(open_blocks(terms, first, None), first, depth), "probed")
+    rest = best_in_blocks(open_blocks(terms, others, thresholds(probe, depth)), others, depth)
+    return newest(probe.unionByName(rest), ["question_id"], depth, F.col("score").desc(), F.col("doc_id"), F.col("chunk_no"), rank="bm25_rank")
 
 
 def rank_candidates(found: DataFrame) -> DataFrame:
@@ -172,13 +286,17 @@ def pick_hits(ranked: DataFrame, limit: int = HITS_DEFAULT) -> DataFrame:
             .select("question_id", (F.col("_at") + 1).alias("rank"), "h.*").drop("fingerprint"))
 
 
-def snippet(text: Column, terms: Column, window: int = 45, step: int = 5, en: list[str] | None = X.EN_ENDINGS) -> Column:
-    """The window of words with most distinct terms (the first such), hits in brackets. ``terms``: array<struct(stem, short)>."""
+def snippet(text: Column, terms: Column, window: int = 45, step: int = 5, en: list[str] | None = X.EN_ENDINGS,
+            stemmed: Column | None = None) -> Column:
+    """The window of words with most distinct terms (the first such), hits in brackets. ``terms``: array<struct(stem, short)>.
+
+    ``stemmed``: the stems of the text's words, where they are known.
+    """
     found = words(text)
     gaps = F.split(text, X.WORD, -1)
-    marked = F.transform(found, lambda w: F.struct(w.alias("w"), stem(w, en=en).alias("s")))
-    hit_terms = F.transform(marked, lambda m: F.transform(
-        F.filter(terms, lambda t: m["s"].startswith(t["stem"]) | F.coalesce(m["s"] == t["short"], F.lit(False))), lambda t: t["stem"]))
+    each = F.transform(found, lambda w: stem(w, en=en)) if stemmed is None else stemmed
+    hit_terms = F.transform(each, lambda s: F.transform(
+        F.filter(terms, lambda t: s.startswith(t["stem"]) | F.coalesce(s == t["short"], F.lit(False))), lambda t: t["stem"]))
     row = F.struct(found.alias("words"), gaps.alias("gaps"), hit_terms.alias("hits"))
     return F.when(F.size(found) == 0, F.substring(text, 1, 300)).otherwise(_window(row, window, step))
 
@@ -207,20 +325,27 @@ def _render(r: Column, window: int, step: int) -> Column:
     return F.element_at(F.transform(best, text_of), 1)
 
 
-def with_snippets(hits: DataFrame, terms: DataFrame, shorts: DataFrame) -> DataFrame:
-    """Hits (with text) and their snippet. The terms of a question are a short list, so collecting them is bounded."""
+def with_snippets(hits: DataFrame, terms: DataFrame, shorts: DataFrame, stems_: DataFrame | None = None) -> DataFrame:
+    """Hits (with text) and their snippet. The terms of a question are a short list, so collecting them is bounded.
+
+    ``stems_`` (word, term) spares cutting the words of the hits again; a hit's words are gathered, not more.
+    """
     per = (terms.join(shorts, "stem", "left").groupBy("question_id")
            .agg(F.collect_list(F.struct("stem", "short")).alias("terms")))
-    return hits.join(per, "question_id").withColumn("snippet", snippet(F.col("text"), F.col("terms"))).drop("terms")
+    rows, known = hits.join(per, "question_id"), None
+    if stems_ is not None:
+        cut = (hits.select("question_id", "rank", F.posexplode(low_words(F.col("text"))).alias("at", "word")).join(stems_, "word")
+               .groupBy("question_id", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("_cut")))
+        rows, known = rows.join(cut, ["question_id", "rank"], "left"), F.transform("_cut", lambda c: c["term"])
+    return rows.withColumn("snippet", snippet(F.col("text"), F.col("terms"), stemmed=known)).drop("terms", "_cut")
 
 
 def search(index: TextIndex, questions: DataFrame, limit: int = HITS_DEFAULT, product: str | None = None) -> DataFrame:
     """Ranked hits of every question, with snippets."""
-    terms = question_terms(questions)
-    vocabulary = index.postings.select("term").distinct()
-    scores = stem_scores(index, phrase_terms(terms, vocabulary))
+    terms = materialise(question_terms(questions), "question-terms")
+    scores = stem_scores(index, phrase_terms(terms, index.terms))
     only = index.documents.filter(F.col("product") == product) if product else None
     found = rank_candidates(candidates(terms, scores, limit, only))
     texts = found.join(index.chunks, ["doc_id", "chunk_no"]).withColumn("fingerprint", F.sha1("text"))
-    shown = hydrate(pick_hits(texts, limit), index.chunks, index.documents)
-    return with_snippets(shown, terms, shorter_stems(terms.select("stem").distinct(), vocabulary)).drop("text", "n_words")
+    shown = hydrate(materialise(pick_hits(texts, limit), "hits"), index.chunks, index.documents)
+    return with_snippets(shown, terms, shorter_stems(terms.select("stem").distinct(), index.terms), index.stems).drop("text", "n_words")

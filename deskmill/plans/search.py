@@ -9,6 +9,7 @@ from deskmill.functions.text import cut_ending, stem_pattern, words
 from deskmill.operators import search as S
 from deskmill.plans.corpus import CHUNKS_SQL, KB_SQL, TITLE, knowledge
 from deskmill.plans.registry import query
+from deskmill.session import kept
 
 
 PATTERN, GROUPS = stem_pattern(X.RU_ENDINGS, X.EN_ENDINGS)
@@ -70,15 +71,19 @@ def questions(t):
 
 
 def index_of(t):
-    kb = knowledge(t)
-    documents = kb["documents"].select("doc_id", "path", "title", "product", "digest", F.length("text").alias("chars"))
-    return S.build_index(documents, kb["chunks"], kb["aliases"])
+    """The index of the documents as they are; it is built once and kept until a file of the table changes."""
+    def build():
+        kb = knowledge(t)
+        documents = kb["documents"].select("doc_id", "path", "title", "product", "digest", F.length("text").alias("chars"))
+        return vars(S.build_index(documents, kb["chunks"], kb["aliases"]))
+
+    return S.TextIndex(**kept(t.documents, "knowledge-index", build))
 
 
 def ranked(t):
     index = index_of(t)
     terms = S.question_terms(questions(t))
-    phrases = S.phrase_terms(terms, index.postings.select("term").distinct())
+    phrases = S.phrase_terms(terms, index.terms)
     found = S.rank_candidates(S.candidates(terms, S.stem_scores(index, phrases)))
     return S.hydrate(found, index.chunks, index.documents).withColumn("fingerprint", F.sha1("text"))
 
@@ -113,19 +118,19 @@ def _(t):
 @query("shorter_stem", "WITH " + SCORE_SQL + " SELECT stem, short FROM shorts")
 def _(t):
     stems = S.question_terms(questions(t)).select("stem").distinct()
-    return S.shorter_stems(stems, index_of(t).postings.select("term").distinct())
+    return S.shorter_stems(stems, index_of(t).terms)
 
 
 @query("prefix_match", "WITH " + SCORE_SQL + " SELECT stem, term FROM ph WHERE phrase='prefix'")
 def _(t):
     stems = S.question_terms(questions(t)).select("stem").distinct()
-    return S.prefix_terms(stems, index_of(t).postings.select("term").distinct())
+    return S.prefix_terms(stems, index_of(t).terms)
 
 
 @query("bm25_weighted", "WITH " + SCORE_SQL + " SELECT stem, doc_id, chunk_no, round(score, 6) AS score FROM sc")
 def _(t):
     index = index_of(t)
-    phrases = S.phrase_terms(S.question_terms(questions(t)), index.postings.select("term").distinct())
+    phrases = S.phrase_terms(S.question_terms(questions(t)), index.terms)
     return S.stem_scores(index, phrases).withColumn("score", F.round("score", 6))
 
 
@@ -133,7 +138,7 @@ def _(t):
 def _(t):
     index = index_of(t)
     terms = S.question_terms(questions(t))
-    return S.candidates(terms, S.stem_scores(index, S.phrase_terms(terms, index.postings.select("term").distinct())))
+    return S.candidates(terms, S.stem_scores(index, S.phrase_terms(terms, index.terms)))
 
 
 @query("kb_rank", "WITH " + RANK_SQL + " SELECT question_id, doc_id, chunk_no, matched, score, place FROM ranked")

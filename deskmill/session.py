@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,11 +54,11 @@ def apply_conf(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder for checkpoints and written tables.
+def shared_root(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables.
 
-    It lies under ``spark.checkpoint.dir``, the folder all executors share. Where that is unset, a temporary folder
-    takes its place, but only in local mode, where driver and executors are one process.
+    It is ``spark.checkpoint.dir``, which all executors share. Where that is unset, a temporary folder takes its place, but only
+    in local mode, where driver and executors are one process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -61,7 +66,12 @@ def workspace(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="deskmill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -72,6 +82,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_state(source: DataFrame) -> str:
+    """Tells the state of the files a frame is read from by their names, sizes and times: equal as long as no file changes."""
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = source.select(file.alias("f")).distinct()
+    n, total = files.agg(F.count("*"), F.sum(F.pmod("f", F.lit(1 << 40)))).first()
+    return f"{n}-{total or 0:x}"
+
+
+def kept(source: DataFrame, name: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Tables derived from a frame's files, built when they are first asked for and read back as long as the files stay.
+
+    They lie below the shared root, so other sessions find them too. A build goes to a folder of its own and counts only once a
+    row that names it is written; of builds that ran side by side all readers take the same one.
+    """
+    spark = source.sparkSession
+    entry = f"{shared_root(spark)}/kept-{name}-{file_state(source)}"
+
+    def found() -> list:
+        try:
+            return spark.read.schema("folder string, name string, kind string").parquet(entry).orderBy("folder").collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return []
+            raise
+
+    rows = found()
+    if not rows:
+        folder, made = workspace(spark, name), []
+        for table, df in build().items():
+            df.write.parquet(f"{folder}/{table}")
+            made.append((folder, table, df.schema.json()))
+        spark.createDataFrame(made, "folder string, name string, kind string").coalesce(1).write.mode("append").parquet(entry)
+        rows = found()
+    return {r.name: spark.read.schema(StructType.fromJson(json.loads(r.kind))).parquet(f"{r.folder}/{r.name}")
+            for r in rows if r.folder == rows[0].folder}
+
+
 class Tables:
     """The parquet tables of one folder, read lazily by name: ``t.orders``."""
 
