@@ -10,6 +10,7 @@ from deskmill.functions.text import strip
 from deskmill.operators.ordered import running
 
 TAIL = r"[.,;:!?)]+$"
+SPAN = 1000  # numbers of a code that are worked on together
 
 
 def _part(url: Column, group: int) -> Column:
@@ -75,16 +76,26 @@ def slug(url: Column) -> Column:
 
 
 def unique_slugs(rows: DataFrame, code: str, order: str, segment: Column) -> DataFrame:
-    """First bearer keeps the code, later ones get _2, _3 …; a number that is itself somebody's code is passed over."""
-    numbered = running(rows.withColumn("_one", F.lit(1)), [code], [order], segment, sums={"_rank": F.col("_one")})
+    """First bearer keeps the code, later ones get _2, _3 …; a number that is itself somebody's code is passed over.
+
+    The i-th taken number t of a code lifts all ranks from t - i + 1 on by one more, so a row's number is its rank plus the
+    number of the last such step at or before it: one ordered pass over ranks and steps, and no list of taken numbers.
+    """
+    numbered = running(rows.withColumn("_one", F.lit(1)), [code], [order], segment, sums={"_rank": F.col("_one")}).drop("_one")
     # a longer number than 18 digits is never reached by counting rows
     numbered_code = r"^(.*)_([1-9]\d{0,17})$"
     taken = (rows.select(F.regexp_extract(code, numbered_code, 1).alias("_root"),
-                         F.regexp_extract(code, numbered_code, 2).try_cast("long").alias("_n"))
-             .filter("_n >= 2").distinct().groupBy("_root").agg(F.sort_array(F.collect_list("_n")).alias("_taken")))
-    joined = numbered.join(taken, F.col(code) == F.col("_root"), "left")
-    number = F.aggregate(F.coalesce("_taken", F.expr("cast(array() as array<bigint>)")), F.col("_rank").cast("long"),
-                         lambda acc, n: F.when(n <= acc, acc + 1).otherwise(acc))
-    return (joined.withColumn("unique_code", F.when(F.col("_rank") == 1, F.col(code))
-                              .otherwise(F.concat(F.col(code), F.lit("_"), number.cast("string"))))
-            .drop("_one", "_rank", "_root", "_taken"))
+                         F.regexp_extract(code, numbered_code, 2).try_cast("long").alias("_n")).filter("_n >= 2").distinct())
+    # codes that nobody bears need no steps
+    borne = taken.join(rows.select(F.col(code).alias("_root")).distinct(), "_root", "left_semi")
+    counted = running(borne.withColumn("_one", F.lit(1)), ["_root"], ["_n"], F.floor(F.col("_n") / SPAN), sums={"_i": F.col("_one")})
+    none = F.lit(None).cast("long")
+    steps = counted.select("_root", (F.col("_n") - F.col("_i") + 1).alias("_rank"), F.col("_i").alias("_step"), F.lit(0).alias("_kind"),
+                           F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row"))
+    ranked = numbered.select(F.col(code).alias("_root"), F.col("_rank").cast("long").alias("_rank"), none.alias("_step"), F.lit(1).alias("_kind"),
+                             F.struct(*rows.columns).alias("_row"))
+    lifted = running(steps.unionByName(ranked), ["_root"], ["_rank", "_kind", "_step"], F.floor(F.col("_rank") / SPAN),
+                     last={"_lift": F.col("_step")}).filter("_kind = 1")
+    number = F.col("_rank") + F.coalesce("_lift", F.lit(0))
+    return lifted.select("_row.*", F.when(F.col("_rank") == 1, F.col("_root")).otherwise(
+        F.concat("_root", F.lit("_"), number.cast("string"))).alias("unique_code"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions import fixed as X
+from deskmill.session import materialise
 
 # What is looked for in free text, in the order in which it is replaced.
 PATTERNS = {
@@ -62,6 +63,9 @@ def column_categories(table: str, schema, rules: dict) -> dict[str, str]:
     return out
 
 
+ODD_ROWS = 100_000  # tokens that are handed to every task at most
+
+
 def digest(category: Column, value: Column, salt: str) -> Column:
     return F.upper(F.sha2(F.concat(F.lit(salt), category, F.lit("|"), value), 256))
 
@@ -95,12 +99,25 @@ def append_dictionary(known: DataFrame, values: DataFrame, salt: str, digits: in
     return token_dictionary(values, salt, digits, known)
 
 
-def mask_columns(df: DataFrame, categories: dict[str, str], dictionary: DataFrame) -> DataFrame:
-    """Values of the given columns replaced by their tokens; nulls and empty texts stay."""
+def short_token(category: Column, value: Column, salt: str, digits: int = TOKEN_DIGITS) -> Column:
+    """The token of a value that shares its first digits with no other one."""
+    return F.concat(F.lit("["), category, F.lit("-"), F.substring(digest(category, value, salt), 1, digits), F.lit("]"))
+
+
+def mask_columns(df: DataFrame, categories: dict[str, str], dictionary: DataFrame, salt: str, digits: int = TOKEN_DIGITS) -> DataFrame:
+    """Values of the given columns replaced by their tokens; nulls and empty texts stay.
+
+    ``dictionary`` has all values of the columns, made with the same salt and digits. A token follows from its value, so it is
+    computed in the row; only values whose token is another one (it takes more digits, or was given before) are looked up,
+    in a table that holds nothing else.
+    """
+    odd = materialise(dictionary.filter(F.col("token") != short_token(F.col("category"), F.col("value"), salt, digits)), "odd-tokens")
+    few = odd.count() <= ODD_ROWS
     out = df
     for column, category in categories.items():
-        pairs = dictionary.filter(F.col("category") == category).select(F.col("value").alias(column), F.col("token").alias("_t"))
-        out = out.join(pairs, column, "left").withColumn(column, F.coalesce("_t", column)).drop("_t")
+        pairs = odd.filter(F.col("category") == category).select(F.col("value").alias("_v"), F.col("token").alias("_t"))
+        own = F.when(F.col(column) != "", short_token(F.lit(category), F.col(column), salt, digits)).otherwise(F.col(column))
+        out = out.join(F.broadcast(pairs) if few else pairs, F.col(column) == F.col("_v"), "left").withColumn(column, F.coalesce("_t", own)).drop("_v", "_t")
     return out.select(*df.columns)
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.functions.text import camel_words
 from deskmill.operators.ordered import newest
+from deskmill.session import materialise
 
 # Sizes of the embedded passage.
 OBJECT_CHARS, MODULE_CHARS, DOC_CHARS, CODE_CHARS, SHORT_DOC = 1200, 600, 700, 400, 80
@@ -83,6 +87,56 @@ def embed_missing(chunks: DataFrame, vectors: DataFrame, key: str, text: str, em
     return kept.withColumn("state", F.lit("kept")).unionByName(fresh.withColumn("state", F.lit("embedded")))
 
 
+class VectorStore:
+    """Vectors under a root that grow range by range of keys. A range counts once its row is in the list of finished ones, so a
+    run that was stopped goes on with the ranges that are left; vectors of keys that are gone are struck out, not rewritten."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str, kind: str = "bigint"):
+        self.spark, self.root, self.key, self.kind = spark, root.rstrip("/"), key, kind
+
+    def _folders(self, what: str) -> list[str]:
+        try:
+            rows = self.spark.read.schema("what string, folder string, at int").parquet(f"{self.root}/finished")
+            return [r.folder for r in rows.filter(F.col("what") == what).orderBy("at").collect()]
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return []
+            raise
+
+    def _add(self, what: str, rows: DataFrame) -> None:
+        at = len(self._folders("vectors")) + len(self._folders("removed")) + 1
+        folder = f"{self.root}/{what}-{uuid.uuid4().hex}"
+        rows.withColumn("at", F.lit(at)).write.parquet(folder)
+        (self.spark.range(1).select(F.lit(what).alias("what"), F.lit(folder).alias("folder"), F.lit(at).alias("at"))
+         .write.mode("append").parquet(f"{self.root}/finished"))
+
+    def read(self) -> DataFrame:
+        """(key, embedding) of all finished ranges that were not struck out since."""
+        found, struck = self._folders("vectors"), self._folders("removed")
+        rows = self.spark.read.schema(f"{self.key} {self.kind}, embedding array<float>, at int").parquet(*found) if found else \
+            self.spark.createDataFrame([], f"{self.key} {self.kind}, embedding array<float>, at int")
+        if struck:
+            last = self.spark.read.schema(f"{self.key} {self.kind}, at int").parquet(*struck).groupBy(self.key).agg(F.max("at").alias("_out"))
+            rows = rows.join(last, self.key, "left").filter("_out is null or _out < at")
+        return rows.select(self.key, "embedding")
+
+    def refresh(self, chunks: DataFrame, text: str, embedder, ranges: int = 16, partitions: int = 8) -> dict[str, int]:
+        """Bring the vectors to the chunks; counts of what was kept, embedded and removed. May be stopped and run again."""
+        known = self.read()
+        orphans = materialise(orphan_vectors(known, chunks, self.key).select(self.key), "orphans")
+        removed = orphans.count()
+        if removed:
+            self._add("removed", orphans)
+        kept = known.count() - removed
+        missing = materialise(missing_vectors(chunks, known, self.key).select(self.key, text).withColumn(
+            "_range", F.pmod(F.xxhash64(self.key), F.lit(ranges)).cast("int")), "missing")
+        sizes = {r["_range"]: r["n"] for r in missing.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # one row per range
+        for part in sorted(sizes):
+            rows = length_sorted(missing.filter(F.col("_range") == part), text, partitions)
+            self._add("vectors", embed(rows, [self.key], text, embedder))
+        return {"kept": kept, "embedded": sum(sizes.values()), "removed": removed}
+
+
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """Mean vector of each group at length one, averaged place by place."""
     means = vectors.select(group, F.posexplode("embedding").alias("pos", "x")).groupBy(group, "pos").agg(F.avg("x").alias("m"))
