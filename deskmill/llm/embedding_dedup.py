@@ -79,12 +79,14 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """One row per row: id, n_links, component, kept; only vectors of one label and one length are compared.
 
     A row without an id, label or usable vector (null, empty, zero, a null or non-finite component) has no links and is its
-    own component. Equal vectors link; of rows that repeat an id, equal vectors are one entry. An empty table stays empty.
+    own component. Equal vectors link; rows that repeat an id with other vectors are rows of their own. An empty table stays empty.
     """
     frame = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col).alias("g"), F.col(label_col).alias("label"),
                         F.col(vector_col).alias("v"))
     ready = frame.where(usable("v") & F.col("id").isNotNull() & F.col("label").isNotNull())
-    entries = ready.groupBy("g", "label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    # an entry has a number of its own, as an id may stand on rows of unequal vectors; it is fixed once the entries are written
+    entries = ready.groupBy("g", "label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn(
+        "e", F.monotonically_increasing_id())
 
     def hash_rows(batches):
         for batch in batches:
@@ -98,23 +100,23 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 units = v / top
                 units /= np.sqrt((units * units).sum(1))[:, None]
                 keys[at] = bucket_keys(units, g[at] * 31 + size, tables, hashes, width, seed)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists(keys)], ["id", "g", "v", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists(keys), *batch.columns[4:]], ["e", "g", "v", "n", "keys", "id", "label"])
 
     numbers = T.ArrayType(T.LongType())
-    shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("g", T.LongType()),
+    shape = T.StructType([T.StructField("e", T.LongType()), T.StructField("g", T.LongType()),
                           T.StructField("v", rows.schema[vector_col].dataType), T.StructField("n", T.LongType()),
-                          T.StructField("keys", numbers)])
-    hashed = materialise(entries.select("id", "g", "v", "n").mapInArrow(hash_rows, shape), "hashed")
-    met = hashed.select("id", "g", F.posexplode("keys").alias("t", "key"))
+                          T.StructField("keys", numbers), T.StructField("id", T.LongType()), T.StructField("label", rows.schema[label_col].dataType)])
+    hashed = materialise(entries.select("e", "g", "v", "n", "id", "label").mapInArrow(hash_rows, shape), "hashed")
+    met = hashed.select("e", F.posexplode("keys").alias("t", "key"))
     # buckets of one entry drop out while rows are still narrow
     crowds = met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(
         "t", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    members = met.hint("merge").join(crowds, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("id", "g", "key"), F.col("blocks")).cast("int"))
+    members = met.hint("merge").join(crowds, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("e", "key"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("t", "key", "id", "g", F.col("own").alias("part"), F.least("own", "other").alias("i"),
+    members = members.select("t", "key", "e", F.col("own").alias("part"), F.least("own", "other").alias("i"),
                              F.greatest("own", "other").alias("j"))
-    tiles = members.hint("merge").join(hashed, ["id", "g"]).select("t", "key", "i", "j", "part", "id", "g", "n", "v", "keys")
-    tiles = tiles.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "part", "id")
+    tiles = members.hint("merge").join(hashed, "e").select("t", "key", "i", "j", "part", "e", "g", "n", "v", "keys")
+    tiles = tiles.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "part", "e")
 
     def link_rows(batches):
         held: list[pa.RecordBatch] = []
@@ -128,12 +130,14 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             table = pa.Table.from_batches(held)
             yield from _link_tiles(table, _group_ends(table), cosine)
 
-    linked = materialise(tiles.mapInArrow(link_rows, "id long, links long, root long"), "links")
-    counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(linked.where("root is not null"), "id", "root")
-    told = entries.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+    linked = materialise(tiles.mapInArrow(link_rows, "e long, links long, root long"), "links")
+    counts = linked.groupBy("e").agg(F.sum("links").alias("links"))
+    roots = components(linked.where("root is not null"), "e", "root")
+    # a component is called by its smallest id
+    names = roots.join(hashed.select(F.col("e").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
+    told = hashed.join(counts, "e", "left").join(roots.withColumnRenamed("node", "e").join(names, "root"), "e", "left").select(
         "g", "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("root", "id").alias("component"))
+        F.coalesce("least", "id").alias("component"))
     found = ready.join(told, ["g", "label", "v"]).select("id", "n_links", "component")
     others = frame.where(~(usable("v") & F.col("id").isNotNull() & F.col("label").isNotNull()))
     both = found.unionAll(others.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
@@ -155,7 +159,7 @@ def _group_ends(table: pa.Table) -> list[int]:
 def _link_tiles(table: pa.Table, ends: list[int], cosine: float):
     if not ends:
         return
-    column = {n: table.column(n).to_numpy() for n in ("t", "part", "id", "g", "n")}
+    column = {n: table.column(n).to_numpy() for n in ("t", "part", "e", "g", "n")}
     vectors, keys = table.column("v").combine_chunks(), table.column("keys").combine_chunks()
     out: list[tuple] = []
     start = 0
@@ -171,8 +175,8 @@ def _link_tiles(table: pa.Table, ends: list[int], cosine: float):
         count, first = compare(matrix(v, size), column["g"][rows].astype(np.int64), column["n"][rows].astype(np.float64),
                                k.flatten().to_numpy().reshape(-1, tables), column["part"][rows], int(column["t"][rows.start]), cosine)
         hit = np.flatnonzero(count)
-        ids = column["id"][rows]
+        ids = column["e"][rows]
         out += [(int(ids[x]), int(count[x]), int(ids[first[x]]) if first[x] != x else None) for x in hit]
     if out:
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                                          pa.array([o[2] for o in out], pa.int64())], ["id", "links", "root"])
+                                          pa.array([o[2] for o in out], pa.int64())], ["e", "links", "root"])

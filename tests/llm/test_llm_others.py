@@ -1,5 +1,6 @@
 """Operators on embeddings and pages, graph components and the pipeline."""
 
+import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
@@ -266,3 +267,26 @@ def test_pipeline_odd_rows(spark, tmp_path):
             stage(spark, docs, SMALL).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_an_id_on_rows_of_unequal_vectors(spark):
+    near = [[1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [1.0, 0.0, 0.01]]
+    rows = [(1, near[0], 5), (1, near[1], 5), (2, near[2], 5), (2, [0.0, 1.0, 0.0], 5), (3, [0.0, 1.0, 0.01], 5), (9, near[0], 6), (1, near[0], 5)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
+    assert sorted((r.id, r.n_links, r.component) for r in found.collect()) == [
+        (1, 3, 1), (1, 3, 1), (1, 3, 1), (2, 1, 2), (2, 3, 1), (3, 1, 2), (9, 0, 9)]
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    page = ('<body><article><p title="the hidden costs of war">First paragraph</p><div data-x="a hidden gem">second</div><p hidden>gone</p>'
+            '<p style="color: red; display : none">gone</p><p data-class="menu" title="class=menu">third</p></article></body>')
+    texts = [p.text for p in html_text.read_page(page) if p.text and not p.noise]
+    assert texts == ["First paragraph", "second", "third"]
+
+
+@pytest.mark.parametrize("page", ['<a x="' * 8000, "<span>" * 8000 + "</b>" * 8000, "<li><div>" + "<span>" * 8000 + "<li></li>" * 4000,
+                                  "<!--" * 10000, "< " * 30000, "<p '" * 9000 + ">"])
+def test_broken_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_text.read_page(page)
+    assert time.perf_counter() - start < 2
