@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,9 +54,13 @@ HEAD_PARTS = frozenset("base basefont bgsound link meta title script noscript st
 # Whole class and id names of a page's head, where they stand outside the article
 PAGE_HEADS = frozenset("header site-header page-header top-header main-header global-header siteheader pageheader".split())
 
-TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", re.I)
+# A tag with its attributes, quotes taken in pairs; without going back, so that a try costs what it reads
+TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>")
+# The same for the rest of a page whose quotes don't come in pairs
+PLAIN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>")
+BEGINS = re.compile(r"</?[a-zA-Z]")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD_DEFAULT, TAG_DEFAULT, LIMIT = 1.0, -0.5, 5.0
 
@@ -80,13 +85,14 @@ def _veto(name: str, attributes: str, in_article: bool) -> int:
         return SOFT if name == "form" else HARD
     if not attributes or name in ("html", "body", "article", "main"):
         return 0
-    if HIDDEN.search(attributes):
+    given = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))}  # the first of a name counts
+    if "hidden" in given or NO_DISPLAY.search(given.get("style", "")):
         return HARD
     if name in HEADINGS:
         return 0
     found = 0
-    for _, a, b, c in NAMES.findall(attributes):
-        for word in (a or b or c).split():
+    for value in (given.get("class", ""), given.get("id", ""), given.get("role", "")):
+        for word in value.split():
             parts = {p.lower() for p in PARTS.findall(word)}
             noise = parts & NOISE
             if noise and parts <= NOISE | NEUTRAL and (noise - WEAK or len(parts) == 1):
@@ -126,19 +132,51 @@ def _gone(blocks: list[Block]) -> list[bool]:
     return goes
 
 
+def tags(page: str):
+    """Finds the next tag, comment or declaration from a place on; linear in the page however broken it is.
+
+    A ``<`` that begins a tag whose quotes are not closed before the page ends makes the rest be read without regard to quotes.
+    """
+    paired, last = True, page.rfind(">")
+
+    def find(at: int):
+        nonlocal paired
+        while 0 <= (at := page.find("<", at)) <= last:
+            match = (TOKEN if paired else PLAIN).match(page, at)
+            if match is None and paired and BEGINS.match(page, at):
+                paired = False
+                match = PLAIN.match(page, at)
+            if match:
+                return match
+            at += 1
+        comment = page.find("<!--", at) if at >= 0 else -1
+        return PLAIN.match(page, comment) if comment >= 0 else None
+
+    return find
+
+
 def read_page(page: str | None) -> list[Piece]:
     """Tags and texts in page order; a linear pass that stands unclosed and crossed elements."""
     page, out, at = page or "", [], 0
-    stack: list[tuple[str, int, bool]] = []  # element, number of its block, inside an article
+    # element, number of its block, inside an article, place of the nearest element that is not inline
+    stack: list[tuple[str, int, bool, int]] = []
+    bottom = ("", 0, False, -1)
+    count: dict[str, int] = defaultdict(int)  # open elements of a name
+
+    def drop(depth: int):
+        for entry in stack[depth:]:
+            count[entry[0]] -= 1
+        del stack[depth:]
+
     blocks, of = [Block(0, False, False)], []
 
     def text(end: int):
         if end > at:
             part = html.unescape(page[at:end])
             if stack and stack[-1][0] == "head" and part.strip():
-                stack.pop()
-            name, block, inside = stack[-1] if stack else ("", 0, False)
-            up = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "")
+                drop(len(stack) - 1)
+            _, block, inside, above = stack[-1] if stack else bottom
+            up = stack[above][0] if above >= 0 else ""
             linked = "/a" if any(s[0] == "a" for s in stack[-4:]) else ""
             feature = "w:" + up + linked
             out.append(Piece(feature, len(part.split()), part, False, False, inside))
@@ -146,7 +184,8 @@ def read_page(page: str | None) -> list[Piece]:
             if not linked:
                 blocks[block].words += out[-1].words
 
-    match = TOKEN.search(page)
+    find = tags(page)
+    match = find(0)
     while match:
         text(match.start())
         at = match.end()
@@ -156,23 +195,26 @@ def read_page(page: str | None) -> list[Piece]:
         elif match[2]:
             name = match[2].lower()
             if match[1]:
-                closed = next((s for s in reversed(stack) if s[0] == name), ("", 0, False))
-                if closed[0]:
-                    while stack.pop()[0] != name:
-                        pass
+                closed = bottom
+                if count[name]:
+                    depth = len(stack) - 1
+                    while stack[depth][0] != name:
+                        depth -= 1
+                    closed = stack[depth]
+                    drop(depth)
             else:
-                if name == "body" or (stack and stack[-1][0] == "head" and name not in HEAD_PARTS):
+                if count["head"] and (name == "body" or (stack[-1][0] == "head" and name not in HEAD_PARTS)):
                     # the head ends where the body begins, whether it was closed or not
-                    del stack[next((n for n, s in enumerate(stack) if s[0] == "head"), len(stack)):]
+                    drop(next(n for n, s in enumerate(stack) if s[0] == "head"))
                 if name in CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    own = ("p",) if name in CLOSES_P else (name,)
-                    for depth in range(len(stack) - 1, -1, -1):
-                        if stack[depth][0] in own:
-                            del stack[depth:]
-                            break
-                        if stack[depth][0] not in INLINE and stack[depth][0] != "p":
+                    own = "p" if name in CLOSES_P else name
+                    depth = stack[-1][3] if stack else -1
+                    while depth >= 0 and stack[depth][0] in (own, "p"):
+                        if stack[depth][0] == own:
+                            drop(depth)
                             break
-                _, block, inside = stack[-1] if stack else ("", 0, False)
+                        depth = stack[depth - 1][3] if depth else -1
+                _, block, inside, above = stack[-1] if stack else bottom
                 veto = 0 if blocks[block].hard else _veto(name, match[3], inside)
                 if veto:
                     blocks.append(Block(block, veto == HARD, inside))
@@ -180,8 +222,9 @@ def read_page(page: str | None) -> list[Piece]:
                 blocks[block].articles += name in ARTICLE
                 blocks[block].mains += name == "main"
                 if name not in VOID and not match[3].endswith("/"):
-                    stack.append((name, block, inside or name in ARTICLE))
-            _, block, inside = closed if match[1] and closed[0] else stack[-1] if stack else ("", 0, False)
+                    stack.append((name, block, inside or name in ARTICLE, above if name in INLINE else len(stack)))
+                    count[name] += 1
+            _, block, inside, _ = closed if match[1] and closed[0] else stack[-1] if stack else bottom
             out.append(Piece(f"<{match[1]}{name}", 0, None, False, name not in INLINE, inside and name not in ARTICLE))
             of.append(block)
             if name == "br":
@@ -190,7 +233,7 @@ def read_page(page: str | None) -> list[Piece]:
             if name in RAW and not match[1] and not match[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
                 at = end.start() if end else len(page)
-        match = TOKEN.search(page, at)
+        match = find(at)
     text(len(page))
     if len(blocks) > 1:
         goes = _gone(blocks)
