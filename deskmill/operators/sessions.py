@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.operators.ordered import newest, running, time_segment
+from deskmill.session import materialise
 
 
 def micros(col: str | Column) -> Column:
@@ -125,29 +128,67 @@ def latest_record(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def alert_machine(ticks: DataFrame, repeat_seconds: int) -> DataFrame:
+def alert_machine(ticks: DataFrame, repeat_seconds: int, spans: int = 64) -> DataFrame:
     """Messages of each monitor over its ticks (one row per monitor and tick: ts, bad, problems, sent).
 
-    Alert when bad and: it was good, or the problem set changed, or the last alert that was
-    sent is ``repeat_seconds`` old. One recovery message. A failed send does not count as an alert.
-    The fold runs over one row per tick, so its size is the number of ticks, not of events.
+    Alert when bad and: it was good, or the problem set changed, or the last alert that was sent is ``repeat_seconds`` old.
+    One recovery message. A failed send does not count as an alert.
+
+    A monitor's ticks are cut into segments of ``spans`` repeats. All that a segment does to the time of the last sent message is
+    a small table: a change that was sent sets it whatever it was before; else only ticks of the first repeat can be the first
+    to fire, and where their chain of repeats ends is found for all of them together. The tables are gone through per monitor,
+    which gives the time each segment begins with; then the segments are worked on by themselves.
     """
-    tick = "struct<at:bigint,bad:boolean,problems:string,sent:boolean>"
-    start = F.struct(F.lit(False).alias("bad"), F.lit("").alias("problems"), F.lit(0).cast("long").alias("alerted"),
-                     F.expr("cast(array() as array<struct<at:bigint,message:string,problems:string>>)").alias("out"))
-
-    def step(s, t):
-        alert = t["bad"] & (~s["bad"] | (t["at"] - s["alerted"] >= repeat_seconds) | (s["problems"] != t["problems"]))
-        over = ~t["bad"] & s["bad"]
-        said = alert | over
-        line = F.struct(t["at"].alias("at"), F.when(alert, "alert").otherwise("recovered").alias("message"),
-                        t["problems"].alias("problems"))
-        return F.struct(t["bad"].alias("bad"), t["problems"].alias("problems"),
-                        F.when(said & t["sent"], t["at"]).otherwise(s["alerted"]).alias("alerted"),
-                        F.when(said, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
-
-    rows = ticks.select("monitor", F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "bad", "problems", "sent")
-                        .cast(tick).alias("t"))
-    folded = rows.groupBy("monitor").agg(F.sort_array(F.collect_list("t")).alias("ticks"))
-    return (folded.select("monitor", F.explode(F.aggregate("ticks", start, step, lambda s: s["out"])).alias("m"))
-            .select("monitor", F.timestamp_seconds("m.at").cast("timestamp_ntz").alias("ts"), "m.message", "m.problems"))
+    width = repeat_seconds * spans
+    columns = ["at", "bad", "problems", "sent"]
+    rows = ticks.select("monitor", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "bad", "problems", "sent")
+    seen = running(rows, ["monitor"], columns, F.floor(F.col("at") / width), prev={"_before": F.struct("bad", "problems")})
+    was_bad, before = F.coalesce(F.col("_before.bad"), F.lit(False)), F.coalesce(F.col("_before.problems"), F.lit(""))
+    changed = (F.col("bad") & (~was_bad | (before != F.col("problems")))) | (~F.col("bad") & was_bad)
+    marked = materialise(seen.withColumn("changed", changed).filter(F.col("bad") | F.col("changed"))
+                         .select("monitor", F.floor(F.col("at") / width).alias("seg"), *columns, "changed"), "ticks")
+
+    def table(key, part):
+        sent = part[part["sent"]].sort_values("at")
+        times, set_ = sent["at"].to_numpy(), sent["changed"].to_numpy()
+        cut = np.flatnonzero(set_)
+        quiet = times[cut[-1]:] if len(cut) else times  # what comes before the last change is forgotten
+        if len(cut):
+            first = np.zeros(1, np.int64)
+        else:
+            first = np.arange(min(len(quiet), np.searchsorted(quiet, key[1] * width + repeat_seconds) + 1))
+        last = first.copy()
+        while len(last):
+            after = np.searchsorted(quiet, quiet[last] + repeat_seconds)
+            on = after < len(quiet)
+            if not on.any():
+                break
+            last[on] = after[on]
+        made = pd.DataFrame({"monitor": key[0], "seg": key[1], "need": quiet[first], "until": quiet[last], "always": bool(len(cut))})
+        # a segment without such ticks changes nothing, but has to be told its beginning
+        return made if len(made) else pd.DataFrame({"monitor": [key[0]], "seg": [key[1]], "need": [-1], "until": [-1], "always": [False]})
+
+    def carry(key, part):
+        alerted, out = 0, []
+        for seg, rows_ in part.sort_values(["seg", "need"]).groupby("seg"):
+            out.append((key[0], seg, alerted))
+            if rows_["always"].iloc[0]:
+                alerted = int(rows_["until"].iloc[0])
+            else:
+                at = int(np.searchsorted(rows_["need"].to_numpy(), alerted + repeat_seconds))
+                alerted = int(rows_["until"].iloc[at]) if at < len(rows_) else alerted
+        return pd.DataFrame(out, columns=["monitor", "seg", "alerted"])
+
+    def messages(key, part):
+        alerted, out = int(part["alerted"].iloc[0]), []
+        for r in part.sort_values(columns).itertuples():
+            if r.changed or r.at - alerted >= repeat_seconds:
+                out.append((key[0], r.at, "alert" if r.bad else "recovered", r.problems))
+                alerted = r.at if r.sent else alerted
+        return pd.DataFrame(out, columns=["monitor", "at", "message", "problems"])
+
+    part = ["monitor", "seg"]
+    tables = marked.groupBy(*part).applyInPandas(table, "monitor string, seg bigint, need bigint, until bigint, always boolean")
+    begins = tables.groupBy("monitor").applyInPandas(carry, "monitor string, seg bigint, alerted bigint")
+    said = marked.join(begins, part).groupBy(*part).applyInPandas(messages, "monitor string, at bigint, message string, problems string")
+    return said.select("monitor", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "message", "problems")
