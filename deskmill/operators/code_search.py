@@ -6,6 +6,8 @@ pair (file_id, line_start) names a block.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +67,33 @@ def trigram_index(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame
     return found.join(only, "gram", "left_semi") if only is not None else found
 
 
-def anchors(variants: DataFrame, index: DataFrame) -> DataFrame:
+@dataclass
+class GramIndex:
+    """Written tables: blocks with their length, grams(gram, file_id, line_start) of all blocks in the order of grams,
+    counts(gram, df) and stats(n, avg_len)."""
+
+    blocks: DataFrame
+    grams: DataFrame
+    counts: DataFrame
+    stats: DataFrame
+
+
+def build_gram_index(blocks: DataFrame, write=None) -> GramIndex:
+    """Write the index of the blocks once; ``write(name, frame)`` says where the tables go.
+
+    Files of grams cover a range of grams each, so that a reader of some grams passes over the others.
+    """
+    write = write or (lambda name, df: materialise(df, name))
+    sized = write("blocks", blocks.withColumn("len", block_length()))
+    found = write("grams", trigram_index(sized).repartitionByRange("gram", *KEY).sortWithinPartitions("gram"))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    return GramIndex(sized, found, write("counts", found.groupBy("gram").agg(F.count("*").alias("df"))), write("stats", stats))
+
+
+def anchors(variants: DataFrame, counts: DataFrame) -> DataFrame:
     """(variant, gram): the rarest gram of each variant; variants with an unknown gram occur nowhere and fall out."""
     asked = variants.select("variant", F.explode(grams(F.col("variant"))).alias("gram"))
-    df = index.groupBy("gram").agg(F.count("*").alias("df"))
-    return (asked.join(df, "gram", "left").groupBy("variant")
+    return (asked.join(counts, "gram", "left").groupBy("variant")
             .agg(F.min(F.struct("df", "gram")).alias("a"), F.bool_or(F.col("df").isNull()).alias("lost"))
             .filter(~F.col("lost")).select("variant", F.col("a.gram").alias("gram")))
 
@@ -81,23 +105,25 @@ def occurrences(text: Column, v: Column) -> Column:
     return F.when(plain == 0, 0).when(overlaps & (plain > 0), F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), v, F.lit(r"\E)")))).otherwise(plain)
 
 
-def variant_hits(blocks: DataFrame, variants: DataFrame) -> DataFrame:
+def proposals(index: GramIndex, variants: DataFrame) -> DataFrame:
+    """(variant, file_id, line_start): blocks with a variant's rarest gram, from the index alone."""
+    return index.grams.join(anchors(variants, index.counts), "gram").select("variant", *KEY)
+
+
+def variant_hits(index: GramIndex, variants: DataFrame) -> DataFrame:
     """(variant, file_id, line_start, len, tf_path, tf_name, tf_doc, tf_body) of all blocks that hold a variant.
 
-    The rarest gram proposes blocks, the text decides. Each block's text is read once with the list of
-    the variants proposed for it, whose size is that of the question table, not of the corpus.
+    The rarest gram proposes blocks, the text decides: only proposed blocks give their text. Each block's text is read once with
+    the list of the variants proposed for it, whose size is that of the question table, not of the corpus.
     """
-    asked = variants.select(F.explode(grams(F.col("variant"))).alias("gram")).distinct()
-    index = materialise(trigram_index(blocks, asked), "grams")
-    proposed = (index.join(anchors(variants, index), "gram").groupBy(*KEY).agg(F.collect_list("variant").alias("vs")))
-    size = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in COLUMNS[1:]), F.greatest(F.length("path") - 2, F.lit(0)))
+    proposed = proposals(index, variants).groupBy(*KEY).agg(F.collect_list("variant").alias("vs"))
     low = F.struct(*[F.lower(fold(F.col(c))).alias(c) for c in COLUMNS])
 
     def counted(r):
         each = F.transform("vs", lambda v: F.struct(v.alias("variant"), *[occurrences(r[c], v).alias(f"tf_{c}") for c in COLUMNS]))
         return F.filter(each, lambda h: h["tf_path"] + h["tf_name"] + h["tf_doc"] + h["tf_body"] > 0)
 
-    rows, found = blocks.join(proposed, KEY).withColumn("len", size), bind(low, counted)
+    rows, found = index.blocks.join(proposed, KEY), bind(low, counted)
     return rows.select(*KEY, "len", F.explode(found).alias("h")).select(*KEY, "len", "h.*")
 
 
@@ -110,9 +136,8 @@ def variant_scores(hits: DataFrame, stats: DataFrame, columns: list[str]) -> Dat
     return inside.join(df, "variant").select("variant", *KEY, bm25(F.col("freq"), F.col("df"), F.col("len"), n, avg_len).alias("score"))
 
 
-def block_stats(blocks: DataFrame) -> DataFrame:
-    size = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in COLUMNS[1:]), F.greatest(F.length("path") - 2, F.lit(0)))
-    return blocks.agg(F.count("*").alias("n"), F.avg(size).alias("avg_len"))
+def block_length() -> Column:
+    return sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in COLUMNS[1:]), F.greatest(F.length("path") - 2, F.lit(0)))
 
 
 def candidate_lists(terms: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
@@ -219,13 +244,13 @@ def rerank(found: DataFrame, hits: DataFrame, blocks: DataFrame, questions: Data
     return newest(scored, ["question_id"], depth, F.col("score").desc(), *[F.col(k) for k in KEY], rank="place")
 
 
-def lexical_search(blocks: DataFrame, questions: DataFrame, depth: int = 50, synonyms: dict | None = None) -> DataFrame:
+def lexical_search(index: GramIndex, questions: DataFrame, depth: int = 50, synonyms: dict | None = None) -> DataFrame:
     """The best ``depth`` blocks per question."""
-    terms = parse_query(questions, synonyms=synonyms)
+    terms = materialise(parse_query(questions, synonyms=synonyms), "terms")
     variants = terms.select(F.explode("variants").alias("variant")).distinct()
-    hits = materialise(variant_hits(blocks, variants), "hits")
-    found = materialise(candidate_union(candidate_lists(terms, hits, block_stats(blocks))), "candidates")
-    return rerank(found, hits, blocks, questions, terms, depth)
+    hits = materialise(variant_hits(index, variants), "hits")
+    found = materialise(candidate_union(candidate_lists(terms, hits, index.stats)), "candidates")
+    return rerank(found, hits, index.blocks, questions, terms, depth)
 
 
 def snippet_lines(hits: DataFrame, terms: DataFrame, max_lines: int = SNIPPET_LINES, width: int = SNIPPET_WIDTH) -> DataFrame:

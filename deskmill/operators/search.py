@@ -83,20 +83,22 @@ def vocabulary_pages(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select(start.alias("start"), "term").withColumn("page", F.floor(place / PAGE).cast("int")).select("start", "page", "term")
 
 
-def build_index(documents: DataFrame, chunks: DataFrame, aliases: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> TextIndex:
+def build_index(documents: DataFrame, chunks: DataFrame, aliases: DataFrame, write=None, en: list[str] | None = X.EN_ENDINGS) -> TextIndex:
     """Write the index once; chunks are cut once and read back for postings, scoring and display.
 
     documents: doc_id, path, title, … · chunks: doc_id, chunk_no, text · aliases: canonical (a path), alias
+    ``write(name, frame)`` says where the tables go.
     """
-    docs = materialise(documents, "documents")
-    cut = materialise(chunks.withColumn("n_words", F.size(words(F.col("text")))), "chunks")
+    write = write or (lambda name, df: materialise(df, name))
+    docs = write("documents", documents)
+    cut = write("chunks", chunks.withColumn("n_words", F.size(words(F.col("text")))))
     other = aliases.join(docs.select("doc_id", F.col("path").alias("canonical")), "canonical").select("doc_id", F.col("alias").alias("title"))
     titles = materialise(docs.select("doc_id", "title").unionByName(other), "titles")
-    postings, lengths, word_stems = build_postings(cut, titles, en)
-    postings = materialise(postings, "postings")
+    found, lengths, word_stems = build_postings(cut, titles, en)
+    postings = write("postings", found)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     pages = vocabulary_pages(postings.select("term").distinct())
-    return TextIndex(docs, cut, postings, materialise(stats, "stats"), word_stems, materialise(pages, "terms"))
+    return TextIndex(docs, cut, postings, write("stats", stats), write("stems", word_stems), write("terms", pages))
 
 
 def question_terms(questions: DataFrame, stop_words: list[str] = X.KB_STOP_WORDS, en: list[str] | None = X.EN_ENDINGS) -> DataFrame:

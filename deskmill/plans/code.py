@@ -12,7 +12,7 @@ from deskmill.operators import fusion as U
 from deskmill.operators import vectors as V
 from deskmill.operators.chunking import segment_blocks
 from deskmill.plans.registry import query
-from deskmill.session import materialise
+from deskmill.session import kept, materialise
 from deskmill.sources.views import BLOCKS_SQL, modules
 
 OBJECT_SQL = """(CASE b.doc_id%4 WHEN 0 THEN 'Документ' WHEN 1 THEN 'ОбщийМодуль' WHEN 2 THEN 'Справочник' ELSE 'Отчет' END) AS object_type,
@@ -24,16 +24,25 @@ code AS MATERIALIZED (SELECT b.doc_id AS file_id, b.line_start, b.line_end, b.ki
 fts AS MATERIALIZED (SELECT *, repo||'/'||file_path||' '||object_type||'.'||object_name||' '||module_kind AS path FROM code)"""
 
 
+def code_index(t):
+    """The gram index of the code blocks; it is built once and kept until a file of the table changes."""
+    return C.GramIndex(**kept(t.documents, "code-index", lambda write: C.build_gram_index(_blocks(t), write)))
+
+
 def code_blocks(t):
-    """Blocks with owner columns; written once, because every search reads them several times."""
+    return code_index(t).blocks.drop("len")
+
+
+def _blocks(t):
+    """Blocks with owner columns."""
     files = modules(t.documents).withColumnRenamed("doc_id", "file_id").withColumn("m", path_meta(F.col("path")))
     cut = segment_blocks(files, ["file_id", "repo", "path", "m"], "text")
     label = F.array_join(F.filter(F.array(F.concat("m.object_type", F.lit("."), "m.object_name"), "m.module_kind", "m.sub_name"), lambda x: x != ""), " ")
-    return materialise(cut.select(
+    return cut.select(
         "file_id", "line_start", "line_end", "kind", "name", F.col("name").alias("proc_name"), "is_export", "doc", "body", "repo",
         F.col("path").alias("file_path"), F.col("m.object_type").alias("object_type"), F.col("m.object_name").alias("object_name"),
         F.col("m.module_kind").alias("module_kind"), F.col("m.sub_name").alias("sub_name"),
-        F.concat("repo", F.lit("/"), "path", F.lit(" "), label).alias("path")), "blocks")
+        F.concat("repo", F.lit("/"), "path", F.lit(" "), label).alias("path"))
 
 
 def questions(t):
@@ -140,9 +149,9 @@ def _(t):
 
 
 def _lists(t):
-    blocks, terms = code_blocks(t), C.parse_query(questions(t))
-    hits = materialise(C.variant_hits(blocks, terms.select(F.explode("variants").alias("variant")).distinct()), "hits")
-    return C.candidate_lists(terms, hits, C.block_stats(blocks))
+    index, terms = code_index(t), C.parse_query(questions(t))
+    hits = materialise(C.variant_hits(index, terms.select(F.explode("variants").alias("variant")).distinct()), "hits")
+    return C.candidate_lists(terms, hits, index.stats)
 
 
 @query("candidate_union", "WITH " + lists_sql() + " SELECT question_id, file_id, line_start, list_no, list_rank, bm25 FROM united")
@@ -157,7 +166,7 @@ def _(t):
 
 @query("rerank", "WITH " + rerank_sql(50) + " SELECT question_id, place, file_id, line_start, matched, score FROM reranked")
 def _(t):
-    return C.lexical_search(code_blocks(t), questions(t)).select("question_id", "place", "file_id", "line_start", "matched", "score")
+    return C.lexical_search(code_index(t), questions(t)).select("question_id", "place", "file_id", "line_start", "matched", "score")
 
 
 SNIP_SQL = rerank_sql(8) + r""",
@@ -174,7 +183,7 @@ SELECT question_id, place, array_to_string(list_transform(chosen, lambda i: (lin
 def _(t):
     blocks = code_blocks(t)
     terms = C.parse_query(questions(t))
-    hits = C.lexical_search(blocks, questions(t), 8).join(blocks.select(*C.KEY, "body"), C.KEY)
+    hits = C.lexical_search(code_index(t), questions(t), 8).join(blocks.select(*C.KEY, "body"), C.KEY)
     return C.snippet_lines(hits, terms).select("question_id", "place", F.array_join("lines", "\n").alias("lines"))
 
 
@@ -185,7 +194,7 @@ o AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS found, max(CASE WHEN
 SELECT question_id, place, found, count(*) OVER (PARTITION BY question_id) AS shown FROM o WHERE over = 0""")
 def _(t):
     blocks = code_blocks(t)
-    hits = C.lexical_search(blocks, questions(t), 20).join(blocks.select(*C.KEY, "body"), C.KEY)
+    hits = C.lexical_search(code_index(t), questions(t), 20).join(blocks.select(*C.KEY, "body"), C.KEY)
     return C.char_budget(hits, "question_id", "place", "body", 4000).select("question_id", "place", "found", "shown")
 
 
@@ -308,7 +317,7 @@ SELECT question_id, rank, file_id, line_start, score FROM fr WHERE rank <= """
 def fused(t, limit: int, semantic: bool = True):
     blocks, asked = code_blocks(t), materialise(formulations(t), "formulations")
     split = {"question_id": (F.col("question_id") / 10).cast("long"), "formulation": (F.col("question_id") % 10).cast("int")}
-    lexical = C.lexical_search(blocks, asked, U.DEPTH).withColumns({"formulation": split["formulation"]}).withColumns({"question_id": split["question_id"]})
+    lexical = C.lexical_search(code_index(t), asked, U.DEPTH).withColumns({"formulation": split["formulation"]}).withColumns({"question_id": split["question_id"]})
     near = None
     if semantic:
         vectors = V.embed(passages(blocks), C.KEY, "passage", V.letter_embedder)

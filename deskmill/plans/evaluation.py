@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from deskmill.operators import code_search as C
 from deskmill.operators import evaluation as E
 from deskmill.operators import search as S
-from deskmill.plans.code import CODE_SQL, code_blocks
+from deskmill.plans.code import CODE_SQL, code_blocks, code_index
 from deskmill.plans.registry import query
 from deskmill.plans.search import HITS_SQL, questions, ranked
 from deskmill.session import materialise
@@ -90,6 +90,6 @@ def _(t):
     blocks = code_blocks(t)
     picked = materialise(E.round_robin_pick(pools(t, blocks), C.KEY, 60, 1).withColumn("question_id", F.xxhash64(*C.KEY))
                          .join(blocks.select(*C.KEY, F.col("path").alias("expect_path"), F.col("name").alias("expect_name")), C.KEY).drop(*C.KEY), "picked")
-    hits = C.lexical_search(blocks, picked.select("question_id", "text"), 8).join(blocks.select(*C.KEY, "path", "name"), C.KEY).withColumnRenamed("place", "rank")
+    hits = C.lexical_search(code_index(t), picked.select("question_id", "text"), 8).join(blocks.select(*C.KEY, "path", "name"), C.KEY).withColumnRenamed("place", "rank")
     ranks_ = E.expected_ranks(hits, picked.select("question_id", "expect_path", "expect_name"), E.path_and_name_fit("path", "name"), picked)
     return E.metrics(ranks_)

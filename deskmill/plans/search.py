@@ -72,10 +72,10 @@ def questions(t):
 
 def index_of(t):
     """The index of the documents as they are; it is built once and kept until a file of the table changes."""
-    def build():
+    def build(write):
         kb = knowledge(t)
         documents = kb["documents"].select("doc_id", "path", "title", "product", "digest", F.length("text").alias("chars"))
-        return vars(S.build_index(documents, kb["chunks"], kb["aliases"]))
+        S.build_index(documents, kb["chunks"], kb["aliases"], write)
 
     return S.TextIndex(**kept(t.documents, "knowledge-index", build))
 

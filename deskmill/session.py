@@ -90,11 +90,12 @@ def file_state(source: DataFrame) -> str:
     return f"{n}-{total or 0:x}"
 
 
-def kept(source: DataFrame, name: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+def kept(source: DataFrame, name: str, build: Callable[[Callable[[str, DataFrame], DataFrame]], None]) -> dict[str, DataFrame]:
     """Tables derived from a frame's files, built when they are first asked for and read back as long as the files stay.
 
-    They lie below the shared root, so other sessions find them too. A build goes to a folder of its own and counts only once a
-    row that names it is written; of builds that ran side by side all readers take the same one.
+    ``build`` gets a function that writes a table under a name and gives it back as read from there. The tables lie below the
+    shared root, so other sessions find them too. A build goes to a folder of its own and counts only once rows that name its
+    tables are written; of builds that ran side by side all readers take the same one.
     """
     spark = source.sparkSession
     entry = f"{shared_root(spark)}/kept-{name}-{file_state(source)}"
@@ -110,9 +111,13 @@ def kept(source: DataFrame, name: str, build: Callable[[], dict[str, DataFrame]]
     rows = found()
     if not rows:
         folder, made = workspace(spark, name), []
-        for table, df in build().items():
+
+        def write(table: str, df: DataFrame) -> DataFrame:
             df.write.parquet(f"{folder}/{table}")
             made.append((folder, table, df.schema.json()))
+            return spark.read.schema(df.schema).parquet(f"{folder}/{table}")
+
+        build(write)
         spark.createDataFrame(made, "folder string, name string, kind string").coalesce(1).write.mode("append").parquet(entry)
         rows = found()
     return {r.name: spark.read.schema(StructType.fromJson(json.loads(r.kind))).parquet(f"{r.folder}/{r.name}")

@@ -12,9 +12,10 @@ def test_kept_until_a_file_changes(spark):
     def total():
         source = spark.read.parquet(path)
 
-        def build():
+        def build(write):
             calls.append(1)
-            return {"sums": source.agg(F.sum("id").alias("s")), "rows": source.select((F.col("id") * 2).alias("twice"))}
+            write("sums", source.agg(F.sum("id").alias("s")))
+            write("rows", source.select((F.col("id") * 2).alias("twice")))
 
         tables = kept(source, "totals", build)
         return tables["sums"].first()[0], tables["rows"].count()
@@ -28,9 +29,13 @@ def test_a_build_that_fails_leaves_nothing(spark):
     path = workspace(spark, "source")
     spark.range(3).write.parquet(path)
     source = spark.read.parquet(path)
-    broken = lambda: {"a": source, "b": source.select(F.raise_error(F.lit("no")).alias("x"))}
+
+    def broken(write):
+        write("a", source)
+        write("b", source.select(F.raise_error(F.lit("no")).alias("x")))
+
     try:
         kept(source, "broken", broken)
     except Exception as e:  # noqa: BLE001
         assert "no" in str(e)
-    assert kept(source, "broken", lambda: {"a": source})["a"].count() == 3
+    assert kept(source, "broken", lambda write: write("a", source))["a"].count() == 3

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from deskmill.operators import code_search as C
 from deskmill.operators import search as S
 
 
@@ -96,3 +97,30 @@ def test_stems_of_words_and_in_the_row_agree(spark):
     plain = texts.select("doc_id", F.explode(S.stems(F.col("text"))).alias("term")).groupBy("doc_id", "term").count()
     assert sorted(map(tuple, postings.filter("tf_body > 0").select("doc_id", "term", "tf_body").collect())) == sorted(map(tuple, plain.collect()))
     assert postings.agg(F.sum("tf_title")).first()[0] == 1
+
+
+def some_blocks(spark, n=300):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 9))) for _ in range(200)]
+    text = lambda k: " ".join(rnd.choice(words) for _ in range(k))
+    return words, spark.createDataFrame([(i, 1, text(3), rnd.choice(words), text(5), text(40)) for i in range(n)],
+                                        "file_id long, line_start int, path string, name string, doc string, body string")
+
+
+def test_kept_grams_find_what_the_texts_hold(spark):
+    words, blocks = some_blocks(spark)
+    index = C.build_gram_index(blocks)
+    rows = blocks.collect()
+    for asked in (words[:10] + ["abc", "zzz"], words[50:53]):  # a second call reads the same tables
+        variants = spark.createDataFrame([(w,) for w in asked], "variant string")
+        found = {(r.variant, r.file_id) for r in C.variant_hits(index, variants).collect()}
+        assert found == {(w, r.file_id) for w in asked for r in rows if any(w in r[c] for c in C.COLUMNS)}
+
+
+def test_grams_propose_without_texts(spark):
+    words, blocks = some_blocks(spark)
+    index = C.build_gram_index(blocks)
+    variants = spark.createDataFrame([(words[0],)], "variant string")
+    plan = C.proposals(index, variants)._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan and "ReadSchema" in plan
+    assert C.proposals(index, variants).count() <= index.counts.join(variants.select(F.explode(C.grams(F.col("variant"))).alias("gram")), "gram").agg(F.min("df")).first()[0]
