@@ -81,11 +81,11 @@ class GramIndex:
 def build_gram_index(blocks: DataFrame, write=None) -> GramIndex:
     """Write the index of the blocks once; ``write(name, frame)`` says where the tables go.
 
-    Files of grams cover a range of grams each, so that a reader of some grams passes over the others.
+    Each file of grams is in their order, so that a reader of some grams passes over the rest of it; nothing is shuffled for it.
     """
     write = write or (lambda name, df: materialise(df, name))
     sized = write("blocks", blocks.withColumn("len", block_length()))
-    found = write("grams", trigram_index(sized).repartitionByRange("gram", *KEY).sortWithinPartitions("gram"))
+    found = write("grams", trigram_index(sized).sortWithinPartitions("gram"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     return GramIndex(sized, found, write("counts", found.groupBy("gram").agg(F.count("*").alias("df"))), write("stats", stats))
 
