@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.llm.names import free_name
+
 CACHED = 150_000  # pre-tokens a task remembers; the memory of a worker stays bounded, results don't depend on it
 LONGEST = 64  # longer pre-tokens are not remembered
 
@@ -128,14 +130,15 @@ def codec(model: bytes, pattern: str) -> Codec:
 def _columns(docs: DataFrame, source: str, run, added: list[tuple[str, T.DataType]]) -> DataFrame:
     """``docs`` with columns that ``run`` makes of one column; a column of the same name is replaced."""
     names = [n for n, _ in added]
-    frame = docs.select(*[c for c in docs.columns if c not in names], F.col(source).alias("_in"))
-    kept = [f for f in frame.schema if f.name != "_in"]
+    work_col = free_name("_in", [*docs.columns, *names])
+    frame = docs.select(*[c for c in docs.columns if c not in names], F.col(source).alias(work_col))
+    kept = [f for f in frame.schema if f.name != work_col]
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in added]])
     arrow = {T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
 
     def work(batches):
         for batch in batches:
-            made = run(batch.column("_in").to_pylist())
+            made = run(batch.column(work_col).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in kept], *[pa.array(x, arrow[t]) for x, (_, t) in zip(made, added)]],
                 [f.name for f in schema])

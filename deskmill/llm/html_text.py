@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.llm.names import free_name
 from deskmill.llm.sampling import bounded_sample
 
 SAMPLE = 500  # labelled pages that the weights are learned from
@@ -316,11 +317,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     weights = learn_weights(pages.select(F.col(id_col), F.col(html_col).cast("string").alias(html_col)), id_col, html_col, sample)
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    frame = pages.select(*kept, F.col(html_col).cast("string").alias("_html"))
+    work_col = free_name("_html", pages.columns)
+    frame = pages.select(*kept, F.col(html_col).cast("string").alias(work_col))
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x, weights) for x in batch.column("_html").to_pylist()]
+            texts = [main_text(x, weights) for x in batch.column(work_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()),
                                               pa.array([len(x) for x in texts], pa.int64())], schema.names)
 

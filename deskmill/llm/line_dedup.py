@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskmill.llm.names import free_name
 from deskmill.session import materialise
 
 MIN_WORDS = 50
@@ -151,10 +152,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     keyed = _keyed(docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in kept]), id_col, text_col)
-    joined = keyed.join(repeated_runs(docs, id_col, text_col, min_words), ["_d", "_h"], "left")
+    spans = free_name("spans", kept)
+    joined = keyed.join(repeated_runs(docs, id_col, text_col, min_words).withColumnRenamed("spans", spans), ["_d", "_h"], "left")
     units = F.split(text_col, UNIT_BREAK)
-    left = F.filter(units, lambda u, n: ~F.exists("spans", lambda s: (s["s"] <= n) & (n <= s["e"])))
-    gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["s"] + 1), F.lit(0))
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(units, lambda u, n: ~F.exists(spans, lambda s: (s["s"] <= n) & (n <= s["e"])))
+    gone = F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["s"] + 1), F.lit(0))
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept],
                          F.coalesce(F.size(units), F.lit(0)).cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"))

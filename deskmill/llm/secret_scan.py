@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.llm.names import free_name
+
 # The rules, (kind, pattern, shortest match, shortest last group). Kinds come in the order of the report.
 RULES = (
     ("assign", "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -329,15 +331,16 @@ def find_secrets(docs: DataFrame, text_col: str = "text", clean_col: str | None
                          T.StructField("end", T.LongType())])
     added = [("secrets", T.ArrayType(span))] + ([(clean_col, T.StringType())] if clean_col else [])
     kept = [c for c in docs.columns if c not in [n for n, _ in added] or c == text_col]
-    source = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([f for f in source.schema if f.name not in [*(n for n, _ in added), "_text"]]
+    work_col = free_name("_text", [*docs.columns, *[n for n, _ in added]])
+    source = docs.select(*kept, F.col(text_col).cast("string").alias(work_col))
+    schema = T.StructType([f for f in source.schema if f.name not in [*(n for n, _ in added), work_col]]
                           + [T.StructField(n, t) for n, t in added])
     stay = [f.name for f in schema if f.name not in [n for n, _ in added]]
 
     def run(batches):
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(work_col).to_pylist()
             spans = [scanner.spans(x) for x in texts]
             columns = [batch.column(n) for n in stay]
             columns.append(pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], kinds))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.llm.names import free_name
 from deskmill.session import materialise
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -316,12 +317,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     model, _ = fit(docs, labels, id_col, text_col, **fitting)
     terms, names = model.terms, docs.columns
-    frame = docs.withColumn("_text", F.col(text_col).cast("string"))
+    work_col = free_name("_text", names)
+    frame = docs.withColumn(work_col, F.col(text_col).cast("string"))
 
     def keep(batches):
         scores = _Scores(model)
         for batch in batches:
-            ids, counts = _counted(batch.column("_text").to_pylist(), terms)
+            ids, counts = _counted(batch.column(work_col).to_pylist(), terms)
             good = pa.array([scores(i, c)[0] < threshold for i, c in zip(ids, counts)], pa.bool_())
             yield batch.select(names).filter(good)
 

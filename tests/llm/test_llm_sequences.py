@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from deskmill.llm import divergence, periodic_runs, token_counts
+from deskmill.llm import bpe, divergence, html_text, line_dedup, periodic_runs, secret_scan, token_counts, toxicity
 from deskmill.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -253,3 +254,24 @@ def test_op13_on_whole_table(spark, library):
     for r in rows:
         n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+
+
+# --- columns of the caller that are called like helper columns
+
+def test_helper_columns_meet_no_column_of_the_caller(spark):
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = spark.createDataFrame([(1, "password = abcdef12", "a", "b", "c", "d"), (2, None, "a", "b", "c", "d")],
+                                 "doc_id long, text string, _text string, spans string, _in string, _html string")
+    own = lambda frame: sorted((r["_text"], r["spans"], r["_in"], r["_html"]) for r in frame.collect())
+    for made in (secret_scan.find_secrets(docs, clean_col="clean"), line_dedup.drop_repeated_lines(docs),
+                 bpe.encode(docs, tokens, public_tokenizers.PATTERN), token_counts.count_tokens(docs, PATH), periodic_runs.collapse_runs(docs)):
+        assert own(made) == [("a", "b", "c", "d")] * 2
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), "_text", "spans", "_in", "_html")
+    assert own(html_text.extract_text(pages)) == [("a", "b", "c", "d")] * 2
+
+
+def test_toxicity_stage_keeps_a_column_called_like_its_own(spark):
+    read = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")
+    docs = read("documents").withColumn("_text", F.lit("mine"))
+    kept = toxicity.keep_clean(docs, read("labels"))
+    assert kept.columns == docs.columns and [r[0] for r in kept.select("_text").distinct().collect()] == ["mine"]
