@@ -1,15 +1,20 @@
 """Nearest neighbours by inner product: a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample and is itself bounded, so every task has it. Every vector is put into its leaf.
-For a query a priority queue opens the most promising node first; the leaves come out in that order, and the first ``visits``
-of them are searched exactly; after the first few, only what beats a query's scores so far goes on. How many that has to be is measured: for a bounded set of queries the true neighbours among all
-rows are found by brute force, and visits widen until the leaves visited hold the wanted share of them.
-Leaves and the queries that visit them are cut into blocks and met as matrix products, so no leaf has to fit a task.
+The tree is fitted on a bounded sample and is itself bounded, so every task has it. Its leaves are cut so that they hold about
+``LEAF_ROWS`` rows of the table, as long as the sample allows it: the number of leaves grows with the table, not their size.
+Every vector is put into its leaf. For a query a priority queue opens the most promising node first; the leaves come out in that
+order, and the first ``visits`` of them are searched exactly; after the first few, only what beats a query's scores so far goes on.
+How many that has to be is measured: for a bounded set of queries the true neighbours among all rows are found by brute force, and
+visits widen until the leaves visited hold the wanted share of them. A query that finds fewer than it asked for widens its own
+visits until it has them or no leaf is left. Leaves and the queries that visit them are cut into blocks and met as matrix products,
+so no leaf has to fit a task; a leaf is sent once per block of the queries that visit it, and not at all where none does.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +26,15 @@ from deskmill.llm.sampling import bounded_sample
 from deskmill.llm.vector_rows import common_length, matrix, usable
 from deskmill.session import materialise
 
-SAMPLE = 20_000  # vectors the tree is fitted on
+SAMPLE, MOST_SAMPLED, ROWS_A_SAMPLE = 20_000, 200_000, 50  # vectors the tree is fitted on: one of 50 rows, within these bounds
 BRANCHES = 6
-LEAF = 400  # sampled vectors in a leaf at most
+LEAF, LEAST_LEAF = 400, 8  # sampled vectors in a leaf at most; LEAF_ROWS asks for fewer in large tables
+LEAF_ROWS = 512  # rows of the table in a leaf
 CALIBRATION = 256  # queries that the number of visits is measured on
 RECALL = 0.97
 FIRST_VISITS = 6  # leaves after which a query's first ``top`` scores bound what later leaves may add
 VECTOR_BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 
 
 class Tree:
@@ -43,6 +49,7 @@ class Tree:
         self._grow(sample, sample.mean(0), branches, leaf, rng)
         self.centre = np.array(self.centres)
         self.half = (self.centre ** 2).sum(1) / 2
+        self.below = [self.centre[kids] if kids else None for kids in self.children]
 
     def _grow(self, rows: np.ndarray, centre: np.ndarray, branches: int, leaf: int, rng) -> int:
         node = len(self.centres)
@@ -70,30 +77,28 @@ class Tree:
 
     def place(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of every row: the nearest centre, level by level."""
-        at = np.zeros(len(rows), np.int64)
-        todo = [0] if self.children[0] else []
+        leaves = np.zeros(len(rows), np.int64)
+        todo = [(0, np.arange(len(rows)))]
         while todo:
-            node = todo.pop()
-            mine = np.flatnonzero(at == node)
-            if not len(mine):
+            node, mine = todo.pop()
+            kids = self.children[node]
+            if not kids:
+                leaves[mine] = self.leaf[node]
                 continue
-            kids = np.array(self.children[node])
-            at[mine] = kids[(rows[mine] @ self.centre[kids].T - self.half[kids]).argmax(1)]
-            todo += [k for k in self.children[node] if self.children[k]]
-        return np.array(self.leaf)[at]
+            near = (rows[mine] @ self.below[node].T - self.half[kids]).argmax(1)
+            todo += [(kid, mine[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
+        return leaves
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
+    def visit(self, query: np.ndarray) -> Iterator[int]:
         """Leaves, most promising first: nodes wait in a priority queue by inner product with their centre."""
-        promise = (-(self.centre @ query)).tolist()
-        queue, found = [(promise[0], 0)], []
-        while queue and len(found) < most:
+        queue = [(0.0, 0)]
+        while queue:
             _, node = heapq.heappop(queue)
-            if self.children[node]:
-                for kid in self.children[node]:
-                    heapq.heappush(queue, (promise[kid], kid))
-            else:
-                found.append(self.leaf[node])
-        return found
+            if not self.children[node]:
+                yield self.leaf[node]
+                continue
+            for kid, promise in zip(self.children[node], (self.below[node] @ query).tolist()):
+                heapq.heappush(queue, (-promise, kid))
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, top: int, floor: np.ndarray | None = None):
@@ -125,12 +130,13 @@ def _ranked(found: DataFrame, top: int) -> DataFrame:
 
 
 def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+            recall: float = RECALL, sample: int | None = None, leaf: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for rows where ``is_query`` holds, the ``top`` found with the largest inner product.
 
     Scores are inner products of the original vectors in double precision; a row is not its own candidate. Rows without id
     and vectors that are null, empty, zero, not finite or not of the most common length take no part. With fewer candidates all
-    are returned; repeated rows are candidates each; an empty table gives an empty result.
+    are returned; repeated rows are candidates each; an empty table gives an empty result. ``sample`` and ``leaf`` are vectors
+    to fit the tree on and sampled vectors in a leaf; both follow from the number of rows unless given.
     """
     spark = rows.sparkSession
     frame = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("asks"))
@@ -140,18 +146,24 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
     if width is None:
         return spark.createDataFrame([], shape)
     frame = frame.where(F.size("v") == width)
+    total = frame.count()
+    sample = sample or min(MOST_SAMPLED, max(SAMPLE, total // ROWS_A_SAMPLE))
+    leaf = leaf or max(LEAST_LEAF, min(LEAF, LEAF_ROWS * sample // max(total, sample)))
     drawn = bounded_sample(frame, "id", sample).select("id", "v").toArrow().sort_by("id")
     tree = Tree(matrix(drawn.column("v").combine_chunks(), width), leaf=leaf)
     kind = rows.schema[vector_col].dataType
 
     def place(batches):
+        at = 0  # a row's number in its task: rows of one id have to spread over blocks too
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.place(matrix(batch.column(1), width)))],
-                                             ["id", "v", "asks", "leaf"])
+            numbers = pa.array(np.arange(at, at + batch.num_rows))
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.place(matrix(batch.column(1), width))), numbers],
+                                             ["id", "v", "asks", "leaf", "n"])
 
     placed = materialise(frame.mapInArrow(place, T.StructType([
         T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("asks", T.BooleanType()),
-        T.StructField("leaf", T.LongType())])), "leaves")
+        T.StructField("leaf", T.LongType()), T.StructField("n", T.LongType())])), "leaves")
 
     # how many leaves: the true neighbours of some queries, and where their leaves come in the order of visits
     tried = bounded_sample(placed.where("asks"), "id", CALIBRATION, seed=1).select("id", "v").toArrow()
@@ -161,32 +173,52 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
     tried_rows = matrix(tried.column("v").combine_chunks(), width)
 
     def brute(batches):
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0).to_numpy()
                 q, r, score = best(tried_rows, tried_ids, matrix(batch.column(1), width), ids, top)
-                yield pa.RecordBatch.from_arrays([pa.array(tried_ids[q]), pa.array(ids[r]), pa.array(score),
-                                                  batch.column(2).take(pa.array(r))], ["query_id", "vec_id", "score", "leaf"])
+                kept = [np.concatenate(c) for c in zip(kept, (q, ids[r], score, batch.column(2).to_numpy()[r]))]
+                order = np.lexsort((kept[1], -kept[2], kept[0]))
+                kept = [c[order] for c in kept]
+                rank = np.arange(len(order)) - np.searchsorted(kept[0], kept[0], "left")
+                kept = [c[rank < top] for c in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(tried_ids[kept[0]]), *map(pa.array, kept[1:])],
+                                         ["query_id", "vec_id", "score", "leaf"])
 
     truth = _ranked(placed.select("id", "v", "leaf").mapInArrow(brute, "query_id long, vec_id long, score double, leaf long"), top)
-    wanted = truth.select("query_id", "leaf").toArrow()
-    order = {int(i): {x: n for n, x in enumerate(tree.visit(v, tree.leaves))} for i, v in zip(tried_ids, tried_rows)}
-    needed = sorted(order[q][x] + 1 for q, x in zip(wanted.column(0).to_pylist(), wanted.column(1).to_pylist()))
+    wanted: dict[int, list[int]] = {}
+    for r in truth.select("query_id", "leaf").collect():  # CALIBRATION x top rows
+        wanted.setdefault(r.query_id, []).append(r.leaf)
+    needed: list[int] = []
+    for i, v in zip(tried_ids.tolist(), tried_rows):
+        missing = set(wanted.get(i, []))
+        for n, found in enumerate(tree.visit(v), 1):
+            if not missing:
+                break
+            if found in missing:
+                needed += [n] * wanted[i].count(found)
+                missing.remove(found)
+    needed.sort()
     visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else tree.leaves
 
-    def ask(batches):
-        for batch in batches:
-            leaves = [tree.visit(v, visits) for v in matrix(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
+    def visited(queries: DataFrame, start: int, stop: int) -> DataFrame:
+        """The queries with the leaves from place ``start`` to before ``stop`` in their order of visits."""
+
+        def ask(batches):
+            for batch in batches:
+                leaves = [list(islice(tree.visit(v), start, stop)) for v in matrix(batch.column(1), width)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "n", "leaves"])
+
+        return queries.select("id", "v", "n").mapInArrow(ask, T.StructType([
+            T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("n", T.LongType()),
+            T.StructField("leaves", T.ArrayType(T.LongType()))]))
 
-    asked = materialise(placed.where("asks").select("id", "v").mapInArrow(ask, T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("leaves", T.ArrayType(T.LongType()))])), "visits")
+    asked = materialise(visited(placed.where("asks"), 0, visits), "visits")
     # one row per leaf of the tree, which is bounded
-    sizes = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts")))
-    tiles = max(1, -(-asked.count() // QUERY_BLOCK))
-    part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    right = placed.join(sizes, "leaf").select("leaf", part("id", F.col("parts")).alias("vb"), every(F.lit(tiles)).alias("qb"), "id", "v")
+    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts"))
+    part = lambda n: F.pmod(F.xxhash64("id", "n"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     def meet(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -198,9 +230,13 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
         return pa.table([pa.array(own[q]), pa.array(ids[r]), pa.array(score)], names)
 
     def search(queries: DataFrame) -> DataFrame:
+        """What the queries find in their leaves; columns id, v, n, leaves, floor."""
         keys = ["leaf", "vb", "qb"]
-        left = queries.withColumn("leaf", F.explode("leaves")).join(sizes, "leaf").select(
-            "leaf", every(F.col("parts")).alias("vb"), part("id", F.lit(tiles)).alias("qb"), "id", "v", "floor")
+        going = queries.withColumn("leaf", F.explode("leaves")).drop("leaves")
+        askers = going.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("tiles"))
+        blocks = F.broadcast(materialise(askers.join(sizes, "leaf"), "blocks"))
+        left = going.join(blocks, "leaf").select("leaf", every("parts").alias("vb"), part("tiles").alias("qb"), "id", "v", "floor")
+        right = placed.join(blocks, "leaf").select("leaf", part("parts").alias("vb"), every("tiles").alias("qb"), "id", "v")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
     nothing = F.lit(float("-inf"))
@@ -208,4 +244,14 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
     floors = _ranked(first, top).where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     rest = asked.withColumn("leaves", F.slice("leaves", FIRST_VISITS + 1, F.greatest(F.size("leaves"), F.lit(1))))
     more = search(rest.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", nothing)))
-    return _ranked(first.unionAll(more), top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = materialise(_ranked(first.unionAll(more), top), "found")
+    # widen on for those that are short, twice as many leaves each time
+    while visits < tree.leaves:
+        full = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"))
+        short = materialise(asked.join(full, "id", "left_anti"), "short")
+        if short.isEmpty():
+            break
+        further = search(visited(short, visits, 2 * visits).withColumn("floor", nothing))
+        found = materialise(_ranked(found.drop("rank").unionAll(further), top), "found")
+        visits *= 2
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -110,6 +110,39 @@ def test_ann_odd_rows(spark):
     assert [r.vec_id for r in ties] == [0, 1, 2, 3]
 
 
+def test_ann_small_leaves(spark):
+    """Every query gets all it asked for, though no leaf it visits first holds that many; blocks of queries change nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(rng.normal(size=(700, 6)))]
+    asks = F.col("vec_id") % 7 == 0
+    got = {}
+    for block in (3, 1000):
+        found = ann.nearest(frame(spark, rows), asks, top=20, recall=0.01, leaf=3, query_block=block).collect()
+        got[block] = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
+    assert got[3] == got[1000]
+    assert set(got[3]) == {(q, k) for q in range(0, 700, 7) for k in range(1, 21)}
+    exact = brute_nearest([(i, v) for i, v, _ in rows], list(range(0, 700, 7)), 20)
+    full = ann.nearest(frame(spark, rows), asks, top=20, recall=1.0, leaf=3, query_block=3).collect()
+    hits = sum(r.vec_id in {v for v, _ in exact[r.query_id]} for r in full)
+    assert hits >= 0.99 * 20 * 100
+
+
+def test_ann_repeated_id(spark):
+    """An id on a third of all rows: each row is a candidate, none of its own id's queries."""
+    rows = [(1 if i % 3 == 0 else i + 10, [1.0, float(i)], 0) for i in range(600)]
+    got = ann.nearest(frame(spark, rows), F.col("vec_id") == 11, top=5, leaf=20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(609, 600.0), (608, 599.0), (1, 598.0), (606, 597.0), (605, 596.0)]
+
+
+def test_ann_tree_grows(spark):
+    """Leaves and places agree with the walk from the root, and every leaf is visited once."""
+    rows = np.random.default_rng(2).normal(size=(500, 4))
+    tree = ann.Tree(rows, leaf=8)
+    assert sorted(tree.visit(rows[0])) == list(range(tree.leaves))
+    assert tree.leaves >= 500 / 8
+    assert set(tree.place(rows).tolist()) <= set(range(tree.leaves))
+
+
 class _Article(HTMLParser):
     """Text of <article> by block, for pages of the test tables."""
 
