@@ -1,11 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Terms are words and word beginnings that labelled texts show to go with a label. Document frequencies cover the
-whole corpus. The examples are a bounded sample of the labelled rows (``toxic_examples``, ``clean_examples``), so the
-index is bounded and goes to every task; examples with equal vectors are one entry with their votes summed. For a text, the
-blocks of entries are visited by falling upper bound until no block can hold a nearer one, which is exact. Votes are
-weighted by distance and turned into probabilities by a monotone curve fitted on the examples, each left out of its
-own vote. Texts are never shuffled.
+Terms are words and word beginnings that labelled texts show to go with a label; with all terms the results were worse and the
+index too large for a task (figures in README). Document frequencies cover the whole corpus. The examples are a bounded sample
+of the labelled rows (``toxic_examples``, ``clean_examples``), so the index is bounded and goes to every task; examples with
+equal vectors are one entry with their votes summed. For a text, the blocks of entries are visited by falling upper bound, and
+their postings read only then, until no block can hold a nearer one, which is exact. Votes are weighted by distance and turned
+into probabilities by a monotone curve fitted on the examples, each left out of its own vote. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskmill.llm.names import free_name
+from deskmill.llm.sampling import bounded_sample
 from deskmill.session import materialise
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -31,7 +32,7 @@ LIFT = 3.0  # least ratio of a term's shares among toxic and clean examples; wea
 SIGNIFICANT = 6.0  # least chi-square of a term
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 0.2
-BLOCK = 64
+BLOCK = 8
 THRESHOLD = 0.3
 REMEMBERED = 50_000
 
@@ -49,47 +50,64 @@ def held_out(id_col):
 # --- the index
 
 class BlockMaxIndex:
-    """Sparse postings by term and block of entries, with the largest weight of every term in every block."""
+    """Postings by block of entries and term, with the largest weight of every term in every block."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
-        # entries with the same heaviest term lie together, which keeps the bounds of blocks tight
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), i))
-        self.order, self.block, self.blocks = np.array(order, np.int64), block, -(-len(order) // block)
-        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in range(terms)]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t][0].append(at)
-                lists[t][1].append(w)
-        self.places = [np.array(p, np.int64) for p, _ in lists]
-        self.weights = [np.array(w) for _, w in lists]
+        # entries with the same heaviest terms lie together, which keeps the bounds of blocks tight
+        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), i))
+        self.order, self.block, self.terms = np.array(order, np.int64), block, terms
+        self.blocks = -(-len(order) // block)
+        sizes = [len(vectors[i]) for i in order]
+        place = np.repeat(np.arange(len(order)), sizes)
+        term = np.array([t for i in order for t in vectors[i]], np.int64)
+        weight = np.array([w for i in order for w in vectors[i].values()], np.float64)
+        by = np.lexsort((place, term, place // block))
+        self.place, self.weight = place[by], weight[by]
+        # one list of postings per key: block and term
+        self.keys, self.starts = np.unique(self.place // block * terms + term[by], return_index=True)
+        self.ends = np.append(self.starts[1:], len(by))
+        most = np.maximum.reduceat(self.weight, self.starts) if len(by) else self.weight
         # for each term the blocks it occurs in and its largest weight there
-        self.most = []
-        for places, weights in zip(self.places, self.weights):
-            blocks, starts = np.unique(places // block, return_index=True)
-            self.most.append((blocks, np.maximum.reduceat(weights, starts) if len(starts) else weights))
+        by = np.argsort(self.keys % max(terms, 1), kind="stable")
+        cuts = np.searchsorted(self.keys[by] % max(terms, 1), np.arange(terms + 1))
+        blocks = self.keys[by] // max(terms, 1)
+        self.most = [(blocks[i:j], most[by][i:j]) for i, j in zip(cuts, cuts[1:])]
+        self.read = 0  # postings read by all queries so far
+
+    def cosines(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Blocks x entries: cosines of the entries of some blocks, from the postings of the query's terms in these blocks."""
+        wanted = (blocks[:, None] * self.terms + terms).ravel()
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == wanted)
+        starts, lengths = self.starts[at[hit]], (self.ends - self.starts)[at[hit]]
+        shift = np.cumsum(lengths) - lengths
+        postings = np.arange(lengths.sum()) + np.repeat(starts - shift, lengths)
+        self.read += len(postings)
+        cell = np.repeat(hit // len(terms), lengths) * self.block + self.place[postings] % self.block
+        gains = np.repeat(weights[hit % len(terms)], lengths) * self.weight[postings]
+        return np.round(np.bincount(cell, gains, len(blocks) * self.block), 12).reshape(-1, self.block)
 
     def nearest(self, query: dict[int, float], count: int, votes: np.ndarray) -> list[tuple[float, int]]:
         """(cosine, entry) by falling cosine, ties by entry, until ``count`` votes are reached; whole entries.
 
-        The postings of the query's terms are summed, then entries are ranked in blocks by falling bound, more each time, until
-        no block left can hold an entry as near as the last one needed. Only entries with a cosine above zero are in
-        question; ``votes`` says how many examples an entry stands for.
+        Blocks are visited by falling bound, a few at first and more each time, until no block left can hold an entry as near as
+        the last one needed. The postings of a block are read when it is visited, so those of all other blocks are
+        skipped. Only entries with a cosine above zero are in question; ``votes`` says how many examples an entry stands for.
         """
-        terms = sorted(query)
-        cosines, bound = np.zeros(self.blocks * self.block), np.zeros(self.blocks)
-        for t in terms:
-            cosines[self.places[t]] += query[t] * self.weights[t]
+        terms = np.array(sorted(query), np.int64)
+        weights = np.array([query[t] for t in terms.tolist()])
+        bound = np.zeros(self.blocks)
+        for t, w in zip(terms.tolist(), weights.tolist()):
             blocks, most = self.most[t]
-            bound[blocks] += query[t] * most
+            bound[blocks] += w * most
         bound += 1e-11
-        cosines = np.round(cosines, 12).reshape(self.blocks, self.block)
         order = np.argsort(-bound, kind="stable")
         scores, entries = np.zeros(0), np.zeros(0, np.int64)
-        least, at, step = 1e-11, 0, 4
+        least, at, step = 2e-11, 0, 1
         while at < len(order) and bound[order[at]] > least:
             chosen = order[at:at + step]
             chosen = chosen[bound[chosen] > least]
-            score = cosines[chosen]
+            score = self.cosines(chosen, terms, weights)
             row, col = np.nonzero(score >= max(least - 1e-11, 1e-12))
             scores = np.concatenate([scores, score[row, col]])
             entries = np.concatenate([entries, self.order[chosen[row] * self.block + col]])
@@ -98,7 +116,7 @@ class BlockMaxIndex:
             enough = np.flatnonzero(np.cumsum(votes[entries]) >= count)
             if len(enough):
                 scores, entries = scores[:enough[0] + 1], entries[:enough[0] + 1]
-                least = scores[-1]
+                least = max(least, scores[-1])
             at, step = at + step, step * 2
         return list(zip(scores.tolist(), entries.tolist()))
 
@@ -183,7 +201,8 @@ def choose_examples(labels: DataFrame, id_col: str, label_col: str, toxic: int,
     """(id, y) of at most ``toxic`` + ``clean`` labelled rows that may be learned from, picked by hash."""
     usable = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
               .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
-    parts = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, toxic), (0, clean))]
+    usable = materialise(usable, "usable-labels")
+    parts = [bounded_sample(usable.where(F.col("y") == y), "id", n) for y, n in ((1, toxic), (0, clean))]
     return parts[0].unionAll(parts[1])
 
 
@@ -227,8 +246,12 @@ def _counted(texts: list[str | None], terms: dict[str, int]) -> tuple[list[list[
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> tuple[Model, DataFrame]:
-    """The model, and (id, terms, counts) of every row of ``docs``, which gives the document frequencies."""
+        toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES,
+        telling: bool = True) -> tuple[Model, DataFrame]:
+    """The model, and (id, terms, counts) of every row of ``docs``, which gives the document frequencies.
+
+    With ``telling`` the cosine is over the terms that lean towards toxic, otherwise over all that ``RAREST`` examples hold.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = materialise(choose_examples(labels, id_col, label_col, toxic_examples, clean_examples), "examples")
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
@@ -245,8 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chi = F.lit(float(pos + neg)) * lean * lean / ((F.col("a") + F.col("b")) * (c + d + 0.5) * F.lit(max(pos, 1)) * F.lit(max(neg, 1)))
     strong = F.col("a") * F.lit(max(neg, 1)) >= LIFT * F.col("b") * F.lit(max(pos, 1))
     # every term that passes, as many as the bounded sample's words give
-    telling = both.where((lean > 0) & strong & (chi >= SIGNIFICANT)).select("term")
-    terms = sorted(r["term"] for r in telling.collect()) if pos and neg else []
+    known = both.where((lean > 0) & strong & (chi >= SIGNIFICANT)) if telling else both
+    terms = sorted(r["term"] for r in known.select("term").collect()) if pos and neg else []
     lookup = {t: i for i, t in enumerate(terms)}
 
     def extract(batches):
@@ -282,7 +305,7 @@ class _Scores:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", toxic_examples: int = TOXIC_EXAMPLES,
-                   clean_examples: int = CLEAN_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
+                   clean_examples: int = CLEAN_EXAMPLES, threshold: float = THRESHOLD, telling: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted, evidence (nearest examples with cosine and label).
 
     Learns only from labelled rows that are not held out, from at most the given numbers of them; rows with a null id
@@ -290,7 +313,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     any other text without known terms. Without labels the score is one constant. Repeated rows are scored each; an empty
     table gives an empty result; columns other than id and text are never looked at.
     """
-    model, found = fit(docs, labels, id_col, text_col, label_col, toxic_examples, clean_examples)
+    model, found = fit(docs, labels, id_col, text_col, label_col, toxic_examples, clean_examples, telling)
     kind = docs.schema[id_col].dataType
     evidence = T.ArrayType(T.StructType([T.StructField("example", kind), T.StructField("cosine", T.DoubleType()),
                                          T.StructField("toxic", T.DoubleType())]))

@@ -216,6 +216,48 @@ def test_block_max_is_exact():
         assert all(abs(s - sum(w * vectors[e].get(t, 0.0) for t, w in query.items())) < 1e-12 for s, e in got)
 
 
+def test_block_max_skips_postings():
+    """Far blocks are not read: fewer postings than the query's terms have, and the same answers as from all of them."""
+    rng = np.random.default_rng(5)
+    vectors = []
+    for _ in range(4000):
+        topic = int(rng.integers(0, 50))
+        raw = {topic: 3.0, **{int(t): 1.0 for t in rng.integers(50, 90, 3)}}
+        norm = np.sqrt(sum(w * w for w in raw.values()))
+        vectors.append({t: w / norm for t, w in raw.items()})
+    votes = np.ones(4000, np.int64)
+    index = toxicity.BlockMaxIndex(vectors, 90)
+    postings = np.bincount([t for v in vectors for t in v], minlength=90)
+    touched = 0
+    for query in vectors[:60]:
+        cosines = sorted(((-round(sum(w * v.get(t, 0.0) for t, w in sorted(query.items())), 12), i) for i, v in enumerate(vectors)))
+        got = index.nearest(query, 15, votes)
+        assert [e for _, e in got] == [i for _, i in cosines[:15]]
+        touched += sum(int(postings[t]) for t in query)
+    assert 0 < index.read < 0.25 * touched
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Scores and evidence of the whole query on sf0.001 from cosines with every example."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model, found = toxicity.fit(docs, labels)
+    keys = sorted(model.place, key=model.place.get)
+    vectors = [model.vector(*k) for k in keys]
+    want = {}
+    for r in found.collect():
+        query = model.vector(r.terms, r.counts) if r.terms else {}
+        near = sorted((-round(sum(query[t] * v.get(t, 0.0) for t in sorted(query)), 12), i) for i, v in enumerate(vectors))
+        total, seen = np.array(model.none[2], float) if not query else np.zeros(2), 0
+        for c, i in near if query else []:
+            if c < 0 and seen < toxicity.NEIGHBOURS:
+                total, seen = total + c ** 4 * model.sums[i], seen + model.votes[i]
+        raw = (total[1] + toxicity.PRIOR_WEIGHT * model.rate) / (total.sum() + toxicity.PRIOR_WEIGHT)
+        want[r.id] = min(1.0, max(0.0, float(np.interp(raw, *model.curve)) + 1e-6 * (raw - 0.5)))
+    got = {r.doc_id: r.score for r in QUERIES["op3_toxicity"](spark, folder).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_toxicity_keeps_all_telling_terms(spark):
     """900 words, each in six toxic examples of its own: all of them are terms, also the rarest."""
     name = lambda n: "".join(chr(97 + int(d)) for d in f"{n:03}")
