@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample and is itself bounded, so every task has it. Its leaves are cut so that they hold about
 ``LEAF_ROWS`` rows of the table, as long as the sample allows it: the number of leaves grows with the table, not their size.
 Every vector is put into its leaf. For a query a priority queue opens the most promising node first; the leaves come out in that
-order, and the first ``visits`` of them are searched exactly; after the first few, only what beats a query's scores so far goes on.
+order, and the first ``visits`` of them are searched exactly, in rounds that double; only what beats a query's scores so far goes on.
 How many that has to be is measured: for a bounded set of queries the true neighbours among all rows are found by brute force, and
 visits widen until the leaves visited hold the wanted share of them. A query that finds fewer than it asked for widens its own
 visits until it has them or no leaf is left. Leaves and the queries that visit them are cut into blocks and met as matrix products,
@@ -32,7 +32,7 @@ LEAF, LEAST_LEAF = 400, 8  # sampled vectors in a leaf at most; LEAF_ROWS asks f
 LEAF_ROWS = 512  # rows of the table in a leaf
 CALIBRATION = 256  # queries that the number of visits is measured on
 RECALL = 0.97
-FIRST_VISITS = 6  # leaves after which a query's first ``top`` scores bound what later leaves may add
+FIRST_VISITS = 4  # leaves of the first round; the ``top`` scores found so far bound what later leaves may add
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 1024
 
@@ -214,7 +214,6 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
             T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("n", T.LongType()),
             T.StructField("leaves", T.ArrayType(T.LongType()))]))
 
-    asked = materialise(visited(placed.where("asks"), 0, visits), "visits")
     # one row per leaf of the tree, which is bounded
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts"))
     part = lambda n: F.pmod(F.xxhash64("id", "n"), F.col(n)).cast("int")
@@ -239,19 +238,23 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
         right = placed.join(blocks, "leaf").select("leaf", part("parts").alias("vb"), every("tiles").alias("qb"), "id", "v")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
-    nothing = F.lit(float("-inf"))
-    first = materialise(search(asked.withColumns({"leaves": F.slice("leaves", 1, FIRST_VISITS), "floor": nothing})), "first-visits")
-    floors = _ranked(first, top).where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    rest = asked.withColumn("leaves", F.slice("leaves", FIRST_VISITS + 1, F.greatest(F.size("leaves"), F.lit(1))))
-    more = search(rest.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", nothing)))
-    found = materialise(_ranked(first.unionAll(more), top), "found")
-    # widen on for those that are short, twice as many leaves each time
-    while visits < tree.leaves:
-        full = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"))
-        short = materialise(asked.join(full, "id", "left_anti"), "short")
-        if short.isEmpty():
+    # as many leaves again in each round: what a query has found by then is the floor of the next, so a round adds few rows
+    asked, start, stop, found = placed.where("asks").select("id", "v", "n"), 0, min(FIRST_VISITS, visits), None
+    while True:
+        going = materialise(visited(asked, start, stop), "visits")
+        if found is None:
+            met = search(going.withColumn("floor", F.lit(float("-inf"))))
+        else:
+            floors = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+            more = search(going.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+            met = found.drop("rank").unionAll(more)
+        found = materialise(_ranked(met, top), "found")
+        if stop >= tree.leaves:
             break
-        further = search(visited(short, visits, 2 * visits).withColumn("floor", nothing))
-        found = materialise(_ranked(found.drop("rank").unionAll(further), top), "found")
-        visits *= 2
+        if stop >= visits:  # only those that are short go on
+            full = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"))
+            asked = materialise(asked.join(full, "id", "left_anti"), "short")
+            if asked.isEmpty():
+                break
+        start, stop = stop, 2 * stop if stop >= visits else min(2 * stop, visits)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
