@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample and is itself bounded, so every task has it. Its leaves are cut so that they hold about
 ``LEAF_ROWS`` rows of the table, as long as the sample allows it: the number of leaves grows with the table, not their size.
 Every vector is put into its leaf. For a query a priority queue opens the most promising node first; the leaves come out in that
-order, and the first ``visits`` of them are searched exactly, in rounds that double; only what beats a query's scores so far goes on.
+order, and the first ``visits`` of them are searched exactly, in rounds that widen fourfold; only what beats a query's scores so far goes on.
 How many that has to be is measured: for a bounded set of queries the true neighbours among all rows are found by brute force, and
 visits widen until the leaves visited hold the wanted share of them. A query that finds fewer than it asked for widens its own
 visits until it has them or no leaf is left. Leaves and the queries that visit them are cut into blocks and met as matrix products,
@@ -32,7 +32,7 @@ LEAF, LEAST_LEAF = 400, 8  # sampled vectors in a leaf at most; LEAF_ROWS asks f
 LEAF_ROWS = 512  # rows of the table in a leaf
 CALIBRATION = 256  # queries that the number of visits is measured on
 RECALL = 0.97
-FIRST_VISITS = 4  # leaves of the first round; the ``top`` scores found so far bound what later leaves may add
+FIRST_VISITS, WIDER = 6, 4  # leaves of the first round, and how many times as many in the next; the ``top`` scores found so far bound what later leaves may add
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 1024
 
@@ -238,7 +238,7 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
         right = placed.join(blocks, "leaf").select("leaf", part("parts").alias("vb"), every("tiles").alias("qb"), "id", "v")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
-    # as many leaves again in each round: what a query has found by then is the floor of the next, so a round adds few rows
+    # rounds of ever more leaves: what a query has found by then is the floor of the next, so a round adds few rows
     asked, start, stop, found = placed.where("asks").select("id", "v", "n"), 0, min(FIRST_VISITS, visits), None
     while True:
         going = materialise(visited(asked, start, stop), "visits")
@@ -256,5 +256,5 @@ def nearest(rows: DataFrame, is_query, top: int = 20, id_col: str = "vec_id", ve
             asked = materialise(asked.join(full, "id", "left_anti"), "short")
             if asked.isEmpty():
                 break
-        start, stop = stop, 2 * stop if stop >= visits else min(2 * stop, visits)
+        start, stop = stop, WIDER * stop if stop >= visits else min(WIDER * stop, visits)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
