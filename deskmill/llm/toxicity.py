@@ -70,8 +70,8 @@ class BlockMaxIndex:
         # for each term the blocks it occurs in and its largest weight there
         by = np.argsort(self.keys % max(terms, 1), kind="stable")
         cuts = np.searchsorted(self.keys[by] % max(terms, 1), np.arange(terms + 1))
-        blocks = self.keys[by] // max(terms, 1)
-        self.most = [(blocks[i:j], most[by][i:j]) for i, j in zip(cuts, cuts[1:])]
+        blocks, most = self.keys[by] // max(terms, 1), most[by]
+        self.most = [(blocks[i:j], most[i:j]) for i, j in zip(cuts, cuts[1:])]
         self.read = 0  # postings read by all queries so far
 
     def cosines(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
