@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +100,51 @@ def export_by_month(df: DataFrame, ts: str, start: dt.date, end: dt.date, order:
         "month", "first_day", "last_day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
+@dataclass
+class Export:
+    """rows(month, row_no, …) as written, report(month, n, truncated), the first rows, and the query's columns."""
+
+    rows: DataFrame
+    report: DataFrame
+    preview: DataFrame
+    columns: list[str]
+
+
+PERIOD = ("period_start", "period_end")
+
+
+def export_query(spark: SparkSession, text: str, tables: dict[str, DataFrame], start: dt.date, end: dt.date, path: str,
+                 cap: int = QUERY_CAP, preview: int = 5) -> Export:
+    """Run a SELECT once per month of the period and write its rows partitioned by month.
+
+    The query has to use both period parameters, and it has to be plannable; otherwise nothing is run. Months are branches of one
+    job. A month gives at most ``cap`` rows in the order of the query; the row behind them tells that there were more.
+    """
+    lacking = [p for p in PERIOD if not re.search(rf":{p}\b", text)]
+    if lacking:
+        raise ValueError(f"the query does not use the parameters {lacking}")
+    periods = months(start, end)
+    args = [dict(zip(PERIOD, (dt.datetime.combine(a, dt.time.min), dt.datetime.combine(b, dt.time.max)))) for a, b in periods]
+    problem = validate_query(spark, text, args[0], tables)
+    if problem:
+        raise ValueError(f"the query cannot be run: {problem}")
+
+    def month(a, values):
+        # the limit leaves one task, in which rows are numbered in their order
+        found = spark.sql(text, args=values, **tables).limit(cap + 1)
+        return found.withColumns({"month": F.lit(a.strftime("%Y-%m")), "row_no": (F.monotonically_increasing_id() % (1 << 33) + 1).cast("int")})
+
+    found = [month(a, values) for (a, _), values in zip(periods, args)]
+    reduce(DataFrame.unionByName, found).write.partitionBy("month").parquet(path)
+    written = spark.read.schema(found[0].schema).parquet(path)
+    rows = written.filter(F.col("row_no") <= cap)
+    spine = spark.createDataFrame([(a.strftime("%Y-%m"),) for a, _ in periods], "month string")
+    counts = written.groupBy("month").agg(F.count("*").alias("held"))
+    held = F.coalesce("held", F.lit(0))
+    report = spine.join(counts, "month", "left").select("month", F.least(held, F.lit(cap)).alias("n"), (held > cap).alias("truncated"))
+    return Export(rows, report, rows.orderBy("month", "row_no").limit(preview), [c for c in found[0].columns if c not in ("month", "row_no")])
+
+
 def _must_exist(df: DataFrame, col: str, wanted: list, what: str) -> None:
     found = {r[0] for r in df.filter(F.col(col).isin(wanted)).select(col).distinct().collect()}
     missing = [w for w in wanted if w not in found]

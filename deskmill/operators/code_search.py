@@ -216,7 +216,8 @@ def variant_quality(blocks: DataFrame, hits: DataFrame, wanted: DataFrame) -> Da
     return blocks.select(*KEY, *COLUMNS).join(held, KEY).select(*KEY, F.explode(each).alias("q")).select(*KEY, "q.*")
 
 
-def rerank(found: DataFrame, hits: DataFrame, blocks: DataFrame, questions: DataFrame, terms: DataFrame, depth: int) -> DataFrame:
+def rerank(found: DataFrame, hits: DataFrame, blocks: DataFrame, questions: DataFrame, terms: DataFrame, depth: int,
+           structure: list[str] = X.STRUCTURE_STEMS) -> DataFrame:
     """Order candidates by BM25, terms covered, where they were found and whether they begin a word.
 
     Texts are looked at for the candidates only, at most 850 per question.
@@ -229,7 +230,7 @@ def rerank(found: DataFrame, hits: DataFrame, blocks: DataFrame, questions: Data
         F.sum("best").alias("coverage"), F.count_if(F.col("best") > 0).alias("matched"), F.count_if(F.col("in_name") == 1.0).alias("named"))
     whole = terms.groupBy("question_id").agg(
         F.count("*").alias("n"), F.collect_list(F.when(F.col("exact"), F.col("base"))).alias("idents"),
-        F.bool_or(F.col("base").isin(X.STRUCTURE_STEMS)).alias("wants"))
+        F.bool_or(F.col("base").isin(structure)).alias("wants"))
     said = questions.select("question_id", words(F.lower(fold(F.col("text"))), X.CODE_WORD).alias("said"))
     rows = (found.join(sums, ["question_id", *KEY]).join(whole.join(said, "question_id"), "question_id")
             .join(blocks.select(*KEY, "kind", "proc_name", "object_name", "is_export"), KEY))
@@ -244,17 +245,21 @@ def rerank(found: DataFrame, hits: DataFrame, blocks: DataFrame, questions: Data
     return newest(scored, ["question_id"], depth, F.col("score").desc(), *[F.col(k) for k in KEY], rank="place")
 
 
-def lexical_search(index: GramIndex, questions: DataFrame, depth: int = 50, synonyms: dict | None = None) -> DataFrame:
-    """The best ``depth`` blocks per question."""
+def lexical_search(index: GramIndex, questions: DataFrame, depth: int = 50, synonyms: dict | None = None,
+                   structure: list[str] = X.STRUCTURE_STEMS) -> DataFrame:
+    """The best ``depth`` blocks per question; ``structure`` are the stems that ask what an object consists of."""
     terms = materialise(parse_query(questions, synonyms=synonyms), "terms")
     variants = terms.select(F.explode("variants").alias("variant")).distinct()
     hits = materialise(variant_hits(index, variants), "hits")
     found = materialise(candidate_union(candidate_lists(terms, hits, index.stats)), "candidates")
-    return rerank(found, hits, index.blocks, questions, terms, depth)
+    return rerank(found, hits, index.blocks, questions, terms, depth, structure)
 
 
 def snippet_lines(hits: DataFrame, terms: DataFrame, max_lines: int = SNIPPET_LINES, width: int = SNIPPET_WIDTH) -> DataFrame:
-    """Header line and lines with matches under their real numbers; with fewer than two, the first three lines too."""
+    """Header line and lines with matches under their real numbers; with fewer than two, the first three lines too.
+
+    An object's description is shown by its first lines, without numbers, as it is no text of a file.
+    """
     per = terms.groupBy("question_id").agg(F.flatten(F.collect_list("variants")).alias("_vs"))
     rows = hits.join(per, "question_id")
 
@@ -266,7 +271,8 @@ def snippet_lines(hits: DataFrame, terms: DataFrame, max_lines: int = SNIPPET_LI
         chosen = bind(picked, lambda p: F.array_sort(F.when(F.size(p) < 2, F.array_union(p, F.slice(indexes, 1, 3))).otherwise(p)))
         return F.transform(chosen, lambda i: F.concat((F.col("line_start") + i).cast("string"), F.lit(": "), F.substring(strip(F.get(lines, i)), 1, width)))
 
-    return rows.withColumn("lines", bind(F.split("body", "\n"), shown)).drop("_vs")
+    first = F.transform(F.slice(F.split("body", "\n"), 1, max_lines), lambda line: F.substring(line, 1, 3 * width))
+    return rows.withColumn("lines", F.when(F.col("kind") == "object", first).otherwise(bind(F.split("body", "\n"), shown))).drop("_vs")
 
 
 def char_budget(blocks_of_text: DataFrame, group: str, order: str, text: str, budget: int = OUTPUT_CHARS, used: int = 0) -> DataFrame:
@@ -342,11 +348,16 @@ def find_object(objects: DataFrame, requests: DataFrame, limit: int = 5) -> Data
     exact = known.join(asked, ["_low", "_type"]).select("request", F.lit(1).alias("level"), "object_id", "object_name")
     wanted = F.transform(F.filter(words(F.col("_low"), X.CODE_WORD), lambda w: F.length(w) >= 3), lambda w: stem(w))
     parts = asked.select("request", "_type", wanted.alias("_words")).filter(F.size("_words") > 0)
-    # a gram of the longest word proposes texts, all words decide
-    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    parts = parts.select("request", "_type", "_words", F.substring(longest, 1, 3).alias("gram"))
-    held = (texts.select("_text", "_type").distinct().filter(F.length("_text") >= 3)
-            .select("_text", "_type", F.explode(grams(F.col("_text"))).alias("gram")).join(parts, ["gram", "_type"])
+    # the rarest gram of the words proposes texts, all words decide; a request with an unknown gram has no hit
+    asked_for = parts.select("request", "_type", "_words", F.explode(F.array_distinct(F.flatten(F.transform("_words", grams)))).alias("gram"))
+    known_grams = materialise(texts.select("_text", "_type").distinct().filter(F.length("_text") >= 3)
+                              .select("_text", "_type", F.explode(grams(F.col("_text"))).alias("gram"))
+                              .join(asked_for.select("_type", "gram").distinct(), ["_type", "gram"], "left_semi"), "name-grams")
+    counts = known_grams.groupBy("_type", "gram").agg(F.count("*").alias("df"))
+    rarest = (asked_for.join(counts, ["_type", "gram"], "left").groupBy("request", "_type", "_words")
+              .agg(F.min(F.struct("df", "gram")).alias("a"), F.bool_or(F.col("df").isNull()).alias("lost"))
+              .filter(~F.col("lost")).select("request", "_type", "_words", F.col("a.gram").alias("gram")))
+    held = (known_grams.join(rarest, ["gram", "_type"])
             .filter(F.forall("_words", lambda w: F.contains(F.col("_text"), w))).select("request", "_text", "_type"))
     per_text = newest(texts, ["_text", "_type"], limit, F.col("object_id"))
     partial = held.join(per_text, ["_text", "_type"]).select("request", F.lit(2).alias("level"), "object_id", "object_name")
@@ -365,13 +376,32 @@ def object_modules(owners: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.filter(fits).select("owner_id", F.col("_repo").alias("repo"), "path", "procedures")
 
 
+def _short_grams(text: Column) -> Column:
+    """Every one, two and three letters of a lower-case text."""
+    each = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(3), F.length(text) - i + 1)), lambda n: F.substring(text, i, n)))
+    return F.when(F.length(text) > 0, F.array_distinct(F.flatten(each)))
+
+
 def near_names(names: DataFrame, requests: DataFrame, group: str, limit: int = 200) -> DataFrame:
-    """Names of the asked group that hold the request, else the first names of the group.
+    """Contents lines (``name``) of the asked group that hold the request in any case, else the first lines of the group.
 
-    Only names that hold it leave the join; what a request without any gets is cut per group before it is joined.
+    The rarest gram of a request within its group proposes lines, so a request meets only lines that share this gram with it.
+    What a request without any gets is cut per group before it is joined. An empty request gets the first lines.
     """
     order, shown = F.col("name_order"), ["request_id", "rank", "name"]
-    near = requests.join(names, group).filter(F.contains(F.lower("name"), F.lower("request")))
+    low = F.lower("request")
+    wanted = requests.select("request_id", group, low.alias("_low")).filter(F.length("_low") > 0)
+    size = F.least(F.lit(3), F.length("_low"))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - size + 1), lambda i: F.substring(F.col("_low"), i, size)))
+    asked = wanted.select("request_id", group, "_low", F.explode(own).alias("gram"))
+    held = materialise(names.select(group, "name", "name_order", F.explode(_short_grams(F.lower("name"))).alias("gram"))
+                       .join(asked.select(group, "gram").distinct(), [group, "gram"], "left_semi"), "line-grams")
+    counts = held.groupBy(group, "gram").agg(F.count("*").alias("df"))
+    rarest = (asked.join(counts, [group, "gram"], "left").groupBy("request_id", group, "_low")
+              .agg(F.min(F.struct("df", "gram")).alias("a"), F.bool_or(F.col("df").isNull()).alias("lost"))
+              .filter(~F.col("lost")).select("request_id", group, "_low", F.col("a.gram").alias("gram")))
+    near = held.join(rarest, [group, "gram"]).filter(F.contains(F.lower("name"), F.col("_low")))
     found = materialise(newest(near, ["request_id"], limit, order).select(*shown), "near")
     others = requests.join(found.select("request_id").distinct(), "request_id", "left_anti")
     return found.unionByName(others.join(newest(names, [group], limit, order), group).select(*shown))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskmill.functions.paths import exclude_reason
@@ -121,8 +125,19 @@ def list_documents(documents: DataFrame, chunks: DataFrame, product: str | None
     return wanted.join(sizes, "doc_id").select("path", "title", "product", "n_chunks").orderBy("product", "title", "path")
 
 
-def index_health(documents: DataFrame) -> DataFrame:
-    return documents.agg(F.count("*").alias("documents")).select("documents", (F.col("documents") > 0).alias("ok"))
+def index_health(spark: SparkSession, indexes: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(name, documents, ok, state) of each index, whose function reads its documents: ok, empty or unreadable.
+
+    An index that cannot be opened or read is a row without a number, not an error.
+    """
+    def health(name, read):
+        try:
+            n = read().count()
+        except (PySparkException, Py4JJavaError):
+            return name, None, False, "unreadable"
+        return name, n, n > 0, "ok" if n else "empty"
+
+    return spark.createDataFrame([health(*x) for x in indexes.items()], "name string, documents long, ok boolean, state string")
 
 
 def read_slice(chunks: DataFrame, doc_id: int, start: int = 0, count: int = 3, most: int = 10) -> DataFrame:

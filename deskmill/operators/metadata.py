@@ -160,6 +160,18 @@ def _of_group(shown: str) -> Column:
     return F.filter("attributes", lambda a: a["group"] == shown)
 
 
+def object_blocks(files: DataFrame, keep: list[str], xml: str, nested: Column, object_type: Column) -> DataFrame:
+    """Descriptions as blocks of kind ``object`` for code search: name and synonym are the block's name, the rendered record is its body.
+
+    Lines are those of the description's file. A description without a name gives no block.
+    """
+    lines = F.size(F.split(F.regexp_replace(xml, r"\n\z", ""), "\n"))
+    records = object_structure(files.withColumn("line_end", lines).withColumn("_type", object_type), [*keep, "line_end", "_type"], xml, nested)
+    return records.select(*keep, F.lit("object").alias("kind"), F.concat_ws(" ", "name", F.nullif(F.col("synonym"), F.lit(""))).alias("name"),
+                          F.lit(False).alias("is_export"), F.lit(1).alias("line_start"), "line_end",
+                          render_object(F.concat_ws(".", "_type", "name")).alias("body"), F.lit("").alias("doc"))
+
+
 # Where an answer says how it went.
 RESULT_CODE = r"(?s)<(?:\w+:)?Property\b[^>]*\bname=[\"']ResultCode[\"'][^>]*>\s*<(?:\w+:)?Value[^>]*>([^<]*)<"
 FAULT = r"(?s)<(?:\w+:)?faultstring[^>]*>([^<]*)<"
@@ -222,6 +234,12 @@ def unassigned_objects(objects: DataFrame, content: DataFrame, obj: str) -> Data
     return objects.join(content.select(obj).distinct(), obj, "left_anti")
 
 
+def object_names(objects: DataFrame, kind: str, name: str, failing: DataFrame) -> DataFrame:
+    """(kind, name) of the collections that could be read, each name once, in order. Rows, not an array: a collection has any size."""
+    good = objects.join(failing.select(kind), kind, "left_anti")
+    return good.select(kind, name).distinct().orderBy(kind, name)
+
+
 def object_counts(objects: DataFrame, kind: str, name: str, failing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kind, names) of the collections that could be read, and the warnings (kind, message) for the others."""
     good = objects.join(failing.select(kind), kind, "left_anti")

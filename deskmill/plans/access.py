@@ -69,6 +69,19 @@ def _(t):
     return A.export_by_month(rows, "o_orderdate", START, END, ["o_orderkey"], 190, workspace(t.spark, "export"))
 
 
+EXPORT_TEXT = """SELECT o_orderkey, o_totalprice FROM {orders}
+WHERE o_orderdate BETWEEN :period_start AND :period_end AND o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey"""
+
+
+@query("export_query", f"""
+WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_totalprice FROM orders WHERE {RANGE_SQL} AND o_totalprice > 1000),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY month ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS row_no, count(*) OVER (PARTITION BY month) AS held FROM r)
+SELECT month, row_no, o_orderkey, o_totalprice, held > 150 AS truncated FROM n WHERE row_no <= 150""")
+def _(t):
+    done = A.export_query(t.spark, EXPORT_TEXT, {"orders": t.orders}, START, END, workspace(t.spark, "query-export"), 150)
+    return done.rows.join(done.report.select("month", "truncated"), "month")
+
+
 @query("capped_partitions", f"""
 SELECT month, row_no, o_orderkey, n > 100 AS truncated FROM (
  SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, row_number() OVER w AS row_no,

@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskmill.functions import fixed as X
-from deskmill.functions.paths import path_meta
+from deskmill.functions.paths import is_object_file, path_meta
 from deskmill.functions.text import stem_pattern
 from deskmill.operators import code_search as C
 from deskmill.operators import fusion as U
 from deskmill.operators import vectors as V
-from deskmill.operators.chunking import segment_blocks
+from deskmill.operators.chunking import segment_blocks, toc
+from deskmill.operators.metadata import object_blocks
 from deskmill.plans.registry import query
 from deskmill.session import kept, materialise
-from deskmill.sources.views import BLOCKS_SQL, modules
+from deskmill.sources.views import BLOCKS_SQL, OBJECT_FILES_SQL, modules, object_files
 
 OBJECT_SQL = """(CASE b.doc_id%4 WHEN 0 THEN 'Документ' WHEN 1 THEN 'ОбщийМодуль' WHEN 2 THEN 'Справочник' ELSE 'Отчет' END) AS object_type,
   (CASE b.doc_id%4 WHEN 0 THEN 'D' WHEN 1 THEN 'M' WHEN 2 THEN 'C' ELSE 'R' END)||(b.doc_id%50) AS object_name,
   CASE WHEN b.doc_id%4=1 THEN 'ОбщийМодуль' ELSE 'Модуль' END AS module_kind"""
-CODE_SQL = BLOCKS_SQL + f""",
+CODE_SQL = BLOCKS_SQL + ",\n" + OBJECT_FILES_SQL + f""",
 code AS MATERIALIZED (SELECT b.doc_id AS file_id, b.line_start, b.line_end, b.kind, b.name, b.is_export, b.doc, b.body, m.repo, m.path AS file_path, {OBJECT_SQL}
-  FROM blocks b JOIN modules m USING (doc_id)),
+  FROM blocks b JOIN modules m USING (doc_id)
+  UNION ALL SELECT file_id, 1, 2, 'object', name, false, '', body, repo, path, object_type, object_name, 'Структура' FROM object_blocks),
 fts AS MATERIALIZED (SELECT *, repo||'/'||file_path||' '||object_type||'.'||object_name||' '||module_kind AS path FROM code)"""
 
 
 def code_index(t):
     """The gram index of the code blocks; it is built once and kept until a file of the table changes."""
-    return C.GramIndex(**kept(t.documents, "code-index", lambda write: C.build_gram_index(_blocks(t), write)))
+    return C.GramIndex(**kept(t.documents, "block-index", lambda write: C.build_gram_index(_blocks(t), write)))
 
 
 def code_blocks(t):
@@ -34,12 +36,14 @@ def code_blocks(t):
 
 
 def _blocks(t):
-    """Blocks with owner columns."""
+    """Blocks of modules and of object descriptions, with owner columns."""
     files = modules(t.documents).withColumnRenamed("doc_id", "file_id").withColumn("m", path_meta(F.col("path")))
     cut = segment_blocks(files, ["file_id", "repo", "path", "m"], "text")
     label = F.array_join(F.filter(F.array(F.concat("m.object_type", F.lit("."), "m.object_name"), "m.module_kind", "m.sub_name"), lambda x: x != ""), " ")
-    return cut.select(
-        "file_id", "line_start", "line_end", "kind", "name", F.col("name").alias("proc_name"), "is_export", "doc", "body", "repo",
+    described = object_files(t.documents).filter(is_object_file(F.col("path"))).withColumn("m", path_meta(F.col("path")))
+    objects = object_blocks(described, ["file_id", "repo", "path", "m"], "xml", F.endswith("path", F.lit(".mdo")), F.col("m.object_type"))
+    return cut.unionByName(objects).select(
+        "file_id", "line_start", "line_end", "kind", "name", F.when(F.col("kind") == "object", "").otherwise(F.col("name")).alias("proc_name"), "is_export", "doc", "body", "repo",
         F.col("path").alias("file_path"), F.col("m.object_type").alias("object_type"), F.col("m.object_name").alias("object_name"),
         F.col("m.module_kind").alias("module_kind"), F.col("m.sub_name").alias("sub_name"),
         F.concat("repo", F.lit("/"), "path", F.lit(" "), label).alias("path"))
@@ -49,6 +53,13 @@ def questions(t):
     return t.benchmark.select(F.col("item_id").alias("question_id"), "text")
 
 
+STRUCTURE = ["thou", "heed", "ertion"]
+
+
+def searched(t, asked, depth):
+    return C.lexical_search(code_index(t), asked, depth, structure=STRUCTURE)
+
+
 STOPS = ",".join(f"'{w}'" for w in X.CODE_STOP_WORDS)
 
 
@@ -115,11 +126,12 @@ vq AS MATERIALIZED (SELECT o.v, f.file_id, f.line_start, {quick_quality_sql('f.n
   FROM occ o JOIN mk USING (file_id, line_start) JOIN fts f USING (file_id, line_start)),
 qa AS (SELECT u.question_id, u.file_id, u.line_start, any_value(u.bm25) AS bm25, sum(greatest(qn, qo)) AS coverage, count(*) FILTER (greatest(qn, qo) > 0) AS matched,
   count(*) FILTER (qn = 1.0) AS in_name FROM united u JOIN cterms t USING (question_id) JOIN vq ON vq.v = t.base AND vq.file_id = u.file_id AND vq.line_start = u.line_start GROUP BY 1, 2, 3),
+wn AS (SELECT question_id, bool_or(base IN ('thou','heed','ertion')) AS wants FROM cterms GROUP BY 1),
 idn AS (SELECT question_id, list(base) AS ids FROM cterms WHERE exact GROUP BY 1),
 rs AS (SELECT qa.question_id, qa.file_id, qa.line_start, matched, round(bm25 * (0.25+coverage/n_terms)**2 * (0.5+matched/n_terms) * (1+in_name/n_terms)**2
-  * CASE WHEN coalesce(list_contains(ids, lower(f.name)), false) THEN 4 ELSE 1 END
-  * CASE WHEN list_contains(said, lower(f.object_name)) THEN 2.5 ELSE 1 END * CASE WHEN f.is_export THEN 1.3 ELSE 1 END, 5) AS score
-  FROM qa JOIN fts f USING (file_id, line_start) JOIN said USING (question_id) JOIN nt USING (question_id) LEFT JOIN idn ON idn.question_id = qa.question_id),
+  * CASE WHEN coalesce(list_contains(ids, CASE WHEN f.kind='object' THEN '' ELSE lower(f.name) END), false) THEN 4 ELSE 1 END
+  * CASE WHEN list_contains(said, lower(f.object_name)) THEN 2.5 ELSE 1 END * CASE WHEN f.kind='object' THEN CASE WHEN wants THEN 2.5 ELSE 0.6 END WHEN f.is_export THEN 1.3 ELSE 1 END, 5) AS score
+  FROM qa JOIN fts f USING (file_id, line_start) JOIN said USING (question_id) JOIN nt USING (question_id) JOIN wn USING (question_id) LEFT JOIN idn ON idn.question_id = qa.question_id),
 reranked AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, file_id, line_start) AS INTEGER) AS place FROM rs) WHERE place <= {depth})"""
 
 
@@ -131,7 +143,7 @@ def _(t):
 @query("structure_intent", "WITH " + terms_sql("(SELECT item_id AS question_id, text FROM benchmark)") + """
 SELECT question_id, bool_or(base IN ('thou','heed','ertion')) AS wants_structure FROM cterms GROUP BY 1""")
 def _(t):
-    return C.structure_intent(C.parse_query(questions(t)), ["thou", "heed", "ertion"])
+    return C.structure_intent(C.parse_query(questions(t)), STRUCTURE)
 
 
 @query("trigram_index", """
@@ -166,24 +178,24 @@ def _(t):
 
 @query("rerank", "WITH " + rerank_sql(50) + " SELECT question_id, place, file_id, line_start, matched, score FROM reranked")
 def _(t):
-    return C.lexical_search(code_index(t), questions(t)).select("question_id", "place", "file_id", "line_start", "matched", "score")
+    return searched(t, questions(t), U.DEPTH).select("question_id", "place", "file_id", "line_start", "matched", "score")
 
 
 SNIP_SQL = rerank_sql(8) + r""",
-hl AS (SELECT r.question_id, r.place, f.line_start, string_split(f.body, chr(10)) AS ls FROM reranked r JOIN fts f USING (file_id, line_start)),
+hl AS (SELECT r.question_id, r.place, f.kind, f.line_start, string_split(f.body, chr(10)) AS ls FROM reranked r JOIN fts f USING (file_id, line_start)),
 tl AS (SELECT question_id, list(base) AS vs FROM cterms GROUP BY 1),
 x AS (SELECT hl.*, list_filter(range(1, len(ls)+1), lambda i: regexp_matches(ls[i], '(?i)^[ \t]*(Procedure|Function)[ \t]+[A-Za-z_]\w*[ \t]*\('))[1:1] AS h,
   list_filter(range(1, len(ls)+1), lambda i: len(list_filter(vs, lambda v: contains(lower(ls[i]), v))) > 0) AS mt FROM hl JOIN tl USING (question_id)),
 y AS (SELECT *, list_concat(h, list_filter(mt, lambda i: NOT list_contains(h, i)))[1:6] AS picked FROM x),
 z AS (SELECT *, list_sort(list_distinct(CASE WHEN len(picked) < 2 THEN list_concat(picked, range(1, least(len(ls), 3)+1)) ELSE picked END)) AS chosen FROM y)
-SELECT question_id, place, array_to_string(list_transform(chosen, lambda i: (line_start+i-1)||': '||substr(regexp_replace(ls[i], '^\s+|\s+$', '', 'g'),1,160)), chr(10)) AS lines FROM z"""
+SELECT question_id, place, array_to_string(CASE WHEN kind='object' THEN list_transform(ls[1:6], lambda x: substr(x,1,480)) ELSE list_transform(chosen, lambda i: (line_start+i-1)||': '||substr(regexp_replace(ls[i], '^\s+|\s+$', '', 'g'),1,160)) END, chr(10)) AS lines FROM z"""
 
 
 @query("snippet_lines", "WITH " + SNIP_SQL)
 def _(t):
     blocks = code_blocks(t)
     terms = C.parse_query(questions(t))
-    hits = C.lexical_search(code_index(t), questions(t), 8).join(blocks.select(*C.KEY, "body"), C.KEY)
+    hits = searched(t, questions(t), 8).join(blocks.select(*C.KEY, "kind", "body"), C.KEY)
     return C.snippet_lines(hits, terms).select("question_id", "place", F.array_join("lines", "\n").alias("lines"))
 
 
@@ -194,7 +206,7 @@ o AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS found, max(CASE WHEN
 SELECT question_id, place, found, count(*) OVER (PARTITION BY question_id) AS shown FROM o WHERE over = 0""")
 def _(t):
     blocks = code_blocks(t)
-    hits = C.lexical_search(code_index(t), questions(t), 20).join(blocks.select(*C.KEY, "body"), C.KEY)
+    hits = searched(t, questions(t), 20).join(blocks.select(*C.KEY, "body"), C.KEY)
     return C.char_budget(hits, "question_id", "place", "body", 4000).select("question_id", "place", "found", "shown")
 
 
@@ -243,7 +255,7 @@ def spoken_sql(c: str) -> str:
 
 PASSAGE_SQL = CODE_SQL + rf""",
 ps AS (SELECT *, trim(object_type||' '||{spoken_sql('object_name')}) AS owner, array_to_string(list_filter(string_split(body, chr(10)), lambda x: NOT regexp_matches(x, '^\s*//')), chr(10)) AS src FROM fts),
-passages AS (SELECT file_id, line_start, CASE WHEN kind='module' THEN owner||'. '||module_kind||'. '||substr(body,1,600)
+passages AS (SELECT file_id, line_start, CASE WHEN kind='object' THEN substr(owner||'. '||body,1,1200) WHEN kind='module' THEN owner||'. '||module_kind||'. '||substr(body,1,600)
   ELSE owner||'. '||module_kind||'. '||CASE WHEN kind='func' THEN 'функция' ELSE 'процедура' END||' '||{spoken_sql('name')}||'. '||substr(doc,1,700)||CASE WHEN length(doc) < 80 THEN ' '||substr(src,1,400) ELSE '' END END AS passage FROM ps)"""
 
 
@@ -317,7 +329,7 @@ SELECT question_id, rank, file_id, line_start, score FROM fr WHERE rank <= """
 def fused(t, limit: int, semantic: bool = True):
     blocks, asked = code_blocks(t), materialise(formulations(t), "formulations")
     split = {"question_id": (F.col("question_id") / 10).cast("long"), "formulation": (F.col("question_id") % 10).cast("int")}
-    lexical = C.lexical_search(code_index(t), asked, U.DEPTH).withColumns({"formulation": split["formulation"]}).withColumns({"question_id": split["question_id"]})
+    lexical = searched(t, asked, U.DEPTH).withColumns({"formulation": split["formulation"]}).withColumns({"question_id": split["question_id"]})
     near = None
     if semantic:
         vectors = V.embed(passages(blocks), C.KEY, "passage", V.letter_embedder)
@@ -352,8 +364,7 @@ def _(t):
   count(*) FILTER (kind='object') AS objects, (SELECT count(*) FROM embeddings) AS vectors FROM code""")
 def _(t):
     vectors = t.embeddings.agg(F.count("*"))
-    blocks = segment_blocks(modules(t.documents), ["doc_id"], "text").select("doc_id", "kind")
-    per_file = blocks.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isin("proc", "func")).alias("p"), F.count_if(F.col("kind") == "object").alias("o"))
+    per_file = code_blocks(t).groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isin("proc", "func")).alias("p"), F.count_if(F.col("kind") == "object").alias("o"))
     return per_file.agg(F.count("*").alias("files"), F.sum("n").alias("chunks"), F.sum("p").alias("procedures"), F.sum("o").alias("objects")).withColumn("vectors", vectors.scalar())
 
 
@@ -413,24 +424,27 @@ def _(t):
 
 
 @query("object_modules", "WITH " + CODE_SQL + """,
-ow AS (SELECT DISTINCT object_name, object_name||'/'||repo AS owner_id, CASE WHEN length(object_name)=2 THEN object_type END AS object_type, CASE WHEN repo<>'src1' THEN repo END AS repo FROM code),
-md AS (SELECT object_name, object_type, repo, file_path AS path, count(*) FILTER (kind IN ('proc','func')) AS procedures FROM code GROUP BY 1, 2, 3, 4)
+ow AS (SELECT DISTINCT object_name, object_name||'/'||repo AS owner_id, CASE WHEN length(object_name)=2 THEN object_type END AS object_type, CASE WHEN repo<>'src1' THEN repo END AS repo FROM code WHERE kind <> 'object'),
+md AS (SELECT object_name, object_type, repo, file_path AS path, count(*) FILTER (kind IN ('proc','func')) AS procedures FROM code WHERE kind <> 'object' GROUP BY 1, 2, 3, 4)
 SELECT ow.owner_id, md.repo, md.path, md.procedures FROM ow JOIN md ON ow.object_name=md.object_name AND (ow.object_type IS NULL OR ow.object_type=md.object_type)
  AND (ow.repo IS NULL OR ow.repo=md.repo)""")
 def _(t):
-    blocks = code_blocks(t).select("object_name", "object_type", "repo", F.col("file_path").alias("path"), "kind")
+    blocks = code_blocks(t).filter("kind <> 'object'").select("object_name", "object_type", "repo", F.col("file_path").alias("path"), "kind")
     owners = blocks.select("object_name", F.concat("object_name", F.lit("/"), "repo").alias("owner_id"),
                            F.when(F.length("object_name") == 2, F.col("object_type")).alias("object_type"), F.when(F.col("repo") != "src1", F.col("repo")).alias("repo")).distinct()
     return C.object_modules(owners, blocks)
 
 
 @query("near_names", "WITH " + BLOCKS_SQL + """,
-nm AS (SELECT doc_id, name, line_start FROM blocks WHERE kind <> 'module'),
-rq AS (SELECT doc_id, CASE WHEN doc_id%2=0 THEN 'X1' ELSE 'nothing' END AS request FROM documents),
+nm AS (SELECT doc_id, line_start||'-'||line_end||': '||CASE WHEN kind='func' THEN 'Функция' ELSE 'Процедура' END||' '||name||CASE WHEN is_export THEN ' Экспорт' ELSE '' END AS name,
+  line_start FROM blocks WHERE kind <> 'module'),
+rq AS (SELECT doc_id, CASE doc_id%4 WHEN 0 THEN 'X1' WHEN 1 THEN 'nothing' WHEN 2 THEN 'функция F' ELSE '8' END AS request FROM documents),
 jn AS (SELECT doc_id AS request_id, name, line_start, contains(lower(name), lower(request)) AS near FROM rq JOIN nm USING (doc_id)),
 kp AS (SELECT *, bool_or(near) OVER (PARTITION BY request_id) AS has FROM jn)
 SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY line_start) AS INTEGER) AS rank, name FROM kp WHERE near OR NOT has""")
 def _(t):
-    names = segment_blocks(modules(t.documents), ["doc_id"], "text").filter("kind <> 'module'").select("doc_id", "name", F.col("line_start").alias("name_order"))
-    asked = t.documents.select("doc_id", F.col("doc_id").alias("request_id"), F.when(F.col("doc_id") % 2 == 0, "X1").otherwise("nothing").alias("request"))
+    blocks = segment_blocks(modules(t.documents), ["doc_id"], "text")
+    names = toc(blocks, ["doc_id"]).select("doc_id", F.col("entry").alias("name"), F.col("line_start").alias("name_order"))
+    asked = t.documents.select("doc_id", F.col("doc_id").alias("request_id"),
+                               F.expr("CASE doc_id % 4 WHEN 0 THEN 'X1' WHEN 1 THEN 'nothing' WHEN 2 THEN 'функция F' ELSE '8' END").alias("request"))
     return C.near_names(names, asked, "doc_id")

@@ -147,9 +147,15 @@ def _(t):
     return K.stale_sources(before, now).select("repo", "path")
 
 
-@query("index_health", "WITH " + KB_SQL + " SELECT count(*) AS documents, count(*) > 0 AS ok FROM documents_kb")
-def _(t):
-    return K.index_health(knowledge(t)["documents"])
+@query("index_health", "WITH " + KB_SQL + """ SELECT 'all' AS name, count(*) AS documents, count(*) > 0 AS ok, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS state FROM documents_kb
+UNION ALL SELECT 'other language', count(*), count(*) > 0, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END FROM documents_kb WHERE lang = 'none'
+UNION ALL SELECT 'not built', NULL, false, 'unreadable' UNION ALL SELECT 'damaged', NULL, false, 'unreadable'""")
+def _(t):
+    damaged, docs = workspace(t.spark, "damaged"), knowledge(t)["documents"]
+    t.documents.select("text").write.text(damaged)
+    return K.index_health(t.spark, {
+        "all": lambda: docs, "other language": lambda: docs.filter("lang = 'none'"), "not built": lambda: t.spark.read.parquet(damaged + "-none"),
+        "damaged": lambda: t.spark.read.schema("text string").option("pathGlobFilter", "*.txt").parquet(damaged)})
 
 
 @query("segment_blocks", "WITH " + BLOCKS_SQL + " SELECT doc_id, kind, line_start, line_end, body FROM blocks")

@@ -56,7 +56,7 @@ def _(t):
 
 
 POOL_SQL = CODE_SQL + r""",
-u AS (SELECT * FROM code WHERE kind <> 'module' QUALIFY count(*) OVER (PARTITION BY lower(name)) = 1),
+u AS (SELECT * FROM code WHERE kind IN ('proc','func') QUALIFY count(*) OVER (PARTITION BY lower(name)) = 1),
 tx AS (SELECT *, trim(regexp_replace(string_split(body, chr(10))[1], '^\s*/*', '')) AS c0 FROM u),
 cm AS (SELECT *, CASE WHEN starts_with(trim(string_split(body, chr(10))[1]), '//') THEN c0 ELSE '' END AS c FROM tx),
 ph AS (SELECT *, regexp_replace(trim(string_split(c, '. ')[1]), '\.+$', '') AS p0 FROM cm),

@@ -127,6 +127,12 @@ def _(t):
     return counted(t)[0]
 
 
+@query("object_names", "SELECT DISTINCT p_type, p_name FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size > 49 AND p_type IN ('PROMO','LARGE'))")
+def _(t):
+    failing = t.part.filter("p_size > 49").select("p_type").distinct()
+    return M.object_names(t.part, "p_type", "p_name", failing.filter("p_type in ('PROMO','LARGE')"))
+
+
 @query("warnings", "SELECT DISTINCT p_type, 'could not be read: '||p_type AS message FROM part WHERE p_size > 49 AND p_type IN ('PROMO','LARGE')")
 def _(t):
     return counted(t)[1]

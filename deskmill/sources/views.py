@@ -98,6 +98,35 @@ MODULES_SQL = """modules AS (SELECT source AS repo, doc_id,
       WHEN 2 THEN CASE WHEN i % 4 = 2 THEN 'Procedure P'||doc_id||'x'||i||'(a) Export' ELSE 'Function F'||doc_id||'x'||i||'(a)' END
       WHEN 4 THEN CASE WHEN i % 9 = 4 THEN '' ELSE 'EndProcedure' END WHEN 5 THEN '' ELSE x END), chr(10)) AS text FROM documents)"""
 
+def object_files(documents: DataFrame) -> DataFrame:
+    """Documents turned into descriptions of objects, in both layouts; their file ids lie below zero."""
+    flat, found = F.col("doc_id") % 8 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([a-z]{3,})"), F.lit(1))
+    rows = documents.filter("doc_id % 8 IN (0, 2)").select("source", "doc_id", flat.alias("flat"), found.alias("ws"))
+    name = F.concat(F.when(F.col("flat"), "D").otherwise("C"), (F.col("doc_id") % 50).cast("string"))
+    said, parts = F.array_join(F.slice("ws", 1, 2), " "), F.slice("ws", 3, 8)
+
+    def listed(before, after):
+        return F.array_join(F.transform(parts, lambda w: F.concat(F.lit(before), w, F.lit(after))), "")
+
+    one = F.concat(F.lit('<MetaDataObject xmlns="http://x/md" xmlns:v8="http://x/v8"><Document uuid="u"><Properties><Name>'), name,
+                   F.lit("</Name><Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>"), said, F.lit("</v8:content></v8:item></Synonym></Properties>\n<ChildObjects>"),
+                   listed("<Attribute><Properties><Name>", "</Name><Type><v8:Type>xs:decimal</v8:Type></Type></Properties></Attribute>"),
+                   F.lit("</ChildObjects></Document></MetaDataObject>\n"))
+    two = F.concat(F.lit('<mdclass:Catalog xmlns:mdclass="http://x/m"><name>'), name, F.lit("</name><synonym><key>ru</key><value>"), said, F.lit("</value></synonym>\n"),
+                   listed("<attributes><name>", "</name><type><types>xs:decimal</types></type></attributes>"), F.lit("</mdclass:Catalog>"))
+    folder = F.concat(F.lit("o"), F.col("doc_id").cast("string"), F.when(F.col("flat"), "/Documents/").otherwise("/Catalogs/"), name)
+    return rows.select((-1 - F.col("doc_id")).alias("file_id"), F.col("source").alias("repo"),
+                       F.when(F.col("flat"), F.concat(folder, F.lit(".xml"))).otherwise(F.concat(folder, F.lit("/"), name, F.lit(".mdo"))).alias("path"),
+                       F.when(F.col("flat"), one).otherwise(two).alias("xml"))
+
+
+OBJECT_FILES_SQL = """object_words AS (SELECT doc_id, source, doc_id%8=0 AS flat, CASE WHEN doc_id%8=0 THEN 'D' ELSE 'C' END||(doc_id%50) AS object_name,
+  CASE WHEN doc_id%8=0 THEN 'Документ' ELSE 'Справочник' END AS object_type, regexp_extract_all(coalesce(text, ''), '[a-z]{3,}') AS ws FROM documents WHERE doc_id%8 IN (0, 2)),
+object_files AS (SELECT -1-doc_id AS file_id, source AS repo, 'o'||doc_id||CASE WHEN flat THEN '/Documents/'||object_name||'.xml' ELSE '/Catalogs/'||object_name||'/'||object_name||'.mdo' END AS path,
+  object_type, object_name, array_to_string(ws[1:2], ' ') AS said, ws[3:10] AS parts FROM object_words),
+object_blocks AS (SELECT *, object_name||CASE WHEN said='' THEN '' ELSE ' '||said END AS name, object_type||'.'||object_name||CASE WHEN said='' THEN '' ELSE ' — «'||said||'»' END
+  ||CASE WHEN len(parts)=0 THEN '' ELSE chr(10)||'Реквизиты: '||array_to_string(list_transform(parts, lambda w: w||' (Число)'), '; ') END AS body FROM object_files)"""
+
 BLOCKS_SQL = MODULES_SQL + r""",
 ml AS (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS ls FROM modules),
 ln AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM ml),
