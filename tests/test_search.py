@@ -1,11 +1,14 @@
 """Search by score blocks and sorted pages next to plain versions, and what they read."""
 
+import collections
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from deskmill.operators import code_search as C
 from deskmill.operators import search as S
+from deskmill.session import materialise
 
 
 def scored(spark, chunks=6000, questions=12, seed=1):
@@ -124,3 +127,53 @@ def test_grams_propose_without_texts(spark):
     plan = C.proposals(index, variants)._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan and "ReadSchema" in plan
     assert C.proposals(index, variants).count() <= index.counts.join(variants.select(F.explode(C.grams(F.col("variant"))).alias("gram")), "gram").agg(F.min("df")).first()[0]
+
+
+def test_candidate_lists_next_to_all_rows(spark):
+    """Lists put together from groups of blocks, with thresholds, are those of the plain sums; keys may repeat."""
+    rnd = random.Random(4)
+    vs = [f"v{i}" for i in range(12)]
+    rows = [(v, f, 1, 40 + f % 7, *[rnd.randrange(0, 3) for _ in range(3)], 1) for f in range(900) for v in vs if rnd.random() < 0.5]
+    rows += rows[:5]
+    hits = materialise(spark.createDataFrame(rows, "variant string, file_id long, line_start int, len int, tf_path int, tf_name int, tf_doc int, tf_body int"), "h")
+    terms = [(q, no, no_vs) for q in range(5) for no, no_vs in enumerate([[vs[q], vs[q + 5]], [vs[q + 1]], ["none"] if q == 3 else [vs[q + 2]]])] + [(9, 0, [vs[0]])]
+    asked = spark.createDataFrame(terms, "question_id long, term_no int, variants array<string>")
+    stats = spark.createDataFrame([(900, 43.0)], "n long, avg_len double")
+    got = {}
+    for r in C.candidate_lists(asked, hits, stats, size=60).collect():
+        got.setdefault((r.question_id, r.list_no), []).append((r.list_rank, r.file_id, r.score))
+    held, scores = {}, {}
+    for head, weights in enumerate([(3, 10, 4, 1), (0, 10, 4, 0)]):
+        freq = [(r, sum(w * x for w, x in zip(weights, r[4:]))) for r in rows]
+        df = collections.Counter(r[0] for r, f in freq if f)
+        for r, f in freq:
+            for q, no, own in terms:
+                if f and r[0] in own:
+                    idf = math.log((900 - df[r[0]] + 0.5) / (df[r[0]] + 0.5))
+                    score = (idf if idf > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * r[3] / 43))
+                    scores[q, head, r[1]] = scores.get((q, head, r[1]), 0) + score
+                    held.setdefault((q, head, r[1]), set()).add(no)
+    for q in {x[0] for x in terms}:
+        n = sum(x[0] == q for x in terms)
+        for no, size in enumerate([400, 200, 100, 150]):
+            want = sorted((-round(s, 6), f) for (a, head, f), s in scores.items() if a == q and head == no % 2 and (no < 2 or n > 1 and len(held[a, head, f]) == n))[:size]
+            found = sorted(got.get((q, no), []))
+            assert [f for _, f, _ in found] == [f for _, f in want] and [k for k, _, _ in found] == list(range(1, len(want) + 1)), (q, no)
+
+
+def test_hits_and_lists_make_no_row_per_question(spark):
+    """Neither counting nor summing goes through a row for each question, term and block."""
+    words, blocks = some_blocks(spark)
+    index = C.build_gram_index(blocks)
+    variants = spark.createDataFrame([(w,) for w in words[:5]], "variant string")
+    hits = materialise(C.variant_hits(index, variants), "hits")
+    low = {(r.file_id, c): r[c] for r in blocks.collect() for c in C.COLUMNS}
+    for r in hits.collect():
+        assert [r[f"tf_{c}"] for c in C.COLUMNS] == [sum(low[r.file_id, c].startswith(r.variant, i) for i in range(len(low[r.file_id, c]))) for c in C.COLUMNS]
+    terms = spark.createDataFrame([(q, 0, words[:5]) for q in range(3)], "question_id long, term_no int, variants array<string>")
+    plan = C.candidate_lists(terms, hits, index.stats)._jdf.queryExecution().executedPlan().toString()
+    assert "tf_body" not in plan
+    odd = spark.createDataFrame([(1, 1, "p", "n", "", "aaa \U0001d400\U0001d401x"), (2, 1, "p", None, None, "ab"), (3, 1, None, None, None, "ab")], blocks.schema)
+    got = {(r.file_id, r.gram) for r in C.trigram_index(odd).collect()}
+    whole = {1: "p\1n\1\1aaa \U0001d400\U0001d401x", 2: "p\1ab"}
+    assert got == {(k, t[i:i + 3]) for k, t in whole.items() for i in range(len(t) - 2)}
