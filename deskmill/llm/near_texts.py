@@ -1,4 +1,7 @@
-"""Near-duplicate texts: candidates by MinHash bands of the shingle sets, then their exact similarity.
+"""Near-duplicate texts: candidates by SimHash with Hamming balls and by MinHash bands, then their exact similarity.
+
+SimHash is the search of ``simhash``: fingerprints of three-word shingles that differ in at most ``DISTANCE`` bits are found by
+enumerating the ball of a segment. It loses pairs at the similarity asked for when one text goes on longer, so MinHash bands add to it.
 
 Pairs are proposed on the sets that are compared (distinct shingles of five words), so it doesn't matter how two texts came to
 differ: by scattered words, by one text going on longer or by repeats. The least value of a set under a random order is the same for two
@@ -27,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskmill.llm.graph import components
-from deskmill.llm.simhash import shingle_hashes
+from deskmill.llm.simhash import fingerprint, links, shingle_hashes
 from deskmill.session import materialise
 
+DISTANCE = 3  # most bits in which SimHash fingerprints of a pair differ
+SEGMENTS = 2
+SIMHASH_WORDS = 3
 ROWS = 6  # least values in a band
 MISSED = 1e-4  # pairs just at the similarity that meet in no band
 MOST_BANDS = 128  # in force below a similarity of about 0.64
@@ -83,12 +89,12 @@ def parity(shingles: np.ndarray) -> tuple[int, int, int]:
     return len(shingles), int(odd[0]), int(odd[1])
 
 
-MARKS = ("c1", "c2", "f1", "f2", "n", "p1", "p2")
+MARKS = ("c1", "c2", "f1", "f2", "n", "p1", "p2", "h")
 
 
 def text_marks(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float = 0.8) -> DataFrame:
-    """(id, c1, c2, f1, f2, n, p1, p2, bands): a 128-bit hash of the word sequence, the sketch, the number of shingles, their
-    parity bits and the bands; n is 0, and there are no bands, for texts shorter than a shingle."""
+    """(id, c1, c2, f1, f2, n, p1, p2, h, bands): a 128-bit hash of the word sequence, the sketch, the number of shingles, their
+    parity bits, the SimHash fingerprint and the bands; n is 0, and there are no bands, for texts shorter than a shingle."""
     bands = band_count(similarity)
 
     def run(batches):
@@ -99,11 +105,11 @@ def text_marks(docs: DataFrame, id_col: str, text_col: str, words: int, similari
                 whole = xxhash.xxh3_128_digest(b" ".join(parts))
                 c1, c2 = np.frombuffer(whole, np.int64).tolist()
                 own: list[int] = []
-                marks = (0,) * 5
+                marks = (0,) * 6
                 if len(parts) >= words:
                     shingles = np.unique(np.array(shingle_hashes(text, words), np.uint64))
                     f1, f2, own = band_marks(shingles, bands)
-                    marks = (f1, f2, *parity(shingles))
+                    marks = (f1, f2, *parity(shingles), fingerprint(text, SIMHASH_WORDS))
                 rows.append((c1, c2, *marks))
                 keys.append(own)
             columns = list(zip(*rows)) or [()] * len(MARKS)
@@ -162,6 +168,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     return materialise(both.where(alike).select("a", "b"), f"{name}-links")
 
 
+def ball_pairs(entries: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """Pairs (a, b) of reps by their fingerprints ``h``: each rep with the smallest of its fingerprint, and the smallest ones of
+    fingerprints that differ in at most ``distance`` bits."""
+    heads = materialise(entries.groupBy(F.col("h").alias("fp")).agg(F.min("rep").alias("head")), "ball-heads")
+    same = entries.join(heads, entries["h"] == heads["fp"]).where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    named = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in ("a", "b")]
+    near = links(heads.select("fp"), distance, segments).distinct().join(named[0], "a").join(named[1], "b")
+    return same.unionAll(near.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
                 bits: int | None = None) -> DataFrame:
     """(id, c1, c2, component) per row: component is the smallest id that links reach.
@@ -173,14 +189,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     bits = sketch_bits(similarity) if bits is None else bits
     marks = materialise(text_marks(docs, id_col, text_col, words, similarity), "marks")
-    shown = MARKS[2:]
+    shown = MARKS[2:-1]
     # equal texts have equal marks, so any of them will do
-    entries = materialise(marks.groupBy("c1", "c2").agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in (*shown, "bands")]), "entries")
+    entries = materialise(marks.groupBy("c1", "c2").agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in (*shown, "h", "bands")]), "entries")
     usable = entries.where((F.col("n") > 0) & F.col("rep").isNotNull()).select("rep", *shown, "bands")
     keyed = _keys(usable)
     heads = keyed.groupBy("key").agg(F.min("rep").alias("rep"), *[F.min_by(c, "rep").alias(c) for c in shown])
     stars = keyed.alias("x").hint("merge").join(heads.alias("y"), "key").where((F.col("x.rep") != F.col("y.rep")) & _near("x", "y", bits, similarity))
-    first = _verified(stars.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")), docs, id_col, text_col, words, similarity, "stars")
+    balls = ball_pairs(entries.where((F.col("n") > 0) & F.col("rep").isNotNull()).select("rep", "h"))
+    first = _verified(stars.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).unionAll(balls), docs, id_col, text_col, words, similarity, "stars")
     groups = components(first, "a", "b")
     grouped = materialise(usable.join(groups, usable["rep"] == groups["node"], "left").select(
         "rep", *shown, "bands", F.coalesce("root", "rep").alias("g")), "grouped")

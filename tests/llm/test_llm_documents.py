@@ -113,6 +113,20 @@ def test_near_texts(spark):
     assert sum(got[i] == want[i] for i in got) >= 0.98 * len(got)
 
 
+def test_near_texts_by_hamming_balls(spark, monkeypatch):
+    """SimHash proposes on its own: all fingerprints within the distance, also with no MinHash band at all."""
+    rnd = random.Random(12)
+    rows = [(i, rnd.getrandbits(63)) for i in range(300)]
+    rows += [(300 + i, h ^ sum(1 << b for b in rnd.sample(range(63), i % 6))) for i, (_, h) in enumerate(rows)]
+    found = {(min(r), max(r)) for r in near_texts.ball_pairs(frame(spark, rows, "rep long, h long")).collect()}
+    assert found == {(a, b) for a, x in rows for b, y in rows if a < b and bin(x ^ y).count("1") <= near_texts.DISTANCE}
+    monkeypatch.setattr(near_texts, "_keys", lambda entries: entries.withColumn("key", F.lit(0).cast("long")).where("false").drop("bands"))
+    words = [f"w{rnd.randrange(5000)}" for _ in range(2000)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "one two three four five six seven")]
+    got = {r.id: r.component for r in near_texts.near_groups(frame(spark, texts, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_texts_with_repeated_passages(spark):
     """A passage said many times in a line adds few shingles to the set that is compared."""
     rng = random.Random(4)
