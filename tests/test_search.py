@@ -177,3 +177,15 @@ def test_hits_and_lists_make_no_row_per_question(spark):
     got = {(r.file_id, r.gram) for r in C.trigram_index(odd).collect()}
     whole = {1: "p\1n\1\1aaa \U0001d400\U0001d401x", 2: "p\1ab"}
     assert got == {(k, t[i:i + 3]) for k, t in whole.items() for i in range(len(t) - 2)}
+
+
+def test_variants_are_counted_at_every_place():
+    rnd = random.Random(6)
+    variants = ["aba", "abab", "aaa", "b_a", "a-b", "ы1a", "-ab", "abc"]
+    counter = C.VariantCounter()
+    for k in range(1, 200):
+        text = "".join(rnd.choice("aab_-ы1 ") for _ in range(k))
+        counter.add(variants[:1 + k % 8])
+        got = counter.count(text)
+        for v in variants[:1 + k % 8]:
+            assert got[v] == sum(text.startswith(v, i) for i in range(len(text))), (v, text)
