@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskmill.functions import fixed as X
-from deskmill.functions.text import cut_ending, fold, stem, words
+from deskmill.functions.text import cut_ending, fold, stem, stem_pattern, words
 from deskmill.operators.ordered import newest
 from deskmill.session import materialise
 
@@ -51,24 +55,64 @@ def low_words(text: Column) -> Column:
     return words(F.lower(fold(text)))
 
 
+PART = 10_000  # chunks whose postings make a part, about
+WORDS_KEPT = 500_000  # words whose stems a task remembers
+
+
+def body_terms(sized: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> DataFrame:
+    """(doc_id, chunk_no, len, term, tf_body) of each row of ``sized`` (doc_id, chunk_no, len, text), counted in the row.
+
+    A word is cut once per task and remembered; nothing is shuffled, and a task holds the counts of one chunk.
+    """
+    names = ["doc_id", "chunk_no", "len"]
+    pattern, groups = stem_pattern(X.RU_ENDINGS, en)
+    ending, kept = re.compile(pattern), "".join(f"\\{i + 1}" for i in range(groups))
+
+    def work(batches):
+        known = {}
+        for batch in batches:
+            owner, terms, counts = [], [], []
+            for at, found in enumerate(batch.column("words").to_pylist()):
+                total = Counter()
+                for word, n in Counter(found or ()).items():
+                    term = known.get(word)
+                    if term is None:
+                        if len(known) >= WORDS_KEPT:
+                            known.clear()
+                        term = known[word] = ending.sub(kept, word)
+                    total[term] += n
+                owner += [at] * len(total)
+                terms += total
+                counts += total.values()
+            taken = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in names], pa.array(terms, pa.string()), pa.array(counts, pa.int64())],
+                                             [*names, "term", "tf_body"])
+
+    rows = sized.select(*names, low_words(F.col("text")).alias("words"))
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("term", T.StringType()), T.StructField("tf_body", T.LongType())])
+    return rows.mapInArrow(work, schema)
+
+
 def build_postings(chunks: DataFrame, titles: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, chunk lengths, stems). ``titles`` has any number of rows (doc_id, title); each chunk carries its document's titles.
 
-    A posting holds the length of its chunk, so that scoring needs no join with lengths. Words are counted per chunk before they
-    are cut, and each different word is cut once.
+    A posting holds the length of its chunk, so that scoring needs no join with lengths. Terms are counted inside the chunk's row;
+    only finished counts are shuffled, to be put together with those of the titles.
     """
     title_terms = (titles.select("doc_id", F.explode(stems(F.col("title"), en)).alias("term"))
                    .groupBy("doc_id", "term").agg(F.count("*").alias("tf_title")))
     title_len = title_terms.groupBy("doc_id").agg(F.sum("tf_title").alias("title_len"))
     length = (F.col("n_words") + F.coalesce("title_len", F.lit(0))).alias("len")
     sized = chunks.join(title_len, "doc_id", "left")
-    counted = materialise(sized.select("doc_id", "chunk_no", length, F.explode(low_words(F.col("text"))).alias("word"))
-                          .groupBy("doc_id", "chunk_no", "len", "word").agg(F.count("*").alias("tf_body")), "words")
-    cut = materialise(counted.select("word").distinct().select("word", cut_ending(F.col("word"), en=en).alias("term")), "stems")
-    body = counted.join(cut, "word").select("doc_id", "chunk_no", "len", "term", F.lit(0).cast("long").alias("tf_title"), "tf_body")
+    cut = chunks.select(F.explode(low_words(F.col("text"))).alias("word")).distinct().select("word", cut_ending(F.col("word"), en=en).alias("term"))
+    body = body_terms(sized.select("doc_id", "chunk_no", length, "text"), en).select(
+        "doc_id", "chunk_no", "len", "term", F.lit(0).cast("long").alias("tf_title"), "tf_body")
     lengths = sized.select("doc_id", "chunk_no", length)
     head = title_terms.join(lengths, "doc_id").select("doc_id", "chunk_no", "len", "term", "tf_title", F.lit(0).cast("long").alias("tf_body"))
-    postings = body.unionByName(head).groupBy("doc_id", "chunk_no", "len", "term").agg(
+    # dealt before they are put together, to parts of a fixed size: counts of a chunk are all different, a task would only pile them up
+    key = ["doc_id", "chunk_no", "len", "term"]
+    parts = max(1, -(-chunks.count() // PART))
+    postings = body.unionByName(head).repartition(parts, *key).groupBy(*key).agg(
         F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
     return postings, lengths, cut
 

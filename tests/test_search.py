@@ -189,3 +189,17 @@ def test_variants_are_counted_at_every_place():
         got = counter.count(text)
         for v in variants[:1 + k % 8]:
             assert got[v] == sum(text.startswith(v, i) for i in range(len(text))), (v, text)
+
+
+def test_terms_are_counted_in_the_row(spark):
+    """Words are cut as the column function cuts them, without a shuffle; keys may repeat."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdeингсяёЁS1") for _ in range(rnd.randrange(1, 12))) for _ in range(400)] + ["running", "книгами", "houses"]
+    rows = [(d, c, 7, " ".join(rnd.choice(words) for _ in range(60))) for d in range(20) for c in range(2)]
+    rows += rows[:2] + [(99, 0, 0, ""), (98, 0, 0, None)]
+    sized = spark.createDataFrame(rows, "doc_id long, chunk_no int, len long, text string")
+    got = S.body_terms(sized)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sized.select("doc_id", "chunk_no", F.explode(S.stems(F.col("text"))).alias("term")).groupBy("doc_id", "chunk_no", "term").count()
+    both = [collections.Counter({tuple(r)[:3]: r[3] for r in x.collect()}) for x in (got.groupBy("doc_id", "chunk_no", "term").agg(F.sum("tf_body")), want)]
+    assert both[0] == both[1] and both[0]
