@@ -10,13 +10,16 @@ from deskmill.plans.registry import query
 
 def descriptions(t):
     """One description per order, its lines as attributes and a tabular part; every second one in the nested layout."""
-    k, no = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
-    typ = F.when(F.col("l_linenumber") % 2 == 0, "xs:decimal").otherwise("cfg:CatalogRef.Parts")
-    flat = F.concat(F.lit("<Attribute><Properties><Name>L"), no, F.lit("</Name><Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>l "), no,
-                    F.lit("</v8:content></v8:item></Synonym><Type><v8:Type>"), typ, F.lit("</v8:Type></Type></Properties></Attribute>"))
-    nested = F.concat(F.lit("<attributes><name>L"), no, F.lit("</name><synonym><key>ru</key><value>Line "), no, F.lit("</value></synonym><type><types>"), typ, F.lit("</types></type></attributes>"))
-    per = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", flat.alias("f"), nested.alias("n")))).alias("ls"))
-    f, n = F.array_join(F.transform("ls", lambda x: x["f"]), ""), F.array_join(F.transform("ls", lambda x: x["n"]), "")
+    def listed(part):
+        return F.array_join(F.transform("ls", lambda line: part(line.cast("string"), F.when(line % 2 == 0, "xs:decimal").otherwise("cfg:CatalogRef.Parts"))), "")
+
+    f = listed(lambda no, typ: F.concat(
+        F.lit("<Attribute><Properties><Name>L"), no, F.lit("</Name><Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>l "), no,
+        F.lit("</v8:content></v8:item></Synonym><Type><v8:Type>"), typ, F.lit("</v8:Type></Type></Properties></Attribute>")))
+    n = listed(lambda no, typ: F.concat(
+        F.lit("<attributes><name>L"), no, F.lit("</name><synonym><key>ru</key><value>Line "), no, F.lit("</value></synonym><type><types>"), typ, F.lit("</types></type></attributes>")))
+    # only the numbers of the lines are shuffled, the texts are made of them
+    per = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("ls"))
     k = F.col("l_orderkey").cast("string")
     one = F.concat(F.lit('<MetaDataObject xmlns="http://x/md" xmlns:v8="http://x/v8"><Document uuid="u"><Properties><Name>Order'), k,
                    F.lit("</Name><Comment>c "), k, F.lit("</Comment><RegisterRecords><xr:Item xmlns:xr='http://x/r'>AccumulationRegister.Sales</xr:Item><xr:Item xmlns:xr='http://x/r'>AccumulationRegister.Stock"), k,
