@@ -203,3 +203,24 @@ def test_terms_are_counted_in_the_row(spark):
     want = sized.select("doc_id", "chunk_no", F.explode(S.stems(F.col("text"))).alias("term")).groupBy("doc_id", "chunk_no", "term").count()
     both = [collections.Counter({tuple(r)[:3]: r[3] for r in x.collect()}) for x in (got.groupBy("doc_id", "chunk_no", "term").agg(F.sum("tf_body")), want)]
     assert both[0] == both[1] and both[0]
+
+
+def test_reranking_asks_a_block_only_for_its_questions(spark):
+    """A variant is looked at in the blocks that are candidates of a question with it, and nowhere else."""
+    words, blocks = some_blocks(spark, 40)
+    terms = spark.createDataFrame([(q, no, [w]) for q in range(10) for no, w in enumerate(words[q:q + 3])], "question_id long, term_no int, variants array<string>")
+    found = spark.createDataFrame([(q, f, 1) for q in range(10) for f in range(q, 40, 10)], "question_id long, file_id long, line_start int")
+    asked = found.join(terms.select("question_id", F.explode("variants").alias("variant")), "question_id")
+    got = C.variant_quality(blocks, asked).collect()
+    texts = {r.file_id: [r[c] for c in C.COLUMNS] for r in blocks.collect()}
+    assert {(r.variant, r.file_id) for r in got} == {(r.variant, r.file_id) for r in asked.collect() if any(r.variant in x for x in texts[r.file_id])}
+
+
+def test_a_variant_counts_as_often_as_it_was_proposed(spark):
+    words, blocks = some_blocks(spark, 30)
+    index = C.build_gram_index(blocks.unionByName(blocks.filter("file_id < 3")))
+    variants = spark.createDataFrame([(w,) for w in words[:60]], "variant string")
+    once = {(r.variant, r.file_id): r.asDict() for r in C.variant_hits(C.build_gram_index(blocks), variants).collect()}
+    again = C.variant_hits(index, variants).collect()
+    assert all(r.asDict() == once[r.variant, r.file_id] for r in again)
+    assert collections.Counter((r.variant, r.file_id) for r in again) == {k: 4 if k[1] < 3 else 1 for k in once}
