@@ -95,3 +95,39 @@ def test_export_of_a_query(spark):
     for bad, word in ((text.replace(":period_end", ":until"), "parameters"), (text.replace("id FROM", "nothing FROM"), "cannot be run"), ("DELETE " + text, "cannot be run")):
         with pytest.raises(ValueError, match=word):
             A.export_query(spark, bad, {"rows": rows}, dt.date(2024, 1, 1), dt.date(2024, 2, 1), workspace(spark, "x"))
+
+
+def test_owners_meet_only_modules_that_fit(spark):
+    """An owner without type or repo fits any; the join itself makes no row for a module that does not fit."""
+    blocks = spark.createDataFrame([("M1", t, r, f"{t}/{r}/{i}", "proc") for t in ("A", None, "") for r in ("x", "y", None) for i in range(5)],
+                                   "object_name string, object_type string, repo string, path string, kind string")
+    owners = spark.createDataFrame([(i, "m1", t, r) for i, (t, r) in enumerate([("A", "x"), ("A", None), (None, "y"), (None, None), ("", None), ("B", "x")])],
+                                   "owner_id int, object_name string, object_type string, repo string")
+    found = C.object_modules(owners, blocks)
+    want = [(o.owner_id, b.repo, b.path, 1) for o in owners.collect() for b in blocks.collect()
+            if o.object_type in (None, b.object_type) and o.repo in (None, b.repo)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert len(want) == 5 * (1 + 3 + 3 + 9 + 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "OR" not in plan.replace("ORDER", "") and " <=> " not in plan
+
+
+def test_modules_of_objects_need_no_index(spark, monkeypatch):
+    """Neither texts nor grams are written for the names of modules."""
+    from deskmill.plans import QUERIES
+    monkeypatch.setattr(C, "index_grams", None)
+    monkeypatch.setattr(C, "with_length", None)
+    assert QUERIES["object_modules"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_line_numbers_alone_are_shuffled_for_descriptions(spark):
+    from deskmill.plans.metadata import descriptions
+
+    class Tables:
+        lineitem = spark.createDataFrame([(1, 2), (1, 1), (1, 2), (2, None), (2, 3), (4, None)], "l_orderkey long, l_linenumber int")
+
+    rows = {r.l_orderkey: r.xml for r in descriptions(Tables).collect()}
+    assert rows[1].count("<name>L2</name>") == 2 and rows[1].index("L1") < rows[1].index("L2")
+    assert rows[2].count("<Name>L3</Name>") == 2 and "<Name>L</Name>" not in rows[2] and "<ChildObjects><TabularSection>" in rows[4]
+    plan = descriptions(Tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Attribute" not in plan.split("Exchange hashpartitioning")[1]
