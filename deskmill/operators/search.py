@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +62,8 @@ WORDS_KEPT = 500_000  # words whose stems a task remembers
 def body_terms(sized: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> DataFrame:
     """(doc_id, chunk_no, len, term, tf_body) of each row of ``sized`` (doc_id, chunk_no, len, text), counted in the row.
 
-    A word is cut once per task and remembered; nothing is shuffled, and a task holds the counts of one chunk.
+    A word is cut once per task and remembered; nothing is shuffled, and a task holds the numbers of a batch's words, whose texts it
+    takes out once each.
     """
     names = ["doc_id", "chunk_no", "len"]
     pattern, groups = stem_pattern(X.RU_ENDINGS, en)
@@ -71,21 +72,24 @@ def body_terms(sized: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> DataFra
     def work(batches):
         known = {}
         for batch in batches:
-            owner, terms, counts = [], [], []
-            for at, found in enumerate(batch.column("words").to_pylist()):
-                total = Counter()
-                for word, n in Counter(found or ()).items():
-                    term = known.get(word)
-                    if term is None:
-                        if len(known) >= WORDS_KEPT:
-                            known.clear()
-                        term = known[word] = ending.sub(kept, word)
-                    total[term] += n
-                owner += [at] * len(total)
-                terms += total
-                counts += total.values()
-            taken = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in names], pa.array(terms, pa.string()), pa.array(counts, pa.int64())],
+            lists = batch.column("words")
+            found = lists.flatten().dictionary_encode()
+            if len(known) >= WORDS_KEPT:
+                known.clear()
+            cut = []
+            for word in found.dictionary.to_pylist():
+                term = known.get(word)
+                if term is None:
+                    term = known[word] = ending.sub(kept, word)
+                cut.append(term)
+            # words, terms and rows are numbers from here on; a row and its term make one number that is counted
+            terms = pa.array(cut, pa.string()).dictionary_encode()
+            size = max(1, len(terms.dictionary))
+            row = np.repeat(np.arange(len(batch), dtype=np.int64), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            term = terms.indices.to_numpy(zero_copy_only=False)[found.indices.to_numpy(zero_copy_only=False)]
+            pair, counts = np.unique(row * size + term, return_counts=True)
+            taken = pa.array(pair // size)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in names], terms.dictionary.take(pa.array(pair % size)), pa.array(counts, pa.int64())],
                                              [*names, "term", "tf_body"])
 
     rows = sized.select(*names, low_words(F.col("text")).alias("words"))

@@ -224,3 +224,16 @@ def test_a_variant_counts_as_often_as_it_was_proposed(spark):
     again = C.variant_hits(index, variants).collect()
     assert all(r.asDict() == once[r.variant, r.file_id] for r in again)
     assert collections.Counter((r.variant, r.file_id) for r in again) == {k: 4 if k[1] < 3 else 1 for k in once}
+
+
+def test_words_of_a_batch_are_taken_out_once_each(spark):
+    """Counting goes by numbers: no text is made for each word of each chunk. Rows with equal keys are counted apart."""
+    import inspect
+    source = inspect.getsource(S.body_terms)
+    assert "dictionary.to_pylist()" in source and 'column("words").to_pylist()' not in source
+    texts = ["aa Running running aa bb", "aa", None, " .,", "книгами книга", ""]
+    rows = spark.createDataFrame([(d // 2, 0, 5, x) for d, x in enumerate(texts)], "doc_id long, chunk_no int, len long, text string").coalesce(1)
+    plain = rows.select("doc_id", S.stems(F.col("text")).alias("s")).collect()
+    want = sorted((r.doc_id, *pair) for r in plain for pair in collections.Counter(r.s or ()).items())
+    assert sorted((r.doc_id, r.term, r.tf_body) for r in S.body_terms(rows).collect()) == want
+    assert [n for d, t, n in want if t == "aa"] == [1, 2]
