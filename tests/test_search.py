@@ -237,3 +237,42 @@ def test_words_of_a_batch_are_taken_out_once_each(spark):
     want = sorted((r.doc_id, *pair) for r in plain for pair in collections.Counter(r.s or ()).items())
     assert sorted((r.doc_id, r.term, r.tf_body) for r in S.body_terms(rows).collect()) == want
     assert [n for d, t, n in want if t == "aa"] == [1, 2]
+
+
+def test_blocks_are_proposed_by_gram_numbers(spark):
+    """The index holds a gram once for each piece of blocks, and rows are counted together as each text alone; keys may repeat."""
+    words, blocks = some_blocks(spark)
+    index = C.build_gram_index(blocks)
+    assert index.grams.count() < index.grams.agg(F.sum("n")).first()[0] / 10
+    want = collections.Counter(r.gram for r in C.trigram_index(blocks).collect())
+    assert {r.gram: r.df for r in index.counts.collect()} == want
+    assert sorted(map(tuple, index.grams.select("gram", F.explode("places").alias("p")).select("gram", "p.*").collect())) == sorted(
+        map(tuple, C.trigram_index(blocks).collect()))
+    plan = C.variant_hits(index, spark.createDataFrame([(w,) for w in words], "variant string"))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(g#" in plan and "collect_list(variant" not in plan
+
+
+def test_rows_are_counted_as_their_texts_are():
+    rnd = random.Random(5)
+    variants = ["aba", "abab", "aaa", "b_a", "a-b", "ы1a", "-ab", "abc"]
+    counter = C.VariantCounter()
+    counter.add(variants)
+    columns = [["".join(rnd.choice("aab_-ы1 ") for _ in range(rnd.randrange(0, 80))) for _ in range(50)] for _ in range(3)]
+    row, variant, counts = counter.count_rows(columns)
+    got = {(int(r), counter.spelt[v]): list(map(int, n)) for r, v, n in zip(row, variant, counts)}
+    plain = {(i, v): [counter.count(texts[i])[v] for texts in columns] for i in range(50) for v in variants}
+    assert got == {k: n for k, n in plain.items() if any(n)}
+    assert [len(x) for x in counter.count_rows([[], [], []])] == [0, 0, 0]
+
+
+def test_grams_of_texts_in_order():
+    rnd = random.Random(3)
+    wide = ["".join(chr(rnd.randrange(0x20000, 0x2A000)) for _ in range(2000)) for _ in range(3)]
+    for some in (wide + ["ab", "", "abcabc"], ["ab", "", "abcabc"], ["a"], ["".join(rnd.choice("abcы") for _ in range(90)) for _ in range(30)]):
+        owner, first, found = C.gram_lists(some)
+        want = collections.defaultdict(set)
+        for k, t in enumerate(some):
+            for i in range(len(t) - 2):
+                want[t[i:i + 3]].add(k)
+        assert found == sorted(want)
+        assert {g: list(owner[a:b]) for g, a, b in zip(found, first, first[1:])} == {g: sorted(x) for g, x in want.items()}
