@@ -113,10 +113,11 @@ def build_postings(chunks: DataFrame, titles: DataFrame, en: list[str] | None =
         "doc_id", "chunk_no", "len", "term", F.lit(0).cast("long").alias("tf_title"), "tf_body")
     lengths = sized.select("doc_id", "chunk_no", length)
     head = title_terms.join(lengths, "doc_id").select("doc_id", "chunk_no", "len", "term", "tf_title", F.lit(0).cast("long").alias("tf_body"))
-    # dealt before they are put together, to parts of a fixed size: counts of a chunk are all different, a task would only pile them up
+    # dealt before they are put together, to parts of a fixed size: counts of a chunk are all different, a task would only pile them up;
+    # a chunk's postings lie in one part, where a reader puts together all that belongs to a stem
     key = ["doc_id", "chunk_no", "len", "term"]
     parts = max(1, -(-chunks.count() // PART))
-    postings = body.unionByName(head).repartition(parts, *key).groupBy(*key).agg(
+    postings = body.unionByName(head).repartition(parts, "doc_id", "chunk_no").groupBy(*key).agg(
         F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body"))
     return postings, lengths, cut
 
@@ -195,12 +196,15 @@ def bm25(freq: Column, df: Column, length: Column, n: Column, avg_len: Column) -
 
 
 def stem_scores(index: TextIndex, phrases: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
-    """(stem, doc_id, chunk_no, score): BM25 of each stem in each chunk that holds it, for all questions at once."""
+    """(stem, doc_id, chunk_no, score): BM25 of each stem in each chunk that holds it, for all questions at once.
+
+    The phrases and the stems' numbers of chunks are written first, so that their size is known when postings and frequencies meet them.
+    """
     weight = F.col("tf_title") * title_weight + F.col("tf_body") * body_weight
     kinds = ["prefix", "short"]
-    tf = materialise(index.postings.join(phrases, "term").groupBy("stem", "doc_id", "chunk_no", "len").agg(
+    tf = materialise(index.postings.join(materialise(phrases, "phrases"), "term").groupBy("stem", "doc_id", "chunk_no", "len").agg(
         *[F.sum(F.when(F.col("phrase") == k, weight)).alias(k) for k in kinds]), "frequencies")
-    df = tf.groupBy("stem").agg(*[F.count(k).alias(f"df_{k}") for k in kinds])
+    df = materialise(tf.groupBy("stem").agg(*[F.count(k).alias(f"df_{k}") for k in kinds]), "stem-counts")
     n, avg_len = index.stats.select("n").scalar(), index.stats.select("avg_len").scalar()
     each = [F.coalesce(bm25(F.col(k), F.col(f"df_{k}"), F.col("len"), n, avg_len), F.lit(0.0)) for k in kinds]
     return tf.join(df, "stem").select("stem", "doc_id", "chunk_no", (each[0] + each[1]).alias("score"))

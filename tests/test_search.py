@@ -276,3 +276,15 @@ def test_grams_of_texts_in_order():
                 want[t[i:i + 3]].add(k)
         assert found == sorted(want)
         assert {g: list(owner[a:b]) for g, a, b in zip(found, first, first[1:])} == {g: sorted(x) for g, x in want.items()}
+
+
+def test_scores_meet_written_counts(spark):
+    """Frequencies are not dealt again for the stems' numbers of chunks, and a chunk's postings are read together."""
+    docs = spark.createDataFrame([(d, f"p{d}", f"Title {d}", "running books of the house " * (d + 1)) for d in range(6)], "doc_id long, path string, title string, text string")
+    chunks = docs.select("doc_id", F.lit(0).alias("chunk_no"), "text")
+    index = S.build_index(docs.drop("text"), chunks, spark.createDataFrame([], "canonical string, alias string"))
+    terms = S.question_terms(spark.createDataFrame([(1, "running house")], "question_id long, text string"))
+    scores = S.stem_scores(index, S.phrase_terms(terms, index.terms))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    assert scores.count() == 12
