@@ -33,6 +33,21 @@ def test_descriptions_become_blocks(spark):
     assert (got[2].name, got[2].line_end, got[2].body) == ("Goods", 1, "Справочник.Goods")
 
 
+def test_attributes_are_listed_from_one_reading(spark):
+    """Each layout's descriptions are parsed once, and the rows are those of both lists; missing lists give no rows."""
+    text = FLAT.replace("</ChildObjects>", "<TabularSection><Properties><Name>Lines</Name></Properties><ChildObjects><Attribute><Properties><Name>Sum</Name></Properties></Attribute>"
+                        "</ChildObjects></TabularSection><TabularSection><Properties><Name>None</Name></Properties></TabularSection></ChildObjects>")
+    files = spark.createDataFrame([(1, text, False), (1, text, False), (2, NESTED, True), (3, None, False), (None, text, False)], "file_id long, xml string, nested boolean")
+    objects = M.object_structure(files, ["file_id"], "xml", F.col("nested"))
+    got = M.attributes_table(objects, ["file_id"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Generate explode(") == 2
+    want = [(k, s, "Реквизиты", n, t) for k in (1, 1, None) for s, n, t in (("", "Customer", "Число"), ("Lines", "Sum", ""))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert got.columns == ["file_id", "section", "group", "name", "type"]
+    bare = objects.filter("file_id = 1").withColumn("attributes", F.expr("if(true, null, attributes)")).withColumn("tabular", F.expr("if(true, null, tabular)"))
+    assert M.attributes_table(bare, ["file_id"]).count() == 0
+
+
 def test_a_question_about_structure_raises_the_description(spark):
     code = [(10, 1, 3, "proc", "Sum", False, "Procedure Sum()\ncustomer\nEndProcedure", "")]
     code += [(20 + i, 1, 2, "module", "", False, f"other{i} text", "") for i in range(8)]
