@@ -62,9 +62,10 @@ def knowledge_base(files: DataFrame, rules: list[tuple[str, str]], copy_words: t
     usable = seen.filter(F.col("reason").isNull() & F.col("supported") & F.col("error").isNull())
     copies = canonical_copies(usable.select("doc_id", "path", "digest"), copy_words)
     kept = copies.filter("path = canonical").select("doc_id", "path", "digest")
-    docs = usable.join(kept.select("path"), "path", "left_semi").filter(F.col("text").rlike(SOME_TEXT))
-    docs = docs.withColumn("title", title_from_name(base_name(F.col("path")), copy_words))
+    # title and product are told before the join, so that a reader who wants no text does not move it
+    docs = usable.filter(F.col("text").rlike(SOME_TEXT)).withColumn("title", title_from_name(base_name(F.col("path")), copy_words))
     docs = docs.withColumn("product", classify_product(F.col("title"), F.col("text"), product_rules))
+    docs = docs.join(kept.select("path"), "path", "left_semi")
     chunks = kb_chunks(docs, ["doc_id"])
     return {"seen": seen, "copies": copies, "documents": docs, "aliases": alias_titles(copies, copy_words), "chunks": chunks}
 

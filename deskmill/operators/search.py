@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,17 +37,22 @@ def query_stems(text: Column, stop_words: list[str] = X.KB_STOP_WORDS, en: list[
 
 @dataclass
 class TextIndex:
-    """Written tables: documents without text, chunks(doc_id, chunk_no, text, n_words),
-    postings(doc_id, chunk_no, len, term, tf_title, tf_body), stats(n, avg_len), stems(word, term) of all words of the chunks,
-    and terms(start, page, term): the vocabulary in sorted pages."""
+    """Written tables: documents without text, chunks(doc_id, chunk_no, text, n_words, fingerprint), counts (see ``chunk_counts``),
+    stats(n, avg_len), and terms(start, page, term): the vocabulary in sorted pages."""
 
     documents: DataFrame
     chunks: DataFrame
-    postings: DataFrame
+    counts: DataFrame
     stats: DataFrame
-    stems: DataFrame
     terms: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, chunk_no, len, term, tf_title, tf_body), made of the counts."""
+        each = F.arrays_zip("terms", "lens", "tf_title", "tf_body")
+        return self.counts.select("doc_id", "chunk_no", F.explode(each).alias("p")).select(
+            "doc_id", "chunk_no", F.col("p.lens").alias("len"), F.col("p.terms").alias("term"), "p.tf_title", "p.tf_body")
+
     def vocabulary(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf_title") + F.col("tf_body")).alias("cf"))
 
@@ -55,7 +61,7 @@ def low_words(text: Column) -> Column:
     return words(F.lower(fold(text)))
 
 
-PART = 10_000  # chunks whose postings make a part, about
+PART = 10_000  # chunks that are counted by one task, about
 WORDS_KEPT = 500_000  # words whose stems a task remembers
 
 
@@ -122,6 +128,74 @@ def build_postings(chunks: DataFrame, titles: DataFrame, en: list[str] | None =
     return postings, lengths, cut
 
 
+def chunk_counts(chunks: DataFrame, titles: DataFrame, en: list[str] | None = X.EN_ENDINGS) -> DataFrame:
+    """One row per chunk: (doc_id, chunk_no, lens, terms, tf_title, tf_body, n_rows, sum_len), the four lists of equal size.
+
+    ``chunks``: doc_id, chunk_no, text, n_words · ``titles``: any number of rows (doc_id, title). The texts are dealt once, with the
+    terms of their titles, and counted in the row; postings are neither shuffled nor written with their keys. Chunks with equal keys
+    lie in one row: a term is counted once for each of their lengths. ``n_rows`` and ``sum_len`` tell how many they are and how long.
+    """
+    pattern, groups = stem_pattern(X.RU_ENDINGS, en)
+    kept = "".join(f"\\{i + 1}" for i in range(groups))
+    keys = ["doc_id", "chunk_no"]
+
+    def work(batches):
+        for batch in batches:
+            texts, heads = batch.column("words"), batch.column("title_terms")
+            inner = texts.flatten()
+            row = np.repeat(np.arange(len(batch), dtype=np.int64), list_sizes(texts))
+            length = batch.column("sizes").flatten().to_numpy(zero_copy_only=False)
+            wide = int(length.max(initial=0)) + 1
+            # texts of one chunk that are equally long are one unit
+            units, unit, number = np.unique(row * wide + length, return_inverse=True, return_counts=True)
+            found = inner.flatten().dictionary_encode()
+            cut = pc.replace_substring_regex(found.dictionary.cast(pa.string()), pattern, kept)
+            terms = pa.concat_arrays([cut, heads.flatten().cast(pa.string())]).dictionary_encode()
+            size, code = max(1, len(terms.dictionary)), terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            body = np.repeat(unit, list_sizes(inner)) * size + code[:len(cut)][found.indices.to_numpy(zero_copy_only=False)]
+            # a title counts for each unit of its row, as often as the unit has texts
+            n_head = list_sizes(heads)
+            of_unit = units // wide
+            n_title = n_head[of_unit]
+            first = np.concatenate([[0], np.cumsum(n_head)])[of_unit]
+            place = np.arange(n_title.sum()) - np.repeat(np.cumsum(n_title) - n_title, n_title) + np.repeat(first, n_title)
+            head = np.repeat(np.arange(len(units)), n_title) * size + code[len(cut):][place]
+            tf_head = batch.column("title_tf").flatten().to_numpy(zero_copy_only=False)[place] * np.repeat(number, n_title)
+            key = np.concatenate([body, head])
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.diff(key[order], prepend=-1))
+            pair, at = key[order][new], np.empty(len(key), np.int64)
+            at[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+            tf_body = np.bincount(at[:len(body)], minlength=len(pair))
+            tf_title = np.bincount(at[len(body):], tf_head, len(pair)).astype(np.int64)
+            owner = pair // size
+            starts = pa.array(np.searchsorted(of_unit[owner], np.arange(len(batch) + 1)).astype(np.int32))
+            lists = [pa.array(units[owner] % wide, pa.int64()), terms.dictionary.take(pa.array(pair % size)), pa.array(tf_title, pa.int64()), pa.array(tf_body, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *[pa.ListArray.from_arrays(starts, x) for x in lists],
+                                              pa.array(list_sizes(texts), pa.int64()), pa.array(np.bincount(row, length, len(batch)).astype(np.int64))], names)
+
+    head = (titles.select("doc_id", F.explode(stems(F.col("title"), en)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+            .groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("head")))
+    kind = "array<struct<term:string,tf:bigint>>"
+    rows = chunks.select(*keys, F.struct("n_words", "text").alias("one"), F.lit(None).cast(kind).alias("head")).unionByName(
+        chunks.select(*keys).join(head, "doc_id").select(*keys, F.lit(None).cast("struct<n_words:int,text:string>").alias("one"), F.col("head").cast(kind)))
+    parts = max(1, -(-chunks.count() // PART))
+    whole = rows.repartition(parts, *keys).groupBy(*keys).agg(F.collect_list("one").alias("texts"), F.first("head", ignorenulls=True).alias("head"))
+    whole = whole.withColumn("head", F.coalesce("head", F.expr(f"cast(array() as {kind})")))
+    length = F.aggregate("head", F.lit(0).cast("bigint"), lambda a, h: a + h["tf"])
+    sized = whole.select(*keys, F.transform("texts", lambda x: x["n_words"] + length).alias("sizes"), F.transform("texts", lambda x: low_words(x["text"])).alias("words"),
+                         F.transform("head", lambda h: h["term"]).alias("title_terms"), F.transform("head", lambda h: h["tf"]).alias("title_tf"))
+    numbers = T.ArrayType(T.LongType())
+    schema = T.StructType([*[chunks.schema[c] for c in keys], T.StructField("lens", numbers), T.StructField("terms", T.ArrayType(T.StringType())),
+                           T.StructField("tf_title", numbers), T.StructField("tf_body", numbers), T.StructField("n_rows", T.LongType()), T.StructField("sum_len", T.LongType())])
+    names = schema.names
+    return sized.mapInArrow(work, schema)
+
+
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 PAGE = 256
 
 
@@ -140,14 +214,14 @@ def build_index(documents: DataFrame, chunks: DataFrame, aliases: DataFrame, wri
     """
     write = write or (lambda name, df: materialise(df, name))
     docs = write("documents", documents)
-    cut = write("chunks", chunks.withColumn("n_words", F.size(words(F.col("text")))))
+    cut = write("chunks", chunks.withColumn("n_words", F.size(words(F.col("text")))).withColumn("fingerprint", F.sha1("text")))
     other = aliases.join(docs.select("doc_id", F.col("path").alias("canonical")), "canonical").select("doc_id", F.col("alias").alias("title"))
-    titles = materialise(docs.select("doc_id", "title").unionByName(other), "titles")
-    found, lengths, word_stems = build_postings(cut, titles, en)
-    postings = write("postings", found)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    pages = vocabulary_pages(postings.select("term").distinct())
-    return TextIndex(docs, cut, postings, write("stats", stats), write("stems", word_stems), write("terms", pages))
+    titles = docs.select("doc_id", "title").unionByName(other)
+    counts = write("counts", chunk_counts(cut, titles, en))
+    sums = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"), F.sum("sum_len").alias("all"))
+    stats = write("stats", sums.select("n", (F.col("all") / F.nullif(F.col("n"), F.lit(0))).alias("avg_len")))
+    pages = vocabulary_pages(counts.select(F.explode("terms").alias("term")).distinct())
+    return TextIndex(docs, cut, counts, stats, write("terms", pages))
 
 
 def question_terms(questions: DataFrame, stop_words: list[str] = X.KB_STOP_WORDS, en: list[str] | None = X.EN_ENDINGS) -> DataFrame:
@@ -189,25 +263,268 @@ def phrase_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return prefix.unionByName(short)
 
 
+def idf(df: Column, n: Column) -> Column:
+    plain = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(plain <= 0, F.lit(IDF_FLOOR)).otherwise(plain)
+
+
 def bm25(freq: Column, df: Column, length: Column, n: Column, avg_len: Column) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5))
-    idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    return idf * (freq * (K1 + 1)) / (freq + K1 * (1 - B + B * length / avg_len))
+    return idf(df, n) * (freq * (K1 + 1)) / (freq + K1 * (1 - B + B * length / avg_len))
 
 
-def stem_scores(index: TextIndex, phrases: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
-    """(stem, doc_id, chunk_no, score): BM25 of each stem in each chunk that holds it, for all questions at once.
+ASKED = 400_000  # stems, or terms of questions, that a task holds at once, about
+SLICE = 4_000  # chunks that are scored together
+KINDS = ["prefix", "short"]
+
+
+class Lookup:
+    """Which stems search a term: those that it starts with, and those whose shorter stem it is. Told for each term that is met.
 
-    The phrases and the stems' numbers of chunks are written first, so that their size is known when postings and frequencies meet them.
+    A phrase is a number: twice its stem's number and its kind. What is held grows with the stems, not with the vocabulary.
     """
-    weight = F.col("tf_title") * title_weight + F.col("tf_body") * body_weight
-    kinds = ["prefix", "short"]
-    tf = materialise(index.postings.join(materialise(phrases, "phrases"), "term").groupBy("stem", "doc_id", "chunk_no", "len").agg(
-        *[F.sum(F.when(F.col("phrase") == k, weight)).alias(k) for k in kinds]), "frequencies")
-    df = materialise(tf.groupBy("stem").agg(*[F.count(k).alias(f"df_{k}") for k in kinds]), "stem-counts")
-    n, avg_len = index.stats.select("n").scalar(), index.stats.select("avg_len").scalar()
-    each = [F.coalesce(bm25(F.col(k), F.col(f"df_{k}"), F.col("len"), n, avg_len), F.lit(0.0)) for k in kinds]
-    return tf.join(df, "stem").select("stem", "doc_id", "chunk_no", (each[0] + each[1]).alias("score"))
+
+    def __init__(self, rows: pa.Table):
+        self.stems = np.unique(rows.column("stem").to_numpy().astype(str))
+        number = {s: i for i, s in enumerate(self.stems.tolist())}
+        self.prefixes = {s: 2 * i for s, i in number.items() if len(s) >= 2}
+        self.lengths = sorted({len(s) for s in self.prefixes})
+        self.shorts = {}
+        for stem_, short in set(zip(rows.column("stem").to_pylist(), rows.column("short").to_pylist())):
+            if short is not None:
+                self.shorts.setdefault(short, []).append(2 * number[stem_] + 1)
+        self.forget()
+
+    def forget(self):
+        self.place, self.first, self.phrase = {}, [0], []
+
+    def meet(self, term: str) -> int:
+        self.phrase += [self.prefixes[term[:k]] for k in self.lengths if k <= len(term) and term[:k] in self.prefixes]
+        self.phrase += self.shorts.get(term, ())
+        self.first.append(len(self.phrase))
+        at = self.place[term] = len(self.first) - 2
+        return at
+
+    def found(self, lists: pa.Array, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, phrase, posting) of each posting of a phrase; a unit is a chunk, or chunks with equal keys and lengths."""
+        terms = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lists), dtype=np.int64), list_sizes(lists))
+        if not len(row):
+            return (np.zeros(0, np.int64),) * 3
+        if len(self.place) >= WORDS_KEPT:
+            self.forget()
+        at = np.array([self.meet(t) if (i := self.place.get(t)) is None else i for t in terms.dictionary.to_pylist()], np.int64)
+        at = at[terms.indices.to_numpy(zero_copy_only=False)]
+        first, phrase = np.array(self.first, np.int64), np.array(self.phrase, np.int64)
+        number = first[at + 1] - first[at]
+        other = np.ones(len(row), bool)
+        other[1:] = (row[1:] != row[:-1]) | (lens[1:] != lens[:-1])
+        posting = np.repeat(np.arange(len(row)), number)
+        return (np.cumsum(other) - 1)[posting], phrase[np.arange(len(posting)) - np.repeat(np.cumsum(number) - number - first[at], number)], posting
+
+
+def slices(batches):
+    for batch in batches:
+        for lo in range(0, len(batch), SLICE):
+            yield batch.slice(lo, SLICE)
+
+
+def in_groups(rows: DataFrame, key: str) -> list[DataFrame]:
+    """Rows dealt by a key to groups of about ``ASKED``, each of which fits a task and the driver."""
+    n = max(1, -(-rows.count() // ASKED))
+    return [rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+@dataclass
+class ChunkScores:
+    """BM25 of stems in chunks, computed where a chunk's counts are read: neither postings nor scores are shuffled or written.
+
+    stems(stem, short, idf_prefix, idf_short): written; each pass over the counts takes as many as ``ASKED``.
+    """
+
+    counts: DataFrame
+    stems: DataFrame
+    avg_len: float
+    weights: tuple[float, float]
+
+    def lookup(self, of: DataFrame) -> tuple[Lookup, np.ndarray]:
+        rows = of.toArrow()
+        lookup = Lookup(rows)
+        weight = np.zeros(2 * len(lookup.stems))
+        at = 2 * np.searchsorted(lookup.stems, rows.column("stem").to_numpy().astype(str))
+        for i, k in enumerate(KINDS):
+            weight[at + i] = rows.column(f"idf_{k}").to_numpy()
+        return lookup, weight
+
+    def scorer(self, lookup: Lookup, idf_of: np.ndarray):
+        """A function that gives (row, stem number, score) of a batch of counts."""
+        avg_len, (title_weight, body_weight) = self.avg_len, self.weights
+
+        def score(batch):
+            lens = batch.column("lens").flatten().to_numpy(zero_copy_only=False)
+            unit, phrase, posting = lookup.found(batch.column("terms"), lens)
+            title, body = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tf_title", "tf_body"))
+            key = unit * len(idf_of) + phrase
+            order = np.argsort(key, kind="stable")
+            key, posting = key[order], posting[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            if not len(starts):
+                return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+            freq = np.add.reduceat(title[posting] * title_weight + body[posting] * body_weight, starts)
+            key, posting = key[starts], posting[starts]
+            parts = idf_of[key % len(idf_of)] * (freq * (K1 + 1)) / (freq + K1 * (1 - B + B * lens[posting] / avg_len))
+            pair = key // 2
+            starts = np.flatnonzero(np.diff(pair, prepend=-1))
+            row = np.repeat(np.arange(len(batch), dtype=np.int64), list_sizes(batch.column("terms")))
+            return row[posting[starts]], pair[starts] % (len(idf_of) // 2), np.add.reduceat(parts, starts)
+        return score
+
+    def rows(self) -> DataFrame:
+        """(stem, doc_id, chunk_no, score)."""
+        keys = ["doc_id", "chunk_no"]
+        schema = T.StructType([T.StructField("stem", T.StringType()), *[self.counts.schema[c] for c in keys], T.StructField("score", T.DoubleType())])
+        names = schema.names
+
+        def worker(group):
+            lookup, idf_of = self.lookup(group)
+            score, known = self.scorer(lookup, idf_of), lookup.stems.tolist()
+
+            def work(batches):
+                spelt = pa.array(known, pa.string())
+                for batch in slices(batches):
+                    row, stem_, value = score(batch)
+                    yield pa.RecordBatch.from_arrays([spelt.take(pa.array(stem_)), *[batch.column(c).take(pa.array(row)) for c in keys], pa.array(value)], names)
+            return work
+
+        return reduce(DataFrame.unionAll, [self.counts.mapInArrow(worker(g), schema) for g in in_groups(self.stems, "stem")])
+
+    def best(self, terms: DataFrame, depth: int, chosen: Column, least: DataFrame | None = None) -> DataFrame:
+        """(question_id, doc_id, chunk_no, score, matched): at least the ``depth`` best of the ``chosen`` chunks of each question.
+
+        A task keeps the best it has met of each question. Of a slice of chunks it sums only for questions whose bound, the best scores
+        of their stems there, reaches the last place so far, which begins as ``least``.
+        """
+        kinds = dict(self.counts.dtypes) | dict(terms.dtypes)
+        names = ["question_id", "doc_id", "chunk_no", "score", "matched"]
+        schema = ", ".join(f"{n} {kinds[n]}" for n in names[:3]) + ", score double, matched bigint"
+
+        def worker(group):
+            lookup, idf_of = self.lookup(self.stems.join(group.select("stem").distinct(), "stem", "left_semi"))
+            score, stems_ = self.scorer(lookup, idf_of), lookup.stems
+            asked = group.select("question_id", "stem").toArrow()
+            number = {s: i for i, s in enumerate(stems_.tolist())}
+            stem_ = np.array([number.get(s, -1) for s in asked.column("stem").to_pylist()], np.int64)
+            code = pc.dictionary_encode(asked.column("question_id").combine_chunks(), null_encoding="encode")
+            ids, code = code.dictionary, code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            order = order[stem_[order] >= 0]
+            stem_, starts = stem_[order], np.searchsorted(code[order], np.arange(len(ids) + 1))
+            owner = code[order]
+            bars = np.full(len(ids), -1.0)
+            if least is not None:
+                place = {q: i for i, q in enumerate(ids.to_pylist())}
+                for q, value in least.collect():
+                    if q in place:
+                        bars[place[q]] = value - SLACK
+
+            def work(batches):
+                held, bar, size = [], bars.copy(), 0
+
+                def cut(tables):
+                    """The ``depth`` best of each question, in the order of the ranks."""
+                    whole = pa.Table.from_batches(tables)
+                    order = [("question", "ascending"), ("score", "descending"), ("doc_id", "ascending"), ("chunk_no", "ascending")]
+                    whole = whole.take(pc.sort_indices(whole, order, null_placement="at_start"))
+                    q = whole.column("question").to_numpy()
+                    first = np.flatnonzero(np.diff(q, prepend=-1))
+                    place_ = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+                    last = place_ == depth - 1
+                    bar[q[last]] = np.maximum(bar[q[last]], whole.column("score").to_numpy()[last] - SLACK)
+                    return whole.filter(pa.array(place_ < depth)).combine_chunks().to_batches()
+
+                for batch in slices(batches):
+                    row, stem_no, value = score(batch)
+                    if not len(row):
+                        continue
+                    by = np.argsort(stem_no, kind="stable")
+                    row, stem_no, value = row[by], stem_no[by], value[by]
+                    first = np.searchsorted(stem_no, np.arange(len(stems_) + 1))
+                    tops = np.zeros(len(stems_))
+                    np.maximum.at(tops, stem_no, value)
+                    bound = np.bincount(owner, tops[stem_], len(ids))
+                    rows, owners, totals, counts = [], [], [], []
+                    for at in np.flatnonzero((bound >= bar) & (bound > 0)):
+                        own = stem_[starts[at]:starts[at + 1]]
+                        picked = np.concatenate([np.arange(first[w], first[w + 1]) for w in own])
+                        sums = np.bincount(row[picked], value[picked], len(batch)).round(6)
+                        number_ = np.bincount(row[picked], minlength=len(batch))
+                        good = np.flatnonzero((number_ > 0) & (sums >= bar[at]))
+                        if len(good) > depth:
+                            good = good[sums[good] >= np.partition(sums[good], -depth)[-depth]]
+                        rows.append(good)
+                        owners.append(np.full(len(good), at))
+                        totals.append(sums[good])
+                        counts.append(number_[good])
+                    if not rows:
+                        continue
+                    taken = pa.array(np.concatenate(rows))
+                    held.append(pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), batch.column("doc_id").take(taken), batch.column("chunk_no").take(taken),
+                                                            pa.array(np.concatenate(totals)), pa.array(np.concatenate(counts), pa.int64())], ["question", *names[1:]]))
+                    size += len(taken)
+                    if size > max(2 * depth * len(ids), 50_000):
+                        held = cut(held)
+                        size = sum(map(len, held))
+                if held:
+                    for best in cut(held):
+                        yield pa.RecordBatch.from_arrays([ids.take(best.column("question")), *[best.column(c) for c in names[1:]]], names)
+            return work
+
+        rows = self.counts.filter(chosen)
+        return reduce(DataFrame.unionAll, [rows.mapInArrow(worker(g), schema) for g in in_groups(terms, "question_id")])
+
+
+def stem_counts(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(stem, df_prefix, df_short): how many chunks hold a term of the stem, by kind. Tasks count, only their sums are shuffled."""
+    def worker(group):
+        lookup = Lookup(group.toArrow())
+        known = lookup.stems.tolist()
+
+        def work(batches):
+            sums = np.zeros(2 * len(known), np.int64)
+            for batch in slices(batches):
+                unit, phrase, _ = lookup.found(batch.column("terms"), batch.column("lens").flatten().to_numpy(zero_copy_only=False))
+                key = np.sort(unit * len(sums) + phrase, kind="stable")
+                sums += np.bincount(key[np.diff(key, prepend=-1) > 0] % max(1, len(sums)), minlength=len(sums))
+            held = np.flatnonzero(sums.reshape(-1, 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()).take(pa.array(held)), *[pa.array(sums[2 * held + i]) for i in range(2)]], names)
+        return work
+
+    names = ["stem", *[f"df_{k}" for k in KINDS]]
+    parts = [counts.select("terms", "lens").mapInArrow(worker(g), "stem string, df_prefix bigint, df_short bigint") for g in in_groups(asked, "stem")]
+    return reduce(DataFrame.unionAll, parts).groupBy("stem").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def asked_stems(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(stem, short): the distinct stems of questions and their shorter stems, see ``phrase_terms``. ``vocabulary`` in pages."""
+    distinct = terms.select("stem").distinct()
+    return distinct.join(shorter_stems(distinct, vocabulary), "stem", "left")
+
+
+def chunk_scores(index: TextIndex, asked: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> ChunkScores:
+    """BM25 of each asked stem (stem, short) in each chunk that holds it, for all questions at once, as rows or as the best chunks of questions.
+
+    The terms of a stem are found among those of the chunks, where they are read.
+    """
+    asked = materialise(asked, "asked-stems")
+    n, avg_len = index.stats.select("n", "avg_len").first()
+    weights = [idf(F.col(f"df_{k}"), F.lit(n)).alias(f"idf_{k}") for k in KINDS]
+    held = stem_counts(index.counts, asked).select("stem", *weights)
+    return ChunkScores(index.counts, materialise(asked.join(held, "stem"), "stems"), avg_len, (title_weight, body_weight))
+
+
+def stem_scores(index: TextIndex, phrases: DataFrame, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
+    """(stem, doc_id, chunk_no, score) of ``chunk_scores`` for the phrases of ``phrase_terms``."""
+    asked = phrases.groupBy("stem").agg(F.max(F.when(F.col("phrase") == "short", F.col("term"))).alias("short"))
+    return chunk_scores(index, asked, title_weight, body_weight).rows()
 
 
 BLOCK = 100_000  # postings of a block, about
@@ -283,13 +600,23 @@ def thresholds(found: DataFrame, depth: int) -> DataFrame:
             .filter(F.col("rank") == depth).select("question_id", F.col("score").alias("least")))
 
 
-def candidates(terms: DataFrame, scores: DataFrame, limit: int = HITS_DEFAULT, chunks_of: DataFrame | None = None) -> DataFrame:
+def candidates(terms: DataFrame, scores: DataFrame | ChunkScores, limit: int = HITS_DEFAULT, chunks_of: DataFrame | None = None) -> DataFrame:
     """The best max(10·limit, 50) chunks per question by BM25, with the number of question terms each holds.
 
-    Postings go once to blocks, whatever the number of questions. A few blocks are scored first; what they give as a question's
-    last place is a threshold, and the question goes on only to blocks whose bound reaches it. Blocks give their best chunks only.
+    Some chunks are scored first; what they give as a question's last place is a threshold for the others. Scores of an index are summed
+    where its counts are read. Scores given as rows go once to blocks, whatever the number of questions, and a question goes on only to
+    blocks whose bound reaches its threshold. Blocks give their best chunks only.
     """
     depth = max(limit * 10, 50)
+    order = [F.col("score").desc(), F.col("doc_id"), F.col("chunk_no")]
+    if isinstance(scores, ChunkScores):
+        if chunks_of is not None:
+            scores = replace(scores, counts=scores.counts.join(chunks_of.select("doc_id").distinct(), "doc_id", "left_semi"))
+        terms = materialise(terms, "terms")
+        probed = F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(PROBE)) == 0
+        probe = materialise(scores.best(terms, depth, probed), "probed")
+        rest = scores.best(terms, depth, ~probed, thresholds(probe, depth))
+        return newest(probe.unionByName(rest), ["question_id"], depth, *order, rank="bm25_rank")
     if chunks_of is not None:
         scores = scores.join(chunks_of.select("doc_id").distinct(), "doc_id", "left_semi")
     blocks = score_blocks(scores)
@@ -297,7 +624,7 @@ def candidates(terms: DataFrame, scores: DataFrame, limit: int = HITS_DEFAULT, c
     first, others = blocks.filter(probed), blocks.filter(~probed)
     probe = materialise(best_in_blocks(open_blocks(terms, first, None), first, depth), "probed")
     rest = best_in_blocks(open_blocks(terms, others, thresholds(probe, depth)), others, depth)
-    return newest(probe.unionByName(rest), ["question_id"], depth, F.col("score").desc(), F.col("doc_id"), F.col("chunk_no"), rank="bm25_rank")
+    return newest(probe.unionByName(rest), ["question_id"], depth, *order, rank="bm25_rank")
 
 
 def rank_candidates(found: DataFrame) -> DataFrame:
@@ -379,27 +706,19 @@ def _render(r: Column, window: int, step: int) -> Column:
     return F.element_at(F.transform(best, text_of), 1)
 
 
-def with_snippets(hits: DataFrame, terms: DataFrame, shorts: DataFrame, stems_: DataFrame | None = None) -> DataFrame:
-    """Hits (with text) and their snippet. The terms of a question are a short list, so collecting them is bounded.
-
-    ``stems_`` (word, term) spares cutting the words of the hits again; a hit's words are gathered, not more.
-    """
+def with_snippets(hits: DataFrame, terms: DataFrame, shorts: DataFrame) -> DataFrame:
+    """Hits (with text) and their snippet. The terms of a question are a short list, so collecting them is bounded."""
     per = (terms.join(shorts, "stem", "left").groupBy("question_id")
            .agg(F.collect_list(F.struct("stem", "short")).alias("terms")))
-    rows, known = hits.join(per, "question_id"), None
-    if stems_ is not None:
-        cut = (hits.select("question_id", "rank", F.posexplode(low_words(F.col("text"))).alias("at", "word")).join(stems_, "word")
-               .groupBy("question_id", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("_cut")))
-        rows, known = rows.join(cut, ["question_id", "rank"], "left"), F.transform("_cut", lambda c: c["term"])
-    return rows.withColumn("snippet", snippet(F.col("text"), F.col("terms"), stemmed=known)).drop("terms", "_cut")
+    return hits.join(per, "question_id").withColumn("snippet", snippet(F.col("text"), F.col("terms"))).drop("terms")
 
 
 def search(index: TextIndex, questions: DataFrame, limit: int = HITS_DEFAULT, product: str | None = None) -> DataFrame:
-    """Ranked hits of every question, with snippets."""
+    """Ranked hits of every question, with snippets. Texts are read for the hits alone, the others are compared by fingerprint."""
     terms = materialise(question_terms(questions), "question-terms")
-    scores = stem_scores(index, phrase_terms(terms, index.terms))
+    scores = chunk_scores(index, asked_stems(terms, index.terms))
     only = index.documents.filter(F.col("product") == product) if product else None
-    found = rank_candidates(candidates(terms, scores, limit, only))
-    texts = found.join(index.chunks, ["doc_id", "chunk_no"]).withColumn("fingerprint", F.sha1("text"))
+    found = materialise(rank_candidates(candidates(terms, scores, limit, only)), "found")
+    texts = found.join(index.chunks.select("doc_id", "chunk_no", "fingerprint"), ["doc_id", "chunk_no"])
     shown = hydrate(materialise(pick_hits(texts, limit), "hits"), index.chunks, index.documents)
-    return with_snippets(shown, terms, shorter_stems(terms.select("stem").distinct(), index.terms), index.stems).drop("text", "n_words")
+    return with_snippets(shown, terms, shorter_stems(terms.select("stem").distinct(), index.terms)).drop("text", "n_words", "fingerprint")

@@ -37,8 +37,12 @@ docs AS (SELECT *, regexp_replace(regexp_replace(name, '\.[^.]+$', ''), ' - copy
 documents_kb AS (SELECT *, bare AS title0, CASE WHEN regexp_replace(bare, '^[\s!+.\d]+', '') = '' THEN bare ELSE regexp_replace(bare, '^[\s!+.\d]+', '') END AS title FROM docs WHERE regexp_matches(text, '\S'))"""
 
 
+def knowledge_of(documents):
+    return K.knowledge_base(files(documents), RULES, COPY_WORDS, PRODUCTS)
+
+
 def knowledge(t):
-    return K.knowledge_base(files(t.documents), RULES, COPY_WORDS, PRODUCTS)
+    return knowledge_of(t.documents)
 
 
 @query("exclude_rules", "WITH " + KB_SQL + " SELECT doc_id, path, reason FROM named WHERE reason IS NOT NULL")

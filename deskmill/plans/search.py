@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from deskmill.functions import fixed as X
 from deskmill.functions.text import cut_ending, stem_pattern, words
 from deskmill.operators import search as S
-from deskmill.plans.corpus import CHUNKS_SQL, KB_SQL, TITLE, knowledge
+from deskmill.plans.corpus import CHUNKS_SQL, KB_SQL, TITLE, knowledge_of
 from deskmill.plans.registry import query
-from deskmill.session import kept
+from deskmill.session import kept, materialise
 
 
 PATTERN, GROUPS = stem_pattern(X.RU_ENDINGS, X.EN_ENDINGS)
@@ -73,19 +73,20 @@ def questions(t):
 def index_of(t):
     """The index of the documents as they are; it is built once and kept until a file of the table changes."""
     def build(write):
-        kb = knowledge(t)
-        documents = kb["documents"].select("doc_id", "path", "title", "product", "digest", F.length("text").alias("chars"))
+        # what is told of a text is computed where it is read, so that the documents are put together without it
+        kb = knowledge_of(t.documents.withColumn("chars", F.length("text")))
+        documents = kb["documents"].select("doc_id", "path", "title", "product", "digest", "chars")
         S.build_index(documents, kb["chunks"], kb["aliases"], write)
 
-    return S.TextIndex(**kept(t.documents, "knowledge-index", build))
+    return S.TextIndex(**kept(t.documents, "text-index", build))
 
 
 def ranked(t):
     index = index_of(t)
     terms = S.question_terms(questions(t))
-    phrases = S.phrase_terms(terms, index.terms)
-    found = S.rank_candidates(S.candidates(terms, S.stem_scores(index, phrases)))
-    return S.hydrate(found, index.chunks, index.documents).withColumn("fingerprint", F.sha1("text"))
+    # written, so that its size is known when chunks and documents meet it
+    found = materialise(S.rank_candidates(S.candidates(terms, S.chunk_scores(index, S.asked_stems(terms, index.terms)))), "found")
+    return S.hydrate(found, index.chunks, index.documents)
 
 
 @query("tokens_stemmed", f"SELECT doc_id, array_to_string({stems_sql('text')}, ' ') AS stemmed FROM documents")
@@ -130,15 +131,15 @@ def _(t):
 @query("bm25_weighted", "WITH " + SCORE_SQL + " SELECT stem, doc_id, chunk_no, round(score, 6) AS score FROM sc")
 def _(t):
     index = index_of(t)
-    phrases = S.phrase_terms(S.question_terms(questions(t)), index.terms)
-    return S.stem_scores(index, phrases).withColumn("score", F.round("score", 6))
+    asked = S.asked_stems(S.question_terms(questions(t)), index.terms)
+    return S.chunk_scores(index, asked).rows().withColumn("score", F.round("score", 6))
 
 
 @query("bm25_candidates", "WITH " + RANK_SQL + " SELECT question_id, doc_id, chunk_no, score, matched, bm25_rank FROM cand")
 def _(t):
     index = index_of(t)
     terms = S.question_terms(questions(t))
-    return S.candidates(terms, S.stem_scores(index, S.phrase_terms(terms, index.terms)))
+    return S.candidates(terms, S.chunk_scores(index, S.asked_stems(terms, index.terms)))
 
 
 @query("kb_rank", "WITH " + RANK_SQL + " SELECT question_id, doc_id, chunk_no, matched, score, place FROM ranked")

@@ -288,3 +288,65 @@ def test_scores_meet_written_counts(spark):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
     assert scores.count() == 12
+
+
+def odd_index(spark):
+    """Documents with repeated keys, equal and different lengths, further titles, a chunk without words."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdeингсЁ1") for _ in range(rnd.randrange(2, 7))) for _ in range(150)] + ["running", "книгами", "houses"]
+    text = lambda k: " ".join(rnd.choice(words) for _ in range(k))
+    rows = [(d, c, text(rnd.randrange(5, 40))) for d in range(60) for c in range(3)]
+    rows += rows[:4] + [(4, 0, text(12)), (5, 1, "..."), (7, 2, rows[23][2])]
+    docs = spark.createDataFrame([(d, f"p{d}", f"Title {words[d]}") for d in range(59)] + [(3, "p3", "Title twice")], "doc_id long, path string, title string")
+    aliases = spark.createDataFrame([("p1", "other houses"), ("p1", "running"), ("none", "x")], "canonical string, alias string")
+    return words, docs, spark.createDataFrame(rows, "doc_id long, chunk_no int, text string"), aliases
+
+
+def test_counts_hold_what_postings_do(spark):
+    """A chunk's terms lie in one row, whatever its keys; rows made of them, and the number and length of chunks, are as counted plainly."""
+    words, docs, chunks, aliases = odd_index(spark)
+    index = S.build_index(docs, chunks, aliases)
+    keys = ["doc_id", "chunk_no"]
+    assert index.counts.count() == chunks.select(*keys).distinct().count()
+    titles = docs.select("doc_id", "title").unionByName(aliases.join(docs, F.col("path") == F.col("canonical")).select("doc_id", F.col("alias").alias("title")))
+    plain, lengths, _ = S.build_postings(chunks.withColumn("n_words", F.size(S.words(F.col("text")))), titles)
+    names = [*keys, "len", "term", "tf_title", "tf_body"]
+    assert sorted(map(tuple, index.postings.select(*names).collect())) == sorted(map(tuple, plain.select(*names).collect()))
+    assert index.stats.select("n", F.round("avg_len", 9)).first() == lengths.agg(F.count("*"), F.round(F.avg("len"), 9)).first()
+    nothing = S.build_index(docs.filter("false"), chunks.filter("false"), aliases)
+    assert tuple(nothing.stats.first()) == (0, None) and nothing.vocabulary().count() == 0
+    terms = S.question_terms(spark.createDataFrame([(1, "running")], "question_id long, text string"))
+    assert S.candidates(terms, S.chunk_scores(nothing, S.asked_stems(terms, nothing.terms))).count() == 0
+
+
+def test_index_is_searched_without_moving_postings(spark, monkeypatch):
+    """The best chunks are those of the scores as rows, in slices and in groups of questions too; no posting is shuffled or written."""
+    words, docs, chunks, aliases = odd_index(spark)
+    index = S.build_index(docs, chunks, aliases)
+    rnd = random.Random(3)
+    asked = [(q, " ".join(w[:rnd.randrange(2, 7)] for w in rnd.sample(words, 9))) for q in range(8)] + [(20, "zzzz"), (21, None)]
+    terms = materialise(S.question_terms(spark.createDataFrame(asked + asked[:1], "question_id long, text string")), "t")
+    stems = S.asked_stems(terms, index.terms)
+    scores = S.chunk_scores(index, stems)
+    rows = scores.rows()
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    best = scores.best(terms, 50, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in best and "MapInArrow" in best
+    phrases = S.phrase_terms(terms, index.terms)
+    plain = collections.Counter((r.stem, r.doc_id, r.chunk_no, round(r.score, 9)) for r in rows.collect())
+    assert plain == collections.Counter((r.stem, r.doc_id, r.chunk_no, round(r.score, 9)) for r in S.stem_scores(index, phrases).collect())
+    tf = index.postings.join(phrases, "term").groupBy("stem", "doc_id", "chunk_no", "len", "phrase").agg(F.sum(F.col("tf_title") * 4 + F.col("tf_body")).alias("f"))
+    df = tf.groupBy("stem", "phrase").agg(F.count("*").alias("df"))
+    n, avg_len = index.stats.first()
+    want = (tf.join(df, ["stem", "phrase"]).withColumn("s", S.bm25(F.col("f"), F.col("df"), F.col("len"), F.lit(n), F.lit(avg_len)))
+            .groupBy("stem", "doc_id", "chunk_no", "len").agg(F.sum("s").alias("score")))
+    assert plain == collections.Counter((r.stem, r.doc_id, r.chunk_no, round(r.score, 9)) for r in want.collect())
+    names = ["question_id", "doc_id", "chunk_no", "score", "matched", "bm25_rank"]
+    by_rows = sorted(tuple(r) for r in S.candidates(terms, materialise(rows, "rows"), 5).select(*names).collect())
+    for size, most in ((4_000, 400_000), (7, 10)):
+        monkeypatch.setattr(S, "SLICE", size)
+        monkeypatch.setattr(S, "ASKED", most)
+        got = sorted(tuple(r) for r in S.candidates(terms, S.chunk_scores(index, stems), 5).select(*names).collect())
+        assert got == by_rows and len({r[0] for r in got}) == 8
+    some = docs.filter("doc_id < 9")
+    assert {r.doc_id for r in S.candidates(terms, scores, 5, some).collect()} <= set(range(9))
