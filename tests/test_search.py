@@ -350,3 +350,20 @@ def test_index_is_searched_without_moving_postings(spark, monkeypatch):
         assert got == by_rows and len({r[0] for r in got}) == 8
     some = docs.filter("doc_id < 9")
     assert {r.doc_id for r in S.candidates(terms, scores, 5, some).collect()} <= set(range(9))
+
+
+def test_documents_of_hits_alone_are_made_flat(spark):
+    """Whether a hit holds its passage is asked of written hits; the table of documents is not shuffled for it."""
+    from deskmill.plans.evaluation import ranks
+    from deskmill.session import Tables, workspace
+    folder = workspace(spark, "tables")
+    passages = [f"passage  of w{i}a w{i}b w{i}c\nand more" for i in range(6)]
+    docs = [(i + 1, f"text before\n{p if i < 4 else 'w%da w%db' % (i, i)} behind and filling {i} words", "en", "src2", 60) for i, p in enumerate(passages)]
+    docs += [(i, f"other text {i} of nothing", "en", "src2", 20) for i in range(20, 26)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = ranks(Tables(spark, folder))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(text" in plan and "AS whole" not in plan
+    assert "Window" not in plan  # the hits are read, not computed beside the documents
+    assert {r.question_id: r["rank"] for r in found.collect()} == {**{i: 1 for i in range(4)}, 4: None, 5: None}
