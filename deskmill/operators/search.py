@@ -707,10 +707,18 @@ def _render(r: Column, window: int, step: int) -> Column:
 
 
 def with_snippets(hits: DataFrame, terms: DataFrame, shorts: DataFrame) -> DataFrame:
-    """Hits (with text) and their snippet. The terms of a question are a short list, so collecting them is bounded."""
+    """Hits (with text) and their snippet. The terms of a question are a short list, so collecting them is bounded.
+
+    The stems of a place's words are gathered by question and rank: hits with equal keys share them.
+    """
     per = (terms.join(shorts, "stem", "left").groupBy("question_id")
            .agg(F.collect_list(F.struct("stem", "short")).alias("terms")))
-    return hits.join(per, "question_id").withColumn("snippet", snippet(F.col("text"), F.col("terms"))).drop("terms")
+    cut = (hits.select("question_id", "rank", F.posexplode(low_words(F.col("text"))).alias("at", "word"))
+           .select("question_id", "rank", "at", cut_ending(F.col("word"), en=X.EN_ENDINGS).alias("term"))
+           .groupBy("question_id", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("_cut")))
+    rows = hits.join(per, "question_id").join(cut, ["question_id", "rank"], "left")
+    known = F.transform("_cut", lambda c: c["term"])
+    return rows.withColumn("snippet", snippet(F.col("text"), F.col("terms"), stemmed=known)).drop("terms", "_cut")
 
 
 def search(index: TextIndex, questions: DataFrame, limit: int = HITS_DEFAULT, product: str | None = None) -> DataFrame:
@@ -720,5 +728,5 @@ def search(index: TextIndex, questions: DataFrame, limit: int = HITS_DEFAULT, pr
     only = index.documents.filter(F.col("product") == product) if product else None
     found = materialise(rank_candidates(candidates(terms, scores, limit, only)), "found")
     texts = found.join(index.chunks.select("doc_id", "chunk_no", "fingerprint"), ["doc_id", "chunk_no"])
-    shown = hydrate(materialise(pick_hits(texts, limit), "hits"), index.chunks, index.documents)
+    shown = materialise(hydrate(materialise(pick_hits(texts, limit), "hits"), index.chunks, index.documents), "shown")
     return with_snippets(shown, terms, shorter_stems(terms.select("stem").distinct(), index.terms)).drop("text", "n_words", "fingerprint")
